@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from barflow.llm import near_dedup
+from barflow.llm import langid, mixing, near_dedup
 
-_MODULES = [near_dedup]
+_MODULES = [mixing, langid, near_dedup]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
