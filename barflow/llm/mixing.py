@@ -8,6 +8,8 @@ from barflow.llm.session import checkpointed
 
 #: Rows that one node of the reduction tree folds, about.
 FANOUT = 128
+#: Sizes in words from which documents are rounded first, second, ...; the rest come last.
+CLASSES = (512, 128)
 _EPS = 1e-9
 
 
@@ -69,38 +71,59 @@ def _fold(level: int, seed: int) -> Column:
 
 
 def pivotal(rows: DataFrame, total: int, seed: int = 0, fanout: int = FANOUT) -> DataFrame:
-    """``rows(stratum, k, size double > 0, p)`` rounded to (stratum, k, up 0 or 1); ``total``: rows of the largest stratum.
+    """``rows(stratum, k, size double > 0, p)`` rounded to (stratum, k, size, up 0 or 1); ``total``: rows of the largest stratum.
 
     A reduction tree: rows are dealt to nodes of about ``fanout`` rows by a hash of their key, a node folds its rows
     and hands on the one that is left open, and the open rows of all nodes go through the next level. The number of
-    rows shrinks by the fan-out each level. Within a node the large rows come first, so what is left open tends to be
-    small. Per stratum, the sum of size * p is kept but for the last open row, which is rounded by its p.
+    rows shrinks by the fan-out each level. Per stratum, the sum of size * p is kept but for the last open row, which is
+    rounded by its p: one of the largest, since the smaller one of a pair is decided first.
     """
     nodes, level, decided, last = total, 0, [], False
     while not last:
         nodes = -(-nodes // fanout)
         last = nodes <= 1
-        node = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "k"), F.lit(nodes))
-        grouped = rows.groupBy("stratum", node.alias("node")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", "k", "p")))).alias("sorted"))
-        grouped = grouped.withColumn("rows", F.transform("sorted", lambda r: F.struct(r["k"].alias("k"), r["size"].alias("size"), r["p"].alias("p"))))
+        node = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "k"), F.lit(max(nodes, 1)))
+        grouped = rows.groupBy("stratum", node.alias("node")).agg(F.sort_array(F.collect_list(F.struct("k", "size", "p"))).alias("rows"))
         folded = grouped.select("stratum", _fold(level, seed).alias("f"))
         folded = checkpointed(folded.select("stratum", F.col("f.open").alias("o"), F.col("f.done").alias("done")))
-        decided.append(folded.select("stratum", F.explode("done").alias("r")).select("stratum", "r.k", F.col("r.p").cast("long").alias("up")))
+        decided.append(folded.select("stratum", F.explode("done").alias("r")).select("stratum", "r.k", "r.size", F.col("r.p").cast("long").alias("up")))
         rows = folded.select("stratum", "o.k", "o.size", "o.p")
         level += 1
-    decided.append(rows.select("stratum", "k", (uniform(F.lit(seed), F.lit(-1), "k") < F.col("p")).cast("long").alias("up")))
+    decided.append(rows.select("stratum", "k", "size", (uniform(F.lit(seed), F.lit(-1), "k") < F.col("p")).cast("long").alias("up")))
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
     return out
 
 
+def by_size(rows: DataFrame, total: int, seed: int = 0, classes: tuple[int, ...] = CLASSES) -> DataFrame:
+    """``pivotal`` by size, large documents first: what the last open row of a class is off by is made up for in the next.
+
+    Each class starts from its own p, shifted alike for the whole stratum by the words that are owed. So a stratum's
+    words differ from the expected ones by less than the largest document of its smallest class, as long as the smaller
+    classes have words enough.
+    """
+    owed, out, most = None, None, None
+    for least in (*classes, 0):
+        part = rows.where(F.col("size") >= least) if most is None else rows.where((F.col("size") >= least) & (F.col("size") < most))
+        most = least
+        sums = part.groupBy("stratum").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("p")).alias("wanted"))
+        sums = sums.withColumn("error", F.lit(0.0)) if owed is None else sums.join(owed, "stratum", "full").na.fill(0.0)
+        sums = checkpointed(sums)
+        shifted = part.join(F.broadcast(sums) if sums.count() <= 10_000 else sums, "stratum").withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") - F.col("error") / F.col("words"))))
+        up = checkpointed(pivotal(shifted.select("stratum", "k", "size", "p"), total, seed + least))
+        got = up.groupBy("stratum").agg(F.sum(F.col("size") * F.col("up")).alias("got"))
+        owed = sums.join(got, "stratum", "left").select("stratum", (F.coalesce("got", F.lit(0.0)) - F.col("wanted") + F.col("error")).alias("error"))
+        out = up if out is None else out.unionByName(up)
+    return out.select("stratum", "k", "up")
+
+
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 0) -> DataFrame:
     """(doc_id, source, size, rows, source_size, target, copies): how often each document goes into the mix.
 
     A document of a source with target / source_size = r is taken floor(r) or floor(r) + 1 times, r times on
     average, so never more than ``most`` times. Which ones get the extra copy is found by ``pivotal`` with the
-    sizes in words as weights, so that a source's words differ from its target by less than one document.
+    sizes in words as weights, so that a source's words differ from its target by less than one small document.
 
     Rows with the same doc_id, source and size count as ``rows`` rows of one entry and share its copies; this also
     holds a null doc_id. Null and empty texts have size 0: they move no words and are rounded on their own.
@@ -117,7 +140,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: f
     named = named.withColumn("base", F.floor(F.col("want") + _EPS)).withColumn("p", F.greatest(F.col("want") - F.col("base"), F.lit(0.0)))
     # a document's own weight is its size; that of an entry of m rows is still the words of one more copy
     open_rows = named.where((F.col("size") > 0) & (F.col("p") > _EPS)).select("stratum", "k", F.col("size").cast("double").alias("size"), "p")
-    up = pivotal(open_rows, total, seed)
+    up = by_size(open_rows, total, seed)
     named = named.join(up, ["stratum", "k"], "left")
     extra = F.coalesce("up", (uniform(F.lit(seed), F.lit(-2), "k") < F.when(F.col("size") == 0, F.col("p")).otherwise(0.0)).cast("long"))
     return named.select("doc_id", "source", "size", "rows", "source_size", "target", (F.col("base") + extra).alias("copies"))
