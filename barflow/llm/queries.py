@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from barflow.llm import decontamination, langid, mixing, near_dedup, pseudonyms, quality_model, quality_rules
+from barflow.llm import decontamination, fixity, langid, language_model, mixing, near_dedup, pseudonyms, quality_model, quality_rules, secrets
 
-_MODULES = [mixing, langid, pseudonyms, quality_model, decontamination, near_dedup, quality_rules]
+_MODULES = [fixity, mixing, langid, language_model, pseudonyms, secrets, quality_model, decontamination, near_dedup, quality_rules]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
