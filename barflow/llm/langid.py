@@ -14,7 +14,7 @@ from barflow.llm.sampling import remainder, sampled_ids
 
 #: Hash buckets (a power of two), width of the embeddings, byte lengths of subwords, and the fit's parameters.
 BUCKET_BITS, WIDTH, LENGTHS = 15, 8, (2, 3, 4)
-PER_LANGUAGE, EPOCHS, BATCH, RATE = 1000, 8, 32, 2.0
+PER_LANGUAGE, EPOCHS, BATCH, RATE = 500, 12, 32, 2.0
 #: Share of rightly named validation rows that rejection may cost, and the highest threshold.
 COST, HIGHEST = 0.001, 0.5
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
@@ -149,12 +149,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for batch in batches:
             for part in T.slices(batch, "text"):
                 split = [np.split(buckets.astype(np.int32), np.cumsum(counts)[:-1]) for buckets, counts in subwords(part.column("text"))]
-                each = [np.concatenate(x) for x in zip(*split)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(each, pa.list_(pa.int32()))], ["doc_id", "label", "ids"])
+                each = [np.concatenate(x).astype(np.int16) for x in zip(*split)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(each, pa.list_(pa.int16()))], ["doc_id", "label", "ids"])
 
     sample = rows.drop("label").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"])
     kind = dict(rows.dtypes)["doc_id"]
-    found = sample.mapInArrow(run, f"doc_id {kind}, label string, ids array<int>").where("size(ids) > 0").toArrow().sort_by("doc_id")
+    found = sample.mapInArrow(run, f"doc_id {kind}, label string, ids array<smallint>").where("size(ids) > 0").toArrow().sort_by("doc_id")
     if not found.num_rows:
         return LanguageModel()
     languages = sorted(set(found.column("label").to_pylist()))
