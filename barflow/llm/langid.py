@@ -110,8 +110,8 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(ids: list[np.ndarray], labels: np.ndarray, n_classes: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(table, bias) by stochastic gradient descent over texts given as arrays of subword buckets."""
+def train(ids: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_classes: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(table, bias) by stochastic gradient descent over texts given as distinct subword buckets and their shares of the text."""
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.05, (1 << BUCKET_BITS, WIDTH))
     out, bias = rng.normal(0, 0.3, (WIDTH, n_classes)), np.zeros(n_classes)
@@ -122,12 +122,12 @@ def train(ids: list[np.ndarray], labels: np.ndarray, n_classes: int, seed: int =
             chosen = order[at : at + BATCH]
             rate = RATE * (1 - step / steps)
             step += 1
-            counts = np.array([len(ids[i]) for i in chosen])
-            flat = np.concatenate([ids[i] for i in chosen])
-            mean = T.segment_sums(embed[flat], counts) / counts[:, None]
+            counts = np.array([len(ids[i][0]) for i in chosen])
+            flat, shares = (np.concatenate([ids[i][k] for i in chosen]) for k in (0, 1))
+            mean = T.segment_sums(embed[flat] * shares[:, None], counts)
             error = _softmax(mean @ out + bias)
             error[np.arange(len(chosen)), labels[chosen]] -= 1
-            back = np.repeat((error @ out.T) / counts[:, None], counts, axis=0)
+            back = np.repeat(error @ out.T, counts, axis=0) * shares[:, None]
             out -= rate * (mean.T @ error) / len(chosen)
             bias -= rate * error.mean(axis=0) * 0.1
             for j in range(WIDTH):  # the mean makes a single bucket's share tiny: its rate is not divided by the batch
@@ -149,22 +149,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for batch in batches:
             for part in T.slices(batch, "text"):
                 split = [np.split(buckets.astype(np.int32), np.cumsum(counts)[:-1]) for buckets, counts in subwords(part.column("text"))]
-                each = [np.concatenate(x).astype(np.int16) for x in zip(*split)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(each, pa.list_(pa.int16()))], ["doc_id", "label", "ids"])
+                ids, times = zip(*(np.unique(np.concatenate(x), return_counts=True) for x in zip(*split)))
+                lists = [pa.array([x.astype(np.int16) for x in ids], pa.list_(pa.int16())), pa.array([x.astype(np.float32) / max(x.sum(), 1) for x in times], pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *lists], ["doc_id", "label", "ids", "shares"])
 
     sample = rows.drop("label").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"])
     kind = dict(rows.dtypes)["doc_id"]
-    found = sample.mapInArrow(run, f"doc_id {kind}, label string, ids array<smallint>").where("size(ids) > 0").toArrow().sort_by("doc_id")
+    found = sample.mapInArrow(run, f"doc_id {kind}, label string, ids array<smallint>, shares array<float>").where("size(ids) > 0").toArrow().sort_by("doc_id")
     if not found.num_rows:
         return LanguageModel()
     languages = sorted(set(found.column("label").to_pylist()))
     labels = np.searchsorted(languages, found.column("label").to_pylist())
-    ids = [np.asarray(x.values) for x in found.column("ids")]
+    ids = [(np.asarray(i.values).astype(np.int64), np.asarray(x.values).astype(float)) for i, x in zip(found.column("ids"), found.column("shares"))]
     order = np.random.default_rng(seed).permutation(len(ids))
     hold = order[: len(ids) // 5] if len(ids) >= 10 else order
     learn = order[len(ids) // 5 :] if len(ids) >= 10 else order
     table, bias = train([ids[i] for i in learn], labels[learn], len(languages), seed)
-    logits = np.stack([table[ids[i]].mean(axis=0) + bias for i in hold])
+    logits = np.stack([ids[i][1] @ table[ids[i][0]] + bias for i in hold])
     loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(hold)), labels[hold]] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
     p = _softmax(logits / temperature)
