@@ -21,10 +21,6 @@ class Rule:
     rejects: Column
 
 
-def _when_any(condition: Column, value: Column) -> Column:
-    return F.when(condition, value).otherwise(F.lit(0))
-
-
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the base measures of every whole text, with its words in ``w`` for rules that look further.
 
@@ -57,15 +53,15 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def default_rules() -> list[Rule]:
     """Rules for the verdict, over counts that are at hand and over the words themselves."""
-    share = lambda test: F.size(F.filter("w", test)) / F.col("n_words")
+    over = lambda test, share: F.size(F.filter("w", test)) > share * F.col("n_words")
     return [
         Rule("symbols", F.col("n_symbols") > 0.1 * F.col("n_words")),
         Rule("word length", (F.col("word_chars") < 2.5 * F.col("n_words")) | (F.col("word_chars") > 12 * F.col("n_words"))),
         Rule("repeated lines", F.col("n_dup_lines") > 0.3 * F.col("n_lines")),
         Rule("repeated words", F.col("n_repeat_words") > 0.4 * F.col("n_words")),
-        Rule("words without a letter", share(lambda x: ~x.rlike(r"\p{L}")) > 0.2),
-        Rule("few different words", F.size(F.array_distinct("w")) < 0.1 * F.col("n_words")),
-        Rule("word repeated at once", F.size(F.filter("w", lambda x, i: (i > 0) & (x == F.get("w", i - 1)))) > 0.2 * F.col("n_words")),
+        Rule("words without a letter", over(lambda x: ~x.rlike(r"\p{L}"), 0.2)),
+        Rule("few different words", F.size(F.array_distinct("w")) < 2 * F.sqrt("n_words")),
+        Rule("word repeated at once", over(lambda x, i: (i > 0) & (x == F.get("w", i - 1)), 0.2)),
     ]
 
 
@@ -135,7 +131,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
          n_symbols > 0.1 * n_words OR word_chars < 2.5 * n_words OR word_chars > 12 * n_words
          OR n_dup_lines > 0.3 * n_lines OR n_repeat_words > 0.4 * n_words
          OR len(list_filter(w, x -> NOT regexp_matches(x, '\p{L}'))) > 0.2 * n_words
-         OR len(list_distinct(w)) < 0.1 * n_words
+         OR len(list_distinct(w)) < 2 * sqrt(n_words)
          OR len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i - 1])) > 0.2 * n_words) END AS kept
 FROM b"""
 }
