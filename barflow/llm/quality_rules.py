@@ -115,7 +115,7 @@ m AS (
   SELECT doc_id, w, len(w) AS n_words,
          length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM t),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM m WHERE len(w) >= 3),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times FROM p),
@@ -130,8 +130,8 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        CASE WHEN base_failed THEN false ELSE NOT (
          n_symbols > 0.1 * n_words OR word_chars < 2.5 * n_words OR word_chars > 12 * n_words
          OR n_dup_lines > 0.3 * n_lines OR n_repeat_words > 0.4 * n_words
-         OR len(list_filter(w, x -> NOT regexp_matches(x, '\p{L}'))) > 0.2 * n_words
+         OR len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{L}'))) > 0.2 * n_words
          OR len(list_distinct(w)) < 2 * sqrt(n_words)
-         OR len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i - 1])) > 0.2 * n_words) END AS kept
+         OR len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > 0.2 * n_words) END AS kept
 FROM b"""
 }
