@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from barflow.plans import indicators, modelling, monitoring, pipelines, quality, stream_rules
+
+_MODULES = [indicators, stream_rules, quality, modelling, monitoring, pipelines]
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
