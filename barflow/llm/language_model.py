@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barflow.llm import text as T
@@ -215,7 +216,8 @@ def scored(docs: DataFrame, seed: int = 0, block_tokens: int = BLOCK_TOKENS) ->
         out = [(block[0].as_py(), b, words[i:j].tobytes(), spans[i:j].astype(np.uint16).tobytes(), context[ends[i] : ends[j]].astype(np.uint16).tobytes(), times[ends[i] : ends[j]].astype(np.uint32).tobytes()) for b, (i, j) in enumerate(cuts) if j > i]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), *[pa.binary()] * 4))], ["block", "bucket", "words", "spans", "contexts", "times"])
 
-    asked = checkpointed(rows.groupBy("block").applyInArrow(ask, "block int, bucket int, words binary, spans binary, contexts binary, times binary"))
+    # one plan from here on: the documents are dealt out by block once, and so are the requests by bucket; Spark reuses both exchanges
+    asked = rows.groupBy("block").applyInArrow(ask, "block int, bucket int, words binary, spans binary, contexts binary, times binary")
 
     def sum_up(bucket: tuple, table: pa.Table) -> pa.Table:
         return pa.table({"slot": np.arange(_SLOTS, dtype=np.int32), "value": _bucket(table.sort_by("block"), buckets, seed + bucket[0].as_py())[0]})
@@ -225,26 +227,28 @@ def scored(docs: DataFrame, seed: int = 0, block_tokens: int = BLOCK_TOKENS) ->
         known, parent, own = zip(*_bucket(table, buckets, seed + bucket[0].as_py())[1])
         return pa.table([table.column("block"), table.column("bucket"), *(pa.array(x, pa.binary()) for x in (known, parent, own))], ["block", "bucket", "known", "parent", "own"])
 
-    totals = np.zeros(_SLOTS)
-    for slot, value in asked.groupBy("bucket").applyInArrow(sum_up, "slot int, value double").groupBy("slot").agg(F.sum("value")).collect():
-        totals[slot] = value
+    totals = asked.groupBy("bucket").applyInArrow(sum_up, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value"))
+    one = totals.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "value"))), lambda x: x["value"]).alias("totals"))
+    every = spark_range(docs, blocks).crossJoin(F.broadcast(one))
     answers = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, known binary, parent binary, own binary")
-    n, v = totals[-2:]
-    customers = totals[:CONTEXTS]
-    per_sample = totals[CONTEXTS:-2].reshape(SAMPLES, CONTEXTS + 2)
+    answers = answers.withColumn("totals", F.lit(None).cast("array<double>")).unionByName(every, allowMissingColumns=True)
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = _text(docs)
+        if not len(texts):
+            return pa.table([docs.column("doc_id"), *(pa.array([], t) for t in (pa.int64(),) * 3 + (pa.float64(),) * 3)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
         _, spans, context, _, pair, bounds = block_pairs(texts, np.zeros(len(texts), bool), frequent)
-        answers = answers.sort_by("bucket")
+        sums = np.array(answers.filter(pc.is_valid(answers.column("totals"))).column("totals")[0].as_py())
+        (n, v), customers, per_sample = sums[-2:], sums[:CONTEXTS], sums[CONTEXTS:-2].reshape(SAMPLES, CONTEXTS + 2)
+        answers = answers.filter(pc.is_valid(answers.column("bucket"))).sort_by("bucket")
         load = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in answers.column(name).combine_chunks()])
         known, parent, own = load("known", np.int64), load("parent", np.float32).reshape(-1, SAMPLES).astype(float), load("own", np.float32).astype(float)
         if len(own) != len(context):
             raise ValueError("the documents changed between two readings")
         word = np.repeat(np.arange(len(spans)), spans)
         p = own / (STRENGTH + customers[context])
-        for s, sums in enumerate(per_sample):
-            tables, (guests, parent_tables) = sums[:CONTEXTS], sums[CONTEXTS:]
+        for s, row in enumerate(per_sample):
+            tables, (guests, parent_tables) = row[:CONTEXTS], row[CONTEXTS:]
             uni = (parent[:, s] + (PARENT_STRENGTH + PARENT_DISCOUNT * parent_tables) / (v + 1)) / (PARENT_STRENGTH + guests)
             p += ((STRENGTH + DISCOUNT * tables) / (STRENGTH + customers))[context] * uni[word] / SAMPLES
         counts = np.diff(bounds)
@@ -257,6 +261,11 @@ def scored(docs: DataFrame, seed: int = 0, block_tokens: int = BLOCK_TOKENS) ->
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
 
 
+def spark_range(docs: DataFrame, n: int) -> DataFrame:
+    """(block) from 0 to n - 1."""
+    return docs.sparkSession.range(n).select(F.col("id").cast("int").alias("block"))
+
+
 def _text(table: pa.Table) -> pa.Array:
     column = table.column("text").combine_chunks()
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
