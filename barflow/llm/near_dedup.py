@@ -15,8 +15,9 @@ from barflow.llm.session import checkpointed
 
 BITS = 64
 _LANES = np.uint64(0x0101010101010101)
-#: Fingerprints of one signature up to which all pairs are looked at by lag; beyond, links are found by breadth-first search.
-_RUN = 64
+#: Fingerprints of one signature up to which pairs are looked at by lag over many signatures at once, and up to which as a matrix;
+#: beyond, links are found by breadth-first search. Links a fingerprint beyond which a matrix gives a forest instead.
+_RUN, _MATRIX, _DENSE = 64, 4096, 32
 
 
 def shingle_hashes(column: pa.Array, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -99,20 +100,50 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.nda
     return a, b
 
 
+def _pairs(fps: np.ndarray, radius: int, bit: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """All links among the fingerprints of one signature; of a dense group, a spanning forest and everyone's nearest one."""
+    a, b, step, total = [], [], max(1, (1 << 20) // len(fps)), 0
+    for at in range(0, len(fps), step):
+        x = fps[at : at + step, None] ^ fps[None, :]
+        far = np.bitwise_count(x)
+        far[np.arange(len(far)), at + np.arange(len(far))] = 255
+        ok = (far <= radius) & (np.arange(len(fps)) > (at + np.arange(len(far)))[:, None])
+        if bit >= 0:
+            ok &= ((x >> np.uint64(bit)) & np.uint64(1)).astype(bool)
+        i, j = np.nonzero(ok)
+        total += len(i)
+        if total > _DENSE * len(fps):
+            break
+        a.append(fps[at + i])
+        b.append(fps[j])
+    if total <= _DENSE * len(fps):
+        return a, b
+    a, b = _forest(fps, radius)
+    for at in range(0, len(fps), step):
+        far = np.bitwise_count(fps[at : at + step, None] ^ fps[None, :])
+        far[np.arange(len(far)), at + np.arange(len(far))] = 255
+        j = far.argmin(axis=1)
+        ok = far[np.arange(len(far)), j] <= radius
+        a.append(fps[at : at + step][ok])
+        b.append(fps[j[ok]])
+    return a, b
+
+
 def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the fingerprints of equal keys (sorted by key). Of a wildcard's group, only pairs that differ there:
     the others meet in the group of the whole segment."""
     cut = np.flatnonzero(np.diff(keys)) + 1
     starts = np.concatenate([[0], cut]) if len(keys) else cut
     sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-    out_a, out_b = [], []
+    out_a, out_b, wild = [], [], wildcards(radius)
     for start, size in zip(starts[sizes > _RUN].tolist(), sizes[sizes > _RUN].tolist()):
-        a, b = _forest(np.unique(fps[start : start + size]), radius)
+        own = np.unique(fps[start : start + size])
+        a, b = _forest(own, radius) if size > _MATRIX else _pairs(own, radius, int(wild[int(keys[start]) >> 40]))
         out_a += a
         out_b += b
     small = np.repeat(sizes <= _RUN, sizes)
     keys, fps = keys[small], fps[small]
-    wild = wildcards(radius)[(keys >> np.uint64(40)).astype(np.int64)]
+    wild = wild[(keys >> np.uint64(40)).astype(np.int64)]
     for lag in range(1, int(sizes[sizes <= _RUN].max(initial=1))):
         at = np.flatnonzero(keys[lag:] == keys[:-lag])
         if not len(at):
@@ -130,8 +161,8 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
 
     The segments number radius // 2 + 1, so that of two fingerprints in reach one segment differs in one bit at
     most: both then share a signature, and none is missed. Rows are dealt out and sorted by signature; a task
-    streams over them and holds one signature's fingerprints at a time. Signatures with up to 64 fingerprints
-    give every link, larger ones a spanning forest of their links, which has the same components.
+    streams over them and holds one signature's fingerprints at a time. Signatures give every link, but for those with over
+    32 links a fingerprint or over 4,096 fingerprints: these give a spanning forest, which has the same components.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
