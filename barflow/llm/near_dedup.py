@@ -16,8 +16,8 @@ from barflow.llm.session import checkpointed
 BITS = 64
 _LANES = np.uint64(0x0101010101010101)
 #: Fingerprints of one signature up to which pairs are looked at by lag over many signatures at once, and up to which as a matrix;
-#: beyond, links are found by breadth-first search. Links a fingerprint beyond which a matrix gives a forest instead.
-_RUN, _MATRIX, _DENSE = 64, 4096, 32
+#: beyond, or with more than so many links a fingerprint, a shortest spanning forest stands for the links.
+_RUN, _MATRIX, _DENSE = 8, 4096, 2
 
 
 def shingle_hashes(column: pa.Array, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -82,50 +82,39 @@ def wildcards(radius: int) -> np.ndarray:
     return np.array([-1 if bit < 0 else start + bit for start, width in segments(radius) for bit in range(-1, width)])
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
-
-
 def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """A spanning forest of the links among distinct fingerprints: never more edges than fingerprints."""
-    left, a, b = fps, [], []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            near = _distances(left, x := queue.pop()) <= radius
-            found, left = left[near], left[~near]
-            a.append(np.full(len(found), x, np.uint64))
-            b.append(found)
-            queue.extend(found)
-    return a, b
+    """A shortest spanning forest of the links among distinct fingerprints (Prim): always fewer edges than fingerprints."""
+    near, link, cur, a, b = np.full(len(fps), 255, np.uint8), np.zeros(len(fps), np.int64), 0, [], []
+    left = np.ones(len(fps), bool)
+    for _ in range(len(fps) - 1):
+        left[cur] = False
+        far = np.bitwise_count(fps ^ fps[cur])
+        closer = left & (far < near)
+        near[closer], link[closer], near[cur] = far[closer], cur, 255
+        cur = int(near.argmin())
+        if near[cur] > radius:  # the tree is whole: begin another
+            cur = int(left.argmax())
+            near[cur] = 255
+        else:
+            a.append(link[cur])
+            b.append(cur)
+    return [fps[np.array(a, np.int64)]], [fps[np.array(b, np.int64)]]
 
 
 def _pairs(fps: np.ndarray, radius: int, bit: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """All links among the fingerprints of one signature; of a dense group, a spanning forest and everyone's nearest one."""
+    """All links among the fingerprints of one signature; of a dense group, a shortest spanning forest."""
     a, b, step, total = [], [], max(1, (1 << 20) // len(fps)), 0
     for at in range(0, len(fps), step):
         x = fps[at : at + step, None] ^ fps[None, :]
-        far = np.bitwise_count(x)
-        far[np.arange(len(far)), at + np.arange(len(far))] = 255
-        ok = (far <= radius) & (np.arange(len(fps)) > (at + np.arange(len(far)))[:, None])
+        ok = (np.bitwise_count(x) <= radius) & (np.arange(len(fps)) > (at + np.arange(len(x)))[:, None])
+        total += int(ok.sum())
+        if total > _DENSE * len(fps):
+            return _forest(fps, radius)
         if bit >= 0:
             ok &= ((x >> np.uint64(bit)) & np.uint64(1)).astype(bool)
         i, j = np.nonzero(ok)
-        total += len(i)
-        if total > _DENSE * len(fps):
-            break
         a.append(fps[at + i])
         b.append(fps[j])
-    if total <= _DENSE * len(fps):
-        return a, b
-    a, b = _forest(fps, radius)
-    for at in range(0, len(fps), step):
-        far = np.bitwise_count(fps[at : at + step, None] ^ fps[None, :])
-        far[np.arange(len(far)), at + np.arange(len(far))] = 255
-        j = far.argmin(axis=1)
-        ok = far[np.arange(len(far)), j] <= radius
-        a.append(fps[at : at + step][ok])
-        b.append(fps[j[ok]])
     return a, b
 
 
@@ -162,7 +151,7 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     The segments number radius // 2 + 1, so that of two fingerprints in reach one segment differs in one bit at
     most: both then share a signature, and none is missed. Rows are dealt out and sorted by signature; a task
     streams over them and holds one signature's fingerprints at a time. Signatures give every link, but for those with over
-    32 links a fingerprint or over 4,096 fingerprints: these give a spanning forest, which has the same components.
+    two links a fingerprint or over 4,096 fingerprints: these give a shortest spanning forest, with the same components.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
