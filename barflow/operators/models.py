@@ -73,7 +73,7 @@ def boosted(features: list[str], seed: int = 7, depth: int = 3, rounds: int = 20
     def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
         rows = D.early_stopping(train.where("y_up is not null"))
         trees = GBTClassifier(featuresCol="_raw", labelCol="y_up", maxDepth=depth, maxIter=rounds, stepSize=step, minInstancesPerNode=least, subsamplingRate=0.8, seed=seed, validationIndicatorCol="is_validation", validationTol=1e-4)
-        trees.setParams(probabilityCol="_p", rawPredictionCol="_z", predictionCol="_y")
+        trees.setProbabilityCol("_p").setRawPredictionCol("_z").setPredictionCol("_y")
         model = Pipeline(stages=[_vectors(features)[0], trees]).fit(rows)
         return lambda df: _score(model, df)
 

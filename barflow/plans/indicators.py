@@ -9,7 +9,7 @@ from barflow.plans.common import day, rd, sq, sqs
 from barflow.sources.bars import LINE_SQL, line_bars
 
 _W = "(PARTITION BY symbol ORDER BY ts)"
-_DIGITS = {c: 6 for c in I.FIELDS} | {c: 3 for c in ("sma_20", "ema_12", "ema_26", "macd", "macd_signal", "macd_hist", "bb_upper", "bb_middle", "bb_lower", "volume_sma_20")} | {"price_change": 2, "rsi_14": 5}
+_DIGITS = {c: 6 for c in I.FIELDS} | {c: 3 for c in ("sma_20", "ema_12", "ema_26", "macd", "macd_signal", "macd_hist", "bb_upper", "bb_middle", "bb_lower", "volume_sma_20")} | {"price_change": 2, "rsi_14": 5, "sma_20": 4, "bb_middle": 4}
 
 
 def _query(f, columns):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from barflow.operators import backtest as B, dataset as D, evaluation as E, features as X, models as M
 from barflow.plans.common import day, rd, sq, sqs
 from barflow.plans.indicators import LABELS_SQL, gapped
-from barflow.sources.bars import LINE_SQL, ORDER_SQL, order_bars
+from barflow.sources.bars import ORDER_SQL, order_bars
+from barflow.sources.session import shared_folder
 
 _TRAIN, _VALID = "1996-12-31", "1997-12-31"
 _HORIZON = 5
@@ -128,8 +129,14 @@ def bt_costs(spark, d):
     return df.select("strategy", rd("cost_bps", 1), "offset", "periods", rd("growth", 5), rd("sharpe", 5))
 
 
+def _dataset(spark, d):
+    """The complete rows, written once: fits read them many times."""
+    shared_folder(spark)
+    return D.complete(labelled(spark, d)).checkpoint()
+
+
 def _sets(spark, d):
-    df = D.complete(labelled(spark, d))
+    df = _dataset(spark, d)
     return D.purged(df, F.lit(_VALID).cast("date"), _HORIZON)
 
 
@@ -168,7 +175,7 @@ def ml_gbt(spark, d):
 
 def ml_development(spark, d):
     """Baselines on two folds, ranked by log loss against the majority."""
-    df = D.complete(labelled(spark, d)).drop("score")
+    df = _dataset(spark, d).drop("score")
     results = M.development(df, {"majority": M.majority, "random": M.random_control()}, [1996, 1997])
     return M.ranked(results)
 

@@ -273,9 +273,12 @@ def ops_calibration(spark, d):
 
 
 # -- streams -------------------------------------------------------------------------------------------------------------------
-def _stream(spark, d, schema=None):
-    """The events table as a stream of files."""
-    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet")
+def _stream(spark, d):
+    """The events table as a stream of files, in a folder of their own."""
+    folder = f"{shared_folder(spark)}/stream-in-{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    events.write.parquet(folder)
+    return spark.readStream.schema(events.schema).parquet(folder)
 
 
 def stream_rollup(spark, d):

@@ -29,14 +29,14 @@ def arrivals(spark, d):
     df = numbered(spark, d).select("symbol", "ts", "interval", "event_id", "n")
     first = df.withColumn("arrival", F.col("n") * 10 + F.when(F.col("n") % 17 == 0, 75).otherwise(0))
     twice = df.where("n % 50 = 0").withColumn("arrival", F.col("n") * 10 + 3)
-    late = df.where("n % 100 = 0").withColumn("arrival", F.col("n") * 10 + 3003)
+    late = df.where("n % 100 = 0").withColumn("arrival", F.col("n") * 10 + 3007)
     return first.unionByName(twice).unionByName(late)
 
 
 _ARRIVALS = f"""{_NUMBERED},
 ar AS (SELECT symbol, ts, interval, event_id, n, n * 10 + CASE WHEN n % 17 = 0 THEN 75 ELSE 0 END AS arrival FROM nb
        UNION ALL SELECT symbol, ts, interval, event_id, n, n * 10 + 3 FROM nb WHERE n % 50 = 0
-       UNION ALL SELECT symbol, ts, interval, event_id, n, n * 10 + 3003 FROM nb WHERE n % 100 = 0),
+       UNION ALL SELECT symbol, ts, interval, event_id, n, n * 10 + 3007 FROM nb WHERE n % 100 = 0),
 c AS (SELECT *, coalesce((interval <> lag(interval) OVER (PARTITION BY symbol ORDER BY arrival))::INT, 0) AS ch FROM ar),
 s AS (SELECT *, sum(ch) OVER (PARTITION BY symbol ORDER BY arrival) AS segment FROM c),
 m AS (SELECT *, max(ts) OVER (PARTITION BY symbol, segment ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM s),

@@ -16,10 +16,11 @@ OUTPUT = "symbol string, ts timestamp, event_id string, outcome string, close do
 _NAMES = ["return_1", "sma_20", "ema_12", "ema_26", "macd_signal", "rsi_14", "zscore"]
 
 
-def enriched(bars: DataFrame, limits: Limits = Limits(), idle_ms: int = 86_400_000) -> DataFrame:
+def enriched(bars: DataFrame, limits: Limits = Limits(), idle_ms: int | None = None) -> DataFrame:
     """``bars(symbol, ts, interval, event_id, arrival, close)`` with outcome and indicators, in order of arrival within a batch.
 
-    State is one bounded record a symbol in the state store; symbols without a row for ``idle_ms`` are forgotten.
+    State is one bounded record a symbol in the state store. With ``idle_ms``, symbols without a row for so long are forgotten;
+    such a stream never ends by itself, so leave it out with ``availableNow``.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -34,7 +35,8 @@ def enriched(bars: DataFrame, limits: Limits = Limits(), idle_ms: int = 86_400_0
             values = own.push(r.ts.timestamp(), r.event_id, r.close, limits) if outcome == "processed" else dict.fromkeys(_NAMES)
             out.append((key[0], r.ts, r.event_id, outcome, r.close, *values.values()))
         state.update((pickle.dumps(own),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["symbol", "ts", "event_id", "outcome", "close", *_NAMES]).astype({n: "float64" for n in _NAMES})
 
-    return bars.groupBy("symbol").applyInPandasWithState(step, OUTPUT, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return bars.groupBy("symbol").applyInPandasWithState(step, OUTPUT, "state binary", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
