@@ -1,25 +1,12 @@
-"""Settings that the operators read from the session."""
+"""Checkpoints in the folder that the session names."""
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from barflow.sources.session import shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only a local session without spark.checkpoint.dir gets a folder of its own."""
-    context = spark.sparkContext
-    found = context._jsc.sc().getCheckpointDir()
-    if found.isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(folder)
-        found = context._jsc.sc().getCheckpointDir()
-    return found.get()
+__all__ = ["checkpointed", "shared_folder"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
