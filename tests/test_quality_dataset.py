@@ -74,7 +74,7 @@ def test_clean_keeps_types_and_logs_removals(spark):
     df = raw()
     df.loc[5, "raw_close"] = "bad"
     rows = Q.validated(spark.createDataFrame(df), F.lit(NOW).cast("timestamp"))
-    assert Q.clean(rows).count() == 119 and len(Q.clean(rows).columns) == 13 - 1
+    assert Q.clean(rows).count() == 119 and len(Q.clean(rows).columns) == 13
     log = Q.removed(rows).collect()
     assert [(r.row, r.codes, r.reasons, r.raw_close) for r in log] == [(7, "E001", "missing_value", "bad")]
     total = [r for r in Q.report(rows).collect() if r.symbol is None][0]
