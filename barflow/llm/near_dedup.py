@@ -18,6 +18,8 @@ _LANES = np.uint64(0x0101010101010101)
 #: Fingerprints of one signature up to which pairs are looked at by lag over many signatures at once, and up to which as a matrix;
 #: beyond, or with more than so many links a fingerprint, a shortest spanning forest stands for the links.
 _RUN, _MATRIX, _DENSE = 8, 4096, 2
+#: Nodes and shingles of one block of a dense group; two blocks at a time are verified in a task.
+_BLOCK, _SHINGLES = 1024, 1 << 20
 
 
 def shingle_hashes(column: pa.Array, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -101,35 +103,41 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.nda
     return [fps[np.array(a, np.int64)]], [fps[np.array(b, np.int64)]]
 
 
-def _pairs(fps: np.ndarray, radius: int, bit: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """All links among the fingerprints of one signature; of a dense group, a shortest spanning forest."""
+def _pairs(fps: np.ndarray, radius: int, bit: int) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+    """All links among the fingerprints of one signature; of a dense group, a shortest spanning forest; and which it is."""
     a, b, step, total = [], [], max(1, (1 << 20) // len(fps)), 0
     for at in range(0, len(fps), step):
         x = fps[at : at + step, None] ^ fps[None, :]
         ok = (np.bitwise_count(x) <= radius) & (np.arange(len(fps)) > (at + np.arange(len(x)))[:, None])
         total += int(ok.sum())
         if total > _DENSE * len(fps):
-            return _forest(fps, radius)
+            return *_forest(fps, radius), True
         if bit >= 0:
             ok &= ((x >> np.uint64(bit)) & np.uint64(1)).astype(bool)
         i, j = np.nonzero(ok)
         a.append(fps[at + i])
         b.append(fps[j])
-    return a, b
+    return a, b, False
 
 
 def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the fingerprints of equal keys (sorted by key). Of a wildcard's group, only pairs that differ there:
     the others meet in the group of the whole segment."""
+    return marked(keys, fps, radius, _MATRIX)[:2]
+
+
+def marked(keys: np.ndarray, fps: np.ndarray, radius: int, matrix: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and of each link whether it is of a forest. A group of over ``matrix`` fingerprints gives one whatever its links."""
     cut = np.flatnonzero(np.diff(keys)) + 1
     starts = np.concatenate([[0], cut]) if len(keys) else cut
     sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-    out_a, out_b, wild = [], [], wildcards(radius)
+    out_a, out_b, dense, wild = [], [], [], wildcards(radius)
     for start, size in zip(starts[sizes > _RUN].tolist(), sizes[sizes > _RUN].tolist()):
         own = np.unique(fps[start : start + size])
-        a, b = _forest(own, radius) if size > _MATRIX else _pairs(own, radius, int(wild[int(keys[start]) >> 40]))
+        a, b, tree = (*_forest(own, radius), True) if size > matrix else _pairs(own, radius, int(wild[int(keys[start]) >> 40]))
         out_a += a
         out_b += b
+        dense += [np.full(len(x), tree) for x in a]
     small = np.repeat(sizes <= _RUN, sizes)
     keys, fps = keys[small], fps[small]
     wild = wild[(keys >> np.uint64(40)).astype(np.int64)]
@@ -142,16 +150,20 @@ def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
         at = at[(np.bitwise_count(x) <= radius) & ((bit < 0) | ((x >> np.maximum(bit, 0).astype(np.uint64)) & np.uint64(1)).astype(bool))]
         out_a.append(fps[at])
         out_b.append(fps[at + lag])
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (fps[:0], fps[:0])
+        dense.append(np.zeros(len(at), bool))
+    return (np.concatenate(out_a), np.concatenate(out_b), np.concatenate(dense)) if out_a else (fps[:0], fps[:0], np.zeros(0, bool))
 
 
-def links(distinct: DataFrame, radius: int) -> DataFrame:
+def links(distinct: DataFrame, radius: int, mark: bool = False) -> DataFrame:
     """Links (a, b) among distinct fingerprints ``fp`` at ``radius`` or fewer differing bits.
 
     The segments number radius // 2 + 1, so that of two fingerprints in reach one segment differs in one bit at
     most: both then share a signature, and none is missed. Rows are dealt out and sorted by signature; a task
     streams over them and holds one signature's fingerprints at a time. Signatures give every link, but for those with over
     two links a fingerprint or over 4,096 fingerprints: these give a shortest spanning forest, with the same components.
+
+    With ``mark`` only the former give a forest, and its links are marked in a column ``dense``: of two fingerprints in
+    reach, either the link is there or links marked dense join them.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +175,13 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(keys: list[np.ndarray], fps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            a, b = linked(np.concatenate(keys), np.concatenate(fps), radius)
-            if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            a, b, dense = marked(np.concatenate(keys), np.concatenate(fps), radius, np.inf if mark else _MATRIX)
+            for flag in (False, True) if mark else (None,):
+                own = slice(None) if flag is None else dense == flag
+                pairs = np.unique(np.stack([np.minimum(a[own], b[own]), np.maximum(a[own], b[own])]), axis=1).view(np.int64)
+                if pairs.size:
+                    columns = [pa.array(pairs[0]), pa.array(pairs[1]), *([] if flag is None else [pa.array(np.full(pairs.shape[1], flag))])]
+                    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "dense"][: len(columns)])
 
         keys: list[np.ndarray] = []
         fps: list[np.ndarray] = []
@@ -185,13 +200,101 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
             yield from out(keys, fps)
 
     dealt = distinct.select("fp").mapInArrow(deal, "key long, fp long")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    schema = "a long, b long, dense boolean" if mark else "a long, b long"
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, schema).distinct()
 
 
-def verified(edges: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The edges whose representatives' sets of word shingles have a Jaccard similarity of ``similarity`` or more."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    chosen = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(ends, "fp")
+def _verified_forest(fps: np.ndarray, side: np.ndarray, sets: pa.Array, radius: int, similarity: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links among the rows of different sides (or of one, if there is but one), as row numbers.
+
+    A link is a pair at ``radius`` or fewer differing bits whose sets reach the Jaccard similarity. Pairs that links already
+    join aren't looked at.
+    """
+    sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, label, two = np.cumsum(sizes), np.arange(len(fps)), side.min() != side.max()
+    items = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+    held, a, b = np.zeros(int(items.max(initial=-1)) + 1, bool), [], []
+    own = [items[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+    for x in range(len(fps) - 1):
+        ok = (np.bitwise_count(fps[x + 1 :] ^ fps[x]) <= radius) & (label[x + 1 :] != label[x])
+        ok &= np.minimum(sizes[x + 1 :], sizes[x]) >= similarity * np.maximum(sizes[x + 1 :], sizes[x])
+        if two:
+            ok &= side[x + 1 :] != side[x]
+        others = np.flatnonzero(ok) + x + 1
+        if not len(others):
+            continue
+        held[own[x]] = True
+        both = T.segment_sums(held[np.concatenate([own[y] for y in others.tolist()])].astype(np.int64), sizes[others])
+        held[own[x]] = False
+        for y in others[both >= similarity * (sizes[x] + sizes[others] - both)].tolist():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                a.append(x)
+                b.append(y)
+    return a, b
+
+
+def verified(asked: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b) of verified links, enough to join all that they join. ``asked`` has (root, i, j, side, node, fp, set): rows of
+    equal root, i and j are compared, those of side 0 with those of side 1, or all of them if they are of one side."""
+    names = ["root", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+        def close(parts: list[pa.RecordBatch]) -> None:
+            column = lambda name: pa.concat_arrays([p.column(name) for p in parts])
+            node, fps = column("node").to_numpy(), column("fp").to_numpy().view(np.uint64)
+            a, b = _verified_forest(fps, column("side").to_numpy(), column("set"), radius, similarity) if len(node) > 1 else ([], [])
+            if a:
+                out[0].append(node[a])
+                out[1].append(node[b])
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in names])
+            bounds = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)] if len(batch) else []
+            for start, end in zip(bounds, bounds[1:]):
+                key = keys[:, start].tolist()
+                if held and key != last:
+                    close(held)
+                    held = []
+                last = key
+                held.append(batch.slice(start, end - start))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b"])
+                out = ([], [])
+        if held:
+            close(held)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b"])
+
+    return asked.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long").distinct()
+
+
+def comparisons(nodes: DataFrame, radius: int) -> DataFrame:
+    """(root, i, j, side, node, fp): which of the ``nodes`` (node, fp, n shingles) :func:`verified` must compare.
+
+    Each link of a sparse signature is a group of its own. What dense signatures join is cut into blocks of about 1,024
+    nodes or 2^20 shingles, and every two blocks are a group: all pairs in reach are there, whatever their number, and
+    a task holds two blocks.
+    """
+    edges = checkpointed(links(nodes.select("fp").distinct(), radius, mark=True))
+    roots = connected_components(edges.where("dense").select("a", "b"))
+    dense = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").select("node", "fp", "n", "root")
+    blocks = dense.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / _BLOCK, F.sum("n") / _SHINGLES, F.lit(1))).cast("long").alias("k"))
+    own = F.pmod(F.xxhash64("node"), "k")
+    dealt = dense.join(blocks, "root").select("root", "node", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "fp")
+    alone = edges.where("not dense")
+    ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(end).alias("fp")) for side, end in enumerate("ab")])).alias("e")
+    alone = alone.select(F.col("a").alias("root"), F.lit(-1).cast("long").alias("i"), F.col("b").alias("j"), ends).select("root", "i", "j", "e.side", "e.fp")
+    return dealt.unionByName(alone.join(nodes.select("node", "fp"), "fp"))
+
+
+def shingle_sets(docs: DataFrame, chosen: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, set of shingle hashes) of the nodes ``chosen`` (node, doc_id)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +302,9 @@ def verified(edges: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, si
             for part in T.slices(batch, "text"):
                 hashes, counts = shingle_hashes(part.column("text"), shingle)
                 sets = [np.unique(x).view(np.int64) for x in np.split(hashes, np.cumsum(counts)[:-1])]
-                yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    sets = texts.join(chosen, "doc_id").mapInArrow(run, "fp long, set array<long>").dropDuplicates(["fp"])
-    pairs = edges.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return texts.join(chosen, "doc_id").select("node", "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,9 +320,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, similari
     """
     fps = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = links(distinct, radius)
-    if similarity is not None:
-        edges = verified(checkpointed(edges), fps, docs, shingle, similarity, id_col, text_col)
+    if similarity is None:
+        edges = links(distinct, radius)
+    else:
+        asked = checkpointed(comparisons(distinct.select(F.col("fp").alias("node"), "fp", F.lit(0).alias("n")), radius))
+        chosen = distinct.where("least is not null").select(F.col("fp").alias("node"), F.col("least").alias("doc_id")).join(asked.select("node").distinct(), "node")
+        edges = verified(asked.join(shingle_sets(docs, chosen, shingle, id_col, text_col), "node"), radius, similarity)
     roots = connected_components(edges)
     named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")

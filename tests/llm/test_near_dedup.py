@@ -88,3 +88,26 @@ def test_components_of_a_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(7, 7), (100, 101), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in connected_components(df).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+
+
+def jaccard_components(texts, radius, n, similarity):
+    fps = {d: fingerprint(t, n) for d, t in texts.items()}
+    sets = {d: {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for d, t in texts.items() for w in [t.split()]}
+    near = lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+    return fps, components(texts, [(a, b) for a in texts for b in texts if a < b and (fps[a] ^ fps[b]).bit_count() <= radius and near(a, b)])
+
+
+def test_links_of_a_dense_family_are_all_verified(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{i}" for i in range(60)], {}
+    for i in range(120):
+        words = list(base)
+        for at in rng.choice(60, int(rng.integers(1, 4)), replace=False):
+            words[at] = f"v{rng.integers(3)}"
+        texts[i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    fps, expected = jaccard_components(texts, 20, 5, 0.8)
+    assert 10 < len(set(expected.values())) < 110
+    for block in (1024, 16):  # in one block, and in pairs of blocks
+        monkeypatch.setattr(N, "_BLOCK", block)
+        assert {r.doc_id: r.component_id for r in N.near_duplicates(df, 20, 5, 0.8).collect()} == expected
