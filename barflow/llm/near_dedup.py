@@ -48,6 +48,12 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """XXH64 of each text's shingle hashes in order: equal for texts of the same lowered words alone, but for collisions."""
+    ends, buffer = np.cumsum(counts) * 8, hashes.tobytes()
+    return np.fromiter((xxhash.xxh64_intdigest(buffer[a:b]) for a, b in zip((ends - counts * 8).tolist(), ends.tolist())), np.uint64, len(counts)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long) of every row; a text without words has fingerprint 0."""
 
@@ -60,6 +66,19 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def identified(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, fp, n) of every row: the hash of its text's words, its fingerprint and its number of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, "text"):
+                hashes, counts = shingle_hashes(part.column("text"), shingle)
+                columns = [pa.array(text_hashes(hashes, counts)), pa.array(majority_bits(hashes, counts).view(np.int64)), pa.array(counts.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "node", "fp", "n"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, node long, fp long, n long")
+
+
 def segments(radius: int) -> list[tuple[int, int]]:
     """(first bit, width) of the fewest segments of which one always differs by one bit at most."""
     n = radius // 2 + 1
@@ -276,13 +295,20 @@ def verified(asked: DataFrame, radius: int, similarity: float) -> DataFrame:
 def comparisons(nodes: DataFrame, radius: int) -> DataFrame:
     """(root, i, j, side, node, fp): which of the ``nodes`` (node, fp, n shingles) :func:`verified` must compare.
 
-    Each link of a sparse signature is a group of its own. What dense signatures join is cut into blocks of about 1,024
-    nodes or 2^20 shingles, and every two blocks are a group: all pairs in reach are there, whatever their number, and
-    a task holds two blocks.
+    A link of a sparse signature between fingerprints of one text each is a group of its own. What dense signatures join,
+    and fingerprints of several texts with what is linked to them, is cut into blocks of about 1,024 nodes or 2^20
+    shingles, and every two blocks are a group: all pairs in reach are there, whatever their number, and a task holds
+    two blocks.
     """
-    edges = checkpointed(links(nodes.select("fp").distinct(), radius, mark=True))
-    roots = connected_components(edges.where("dense").select("a", "b"))
-    dense = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").select("node", "fp", "n", "root")
+    fps = checkpointed(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("texts")))
+    edges = links(fps, radius, mark=True)
+    many = fps.where("texts > 1").select("fp")
+    for end in "ab":
+        edges = edges.join(many.select(F.col("fp").alias(end), F.lit(True).alias(f"many_{end}")), end, "left")
+    edges = checkpointed(edges.select("a", "b", (F.col("dense") | F.col("many_a").isNotNull() | F.col("many_b").isNotNull()).alias("dense")))
+    roots = connected_components(edges.where("dense").select("a", "b")).withColumnRenamed("node", "fp")
+    roots = roots.unionByName(many.join(roots, "fp", "left_anti").select("fp", F.col("fp").alias("root")))
+    dense = nodes.join(roots, "fp").select("node", "fp", "n", "root")
     blocks = dense.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / _BLOCK, F.sum("n") / _SHINGLES, F.lit(1))).cast("long").alias("k"))
     own = F.pmod(F.xxhash64("node"), "k")
     dealt = dense.join(blocks, "root").select("root", "node", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
@@ -294,42 +320,50 @@ def comparisons(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, chosen: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, set of shingle hashes) of the nodes ``chosen`` (node, doc_id)."""
+    """(node, set of shingle hashes) of the nodes ``chosen`` (node, doc_id), and of all texts without an id."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
                 hashes, counts = shingle_hashes(part.column("text"), shingle)
+                node = text_hashes(hashes, counts)
                 sets = [np.unique(x).view(np.int64) for x in np.split(hashes, np.cumsum(counts)[:-1])]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+                out = pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+                # rows of one doc_id may differ in their text: only the chosen one's set is meant
+                yield out.filter(pa.array([c is None or c == n for c, n in zip(part.column("chosen").to_pylist(), node.tolist())], pa.bool_()))
 
-    return texts.join(chosen, "doc_id").select("node", "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+    named = texts.join(chosen.withColumnRenamed("node", "chosen"), "doc_id").select("chosen", "text")
+    nameless = texts.where("doc_id is null").select(F.lit(None).cast("long").alias("chosen"), "text")
+    return named.unionByName(nameless).mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``.
 
-    Fingerprints at ``radius`` or fewer differing bits are linked; with ``similarity``, only if the Jaccard
-    similarity of the two texts' word shingles reaches it. Copies share a fingerprint, so links are sought among
-    distinct fingerprints and a group of copies costs one row. component_id is the smallest doc_id reachable.
+    Fingerprints at ``radius`` or fewer differing bits are linked. Copies share a fingerprint, so links are sought among
+    distinct fingerprints and a group of copies costs one row. With ``similarity``, distinct texts (by their lowered words)
+    are linked, if the Jaccard similarity of their word shingles reaches it too, whether their fingerprints differ or not.
+    component_id is the smallest doc_id reachable.
 
     Null and empty texts have fingerprint 0 and are linked like any other; a null doc_id gets its group's
     component_id and is never one; repeated rows give repeated rows; an empty table gives none; other columns
     of ``docs`` are not read.
     """
-    fps = checkpointed(fingerprints(docs, shingle, id_col, text_col))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     if similarity is None:
-        edges = links(distinct, radius)
+        rows = checkpointed(fingerprints(docs, shingle, id_col, text_col).select("doc_id", F.col("fp").alias("node"), "fp"))
+        nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+        edges = links(nodes.select(F.col("node").alias("fp")), radius)
     else:
-        asked = checkpointed(comparisons(distinct.select(F.col("fp").alias("node"), "fp", F.lit(0).alias("n")), radius))
-        chosen = distinct.where("least is not null").select(F.col("fp").alias("node"), F.col("least").alias("doc_id")).join(asked.select("node").distinct(), "node")
+        rows = checkpointed(identified(docs, shingle, id_col, text_col))
+        nodes = checkpointed(rows.groupBy("node", "fp", "n").agg(F.min("doc_id").alias("least")))
+        asked = checkpointed(comparisons(nodes.select("node", "fp", "n"), radius))
+        chosen = nodes.where("least is not null").select("node", F.col("least").alias("doc_id")).join(asked.select("node").distinct(), "node")
         edges = verified(asked.join(shingle_sets(docs, chosen, shingle, id_col, text_col), "node"), radius, similarity)
     roots = connected_components(edges)
-    named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return rows.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,15 @@ def test_links_of_a_dense_family_are_all_verified(spark, monkeypatch):
     for block in (1024, 16):  # in one block, and in pairs of blocks
         monkeypatch.setattr(N, "_BLOCK", block)
         assert {r.doc_id: r.component_id for r in N.near_duplicates(df, 20, 5, 0.8).collect()} == expected
+
+
+def test_equal_fingerprints_are_verified_too(spark):
+    line, texts = " ".join(f"line{i}" for i in range(11)), {}
+    for i in range(8):
+        texts[i] = " ".join([line] * 40 + [f"own{i}x{k}" for k in range(60)])
+    texts[8], texts[9] = texts[3].replace("own3x59", "other"), texts[5].upper()
+    df = spark.createDataFrame([*texts.items(), (5, "another text of the same id"), (None, texts[2].replace("own2x59", "nameless"))], "doc_id long, text string")
+    fps, expected = jaccard_components({d: t.lower() for d, t in texts.items()}, 11, 5, 0.8)
+    assert len(set(fps.values())) < 4 and len(set(expected.values())) == 8
+    got = N.near_duplicates(df, 11, 5, 0.8).where("doc_id is null or doc_id != 5").collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(d, c) for d, c in expected.items() if d != 5} | {(None, 2)}
