@@ -17,8 +17,12 @@ KINDS = {
     "slash_date": r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])",
     "dot_date": r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9]|\.[0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+#: A run of digit groups one space or hyphen apart, with 13 digits or more up to where a value of another kind begins; cards are
+#: sought in it group by group. All quantifiers are possessive: long runs take no stack.
+KINDS["card"] = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{'|'.join(KINDS.values())})[0-9]++)*+"
+#: The groupings that cards are written in.
+_GROUPED = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
 PATTERN = "|".join(KINDS.values())
 
 
@@ -179,15 +183,56 @@ def _iso_date(x: Column, key: str) -> Column:
     return F.date_format(_year_first(*_parts(x, "-"), key), "yyyy-MM-dd")
 
 
-_PSEUDONYM = {"email": _email, "phone": _phone, "ssn": _ssn, "iso_date": _iso_date, "slash_date": _slash_date, "dot_date": _dot_date, "ip": _ip, "card": _card}
+def _cards(x: Column, key: str) -> Column:
+    """A run of digit groups with each card in it replaced: struct(value, n cards), or null if there is none.
+
+    From left to right, the longest window of whole groups that is grouped as cards are and passes the Luhn check. If there
+    is none, the run's first groups of up to 19 digits, whatever their grouping.
+    """
+
+    def found(t: Column, lengths: Callable[[Column], Column], starts: Column, grouped: bool) -> Column:
+        def at(i: Column) -> Column:
+            window = lambda n: F.struct(i.alias("i"), n.alias("n"), F.rtrim(F.regexp_replace(F.array_join(F.slice(t, i + 1, n), ""), "-$", "")).alias("raw"))
+            right = lambda w: (w["raw"].rlike(_GROUPED) if grouped else F.length(_digits(w["raw"])).between(13, 19)) & F.call_function("luhn_check", _digits(w["raw"]))
+            return F.slice(F.filter(F.transform(F.filter(lengths(i), lambda n: i + n <= F.size(t)), window), right), 1, 1)
+
+        return F.flatten(F.transform(starts, at))
+
+    def longest(t: Column) -> Column:
+        fits = lambda n: F.length(_digits(F.array_join(F.slice(t, F.lit(1), n), ""))) <= 19
+        return F.slice(F.reverse(F.filter(F.sequence(F.lit(1), F.lit(19)), lambda n: (n <= F.size(t)) & fits(n))), 1, 1)
+
+    def replaced(t: Column, cards: Column) -> Column:
+        def turn(s: Column, c: Column) -> Column:
+            end = c["i"] + c["n"]
+            between = F.regexp_extract(F.element_at(t, end), "[ -]?$", 0)
+            out = F.concat(s["value"], F.array_join(F.slice(t, s["at"] + 1, c["i"] - s["at"]), ""), _card(c["raw"], key), between)
+            new = F.struct(end.alias("at"), out.alias("value"), (s["n"] + 1).alias("n"))
+            return F.when(c["i"] >= s["at"], new).otherwise(s)
+
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("value"), F.lit(0).alias("n"))
+        rest = lambda s: F.struct(F.concat(s["value"], F.array_join(F.slice(t, s["at"] + 1, F.size(t) - s["at"]), "")).alias("value"), s["n"].alias("n"))
+        return F.when(F.size(cards) > 0, F.aggregate(cards, start, turn, rest))
+
+    def run(t: Column) -> Column:
+        usual = found(t, lambda i: F.array(*[F.lit(n) for n in (5, 4, 3, 1)]), F.sequence(F.lit(0), F.size(t) - 1), True)
+        loose = found(t, lambda i: longest(t), F.array(F.lit(0)), False)
+        return _with(usual, lambda u: replaced(t, F.when(F.size(u) > 0, u).otherwise(loose)))
+
+    return _with(F.regexp_extract_all(x, F.lit("[0-9]+[ -]?"), F.lit(0)), run)
+
+
+_PSEUDONYM = {"email": _email, "phone": _phone, "ssn": _ssn, "iso_date": _iso_date, "slash_date": _slash_date, "dot_date": _dot_date, "ip": _ip}
 
 
 def pseudonym(x: Column, key: str = KEY) -> Column:
-    """Struct(kind, value) of a match of ``PATTERN``: its pseudonym, or null if it isn't a valid value of its kind."""
-    out = F.lit(None).cast("struct<kind:string,value:string>")
+    """Struct(kind, value, n) of a match of ``PATTERN``: its pseudonym and the number of values in it (a run of digit groups may
+    hold several cards), or null if there is no valid value of its kind."""
+    out = F.lit(None).cast("struct<kind:string,value:string,n:int>")
     for kind, pattern in reversed(KINDS.items()):
         bare = pattern[pattern.index(")") + 1 :] if pattern.startswith("(?<!") else pattern
-        named = _with(_PSEUDONYM[kind](x, key), lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value"))))  # noqa: B023
+        found = _cards(x, key) if kind == "card" else _with(_PSEUDONYM[kind](x, key), lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(1).alias("n"))))
+        named = _with(found, lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v["value"].alias("value"), v["n"].alias("n"))))  # noqa: B023
         out = F.when(x.rlike(f"^(?:{bare})$"), named).otherwise(out)
     return out
 
@@ -206,7 +251,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Da
     hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     rows = docs.withColumn("_hits", hits).withColumn("_new", F.transform("_hits", lambda h: pseudonym(h, key)))
     pieces = F.transform(F.split(text, PATTERN, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get("_new", i)["value"], F.get("_hits", i), F.lit(""))))
-    kinds = F.coalesce(F.filter(F.transform("_new", lambda p: p["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    kinds = F.coalesce(F.flatten(F.transform(F.filter("_new", lambda p: p.isNotNull()), lambda p: F.array_repeat(p["kind"], p["n"]))), F.array().cast("array<string>"))
     # a text without a valid value stays as it is, byte for byte
     return rows.withColumn("_kinds", kinds).withColumn(text_col, F.when(F.size("_kinds") > 0, F.array_join(pieces, "")).otherwise(text)).drop("_hits", "_new")
 

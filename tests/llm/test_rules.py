@@ -47,6 +47,27 @@ def test_invalid_values_stay(spark):
     assert out.text == text and out._kinds == []
 
 
+CARD = "4111 1111 1111 1111"
+BESIDE = {  # text: the values that must go, and their kinds; the rest must stay
+    "Order 1001 415-555-2671": [("phone", "415-555-2671")], "12 123-45-6789 1234": [("ssn", "123-45-6789")], "77 2020-01-15 123": [("iso_date", "2020-01-15")],
+    f"5 {CARD}": [("card", CARD)], f"12 {CARD.replace(' ', '')}": [("card", CARD.replace(" ", ""))], f"1001 {CARD} 2027": [("card", CARD)], f"{CARD} 1234 {CARD}": [("card", CARD)] * 2,
+    "12 1234 5678 25/12/1999": [("slash_date", "25/12/1999")], "1234 5678 9012 10.0.0.1": [("ip", "10.0.0.1")], "1234 5678 9012 34 12bob@x.org": [("email", "12bob@x.org")],
+    "7-3782 822463 10005-": [("card", "3782 822463 10005")], "411-1111111-111111": [("card", "411-1111111-111111")], " ".join(["12345"] * 20_000): [],
+}
+
+
+def test_values_beside_numbers_are_found(spark):
+    df = spark.createDataFrame([(t,) for t in BESIDE], "old string").withColumn("text", F.col("old"))
+    for r in P.pseudonymised(df).collect():
+        assert r._kinds == [k for k, _ in BESIDE[r.old]], (r.old[:50], r.text[:50])
+        rest, values = r.old, [v for _, v in BESIDE[r.old]]
+        for v in values:
+            rest = rest.replace(v, "\0")
+        pieces = rest.split("\0")
+        assert all(v not in r.text for v in values) and len(r.text) == len(r.old) or values[0].count(".") == 3
+        assert re.fullmatch(".+".join(map(re.escape, pieces)), r.text), (r.old, r.text)
+
+
 @pytest.mark.parametrize("a,b", [(7, 7), (250, 292), (5, 10), (3, 41)])
 def test_feistel_is_a_permutation(spark, a, b):
     df = spark.range(a * b).select(P.feistel(F.floor(F.col("id") / b), F.col("id") % b, a, b, "key", "test").alias("s"))
