@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barflow.llm import text as T
 from barflow.llm.sampling import remainder, sampled_ids
+from barflow.llm.session import bounded
 
 #: Hash buckets (a power of two), width of the embeddings, byte lengths of subwords, and the fit's parameters.
 BUCKET_BITS, WIDTH, LENGTHS = 15, 8, (2, 3, 4)
@@ -113,7 +114,7 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 def train(ids: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_classes: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(table, bias) by stochastic gradient descent over texts given as distinct subword buckets and their shares of the text."""
     rng = np.random.default_rng(seed)
-    embed = rng.normal(0, 0.05, (1 << BUCKET_BITS, WIDTH))
+    embed = np.asfortranarray(rng.normal(0, 0.05, (1 << BUCKET_BITS, WIDTH)))
     out, bias = rng.normal(0, 0.3, (WIDTH, n_classes)), np.zeros(n_classes)
     steps, step = EPOCHS * -(-len(ids) // BATCH), 0
     for _ in range(EPOCHS):
@@ -124,14 +125,14 @@ def train(ids: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_classe
             step += 1
             counts = np.array([len(ids[i][0]) for i in chosen])
             flat, shares = (np.concatenate([ids[i][k] for i in chosen]) for k in (0, 1))
-            mean = T.segment_sums(embed[flat] * shares[:, None], counts)
+            mean = np.stack([T.segment_sums(embed[:, j][flat] * shares, counts) for j in range(WIDTH)], axis=1)
             error = _softmax(mean @ out + bias)
             error[np.arange(len(chosen)), labels[chosen]] -= 1
-            back = np.repeat(error @ out.T, counts, axis=0) * shares[:, None]
+            back = error @ out.T
             out -= rate * (mean.T @ error) / len(chosen)
             bias -= rate * error.mean(axis=0) * 0.1
             for j in range(WIDTH):  # the mean makes a single bucket's share tiny: its rate is not divided by the batch
-                embed[:, j] -= rate * np.bincount(flat, back[:, j], len(embed))
+                embed[:, j] -= rate * np.bincount(flat, np.repeat(back[:, j], counts) * shares, len(embed))
     return np.asfortranarray(embed @ out, np.float32), bias
 
 
@@ -153,14 +154,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 lists = [pa.array([x.astype(np.int16) for x in ids], pa.list_(pa.int16())), pa.array([x.astype(np.float32) / max(x.sum(), 1) for x in times], pa.list_(pa.float32()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *lists], ["doc_id", "label", "ids", "shares"])
 
-    sample = rows.drop("label").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"])
+    sample = rows.drop("label").join(bounded(chosen), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"])
     kind = dict(rows.dtypes)["doc_id"]
     found = sample.mapInArrow(run, f"doc_id {kind}, label string, ids array<smallint>, shares array<float>").where("size(ids) > 0").toArrow().sort_by("doc_id")
     if not found.num_rows:
         return LanguageModel()
     languages = sorted(set(found.column("label").to_pylist()))
     labels = np.searchsorted(languages, found.column("label").to_pylist())
-    ids = [(np.asarray(i.values).astype(np.int64), np.asarray(x.values).astype(float)) for i, x in zip(found.column("ids"), found.column("shares"))]
+    ids = [(np.asarray(i.values), np.asarray(x.values)) for i, x in zip(found.column("ids"), found.column("shares"))]
     order = np.random.default_rng(seed).permutation(len(ids))
     hold = order[: len(ids) // 5] if len(ids) >= 10 else order
     learn = order[len(ids) // 5 :] if len(ids) >= 10 else order

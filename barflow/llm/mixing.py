@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from barflow.llm.session import checkpointed
+from barflow.llm.session import checkpointed, fresh
 
 #: Rows that one node of the reduction tree folds, about.
 FANOUT = 128
@@ -154,18 +154,27 @@ def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("*", nth).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (share * F.col("size")).alias("taken"), "source", share.alias("copies"))
 
 
-def repeated(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 0) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with the number of the copy in ``copy``."""
-    plan = mixed(docs, weights, most, seed).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("rows").alias("_rows"), F.col("copies").alias("_copies"))
-    own = docs.withColumn("_n", n_words(F.col("text")))
-    match = own["doc_id"].eqNullSafe(plan["_id"]) & own["source"].eqNullSafe(plan["_source"]) & (own["_n"] == plan["_size"])
-    found = own.join(plan, match)
-    once = found.where("_rows = 1").withColumn("_share", F.col("_copies"))
-    order = Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text"))
-    more = found.where("_rows > 1").withColumn("_nth", F.row_number().over(order) - 1)
-    more = more.withColumn("_share", F.expr("_copies div _rows") + (F.col("_nth") < F.col("_copies") % F.col("_rows")).cast("long")).drop("_nth")
-    return once.unionByName(more).where("_share > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_share")))).drop("_id", "_source", "_size", "_rows", "_copies", "_share", "_n")
+def repeated(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 0, copy_col: str = "copy") -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, with the number of the copy in ``copy_col``.
+
+    Rows that share doc_id, source and size take turns at their entry's copies, by a hash of the text. Null ids, sources and
+    texts are values like any other; a text of no words is taken by chance at its source's rate; an empty table gives no
+    rows. All columns stay, but for one named ``copy_col``, which is replaced.
+    """
+    columns = [c for c in docs.columns if c.lower() != copy_col.lower()]
+    own, rows, taken, nth, share = fresh([*columns, copy_col], "own", "rows", "taken", "nth", "share")
+    plan = mixed(docs.select("doc_id", "source", "text"), weights, most, seed).where("copies > 0")
+    plan = plan.select(F.struct("doc_id", "source", "size").alias("entry"), F.col("rows").alias(rows), F.col("copies").alias(taken))
+    # the entry as one struct: null fields compare as equal, and no column of docs can clash
+    keyed = docs.select(*columns, F.struct("doc_id", "source", n_words(F.col("text")).alias("size")).alias(own))
+    found = keyed.join(plan, keyed[own] == plan["entry"]).drop("entry")
+    once = found.where(F.col(rows) == 1).withColumn(share, F.col(taken))
+    order = Window.partitionBy(own).orderBy(F.xxhash64("text"))
+    more = found.where(F.col(rows) > 1).withColumn(nth, F.row_number().over(order) - 1)
+    turn = F.floor(F.col(taken) / F.col(rows)) + (F.col(nth) < F.col(taken) % F.col(rows)).cast("long")
+    more = more.withColumn(share, turn.cast("long")).drop(nth)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(share))).alias(copy_col)
+    return once.unionByName(more).where(F.col(share) > 0).select(*columns, copies)
 
 
 QUERIES = {"op2_pivotal_mixing": op2_pivotal_mixing}

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barflow.llm import text as T
 from barflow.llm.components import connected_components
-from barflow.llm.session import checkpointed
+from barflow.llm.session import checkpointed, fresh
 
 BITS = 64
 _LANES = np.uint64(0x0101010101010101)
 #: Fingerprints of one signature up to which pairs are looked at by lag over many signatures at once, and up to which as a matrix;
-#: beyond, or with more than so many links a fingerprint, a shortest spanning forest stands for the links.
+#: with more than so many links a fingerprint, a spanning forest stands for the links.
 _RUN, _MATRIX, _DENSE = 8, 4096, 2
+#: Independent fingerprints of a text where links are verified: the more, the fewer similar texts lie far apart in all of them.
+PRINTS = 2
 #: Nodes and shingles of one block of a dense group; two blocks at a time are verified in a task.
 _BLOCK, _SHINGLES = 1024, 1 << 20
 
@@ -54,29 +56,22 @@ def text_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(buffer[a:b]) for a, b in zip((ends - counts * 8).tolist(), ends.tolist())), np.uint64, len(counts)).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) of every row; a text without words has fingerprint 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in T.slices(batch, "text"):
-                fp = majority_bits(*shingle_hashes(part.column("text"), shingle))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
-
-
-def identified(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, fp, n) of every row: the hash of its text's words, its fingerprint and its number of shingles."""
+def identified(docs: DataFrame, shingle: int, id_col: str, text_col: str, prints: int = 1) -> DataFrame:
+    """(doc_id, exact, node, fps, n) of every row: a hash of id and text, one of its lowered words in order, its fingerprints and its
+    number of shingles. The first fingerprint is of the shingles' own hashes, each other one of a bijection of these; a text
+    without words has fingerprints 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
                 hashes, counts = shingle_hashes(part.column("text"), shingle)
-                columns = [pa.array(text_hashes(hashes, counts)), pa.array(majority_bits(hashes, counts).view(np.int64)), pa.array(counts.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "node", "fp", "n"])
+                found = [majority_bits(T.mix(hashes + np.uint64(k)) if k else hashes, counts).view(np.int64) for k in range(prints)]
+                fps = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(found, axis=1).ravel()), prints).cast(pa.list_(pa.int64()))
+                columns = [pa.array(text_hashes(hashes, counts)), fps, pa.array(counts.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("exact"), *columns], ["doc_id", "exact", "node", "fps", "n"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, node long, fp long, n long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("exact"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, exact long, node long, fps array<long>, n long")
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -86,6 +81,10 @@ def segments(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+#: A key holds the print's number, that of the variant, and the rest of the segment from these bits on.
+_PRINT, _VARIANT = np.uint64(56), np.uint64(40)
+
+
 def signatures(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Every segment as it is and with each of its bits left out: (key, index of the fingerprint)."""
     keys, variant = [], 0
@@ -93,7 +92,7 @@ def signatures(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         part = (fps >> np.uint64(start)) & np.uint64((1 << width) - 1)
         for bit in range(-1, width):
             rest = part if bit < 0 else part & np.uint64(((1 << width) - 1) ^ (1 << bit))
-            keys.append(rest | np.uint64(variant << 40))
+            keys.append(rest | np.uint64(variant) << _VARIANT)
             variant += 1
     return np.concatenate(keys), np.tile(np.arange(len(fps)), variant)
 
@@ -104,26 +103,24 @@ def wildcards(radius: int) -> np.ndarray:
 
 
 def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """A shortest spanning forest of the links among distinct fingerprints (Prim): always fewer edges than fingerprints."""
-    near, link, cur, a, b = np.full(len(fps), 255, np.uint8), np.zeros(len(fps), np.int64), 0, [], []
-    left = np.ones(len(fps), bool)
-    for _ in range(len(fps) - 1):
-        left[cur] = False
-        far = np.bitwise_count(fps ^ fps[cur])
-        closer = left & (far < near)
-        near[closer], link[closer], near[cur] = far[closer], cur, 255
-        cur = int(near.argmin())
-        if near[cur] > radius:  # the tree is whole: begin another
-            cur = int(left.argmax())
-            near[cur] = 255
-        else:
-            a.append(link[cur])
-            b.append(cur)
-    return [fps[np.array(a, np.int64)]], [fps[np.array(b, np.int64)]]
+    """A spanning forest of the links among distinct fingerprints, breadth first: what is reached is looked at no more, so that a
+    dense group takes few rounds over few fingerprints."""
+    left, a, b = fps, [], []
+    while len(left) > 1:
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            x = todo.pop()
+            near = np.bitwise_count(left ^ x) <= radius
+            if near.any():
+                found, left = left[near], left[~near]
+                todo += list(found)
+                a.append(np.full(len(found), x))
+                b.append(found)
+    return a, b
 
 
 def _pairs(fps: np.ndarray, radius: int, bit: int) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
-    """All links among the fingerprints of one signature; of a dense group, a shortest spanning forest; and which it is."""
+    """All links among the fingerprints of one signature; of a dense group, a spanning forest; and which it is."""
     a, b, step, total = [], [], max(1, (1 << 20) // len(fps)), 0
     for at in range(0, len(fps), step):
         x = fps[at : at + step, None] ^ fps[None, :]
@@ -139,27 +136,44 @@ def _pairs(fps: np.ndarray, radius: int, bit: int) -> tuple[list[np.ndarray], li
     return a, b, False
 
 
-def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the fingerprints of equal keys (sorted by key). Of a wildcard's group, only pairs that differ there:
-    the others meet in the group of the whole segment."""
-    return marked(keys, fps, radius, _MATRIX)[:2]
+def _divided(fps: np.ndarray, radius: int, variant: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links that join all that links join among many fingerprints of one signature: the bits outside its segment are cut into
+    radius + 1 blocks, of which two fingerprints in reach share one at least."""
+    segment = np.cumsum([width + 1 for _, width in segments(radius)]).searchsorted(variant, "right")
+    inside = range(segments(radius)[segment][0], sum(segments(radius)[segment]))
+    outside, a, b = [i for i in range(BITS) if i not in inside], [], []
+    for block in range(radius + 1):
+        mask = np.uint64(sum(1 << i for i in outside[block :: radius + 1]))
+        order = np.argsort(fps & mask, kind="stable")
+        part = fps[order]
+        cut = np.flatnonzero(np.diff(part & mask)) + 1
+        bounds = np.concatenate([[0], cut, [len(part)]])
+        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if end - start > 1:
+                own = part[start:end]
+                x, y = _forest(own, radius) if len(own) > _MATRIX else _pairs(own, radius, -1)[:2]
+                a += x
+                b += y
+    return a, b
 
 
-def marked(keys: np.ndarray, fps: np.ndarray, radius: int, matrix: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same, and of each link whether it is of a forest. A group of over ``matrix`` fingerprints gives one whatever its links."""
+def linked(keys: np.ndarray, fps: np.ndarray, radius: int, matrix: float = _MATRIX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, of which) links among the fingerprints of equal keys (sorted by key). Of a wildcard's group, only pairs that differ
+    there: the others meet in the group of the whole segment. A group of over ``matrix`` fingerprints gives forests whatever its
+    links. The last is 2 * print, and 1 more for links of a forest."""
     cut = np.flatnonzero(np.diff(keys)) + 1
     starts = np.concatenate([[0], cut]) if len(keys) else cut
     sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-    out_a, out_b, dense, wild = [], [], [], wildcards(radius)
+    out_a, out_b, which, wild = [], [], [], wildcards(radius)
+    variants, prints = (keys >> _VARIANT & np.uint64(0xFFFF)).astype(np.int64), (keys >> _PRINT).astype(np.int64)
     for start, size in zip(starts[sizes > _RUN].tolist(), sizes[sizes > _RUN].tolist()):
-        own = np.unique(fps[start : start + size])
-        a, b, tree = (*_forest(own, radius), True) if size > matrix else _pairs(own, radius, int(wild[int(keys[start]) >> 40]))
+        own, variant = np.unique(fps[start : start + size]), int(variants[start])
+        a, b, tree = (*_divided(own, radius, variant), True) if len(own) > matrix else _pairs(own, radius, int(wild[variant]))
         out_a += a
         out_b += b
-        dense += [np.full(len(x), tree) for x in a]
+        which += [np.full(len(x), 2 * prints[start] + tree) for x in a]
     small = np.repeat(sizes <= _RUN, sizes)
-    keys, fps = keys[small], fps[small]
-    wild = wild[(keys >> np.uint64(40)).astype(np.int64)]
+    keys, fps, prints, wild = keys[small], fps[small], prints[small], wild[variants[small]]
     for lag in range(1, int(sizes[sizes <= _RUN].max(initial=1))):
         at = np.flatnonzero(keys[lag:] == keys[:-lag])
         if not len(at):
@@ -169,17 +183,17 @@ def marked(keys: np.ndarray, fps: np.ndarray, radius: int, matrix: float = np.in
         at = at[(np.bitwise_count(x) <= radius) & ((bit < 0) | ((x >> np.maximum(bit, 0).astype(np.uint64)) & np.uint64(1)).astype(bool))]
         out_a.append(fps[at])
         out_b.append(fps[at + lag])
-        dense.append(np.zeros(len(at), bool))
-    return (np.concatenate(out_a), np.concatenate(out_b), np.concatenate(dense)) if out_a else (fps[:0], fps[:0], np.zeros(0, bool))
+        which.append(2 * prints[at])
+    return (np.concatenate(out_a), np.concatenate(out_b), np.concatenate(which)) if out_a else (fps[:0], fps[:0], np.zeros(0, np.int64))
 
 
 def links(distinct: DataFrame, radius: int, mark: bool = False) -> DataFrame:
-    """Links (a, b) among distinct fingerprints ``fp`` at ``radius`` or fewer differing bits.
+    """Links (print, a, b) among distinct fingerprints (print, fp) of a print at ``radius`` or fewer differing bits.
 
     The segments number radius // 2 + 1, so that of two fingerprints in reach one segment differs in one bit at
     most: both then share a signature, and none is missed. Rows are dealt out and sorted by signature; a task
     streams over them and holds one signature's fingerprints at a time. Signatures give every link, but for those with over
-    two links a fingerprint or over 4,096 fingerprints: these give a shortest spanning forest, with the same components.
+    two links a fingerprint or over 4,096 fingerprints: these give spanning forests, with the same components.
 
     With ``mark`` only the former give a forest, and its links are marked in a column ``dense``: of two fingerprints in
     reach, either the link is there or links marked dense join them.
@@ -187,20 +201,18 @@ def links(distinct: DataFrame, radius: int, mark: bool = False) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 20_000):
-                fps = batch.column(0).to_numpy()[at : at + 20_000]
+            for part in (batch.slice(at, 20_000) for at in range(0, len(batch), 20_000)):
+                prints, fps = part.column("print").to_numpy().astype(np.uint64), part.column("fp").to_numpy()
                 keys, index = signatures(fps.view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fps[index])], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array((keys | prints[index] << _PRINT).view(np.int64)), pa.array(fps[index])], ["key", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(keys: list[np.ndarray], fps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            a, b, dense = marked(np.concatenate(keys), np.concatenate(fps), radius, np.inf if mark else _MATRIX)
-            for flag in (False, True) if mark else (None,):
-                own = slice(None) if flag is None else dense == flag
-                pairs = np.unique(np.stack([np.minimum(a[own], b[own]), np.maximum(a[own], b[own])]), axis=1).view(np.int64)
-                if pairs.size:
-                    columns = [pa.array(pairs[0]), pa.array(pairs[1]), *([] if flag is None else [pa.array(np.full(pairs.shape[1], flag))])]
-                    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "dense"][: len(columns)])
+            a, b, which = linked(np.concatenate(keys), np.concatenate(fps), radius, np.inf if mark else _MATRIX)
+            which = which if mark else which & ~1
+            found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), which.astype(np.uint64)]), axis=1).view(np.int64)
+            if found.size:
+                yield pa.RecordBatch.from_arrays([pa.array((found[2] >> 1).astype(np.int32)), pa.array(found[0]), pa.array(found[1]), pa.array(found[2] % 2 == 1)], ["print", "a", "b", "dense"])
 
         keys: list[np.ndarray] = []
         fps: list[np.ndarray] = []
@@ -218,9 +230,10 @@ def links(distinct: DataFrame, radius: int, mark: bool = False) -> DataFrame:
         if keys:
             yield from out(keys, fps)
 
-    dealt = distinct.select("fp").mapInArrow(deal, "key long, fp long")
-    schema = "a long, b long, dense boolean" if mark else "a long, b long"
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, schema).distinct()
+    # a small table, but its rows give some seventy each: spread them first
+    spread = distinct.select("print", "fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    dealt = spread.mapInArrow(deal, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(meet, "print int, a long, b long, dense boolean").distinct()
 
 
 def _verified_forest(fps: np.ndarray, side: np.ndarray, sets: pa.Array, radius: int, similarity: float) -> tuple[list[int], list[int]]:
@@ -254,9 +267,9 @@ def _verified_forest(fps: np.ndarray, side: np.ndarray, sets: pa.Array, radius:
 
 
 def verified(asked: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(a, b) of verified links, enough to join all that they join. ``asked`` has (root, i, j, side, node, fp, set): rows of
-    equal root, i and j are compared, those of side 0 with those of side 1, or all of them if they are of one side."""
-    names = ["root", "i", "j"]
+    """(a, b) of verified links, enough to join all that they join. ``asked`` has (print, root, i, j, side, node, fp, set): rows of
+    equal print, root, i and j are compared, those of side 0 with those of side 1, or all of them if they are of one side."""
+    names = ["print", "root", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
@@ -293,79 +306,98 @@ def verified(asked: DataFrame, radius: int, similarity: float) -> DataFrame:
 
 
 def comparisons(nodes: DataFrame, radius: int) -> DataFrame:
-    """(root, i, j, side, node, fp): which of the ``nodes`` (node, fp, n shingles) :func:`verified` must compare.
+    """(print, root, i, j, side, node, fp): which of the ``nodes`` (print, node, fp, n shingles) :func:`verified` must compare.
 
     A link of a sparse signature between fingerprints of one text each is a group of its own. What dense signatures join,
     and fingerprints of several texts with what is linked to them, is cut into blocks of about 1,024 nodes or 2^20
     shingles, and every two blocks are a group: all pairs in reach are there, whatever their number, and a task holds
     two blocks.
     """
-    fps = checkpointed(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("texts")))
+    # components are sought among numbers of (print, fp): were two to share one, more would be compared and nothing missed
+    number = lambda fp: F.xxhash64("print", fp)
+    fps = checkpointed(nodes.groupBy("print", "fp").agg(F.count(F.lit(1)).alias("texts")))
     edges = links(fps, radius, mark=True)
-    many = fps.where("texts > 1").select("fp")
+    many = fps.where("texts > 1").select("print", "fp")
     for end in "ab":
-        edges = edges.join(many.select(F.col("fp").alias(end), F.lit(True).alias(f"many_{end}")), end, "left")
-    edges = checkpointed(edges.select("a", "b", (F.col("dense") | F.col("many_a").isNotNull() | F.col("many_b").isNotNull()).alias("dense")))
-    roots = connected_components(edges.where("dense").select("a", "b")).withColumnRenamed("node", "fp")
-    roots = roots.unionByName(many.join(roots, "fp", "left_anti").select("fp", F.col("fp").alias("root")))
-    dense = nodes.join(roots, "fp").select("node", "fp", "n", "root")
-    blocks = dense.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / _BLOCK, F.sum("n") / _SHINGLES, F.lit(1))).cast("long").alias("k"))
+        edges = edges.join(many.select("print", F.col("fp").alias(end), F.lit(True).alias(f"many_{end}")), ["print", end], "left")
+    edges = checkpointed(edges.select("print", "a", "b", (F.col("dense") | F.col("many_a").isNotNull() | F.col("many_b").isNotNull()).alias("dense")))
+    roots = connected_components(edges.where("dense").select(number("a").alias("a"), number("b").alias("b")))
+    alone = many.select(number("fp").alias("node")).join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    roots = roots.unionByName(alone).withColumnRenamed("node", "number")
+    dense = checkpointed(nodes.withColumn("number", number("fp")).join(roots, "number").select("print", "node", "fp", "n", "root"))
+    blocks = dense.groupBy("print", "root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / _BLOCK, F.sum("n") / _SHINGLES, F.lit(1))).cast("long").alias("k"))
     own = F.pmod(F.xxhash64("node"), "k")
-    dealt = dense.join(blocks, "root").select("root", "node", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "fp")
+    dealt = dense.join(blocks, ["print", "root"]).select("print", "root", "node", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
+    dealt = dealt.select("print", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "fp")
     alone = edges.where("not dense")
     ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(end).alias("fp")) for side, end in enumerate("ab")])).alias("e")
-    alone = alone.select(F.col("a").alias("root"), F.lit(-1).cast("long").alias("i"), F.col("b").alias("j"), ends).select("root", "i", "j", "e.side", "e.fp")
-    return dealt.unionByName(alone.join(nodes.select("node", "fp"), "fp"))
+    alone = alone.select("print", F.col("a").alias("root"), F.lit(-1).cast("long").alias("i"), F.col("b").alias("j"), ends).select("print", "root", "i", "j", "e.side", "e.fp")
+    return dealt.unionByName(alone.join(nodes.select("print", "node", "fp"), ["print", "fp"]), allowMissingColumns=False)
 
 
 def shingle_sets(docs: DataFrame, chosen: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, set of shingle hashes) of the nodes ``chosen`` (node, doc_id), and of all texts without an id."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """(node, set of shingle hashes) of the rows ``chosen`` (node, exact)."""
+    texts = docs.select(F.xxhash64(id_col, text_col).alias("exact"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
                 hashes, counts = shingle_hashes(part.column("text"), shingle)
-                node = text_hashes(hashes, counts)
                 sets = [np.unique(x).view(np.int64) for x in np.split(hashes, np.cumsum(counts)[:-1])]
-                out = pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
-                # rows of one doc_id may differ in their text: only the chosen one's set is meant
-                yield out.filter(pa.array([c is None or c == n for c, n in zip(part.column("chosen").to_pylist(), node.tolist())], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    named = texts.join(chosen.withColumnRenamed("node", "chosen"), "doc_id").select("chosen", "text")
-    nameless = texts.where("doc_id is null").select(F.lit(None).cast("long").alias("chosen"), "text")
-    return named.unionByName(nameless).mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+    return texts.join(chosen, "exact").select("node", "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grouped(docs: DataFrame, radius: int, shingle: int, similarity: float | None, id_col: str, text_col: str, prints: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, fp, node), and each node's group: (node, least, root). ``least`` is its row (nameless, doc_id, exact) of
+    least id."""
+    rows = checkpointed(identified(docs, shingle, id_col, text_col, 1 if similarity is None else prints))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "exact")).alias("least")
+    if similarity is None:
+        rows = rows.select("doc_id", F.col("fps")[0].alias("fp"), F.col("fps")[0].alias("node"))
+        nodes = rows.groupBy("node").agg(F.struct(F.min("doc_id").alias("doc_id")).alias("least"))
+        edges = links(nodes.select(F.lit(0).alias("print"), F.col("node").alias("fp")), radius).select("a", "b")
+    else:
+        nodes = checkpointed(rows.groupBy("node", "fps", "n").agg(least))
+        rows = rows.select("doc_id", F.col("fps")[0].alias("fp"), "node")
+        asked = checkpointed(comparisons(nodes.select("node", "n", F.posexplode("fps").alias("print", "fp")), radius))
+        chosen = nodes.select("node", "least.exact").join(asked.select("node").distinct(), "node")
+        edges = verified(asked.join(shingle_sets(docs, chosen, shingle, id_col, text_col), "node"), radius, similarity)
+    return rows, nodes.join(connected_components(edges), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", prints: int = PRINTS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``.
 
     Fingerprints at ``radius`` or fewer differing bits are linked. Copies share a fingerprint, so links are sought among
     distinct fingerprints and a group of copies costs one row. With ``similarity``, distinct texts (by their lowered words)
-    are linked, if the Jaccard similarity of their word shingles reaches it too, whether their fingerprints differ or not.
-    component_id is the smallest doc_id reachable.
+    are linked, if they are in reach in one of ``prints`` independent fingerprints and the Jaccard similarity of their word
+    shingles reaches it too, whether their fingerprints differ or not. component_id is the smallest doc_id reachable.
 
-    Null and empty texts have fingerprint 0 and are linked like any other; a null doc_id gets its group's
-    component_id and is never one; repeated rows give repeated rows; an empty table gives none; other columns
-    of ``docs`` are not read.
+    Ids may be of any type that has an order. Null and empty texts have fingerprint 0 and are linked like any other; a null
+    doc_id gets its group's component_id and is never one; repeated rows give repeated rows; an empty table gives none; other
+    columns of ``docs`` are not read.
     """
-    if similarity is None:
-        rows = checkpointed(fingerprints(docs, shingle, id_col, text_col).select("doc_id", F.col("fp").alias("node"), "fp"))
-        nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-        edges = links(nodes.select(F.col("node").alias("fp")), radius)
-    else:
-        rows = checkpointed(identified(docs, shingle, id_col, text_col))
-        nodes = checkpointed(rows.groupBy("node", "fp", "n").agg(F.min("doc_id").alias("least")))
-        asked = checkpointed(comparisons(nodes.select("node", "fp", "n"), radius))
-        chosen = nodes.where("least is not null").select("node", F.col("least").alias("doc_id")).join(asked.select("node").distinct(), "node")
-        edges = verified(asked.join(shingle_sets(docs, chosen, shingle, id_col, text_col), "node"), radius, similarity)
-    roots = connected_components(edges)
-    named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    rows, named = grouped(docs, radius, shingle, similarity, id_col, text_col, prints)
+    # min skips the null of a group's rows without an id
+    named = named.join(named.groupBy("root").agg(F.min("least.doc_id").alias("component_id")), "root").select("node", "component_id")
     return rows.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, radius: int, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text", prints: int = PRINTS) -> DataFrame:
+    """The rows of ``docs``, as they are, of which each stands for its group of near duplicates: the one of least id, once.
+
+    Rows that share an id but not their text are told apart by the text; a group of rows without an id keeps one of them. Groups are
+    those of :func:`near_duplicates`. Null and empty texts are one group; an empty table gives no rows.
+    """
+    (exact,) = fresh(docs.columns, "exact")
+    _, named = grouped(docs, radius, shingle, similarity, id_col, text_col, prints)
+    first = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.exact").alias(exact))
+    kept = docs.withColumn(exact, F.xxhash64(id_col, text_col)).join(first, exact, "left_semi")
+    return kept.dropDuplicates([id_col, exact]).select(docs.columns)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from barflow.llm.session import fresh
+
 ROUNDS = 10
-KEY = "change-me"
+#: The setting that holds the secret key of the registered queries, and the key that they take where it is not set: for tests.
+KEY_SETTING, EXAMPLE_KEY = "spark.barflow.pseudonyms.key", "an example, not a secret"
 #: Kinds in the order in which they are tried at a position. Lookarounds keep a match from starting or ending inside a longer number.
+#: Local parts have at most 64 characters and domains 126 labels of 63, as in mail and DNS: so the matcher's stack has a bound.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     "phone": r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iso_date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
@@ -26,13 +30,13 @@ _GROUPED = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-
 PATTERN = "|".join(KINDS.values())
 
 
-def _prf(key: str, kind: str, turn: Column, half: Column) -> Column:
+def _prf(key: str, kind: str | Column, turn: Column, half: Column) -> Column:
     """60 bits of SHA-256 over key, kind, round and the other half."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), half.cast("string")), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, a: int, b: int, key: str, kind: str) -> Column:
+def feistel(left: Column, right: Column, a: int, b: int | Column, key: str, kind: str | Column) -> Column:
     """Struct(l, r): a keyed permutation of the pairs with 0 <= left < a and 0 <= right < b.
 
     Halves of unequal size take turns: each is shifted modulo its own size by a function of the other, so every
@@ -77,12 +81,12 @@ def _email(x: Column, key: str) -> Column:
     def shifted(part: Column, other: Column, i: Column) -> Column:
         digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i.cast("string"), other), 512)
 
-        def one(c: Column, at: Column) -> Column:
+        def one(c: Column, at: Column, digest: Column) -> Column:
             bits = F.conv(F.substr(digest, F.pmod(at, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
             in_class = lambda first, n: F.char(F.lit(ord(first)) + F.pmod(F.ascii(c) - ord(first) + bits, F.lit(n)))
             return F.when(c.rlike("[a-z]"), in_class("a", 26)).when(c.rlike("[A-Z]"), in_class("A", 26)).when(c.rlike("[0-9]"), in_class("0", 10)).otherwise(c)
 
-        return F.array_join(F.transform(F.filter(F.split(part, ""), lambda c: c != ""), one), "")
+        return _with(digest, lambda x: F.array_join(F.transform(F.filter(F.split(part, ""), lambda c: c != ""), lambda c, at: one(c, at, x)), ""))
 
     local, domain = F.substring_index(x, "@", 1), F.substring_index(x, "@", -1)
     half = (F.length(local) / 2).cast("int")
@@ -139,48 +143,61 @@ def _card(x: Column, key: str) -> Column:
     return F.when(F.call_function("luhn_check", d), _refill(x, _with(body, check)))
 
 
-def _year_first(y: Column, m: Column, d: Column, key: str) -> Column:
-    """A valid date of 1900-2099 as another one: 73,000 days are permuted as 250 x 292, the last 49 among themselves."""
-    day = F.datediff(F.try_to_date(F.concat_ws("-", _pad(y, 4), _pad(m, 2), _pad(d, 2)), "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
-    back = lambda n: F.date_add(F.lit("1900-01-01").cast("date"), n.cast("int"))
-    most = _with(feistel(F.floor(day / 292), day % 292, 250, 292, key, "date"), lambda s: back(s["l"] * 292 + s["r"]))
-    rest = _with(feistel(F.floor((day - 73_000) / 7), (day - 73_000) % 7, 7, 7, key, "date49"), lambda s: back(s["l"] * 7 + s["r"] + 73_000))
-    return F.when(day.between(0, 72_999), most).when(day.between(73_000, 73_048), rest)
+#: Days of the months past the twelfth, in a year that is no leap year, and where they start among those of months of one width.
+_LATE = [m - 12 for m in (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)]
+_STARTS = [sum(_LATE[:m]) for m in range(9)] + [sum(_LATE[9:m]) for m in range(9, 12)]
+
 
+def _date(y: Column, m: Column, d: Column, key: str) -> Column:
+    """Struct(y, m, d): a valid date of 1900-2099 as another one, null otherwise.
 
-def _day_first(y: Column, m: Column, d: Column, key: str) -> Column:
-    """A valid date of 1900-2099 as another one with the same day of the month: month and year are permuted; on the 29th to
-    31st only the year is, within its class modulo 4, so that February keeps its leap years."""
+    Month and day keep their number of digits, and a day past the twelfth stays one, so that every way of writing a date
+    keeps its width and the order in which it is read, and a date is the same pseudonym however it is written. Within such
+    a class, 200 years and the days of one are permuted as a pair; the 49 leap days are permuted among themselves.
+    """
     valid = F.try_to_date(F.concat_ws("-", _pad(y, 4), _pad(m, 2), _pad(d, 2)), "yyyy-MM-dd").isNotNull() & y.between(1900, 2099)
-    date = lambda year, month: F.make_date(year.cast("int"), month.cast("int"), d)
-    plain = _with(feistel(y - 1900, m - 1, 200, 12, key, "month"), lambda s: date(s["l"] + 1900, s["r"] + 1))
-    class_, q = (y - 1900) % 4, F.floor((y - 1900) / 4)
-    late = _with(feistel(F.floor(q / 10), q % 10, 5, 10, key, "year"), lambda s: date((s["l"] * 10 + s["r"]) * 4 + class_ + 1900, m))
-    leap = _with(feistel(F.floor((q - 1) / 7), (q - 1) % 7, 7, 7, key, "leap"), lambda s: date((s["l"] * 7 + s["r"]) * 4 + 1904, m))
-    return F.when(valid & (d <= 28), plain).when(valid & (m == 2), leap).when(valid, late)
+    first = F.when(m < 10, 1).otherwise(10)
+    each = F.when(d < 10, 9).when(d < 13, 3)  # days of a month in the class, but for late ones
+    low = F.when(d < 10, 1).when(d < 13, 10).otherwise(13)
+    late, starts = d > 12, F.array(*map(F.lit, _STARTS))
+    size = F.when(late, F.when(m < 10, sum(_LATE[:9])).otherwise(sum(_LATE[9:]))).otherwise(each * F.when(m < 10, 9).otherwise(3))
+    index = F.when(late, F.element_at(starts, m) + d - 13).otherwise((m - first) * each + d - low)
+    kind = F.concat(F.lit("date"), first.cast("string"), F.lit(":"), low.cast("string"))
+
+    def plain(s: Column) -> Column:
+        own = F.slice(starts, first, F.when(m < 10, 9).otherwise(3))
+        month = F.when(late, first - 1 + F.size(F.filter(own, lambda x: x <= s["r"]))).otherwise(first + F.floor(s["r"] / each))
+        day = lambda n: F.when(late, s["r"] - F.element_at(starts, n) + 13).otherwise(low + s["r"] % each)
+        return _with(month.cast("int"), lambda n: F.struct((s["l"] + 1900).cast("int").alias("y"), n.alias("m"), day(n).cast("int").alias("d")))
+
+    # the leap years from 1904 to 2096, by number
+    n = F.floor((y - 1904) / 4)
+    leap = _with(feistel(F.floor(n / 7), n % 7, 7, 7, key, "leap"), lambda s: F.struct((1904 + 4 * (s["l"] * 7 + s["r"])).cast("int").alias("y"), m.alias("m"), d.alias("d")))
+    return F.when(valid & (m == 2) & (d == 29), leap).when(valid, _with(feistel(y - 1900, index, 200, size, key, kind), plain))
 
 
 def _parts(x: Column, by: str) -> list[Column]:
-    return [F.element_at(F.split(x, by), i).cast("int") for i in (1, 2, 3)]
+    return [F.element_at(F.split(x, by), i) for i in (1, 2, 3)]
+
+
+def _written(x: Column, by: str, order: str, key: str) -> Column:
+    """The date in ``x`` with its parts in ``order``, each as wide as it was."""
+    parts = dict(zip(order, _parts(x, f"[{by}]")))
+    new = _date(*(parts[p].cast("int") for p in "ymd"), key)
+    return _with(new, lambda v: F.when(v.isNotNull(), F.concat_ws(by, *[F.lpad(v[p].cast("string"), F.length(parts[p]), F.lit("0")) for p in order])))
 
 
 def _slash_date(x: Column, key: str) -> Column:
-    """month/day/year if that is a date, else day/month/year. Both parts get two digits if they have them in the text."""
-    a, b, y = _parts(x, "/")
-    wide = F.length(x) == 10
-    form = lambda v, p, q: F.when(wide, F.date_format(v, f"{p * 2}/{q * 2}/yyyy")).otherwise(F.date_format(v, f"{p}/{q}/yyyy"))
-    month_first = _with(_day_first(y, a, b, key), lambda v: form(v, "M", "d"))
-    day_first = _with(_day_first(y, b, a, key), lambda v: form(v, "d", "M"))
-    return F.when(a <= 12, month_first).otherwise(day_first)
+    """month/day/year if the first part can be a month, else day/month/year."""
+    return F.when(_parts(x, "/")[0].cast("int") <= 12, _written(x, "/", "mdy", key)).otherwise(_written(x, "/", "dmy", key))
 
 
 def _dot_date(x: Column, key: str) -> Column:
-    d, m, y = _parts(x, r"\.")
-    return _with(_day_first(y, m, d, key), lambda v: F.when(F.length(x) == 10, F.date_format(v, "dd.MM.yyyy")).otherwise(F.date_format(v, "d.M.yyyy")))
+    return _written(x, ".", "dmy", key)
 
 
 def _iso_date(x: Column, key: str) -> Column:
-    return F.date_format(_year_first(*_parts(x, "-"), key), "yyyy-MM-dd")
+    return _written(x, "-", "ymd", key)
 
 
 def _cards(x: Column, key: str) -> Column:
@@ -225,7 +242,7 @@ def _cards(x: Column, key: str) -> Column:
 _PSEUDONYM = {"email": _email, "phone": _phone, "ssn": _ssn, "iso_date": _iso_date, "slash_date": _slash_date, "dot_date": _dot_date, "ip": _ip}
 
 
-def pseudonym(x: Column, key: str = KEY) -> Column:
+def pseudonym(x: Column, key: str) -> Column:
     """Struct(kind, value, n) of a match of ``PATTERN``: its pseudonym and the number of values in it (a run of digit groups may
     hold several cards), or null if there is no valid value of its kind."""
     out = F.lit(None).cast("struct<kind:string,value:string,n:int>")
@@ -237,29 +254,32 @@ def pseudonym(x: Column, key: str = KEY) -> Column:
     return out
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """``docs`` with each valid number, date and e-mail address in ``text_col`` replaced, and the kinds in ``_kinds``.
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str = "_kinds") -> DataFrame:
+    """``docs`` with each valid number, date and e-mail address in ``text_col`` replaced, and the kinds in ``kinds_col``.
 
     The pseudonym is a keyed permutation within the value's format, so it depends on key, kind and value alone: equal
-    values stay equal across documents and different ones stay different. Whole texts are searched; a null text stays
-    null with no kinds; texts without a digit or @ are passed by. All columns but ``text_col`` stay as they are; a
-    column named _kinds, _hits or _new is refused.
+    values stay equal across documents and different ones stay different. Keep ``key`` secret: who has it can turn
+    pseudonyms back. Whole texts are searched; a null text stays null with no kinds; texts without a digit or @ are passed
+    by; repeated rows stay. All other columns stay as they are, but for one that is named ``kinds_col``, which is replaced.
     """
-    if clash := {"_kinds", "_hits", "_new"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are used by this operator")
-    text = F.col(text_col)
+    text, (hits_col, new_col) = F.col(text_col), fresh([*docs.columns, kinds_col], "hits", "new")
     hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    rows = docs.withColumn("_hits", hits).withColumn("_new", F.transform("_hits", lambda h: pseudonym(h, key)))
-    pieces = F.transform(F.split(text, PATTERN, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get("_new", i)["value"], F.get("_hits", i), F.lit(""))))
-    kinds = F.coalesce(F.flatten(F.transform(F.filter("_new", lambda p: p.isNotNull()), lambda p: F.array_repeat(p["kind"], p["n"]))), F.array().cast("array<string>"))
+    rows = docs.drop(kinds_col).withColumn(hits_col, hits).withColumn(new_col, F.transform(hits_col, lambda h: pseudonym(h, key)))
+    pieces = F.transform(F.split(text, PATTERN, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(new_col, i)["value"], F.get(hits_col, i), F.lit(""))))
+    kinds = F.coalesce(F.flatten(F.transform(F.filter(new_col, lambda p: p.isNotNull()), lambda p: F.array_repeat(p["kind"], p["n"]))), F.array().cast("array<string>"))
     # a text without a valid value stays as it is, byte for byte
-    return rows.withColumn("_kinds", kinds).withColumn(text_col, F.when(F.size("_kinds") > 0, F.array_join(pieces, "")).otherwise(text)).drop("_hits", "_new")
+    return rows.withColumn(kinds_col, kinds).withColumn(text_col, F.when(F.size(kinds_col) > 0, F.array_join(pieces, "")).otherwise(text)).drop(hits_col, new_col)
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key that the session sets."""
+    return spark.conf.get(KEY_SETTING, EXAMPLE_KEY)
 
 
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     count = lambda kind: F.size(F.filter("_kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
-    return pseudonymised(docs).select("doc_id", "text", *[count(kind) for kind in KINDS])
+    return pseudonymised(docs, key_of(spark)).select("doc_id", "text", *[count(kind) for kind in KINDS])
 
 
 QUERIES = {"op5_feistel_pseudonyms": op5_feistel_pseudonyms}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barflow.llm import text as T
 from barflow.llm.sampling import remainder, sampled_ids
+from barflow.llm.session import bounded
 
 #: Hash buckets of words (a power of two), rank of the interactions, and the fit's parameters.
 WORD_BITS, RANK = 14, 6
@@ -141,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
     """
     wanted = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("string").alias("label"))
     chosen = sampled_ids(wanted, per_class, seed)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text", "n_chars").dropDuplicates(["doc_id"])
+    sample = docs.join(bounded(chosen), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text", "n_chars").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from barflow.llm.session import bounded
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -11,12 +13,16 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def sampled_ids(labelled: DataFrame, per_class: int, seed: int = 0) -> DataFrame:
-    """(doc_id, label) of about ``per_class`` ids of each label of ``labelled(doc_id, label)``, at most 1.5 times as many.
+    """(doc_id, label) of the ``per_class`` ids of least hash of each label of ``labelled(doc_id, label)``; of a smaller label, all.
 
-    An id is chosen by its hash against the share that its label's count asks for, so the same rows give the same
-    sample. An id with several labels counts under the least one. The labels themselves are a dimension.
+    A threshold on the hash, by the label's count, leaves little more than that many ids of any label to the window that
+    cuts them off, so that no label's ids meet in one task. The same rows give the same sample. An id with several labels
+    counts under the least one.
     """
     one = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
-    shares = one.groupBy("label").agg((F.lit(float(per_class)) / F.count(F.lit(1))).alias("share"))
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
-    return one.join(F.broadcast(shares), "label").where(chance < F.col("share")).select("doc_id", "label").limit(int(1.5 * per_class) * 64)
+    shares = one.groupBy("label").agg((F.lit(per_class + 8 * per_class**0.5 + 32) / F.count(F.lit(1))).alias("share"))
+    hashed = F.xxhash64(F.lit(seed), "doc_id")
+    chance = F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53))
+    near = one.join(bounded(shares), "label").where(chance < F.col("share")).select("doc_id", "label", chance.alias("chance"))
+    order = Window.partitionBy("label").orderBy("chance", "doc_id")
+    return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_class).select("doc_id", "label")

@@ -61,7 +61,7 @@ def test_every_pair_in_reach_shares_a_signature():
                 b ^= np.uint64(1 << int(bit))
             keys, index = N.signatures(np.array([a, b]), radius)
             order = np.argsort(keys, kind="stable")
-            x, y = N.linked(keys[order], np.array([a, b])[index[order]], radius)
+            x, y, _ = N.linked(keys[order], np.array([a, b])[index[order]], radius)
             assert len(x) >= 1
 
 
@@ -71,7 +71,7 @@ def test_large_groups_give_spanning_links():
     fps = np.unique(np.array([base ^ np.uint64(1 << int(i)) ^ np.uint64(1 << int(j)) for i in range(64) for j in range(i)]))
     keys, index = N.signatures(fps, 4)
     order = np.argsort(keys, kind="stable")
-    a, b = N.linked(keys[order], fps[index[order]], 4)
+    a, b, _ = N.linked(keys[order], fps[index[order]], 4)
     assert len(set(components(fps.tolist(), zip(a.tolist(), b.tolist())).values())) == 1
     assert len(a) < 4 * 67 * len(fps)  # dense groups give a tree
 
