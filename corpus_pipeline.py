@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barflow.llm import decontamination, langid, mixing, near_dedup, pseudonyms
-from barflow.llm.session import shared_folder
+from barflow.llm.session import fresh, shared_folder
 
 #: Near duplicates: five-word shingles, a Jaccard similarity of 0.8, and fingerprints at 11 or fewer differing bits.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 11
@@ -20,11 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one of least id, once. Documents without an id can't be named and stay."""
-    found = near_dedup.near_duplicates(docs, RADIUS, SHINGLE, SIMILARITY)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One document of each group: the one of least id, once. Rows of one id with different texts are different documents."""
+    return near_dedup.representatives(docs, RADIUS, SHINGLE, SIMILARITY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +31,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by pseudonyms of the same format, and n_chars set to the new text's length."""
-    new = pseudonyms.pseudonymised(docs)
-    changed = F.size("_kinds") > 0
-    n_chars = F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    (kinds,) = fresh(docs.columns, "kinds")
+    new = pseudonyms.pseudonymised(docs, pseudonyms.key_of(spark), kinds_col=kinds)
+    n_chars = F.when(F.size(kinds) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return new.select(*[n_chars if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
