@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def rebalances(df: DataFrame, horizon: int, keys: list[str] = []) -> DataFrame:
@@ -57,22 +59,31 @@ def periods(df: DataFrame, cost_bps: float = 10.0, keys: list[str] = []) -> Data
     return out.select(*keys, "offset", "period", "session_date", "gross", "turnover", "exposure", "cost", "net")
 
 
+def _product(x: Column, over: Callable[[Column], Column]) -> Column:
+    """The product of ``x``, of any sign, in sums: of logarithms, of signs and of zeros."""
+    size = F.exp(F.coalesce(over(F.sum(F.when(x != 0, F.log(F.abs(x))))), F.lit(0.0)))
+    sign = F.when(over(F.count_if(x < 0)) % 2 == 1, -1.0).otherwise(1.0)
+    return F.when(over(F.count_if(x == 0)) > 0, 0.0).otherwise(sign * size)
+
+
 def summary(df: DataFrame, horizon: int, keys: list[str] = ["offset"], days: float = 252.0) -> DataFrame:
-    """Growth, annualised return and volatility, Sharpe ratio and t value, drawdown, hit rate and means per backtest; with
-    fewer than two periods only their number."""
+    """Growth, annualised return, volatility and cost, Sharpe ratio and t value, drawdown, hit rate and means per backtest; with
+    fewer than two periods only their number. What is lost stays lost: growth is 0 after a period that loses all, and the
+    annual return -1 without growth above 0."""
     w = Window.partitionBy(*keys).orderBy("session_date").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_equity", F.exp(F.sum(F.log1p("net")).over(w)))
+    kept = 1 + F.col("net")
+    df = df.withColumn("_equity", _product(kept, lambda x: x.over(w)))
     df = df.withColumn("_down", F.col("_equity") / F.greatest(F.lit(1.0), F.max("_equity").over(w)) - 1)
     year = days / horizon
     a = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.exp(F.sum(F.log1p("net"))).alias("growth"), F.avg("net").alias("_mean"), F.stddev_samp("net").alias("_sd"), F.min("_down").alias("max_drawdown"),
-        F.avg((F.col("net") > 0).cast("double")).alias("hit_rate"), F.avg("turnover").alias("avg_turnover"), F.avg("exposure").alias("avg_exposure"), F.sum("cost").alias("total_cost"), F.avg("gross").alias("avg_gross"),
+        F.count(F.lit(1)).alias("n"), _product(kept, lambda x: x).alias("growth"), F.avg("net").alias("_mean"), F.stddev_samp("net").alias("_sd"), F.min("_down").alias("max_drawdown"),
+        F.avg((F.col("net") > 0).cast("double")).alias("hit_rate"), F.avg("turnover").alias("avg_turnover"), F.avg("exposure").alias("avg_exposure"), (F.avg("cost") * year).alias("annual_cost"), F.sum("cost").alias("total_cost"), F.avg("gross").alias("avg_gross"),
     )
     some, spread = F.col("n") >= 2, F.col("_sd") > 0
     out = {
-        "growth": F.col("growth"), "annual_return": F.pow(F.col("growth"), year / F.col("n")) - 1, "annual_volatility": F.col("_sd") * year**0.5,
+        "years": F.col("n") / year, "growth": F.col("growth"), "annual_return": F.when(F.col("growth") > 0, F.pow(F.col("growth"), year / F.col("n")) - 1).otherwise(-1.0), "annual_volatility": F.col("_sd") * year**0.5,
         "sharpe": F.when(spread, F.col("_mean") / F.col("_sd") * year**0.5), "t_stat": F.when(spread, F.col("_mean") / F.col("_sd") * F.sqrt("n")),
-        **{c: F.col(c) for c in ("max_drawdown", "hit_rate", "avg_turnover", "avg_exposure", "total_cost", "avg_gross")},
+        **{c: F.col(c) for c in ("max_drawdown", "hit_rate", "avg_turnover", "avg_exposure", "annual_cost", "total_cost", "avg_gross")},
     }
     return a.select(*keys, F.col("n").alias("periods"), *[F.when(some, v).alias(c) for c, v in out.items()])
 

@@ -81,22 +81,27 @@ def dead_letters(failures: DataFrame, group: str, failed_at: Column, attempts: i
     error = F.when(F.length("error") > LONGEST_ERROR, F.concat(F.substring("error", 1, LONGEST_ERROR - 3), F.lit("..."))).otherwise(F.col("error"))
     return failures.select(
         F.col("topic").alias("original_topic"), F.col("partition").alias("original_partition"), F.col("offset").alias("original_offset"), key.alias("original_key"),
-        F.base64(F.coalesce("value", F.lit("").cast("binary"))).alias("original_value_b64"), "reason", error.alias("error_message"), F.lit(group).alias("consumer_group"),
+        F.translate(F.base64(F.coalesce("value", F.lit("").cast("binary"))), "\r\n", "").alias("original_value_b64"), "reason", error.alias("error_message"), F.lit(group).alias("consumer_group"),
         F.lit(attempts).alias("attempts"), failed_at.alias("failed_at"), F.coalesce(key, F.col("topic")).alias("routing_key"),
     )
 
 
-def derived_ids(df: DataFrame) -> DataFrame:
-    """Ids of the events that follow from a bar, from the bar's own: the same bar gives the same ids again."""
-    make = lambda kind: ids.uuid5(ids.NAMESPACE_DNS, F.lit(kind), F.col("event_id"))
-    return df.withColumn("enriched_id", make("enriched")).withColumn("anomaly_root", make("anomaly"))
+def derived_id(source: Column, *parts: Column, namespace: str = ids.NAMESPACE_DNS) -> Column:
+    """Id of an event that follows from another: the source's id first, then what it is; the same source gives the same id again."""
+    return ids.uuid5(namespace, source, *parts)
 
 
-def prediction_id(model: Column, version: Column, symbol: Column, interval: Column, ts: Column) -> Column:
-    return ids.uuid5(ids.NAMESPACE_DNS, model, version, symbol, interval, F.unix_micros(ts))
+def derived_ids(df: DataFrame, indicators: str, detector: Column, anomaly: Column, namespace: str = ids.NAMESPACE_DNS) -> DataFrame:
+    """Ids of the enriched bar, and of an anomaly and its event, that follow from the bar ``event_id``."""
+    make = lambda *parts: derived_id(F.col("event_id"), *parts, namespace=namespace)
+    return df.withColumns({"enriched_id": make(F.lit("enriched"), F.lit(indicators)), "anomaly_event_id": make(F.lit("anomaly"), detector, anomaly), "anomaly_id": make(detector, anomaly)})
 
 
-def enriched(df: DataFrame, now: Column) -> DataFrame:
+def prediction_id(source: Column, model: Column, version: Column, horizon: Column, namespace: str = ids.NAMESPACE_DNS) -> Column:
+    return ids.uuid5(namespace, source, model, version, horizon)
+
+
+def enriched(df: DataFrame, now: Column, indicators: str = "1", namespace: str = ids.NAMESPACE_DNS) -> DataFrame:
     """What an enriched event carries over from its bar: identity, trace and the latency since it was made, 0 at least."""
     latency = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros("produced_at")) / 1000)
-    return df.withColumn("source_event_id", F.col("event_id")).withColumn("event_id", ids.uuid5(ids.NAMESPACE_DNS, F.lit("enriched"), F.col("source_event_id"))).withColumn("event_type", F.lit("market.bar.enriched")).withColumn("processing_latency_ms", latency)
+    return df.withColumn("source_event_id", F.col("event_id")).withColumn("event_id", derived_id(F.col("source_event_id"), F.lit("enriched"), F.lit(indicators), namespace=namespace)).withColumn("event_type", F.lit("market.bar.enriched")).withColumn("processing_latency_ms", latency)

@@ -57,16 +57,32 @@ def chronological(df: DataFrame, train_end: Column, validation_end: Column, emba
     return out
 
 
-def walk_forward(df: DataFrame, years: list[int], embargo: int = HORIZON) -> DataFrame:
-    """Rows with fold and role: for each year, all purged rows before it to train and its own to test."""
-    out = None
-    for year in years:
-        boundary = F.lit(f"{year - 1}-12-31").cast("date")
-        train, test = purged(df, boundary, embargo, F.lit(f"{year}-12-31").cast("date"))
-        for part, role in ((train, "train"), (test, "test")):
-            part = part.withColumn("fold", F.lit(year)).withColumn("role", F.lit(role))
-            out = part if out is None else out.unionByName(part)
-    return out
+def fold_bounds(df: DataFrame, embargo: int = HORIZON, years: list[int] | None = None) -> list:
+    """(fold, boundary, end, embargo_end) of each year's fold: all ``years``, or every year of the data but the first.
+
+    The sessions after a boundary are found by their number: distinct dates, and years in the driver, are what this holds.
+    """
+    days = df.select("session_date").where("session_date is not null").distinct()
+    ranked = days.withColumn("_no", F.row_number().over(Window.orderBy("session_date")))
+    yearly = days.groupBy(F.year("session_date").alias("fold")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("fold")
+    before, total = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.sum("_n").over(Window.partitionBy())
+    folds = yearly.select("fold", F.least(before + embargo, total).alias("_no"), before.alias("_before")).where("_before > 0").join(ranked, "_no")
+    folds = folds.where(F.col("fold").isin(years)) if years is not None else folds
+    return folds.select("fold", F.make_date(F.col("fold") - 1, F.lit(12), F.lit(31)).alias("boundary"), F.make_date("fold", F.lit(12), F.lit(31)).alias("end"), F.col("session_date").alias("embargo_end")).orderBy("fold").collect()
+
+
+def walk_forward(df: DataFrame, years: list[int] | None = None, embargo: int = HORIZON) -> DataFrame:
+    """Rows with fold and role: for each year, all purged rows before it to train and its own to test, in one pass."""
+    roles = []
+    for fold, boundary, end, after in fold_bounds(df, embargo, years):
+        day, label = F.col("session_date"), F.col("label_end")
+        role = lambda name: F.struct(F.lit(fold).alias("fold"), F.lit(name).alias("role"))  # noqa: B023, E731
+        roles += [F.when((day <= F.lit(boundary)) & (label <= F.lit(boundary)), role("train")), F.when((day > F.lit(after)) & (day <= F.lit(end)) & (label <= F.lit(end)), role("test"))]
+    if not roles:
+        return df.limit(0).withColumn("fold", F.lit(0)).withColumn("role", F.lit(""))
+    found = F.explode(F.filter(F.array(*roles), lambda x: x.isNotNull())).alias("_r")
+    return df.select("*", found).select(*df.columns, "_r.fold", "_r.role")
 
 
 def early_stopping(train: DataFrame, embargo: int = HORIZON) -> DataFrame:

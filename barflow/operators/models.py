@@ -146,11 +146,12 @@ def target_time(ts: Column, interval: Column, horizon: int) -> Column:
 
 
 def predictions(scored: DataFrame, name: str, version: str, feature_set: str, horizon: int = D.HORIZON) -> DataFrame:
-    """Rows with P(up) in ``score`` -> prediction rows. Rows without one probability in [0, 1] give none."""
+    """Rows with P(up) in ``score`` -> prediction rows, their ids from the bar's ``event_id``. Rows without one probability in
+    [0, 1] give none."""
     p = F.col("score")
     df = scored.where(p.between(0, 1))
     return df.select(
-        contract.prediction_id(F.lit(name), F.lit(version), F.col("symbol"), F.col("interval"), F.col("ts")).alias("prediction_id"), "symbol", F.col("interval").alias("bar_interval"), "ts",
+        contract.prediction_id(F.col("event_id"), F.lit(name), F.lit(version), F.lit(horizon)).alias("prediction_id"), "symbol", F.col("interval").alias("bar_interval"), "ts",
         target_time(F.col("ts"), F.col("interval"), horizon).alias("target_ts"), F.lit(horizon).alias("horizon_bars"), F.lit("direction").alias("task"), F.when(p >= 0.5, "up").otherwise("down").alias("predicted_direction"),
         F.create_map(F.lit("up"), p, F.lit("down"), 1 - p).alias("class_probabilities"), F.greatest(p, 1 - p).alias("confidence"), F.lit(name).alias("model_name"), F.lit(version).alias("model_version"), F.lit(feature_set).alias("feature_set_version"),
     )
@@ -162,33 +163,51 @@ def skipped(rows: DataFrame, violations: Column) -> DataFrame:
     return rows.where("ready").withColumn("reason", reason).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Allowed moves between stages.
-TRANSITIONS = [("none", "staging"), ("staging", "production"), ("staging", "archived"), ("production", "archived"), ("archived", "staging")]
+#: Allowed moves between stages, from none for a version that is not registered. What is archived stays so.
+TRANSITIONS = [
+    (None, "candidate"), ("candidate", "challenger"), ("candidate", "champion"), ("candidate", "archived"), ("challenger", "champion"), ("challenger", "archived"), ("champion", "archived"),
+]
+#: Stages that one version of a model holds at a time, and the least gain in log loss over the base rate that leads there.
+HELD, LEAST_GAIN = ("challenger", "champion"), 0.001
+EVALUATION = ("wf_log_loss", "wf_null_log_loss", "test_log_loss", "test_null_log_loss")
 
 
 def bad_transitions(requests: DataFrame) -> DataFrame:
     allowed = requests.sparkSession.createDataFrame(TRANSITIONS, "from_stage string, to_stage string")
-    return requests.join(F.broadcast(allowed), ["from_stage", "to_stage"], "left_anti")
+    return requests.join(F.broadcast(allowed), requests["from_stage"].eqNullSafe(allowed["from_stage"]) & (requests["to_stage"] == allowed["to_stage"]), "left_anti")
 
 
-def gates(candidates: DataFrame, feature_set: str, least_gain: float = 0.001) -> DataFrame:
-    """(version, gate, passed, hard, blocking) of ``candidates(version, to_stage, feature_set_version, folds_gain, test_gain, override)``.
+def gates(candidates: DataFrame, feature_set: str, least_gain: float = LEAST_GAIN) -> DataFrame:
+    """(version, gate, passed, hard, blocking) of ``candidates(version, to_stage, feature_set_version, override)`` and the four
+    columns of ``EVALUATION``.
 
-    The feature set must match, whatever the override; evaluations must exist and gain enough on folds and test unless it is
-    overridden. Archiving has no gates.
+    The feature set must match whatever the override, unless a version is archived. Who is to be challenger or champion needs
+    an evaluation; where there is one, the smaller of its gains, in walk-forward folds and test, must reach ``least_gain``. These
+    two an override lets pass.
     """
-    gain = lambda c: F.coalesce(F.col(c) >= least_gain, F.lit(False))
-    each = [("feature_set", F.col("feature_set_version") == feature_set, True), ("evaluated", F.col("folds_gain").isNotNull() & F.col("test_gain").isNotNull(), False), ("folds_gain", gain("folds_gain"), False), ("test_gain", gain("test_gain"), False)]
-    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), F.coalesce(ok, F.lit(False)).alias("passed"), F.lit(hard).alias("hard")) for n, ok, hard in each])).alias("g")
-    df = candidates.where("to_stage <> 'archived'").select("version", "override", cells).select("version", "override", "g.*")
+    gain = F.least(F.col("wf_null_log_loss") - F.col("wf_log_loss"), F.col("test_null_log_loss") - F.col("test_log_loss"))
+    known, held = F.lit(True), F.col("to_stage").isin(*HELD)
+    for c in EVALUATION:
+        known = known & F.col(c).isNotNull()
+    gate = lambda name, asked, passed, hard: F.when(asked, F.struct(F.lit(name).alias("gate"), F.coalesce(passed, F.lit(False)).alias("passed"), F.lit(hard).alias("hard")))
+    each = F.array(gate("feature_set_compatible", F.lit(True), F.col("feature_set_version") == feature_set, True), gate("has_evaluation", held, known, False), gate("beats_base_rate", held & known, gain >= least_gain, False))
+    df = candidates.where("to_stage <> 'archived'").select("version", "override", F.explode(F.filter(each, lambda g: g.isNotNull())).alias("g")).select("version", "override", "g.*")
     return df.withColumn("blocking", ~F.col("passed") & (F.col("hard") | ~F.col("override"))).drop("override")
 
 
-def promoted(holders: DataFrame, winners: DataFrame, now: Column) -> DataFrame:
-    """Audit rows of a promotion: each displaced holder goes to archived, each winner to production."""
-    new = winners.select("model_name", "model_version", F.lit("staging").alias("from_stage"), F.lit("production").alias("to_stage"))
-    old = holders.join(winners.select("model_name"), "model_name", "left_semi").select("model_name", "model_version", F.lit("production").alias("from_stage"), F.lit("archived").alias("to_stage"))
-    return old.unionByName(new).withColumn("created_at", now)
+def promoted(requests: DataFrame, holders: DataFrame, now: Column) -> DataFrame:
+    """Audit rows of ``requests(model_name, model_version, from_stage, to_stage, reason, actor)`` that are granted: one each, and
+    one for the version of ``holders(model_name, model_version, stage)`` that a new challenger or champion displaces."""
+    rows = requests.withColumn("created_at", now)
+    taken = requests.where(F.col("to_stage").isin(*HELD)).select("model_name", F.col("to_stage").alias("stage"), F.col("model_version").alias("_new"), "reason", "actor")
+    gone = holders.join(taken, ["model_name", "stage"]).where("model_version <> _new")
+    why = F.concat(F.lit("replaced by version "), F.col("_new"), F.lit(": "), F.col("reason"))
+    return rows.unionByName(gone.select("model_name", "model_version", F.col("stage").alias("from_stage"), F.lit("archived").alias("to_stage"), why.alias("reason"), "actor", now.alias("created_at")))
+
+
+def holders(status: DataFrame) -> DataFrame:
+    """Of ``version_status``, the versions that hold a stage which one version holds at a time."""
+    return status.where(F.col("stage").isin(*HELD)).groupBy("model_name", "stage").agg(F.max_by("model_version", "since").alias("model_version"))
 
 
 def version_status(deployments: DataFrame) -> DataFrame:

@@ -5,34 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barflow.functions import timegrid as G
+from barflow.sources.session import shared_folder
 
 #: Processed identifiers that a symbol remembers.
 MEMORY = 256
 
 
+def _judged(df: DataFrame, order: str, memory: int) -> DataFrame:
+    """The policy's judgement of each row, if the rows before it were processed as ``_ok`` says."""
+    own = Window.partitionBy("symbol", "segment").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("symbol", "segment", "event_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_newest", F.max(F.when(F.col("_ok"), F.col("ts"))).over(own)).withColumn("_no", F.coalesce(F.count_if("_ok").over(own), F.lit(0)))
+    df = df.withColumn("_seen", F.last(F.when(F.col("_ok"), F.col("_no") + 1), ignorenulls=True).over(same))
+    again = F.coalesce((F.col("ts") == F.col("_newest")) | (F.col("_no") - F.col("_seen") < memory), F.lit(False))
+    late = F.coalesce(F.col("ts") < F.col("_newest"), F.lit(False))
+    df = df.withColumn("outcome", F.when(again, "duplicate").when(late, "late").otherwise("processed"))
+    missing = G.missing_bars(F.col("_newest"), F.col("ts"), G.duration(F.col("interval")))
+    return df.withColumn("missing_bars", F.when(F.col("outcome") == "processed", F.coalesce(missing, F.lit(0))).otherwise(F.lit(0))).drop("_newest", "_no", "_seen")
+
+
 def outcomes(arrivals: DataFrame, order: str = "arrival", memory: int = MEMORY) -> DataFrame:
     """Add segment, outcome (processed, duplicate, late) and missing_bars to ``arrivals(symbol, interval, ts, event_id)``.
 
-    A change of interval starts a new segment with no memory. A row is processed if it is newer than every row before it
-    in its segment. Otherwise it is a duplicate if it has the time of the newest one or an id among the last ``memory``
-    processed ones, and else late. missing_bars counts the bars that a processed row skips. Three windows by symbol and one
-    by symbol and id; no state beyond them.
+    A change of interval starts a new segment with no memory. A row is a duplicate if it has the time of the newest processed
+    one or an id among the last ``memory`` processed ones, however new it is; else late if it is older than the newest; else
+    processed. missing_bars counts the bars that a processed row skips.
+
+    What is processed depends on what was: rows are judged in windows as if every row newer than all before it had been
+    processed, and again by that judgement until it stands. A round sets one more row of a segment right at least, and a second
+    one is only needed where an id came again with a newer time.
     """
     w = Window.partitionBy("symbol").orderBy(order)
     change = (F.col("interval") != F.lag("interval").over(w)).cast("int")
     df = arrivals.withColumn("segment", F.sum(F.coalesce(change, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    own = Window.partitionBy("symbol", "segment").orderBy(order)
-    df = df.withColumn("_newest", F.max("ts").over(own.rowsBetween(Window.unboundedPreceding, -1)))
-    fresh = F.col("_newest").isNull() | (F.col("ts") > F.col("_newest"))
-    df = df.withColumn("_fresh", fresh).withColumn("_no", F.sum(fresh.cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    same = Window.partitionBy("symbol", "segment", "event_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.last(F.when(F.col("_fresh"), F.col("_no")), ignorenulls=True).over(same)
-    df = df.withColumn("_seen", seen)
-    again = (F.col("ts") == F.col("_newest")) | (F.col("_no") - F.col("_seen") < memory)
-    df = df.withColumn("outcome", F.when(F.col("_fresh"), "processed").when(F.coalesce(again, F.lit(False)), "duplicate").otherwise("late"))
-    missing = G.missing_bars(F.col("_newest"), F.col("ts"), G.duration(F.col("interval")))
-    df = df.withColumn("missing_bars", F.when(F.col("_fresh"), F.coalesce(missing, F.lit(0))).otherwise(F.lit(0)))
-    return df.drop("_newest", "_fresh", "_no", "_seen")
+    newest = F.max("ts").over(Window.partitionBy("symbol", "segment").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_ok", newest.isNull() | (F.col("ts") > newest))
+    shared_folder(df.sparkSession)
+    while True:
+        df = _judged(df, order, memory).checkpoint()
+        stands = F.col("_ok") == (F.col("outcome") == "processed")
+        if df.where(~stands).isEmpty():
+            return df.drop("_ok")
+        df = df.withColumn("_ok", F.col("outcome") == "processed").drop("outcome", "missing_bars")
 
 
 def outcome_counts(df: DataFrame, *keys: str) -> DataFrame:

@@ -48,7 +48,7 @@ def open_predictions(predictions: DataFrame, now: Column) -> DataFrame:
     return latest_per(predictions.where(F.col("target_ts") > now), ["symbol"], "ts", ["prediction_id"])
 
 
-def champion(deployments: DataFrame, stage: str = "production") -> DataFrame:
+def champion(deployments: DataFrame, stage: str = "champion") -> DataFrame:
     """Per model the version last promoted to the stage, unless it was archived after that."""
     d = deployments.where(F.col("to_stage") == stage).groupBy("model_name").agg(F.max_by(F.struct("model_version", "id", "created_at"), "id").alias("p"))
     d = d.select("model_name", "p.model_version", F.col("p.id").alias("id"), F.col("p.created_at").alias("promoted_at"))

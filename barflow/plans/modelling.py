@@ -30,7 +30,8 @@ def split_purge_embargo(spark, d):
 
 
 def split_walk_forward(spark, d):
-    df = D.walk_forward(labelled(spark, d), [1996, 1997])
+    """Every year of the data but the first is a fold."""
+    df = D.walk_forward(labelled(spark, d).select("symbol", "session_date", "label_end"))
     return df.groupBy("fold", "role", "symbol").agg(F.count(F.lit(1)).alias("n"), F.min("session_date").alias("first"), F.max("session_date").alias("last"))
 
 
@@ -90,10 +91,10 @@ gr AS (SELECT p.strategy, p."offset", p.period, p.session_date, y.symbol, coales
 gd AS (SELECT *, lag(weight, 1, 0) OVER (PARTITION BY strategy, "offset", symbol ORDER BY period) AS before FROM gr),
 pr AS (SELECT strategy, "offset", period, session_date, coalesce(sum(weight * (exp(y_return) - 1)), 0) AS gross, sum(abs(weight - before)) AS turnover, sum(abs(weight)) AS exposure FROM gd GROUP BY 1, 2, 3, 4),
 ct AS (SELECT *, turnover * bps / 1e4 AS cost, gross - turnover * bps / 1e4 AS net FROM pr, (VALUES (0.0::DOUBLE), (10.0), (20.0)) AS c(bps)),
-eq AS (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY strategy, bps, "offset" ORDER BY period)) AS equity FROM ct),
+eq AS (SELECT *, product(1 + net) OVER (PARTITION BY strategy, bps, "offset" ORDER BY period) AS equity FROM ct),
 dd AS (SELECT *, equity / greatest(1, max(equity) OVER (PARTITION BY strategy, bps, "offset" ORDER BY period)) - 1 AS down FROM eq),
-sm AS (SELECT strategy, bps, "offset", count(*) AS periods, exp(sum(ln(1 + net))) AS growth, avg(net) AS m, stddev_samp(net) AS sd, min(down) AS max_drawdown, avg((net > 0)::INT) AS hit_rate, avg(turnover) AS avg_turnover, avg(exposure) AS avg_exposure FROM dd GROUP BY 1, 2, 3),
-sv AS (SELECT *, growth ** (50.4 / periods) - 1 AS annual_return, sd * sqrt(50.4) AS annual_volatility, m / sd * sqrt(50.4) AS sharpe, m / sd * sqrt(periods) AS t_stat FROM sm)
+sm AS (SELECT strategy, bps, "offset", count(*) AS periods, product(1 + net) AS growth, avg(cost) * 50.4 AS annual_cost, avg(net) AS m, stddev_samp(net) AS sd, min(down) AS max_drawdown, avg((net > 0)::INT) AS hit_rate, avg(turnover) AS avg_turnover, avg(exposure) AS avg_exposure FROM dd GROUP BY 1, 2, 3),
+sv AS (SELECT *, CASE WHEN growth > 0 THEN growth ** (50.4 / periods) - 1 ELSE -1 END AS annual_return, periods / 50.4 AS years, sd * sqrt(50.4) AS annual_volatility, m / sd * sqrt(50.4) AS sharpe, m / sd * sqrt(periods) AS t_stat FROM sm)
 """
 
 
@@ -110,7 +111,7 @@ def bt_periods(spark, d):
     return df.select("offset", "session_date", *[rd(c, 7) for c in ("gross", "turnover", "exposure", "cost", "net")])
 
 
-_METRICS = {"growth": 5, "annual_return": 5, "annual_volatility": 6, "sharpe": 5, "t_stat": 5, "max_drawdown": 6, "hit_rate": 6, "avg_turnover": 6, "avg_exposure": 6}
+_METRICS = {"years": 6, "annual_cost": 6, "growth": 5, "annual_return": 5, "annual_volatility": 6, "sharpe": 5, "t_stat": 5, "max_drawdown": 6, "hit_rate": 6, "avg_turnover": 6, "avg_exposure": 6}
 
 
 def bt_summary(spark, d):
@@ -118,6 +119,18 @@ def bt_summary(spark, d):
     return B.summary(df, _HORIZON).select("offset", "periods", *[rd(c, n) for c, n in _METRICS.items()])
 
 
+_LOST = {2: "-1.0", 3: "-1.3", 4: "-0.999"}
+
+
+def bt_losses(spark, d):
+    """Summaries where the third period of an offset loses all, more than all, or nearly all."""
+    df = B.periods(B.weights(B.rebalances(panel(spark, d), _HORIZON), "long_short", 2), 10.0)
+    net = F.col("net")
+    for offset, lost in _LOST.items():
+        net = F.when((F.col("offset") == offset) & (F.col("period") == 2), F.lit(float(lost))).otherwise(net)
+    return B.summary(df.withColumn("net", net), _HORIZON).select("offset", *[rd(c, 5) for c in ("growth", "annual_return", "max_drawdown")])
+
+
 def bt_offsets(spark, d):
     df = B.periods(B.weights(B.rebalances(panel(spark, d), _HORIZON), "long_short", 2), 10.0)
     return B.over_offsets(B.summary(df, _HORIZON)).select(*[rd(c, 5) for c in ("sharpe_min", "sharpe_median", "sharpe_max", "annual_return_median")])
@@ -152,7 +165,7 @@ def model_baselines(spark, d):
 
 def model_predictions(spark, d):
     """Scored bars as prediction rows with derived ids and target times."""
-    df = labelled(spark, d).where("p is not null").withColumn("score", F.col("p"))
+    df = labelled(spark, d).where("p is not null").withColumn("score", F.col("p")).withColumn("event_id", F.concat_ws("-", "symbol", F.unix_micros("ts").cast("string")))
     out = M.predictions(df, "momentum", "1", X.VERSION)
     return out.select("prediction_id", "symbol", F.to_date("ts").alias("day"), F.to_date("target_ts").alias("target_day"), "predicted_direction", rd("confidence", 6))
 
@@ -174,23 +187,23 @@ def ml_gbt(spark, d):
 
 
 def ml_development(spark, d):
-    """Baselines on two folds, ranked by log loss against the majority."""
+    """Baselines on a fold a year, ranked by log loss against the majority."""
     df = _dataset(spark, d).drop("score")
-    results = M.development(df, {"majority": M.majority, "random": M.random_control()}, [1996, 1997])
+    results = M.development(df, {"majority": M.majority, "random": M.random_control()}, [r.fold for r in D.fold_bounds(df, _HORIZON)])
     return M.ranked(results)
 
 
 _DEPLOY = """dp AS (SELECT o_orderkey AS id, 'm' || (o_custkey % 5) AS model_name, 'v' || (o_orderkey % 7) AS model_version,
-  CASE o_orderkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'staging' WHEN 2 THEN 'production' ELSE 'archived' END AS from_stage,
-  CASE (o_orderkey // 4) % 3 WHEN 0 THEN 'staging' WHEN 1 THEN 'production' ELSE 'archived' END AS to_stage, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders)"""
+  CASE o_orderkey % 5 WHEN 1 THEN 'candidate' WHEN 2 THEN 'challenger' WHEN 3 THEN 'champion' WHEN 4 THEN 'archived' END AS from_stage,
+  CASE (o_orderkey // 5) % 4 WHEN 0 THEN 'candidate' WHEN 1 THEN 'challenger' WHEN 2 THEN 'champion' ELSE 'archived' END AS to_stage, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders)"""
 
 
 def deployments(spark, d):
     k = F.col("o_orderkey")
     stage = lambda x, names: F.element_at(F.array(*map(F.lit, names)), (x + 1).cast("int"))
     return spark.read.parquet(f"{d}/orders.parquet").select(
-        k.alias("id"), F.concat(F.lit("m"), F.col("o_custkey") % 5).alias("model_name"), F.concat(F.lit("v"), k % 7).alias("model_version"), stage(k % 4, ["none", "staging", "production", "archived"]).alias("from_stage"),
-        stage(F.floor(k / 4) % 3, ["staging", "production", "archived"]).alias("to_stage"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        k.alias("id"), F.concat(F.lit("m"), F.col("o_custkey") % 5).alias("model_name"), F.concat(F.lit("v"), k % 7).alias("model_version"), stage(k % 5, [None, "candidate", "challenger", "champion", "archived"]).alias("from_stage"),
+        stage(F.floor(k / 5) % 4, ["candidate", "challenger", "champion", "archived"]).alias("to_stage"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
     )
 
 
@@ -198,18 +211,43 @@ def model_bad_transitions(spark, d):
     return M.bad_transitions(deployments(spark, d)).groupBy("from_stage", "to_stage").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _evaluated(spark, d):
+    """Deployments as requests, some of another feature set, some without an evaluation."""
+    k = F.col("id")
+    null = lambda c, by: F.when(k % by != 0, c)
+    return deployments(spark, d).select(
+        k.cast("string").alias("version"), "model_name", "model_version", "from_stage", "to_stage", F.when(k % 5 == 0, "fs-0").otherwise(X.VERSION).alias("feature_set_version"), (k % 2 == 0).alias("override"),
+        null(0.69 - (k % 11 - 5) * 0.0007, 3).alias("wf_log_loss"), F.lit(0.69).alias("wf_null_log_loss"), null(0.68 - (k % 13 - 5) * 0.0007, 7).alias("test_log_loss"), F.lit(0.68).alias("test_null_log_loss"), F.lit("better").alias("reason"), F.lit("op").alias("actor"),
+    )
+
+
 def model_gates(spark, d):
-    df = deployments(spark, d).select(F.col("id").cast("string").alias("version"), "to_stage", F.when(F.col("id") % 5 == 0, "fs-0").otherwise(X.VERSION).alias("feature_set_version"), F.when(F.col("id") % 3 != 0, (F.col("id") % 11 - 5) / 1000).alias("folds_gain"), F.when(F.col("id") % 7 != 0, (F.col("id") % 13 - 5) / 1000).alias("test_gain"), (F.col("id") % 2 == 0).alias("override"))
-    return M.gates(df, X.VERSION).groupBy("gate", "hard").agg(F.count_if("passed").alias("passed"), F.count_if("blocking").alias("blocking"))
+    return M.gates(_evaluated(spark, d), X.VERSION).groupBy("gate", "hard").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("passed"), F.count_if("blocking").alias("blocking"))
+
+
+def model_promotions(spark, d):
+    """Audit rows of the requests that are allowed and pass their gates, against what holds the stages before them."""
+    asked = _evaluated(spark, d)
+    allowed = asked.join(M.bad_transitions(asked).select("version"), "version", "left_anti")
+    granted = allowed.join(M.gates(allowed, X.VERSION).where("blocking").select("version").distinct(), "version", "left_anti")
+    columns = ["model_name", "model_version", "from_stage", "to_stage", "reason", "actor"]
+    held = M.holders(M.version_status(deployments(spark, d)))
+    out = M.promoted(granted.select(*columns), held, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return out.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 def model_version_status(spark, d):
     return M.version_status(deployments(spark, d)).select("model_name", "model_version", "stage", F.to_date("since").alias("since"))
 
 
+_BAD = "coalesce(from_stage, '') || '>' || to_stage NOT IN ('>candidate', 'candidate>challenger', 'candidate>champion', 'candidate>archived', 'challenger>champion', 'challenger>archived', 'champion>archived')"
+_GATES = """c AS (SELECT *, id % 5 <> 0 AS fs, id % 2 = 0 AS ov, CASE WHEN id % 3 <> 0 THEN 0.69::DOUBLE - (id % 11 - 5) * 0.0007::DOUBLE END AS wl, CASE WHEN id % 7 <> 0 THEN 0.68::DOUBLE - (id % 13 - 5) * 0.0007::DOUBLE END AS tl FROM dp),
+q AS (SELECT *, to_stage IN ('challenger', 'champion') AS held, wl IS NOT NULL AND tl IS NOT NULL AS known FROM c WHERE to_stage <> 'archived'),
+g AS (SELECT id, ov, 'feature_set_compatible' AS gate, true AS hard, fs AS passed FROM q UNION ALL SELECT id, ov, 'has_evaluation', false, known FROM q WHERE held
+  UNION ALL SELECT id, ov, 'beats_base_rate', false, least(0.69::DOUBLE - wl, 0.68::DOUBLE - tl) >= 0.001 FROM q WHERE held AND known)"""
 _B = "FROM b WHERE y_up IS NOT NULL AND score IS NOT NULL"
 _CM = """count(*) FILTER (y_up = 1 AND score > 0) AS tp, count(*) FILTER (y_up = 0 AND score > 0) AS fp, count(*) FILTER (y_up = 1 AND score <= 0) AS fn, count(*) FILTER (y_up = 0 AND score <= 0) AS tn, count(*)::DOUBLE AS n"""
-QUERIES = {q.__name__: q for q in (split_purge_embargo, split_walk_forward, split_early_stopping, eval_classification, eval_auc, eval_logloss, eval_regression, eval_folds, bt_weights, bt_periods, bt_summary, bt_offsets, bt_costs, model_baselines, model_predictions, model_bad_transitions, model_gates, model_version_status, ml_logistic, ml_ridge, ml_gbt, ml_development)}
+QUERIES = {q.__name__: q for q in (split_purge_embargo, split_walk_forward, split_early_stopping, eval_classification, eval_auc, eval_logloss, eval_regression, eval_folds, bt_weights, bt_periods, bt_summary, bt_losses, bt_offsets, bt_costs, model_baselines, model_predictions, model_bad_transitions, model_gates, model_promotions, model_version_status, ml_logistic, ml_ridge, ml_gbt, ml_development)}
 
 
 def _after(boundary: str) -> str:
@@ -225,15 +263,18 @@ def _train(boundary: str) -> str:
     return f"session_date <= DATE '{boundary}' AND label_end <= DATE '{boundary}'"
 
 
-_FOLDS = " UNION ALL ".join(f"SELECT {y} AS fold, '{role}' AS role, * FROM b WHERE {cond}" for y in (1996, 1997) for role, cond in (("train", _train(f"{y - 1}-12-31")), ("test", _test(f"{y - 1}-12-31", f"{y}-12-31"))))
+_FOLDS = """ds AS (SELECT session_date AS day, row_number() OVER (ORDER BY session_date) AS no FROM (SELECT DISTINCT session_date FROM b WHERE session_date IS NOT NULL)),
+yr AS (SELECT year(day) AS fold, min(no) - 1 AS before FROM ds GROUP BY 1),
+fo AS (SELECT fold, make_date(fold - 1, 12, 31) AS bd, make_date(fold, 12, 31) AS en, day AS emb FROM yr, (SELECT count(*) AS total FROM ds) JOIN ds ON no = least(before + 5, total) WHERE before > 0),
+fd AS (SELECT fold, 'train' AS role, b.* FROM b JOIN fo ON session_date <= bd AND label_end <= bd UNION ALL SELECT fold, 'test', b.* FROM b JOIN fo ON session_date > emb AND session_date <= en AND label_end <= en)"""
 _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in X.NAMES)
 _SETS = f"""{LABELS_SQL.rstrip()}, b AS (SELECT symbol, day AS session_date, ret_5, y_return, y_up, label_end FROM y WHERE y_return IS NOT NULL AND {_COMPLETE}),
 tr AS (SELECT * FROM b WHERE y_up IS NOT NULL AND {_train(_VALID)}), te AS (SELECT * FROM b WHERE y_up IS NOT NULL AND {_test(_VALID)})"""
-_PID = "sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode('momentum:1:' || symbol || ':1d:' || epoch_us(ts)))"
+_PID = "sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(symbol || '-' || epoch_us(ts) || ':momentum:1:5'))"
 _UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
 ORACLES = {
     "split_purge_embargo": f"{_LAB} SELECT symbol, session_date, 'train' AS split, label_end FROM b WHERE {_train(_TRAIN)} UNION ALL SELECT symbol, session_date, 'validation', label_end FROM b WHERE {_test(_TRAIN, _VALID)} UNION ALL SELECT symbol, session_date, 'test', label_end FROM b WHERE {_test(_VALID)}",
-    "split_walk_forward": f'{_LAB}, fd AS ({_FOLDS}) SELECT fold, role, symbol, count(*) AS n, min(session_date) AS "first", max(session_date) AS "last" FROM fd GROUP BY 1, 2, 3',
+    "split_walk_forward": f'{_LAB}, {_FOLDS} SELECT fold::INT AS fold, role, symbol, count(*) AS n, min(session_date) AS "first", max(session_date) AS "last" FROM fd GROUP BY 1, 2, 3',
     "split_early_stopping": f"""{_LAB}, t AS (SELECT * FROM b WHERE {_train(_VALID)}), c AS (SELECT CAST(max(session_date) - INTERVAL 12 MONTH AS DATE) AS cut FROM t),
 e AS (SELECT max(session_date) AS emb FROM (SELECT DISTINCT session_date FROM t, c WHERE session_date > cut ORDER BY 1 LIMIT 5)),
 v AS (SELECT t.*, session_date > emb AS is_validation FROM t, c, e WHERE (session_date <= cut AND label_end <= cut) OR session_date > emb)
@@ -252,15 +293,24 @@ SELECT symbol, count(*) AS n, {sq('avg(abs(e))', 5, 'mae')}, {sq('sqrt(avg(e * e
     "bt_weights": f'WITH {_PANEL} SELECT symbol, session_date, "offset", strategy, {sq("weight", 6)} FROM st',
     "bt_periods": f"WITH {_PANEL} SELECT \"offset\", session_date, {sqs({c: 7 for c in ('gross', 'turnover', 'exposure', 'cost', 'net')})} FROM ct WHERE strategy = 'top_k' AND bps = 10",
     "bt_summary": f"WITH {_PANEL} SELECT \"offset\", periods, {sqs(_METRICS)} FROM sv WHERE strategy = 'long_short' AND bps = 10",
+    "bt_losses": f"""WITH {_PANEL}, lt AS (SELECT * REPLACE (CASE {' '.join(f'WHEN "offset" = {k} AND period = 2 THEN {v}::DOUBLE' for k, v in _LOST.items())} ELSE net END AS net) FROM ct WHERE strategy = 'long_short' AND bps = 10),
+le AS (SELECT *, product(1 + net) OVER (PARTITION BY "offset" ORDER BY period) AS equity FROM lt), ld AS (SELECT *, equity / greatest(1, max(equity) OVER (PARTITION BY "offset" ORDER BY period)) - 1 AS down FROM le),
+lg AS (SELECT "offset", product(1 + net) AS growth, count(*) AS n, min(down) AS max_drawdown FROM ld GROUP BY 1), la AS (SELECT *, CASE WHEN growth > 0 THEN growth ** (50.4 / n) - 1 ELSE -1 END AS annual_return FROM lg)
+SELECT "offset", {sqs({"growth": 5, "annual_return": 5, "max_drawdown": 5})} FROM la""",
     "bt_offsets": f"WITH {_PANEL} SELECT {sq('min(sharpe)', 5, 'sharpe_min')}, {sq('median(sharpe)', 5, 'sharpe_median')}, {sq('max(sharpe)', 5, 'sharpe_max')}, {sq('median(annual_return)', 5, 'annual_return_median')} FROM sv WHERE strategy = 'long_short' AND bps = 10",
     "bt_costs": f'WITH {_PANEL} SELECT strategy, {sq("bps", 1, "cost_bps")}, "offset", periods, {sqs({"growth": 5, "sharpe": 5})} FROM sv',
     "model_baselines": f"{_SETS} SELECT 'majority' AS model, count(*) AS n, {sq('(SELECT avg(y_up) FROM tr)', 6, 'mean_score')} FROM te UNION ALL SELECT 'momentum', count(*), {sq('avg(ret_5)', 6, 'mean_score')} FROM te UNION ALL SELECT 'zero', count(*), 0.0 FROM te UNION ALL SELECT 'train_mean', count(*), {sq('(SELECT avg(y_return) FROM tr)', 6, 'mean_score')} FROM te",
     "model_predictions": f"""{_LAB}, h AS (SELECT *, {_PID} AS h FROM b WHERE p IS NOT NULL)
 SELECT {_UUID} AS prediction_id, symbol, session_date AS day, CAST(session_date + (CASE WHEN isodow(ts) > 5 THEN 8 - isodow(ts) ELSE 0 END + 5 + 2 * ((CASE WHEN isodow(ts) > 5 THEN 0 ELSE isodow(ts) - 1 END + 5) // 5))::INT AS DATE) AS target_day,
 CASE WHEN p >= 0.5 THEN 'up' ELSE 'down' END AS predicted_direction, {sq('greatest(p, 1 - p)', 6, 'confidence')} FROM h""",
-    "model_bad_transitions": f"WITH {_DEPLOY} SELECT from_stage, to_stage, count(*) AS n FROM dp WHERE (from_stage, to_stage) NOT IN (('none', 'staging'), ('staging', 'production'), ('staging', 'archived'), ('production', 'archived'), ('archived', 'staging')) GROUP BY 1, 2",
-    "model_gates": f"""WITH {_DEPLOY}, c AS (SELECT id % 5 <> 0 AS fs, CASE WHEN id % 3 <> 0 THEN (id % 11 - 5) / 1000 END AS fg, CASE WHEN id % 7 <> 0 THEN (id % 13 - 5) / 1000 END AS tg, id % 2 = 0 AS ov FROM dp WHERE to_stage <> 'archived'),
-g AS (SELECT 'feature_set' AS gate, true AS hard, fs AS passed, ov FROM c UNION ALL SELECT 'evaluated', false, fg IS NOT NULL AND tg IS NOT NULL, ov FROM c UNION ALL SELECT 'folds_gain', false, coalesce(fg >= 0.001, false), ov FROM c UNION ALL SELECT 'test_gain', false, coalesce(tg >= 0.001, false), ov FROM c)
-SELECT gate, hard, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed AND (hard OR NOT ov)) AS blocking FROM g GROUP BY 1, 2""",
+    "model_bad_transitions": f"WITH {_DEPLOY} SELECT from_stage, to_stage, count(*) AS n FROM dp WHERE {_BAD} GROUP BY 1, 2",
+    "model_gates": f"WITH {_DEPLOY}, {_GATES} SELECT gate, hard, count(*) AS n, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed AND (hard OR NOT ov)) AS blocking FROM g GROUP BY 1, 2",
+    "model_promotions": f"""WITH {_DEPLOY}, {_GATES},
+ok AS (SELECT * FROM c WHERE NOT ({_BAD}) AND id NOT IN (SELECT id FROM g WHERE NOT passed AND (hard OR NOT ov))),
+vs AS (SELECT model_name, model_version, arg_max(to_stage, id) AS stage, max(created_at) AS since FROM dp GROUP BY 1, 2),
+hd AS (SELECT model_name, stage, arg_max(model_version, since) AS model_version FROM vs WHERE stage IN ('challenger', 'champion') GROUP BY 1, 2),
+au AS (SELECT model_name, model_version, from_stage, to_stage, 'better' AS reason FROM ok
+  UNION ALL SELECT hd.model_name, hd.model_version, hd.stage, 'archived', 'replaced by version ' || ok.model_version || ': better' FROM hd JOIN ok ON hd.model_name = ok.model_name AND hd.stage = ok.to_stage AND hd.model_version <> ok.model_version)
+SELECT model_name, model_version, from_stage, to_stage, reason, 'op' AS actor, count(*) AS n FROM au GROUP BY 1, 2, 3, 4, 5""",
     "model_version_status": f"WITH {_DEPLOY} SELECT model_name, model_version, arg_max(to_stage, id) AS stage, CAST(max(created_at) AS DATE) AS since FROM dp GROUP BY 1, 2",
 }

@@ -208,12 +208,12 @@ def srv_status(spark, d):
 
 def srv_watchlist(spark, d):
     quotes = S.latest_per(event_bars(spark, d), ["symbol"]).select("symbol", "close")
-    items = table(spark, d, "events").where("event_id < 200").select((F.col("user_id") % 5).cast("string").alias("user_id"), F.col("event_type").alias("symbol"), F.col("event_id").alias("position"), F.col("ts").alias("added_at"))
+    items = table(spark, d, "events").select((F.col("user_id") % 5).cast("string").alias("user_id"), F.col("event_type").alias("symbol"), F.col("event_id").alias("position"), F.col("ts").alias("added_at"))
     return S.watchlist(items, quotes, "3").select("position", "symbol", rd("close", 2))
 
 
 def srv_chart(spark, d):
-    b = event_bars(spark, d).where("symbol = 'error'").select("symbol", "ts", "close")
+    b = event_bars(spark, d).select("symbol", "ts", "close")
     live = b.where("hour(ts) = 5").withColumn("close", F.col("close") + 1)
     ind = I.returns(event_bars(spark, d)).select("symbol", "ts", "return_1")
     return S.chart(b, ind, live).select("symbol", stamp("ts", "at"), rd("close", 2), rd("return_1", 6))
@@ -251,7 +251,7 @@ SELECT model, drifted, features, {sq('drifted / features', 6, 'share')}, drifted
     "srv_session": f"WITH {EVENT_SQL}, g AS (SELECT symbol, count(*) AS bars, sum(volume)::BIGINT AS volume, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close FROM ev WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1), h AS (SELECT *, close - open AS change, CASE WHEN open <> 0 THEN 100 * (close - open) / open END AS change_pct FROM g) SELECT symbol, bars, volume, {sqs({c: 4 for c in ('open', 'high', 'low', 'close', 'change', 'change_pct')})} FROM h",
     "srv_predictions": f"WITH {_PRED}, t AS (SELECT * FROM pd ORDER BY ts DESC, symbol LIMIT 100) SELECT prediction_id, {sql_stamp('ts', 'at')}, CASE WHEN t.p >= 0.5 THEN 'up' ELSE 'down' END AS predicted_direction, actual_direction, is_correct FROM t LEFT JOIN ov USING (prediction_id)",
     "srv_open_prediction": f"WITH {_PRED} SELECT symbol, arg_max(prediction_id, ts) AS prediction_id, {sql_stamp('max(target_ts)', 'target')} FROM pd WHERE target_ts > {_SQL_NOW} GROUP BY symbol",
-    "srv_champion": f"""WITH {_DEPLOY}, p AS (SELECT * FROM dp WHERE to_stage = 'production' QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY id DESC) = 1)
+    "srv_champion": f"""WITH {_DEPLOY}, p AS (SELECT * FROM dp WHERE to_stage = 'champion' QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY id DESC) = 1)
 SELECT model_name, model_version, CAST(created_at AS DATE) AS promoted FROM p WHERE NOT EXISTS (SELECT 1 FROM dp WHERE dp.model_name = p.model_name AND dp.model_version = p.model_version AND dp.to_stage = 'archived' AND dp.id > p.id)""",
     "srv_monitoring": f"WITH {_REP} SELECT CAST(created_at AS DATE) AS day, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'warning') AS warning, count(*) FILTER (status = 'alert') AS alert, coalesce(bool_or(report_type = 'retrain' AND value > 0), false) AS retrain FROM rp WHERE created_at = (SELECT max(created_at) FROM rp) GROUP BY 1",
     "srv_drifted": f"WITH {_REP} SELECT event_id, feature_name, {sq('value', 2)} FROM rp WHERE created_at = (SELECT max(created_at) FROM rp) AND report_type = 'data_drift' AND status = 'alert'",
@@ -265,8 +265,8 @@ SELECT lt.symbol, {sql_stamp('lt.ts', 'at')}, {sq('CASE WHEN j.ts = lt.ts THEN s
 FROM lt LEFT JOIN j USING (symbol) LEFT JOIN g USING (symbol) LEFT JOIN op USING (symbol)""",
     "srv_status": f"""WITH {EVENT_SQL}, s AS (SELECT 'bars' AS stage, symbol, max(ts) AS ts FROM ev GROUP BY 2 UNION ALL SELECT 'indicators', symbol, max(ts) FROM ev WHERE symbol <> 'view' OR ts < TIMESTAMP '2024-01-10' GROUP BY 2), t AS (SELECT *, date_diff('second', ts + INTERVAL 1 HOUR, TIMESTAMP '2024-01-31 02:00:00') > 18000 AS st FROM s)
 SELECT stage, {sql_stamp('max(ts)', '"last"')}, CASE WHEN bool_and(st) THEN 'stale' ELSE 'ok' END AS status, coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (st), '') AS stale_symbols FROM t GROUP BY 1""",
-    "srv_watchlist": f"WITH {EVENT_SQL}, {_LAST} SELECT event_id AS position, event_type AS symbol, {sq('close', 2)} FROM events LEFT JOIN lt ON event_type = symbol WHERE event_id < 200 AND user_id % 5 = 3",
-    "srv_chart": f"WITH {EVENT_SQL}, r AS (SELECT symbol, ts, close, (close - lag(close) OVER {_W}) / lag(close) OVER {_W} AS return_1 FROM ev) SELECT symbol, {sql_stamp('ts', 'at')}, {sq('close + CASE WHEN hour(ts) = 5 THEN 1 ELSE 0 END', 2, 'close')}, {sq('return_1', 6)} FROM r WHERE symbol = 'error'",
+    "srv_watchlist": f"WITH {EVENT_SQL}, {_LAST} SELECT event_id AS position, event_type AS symbol, {sq('close', 2)} FROM events LEFT JOIN lt ON event_type = symbol WHERE user_id % 5 = 3",
+    "srv_chart": f"WITH {EVENT_SQL}, r AS (SELECT symbol, ts, close, (close - lag(close) OVER {_W}) / lag(close) OVER {_W} AS return_1 FROM ev) SELECT symbol, {sql_stamp('ts', 'at')}, {sq('close + CASE WHEN hour(ts) = 5 THEN 1 ELSE 0 END', 2, 'close')}, {sq('return_1', 6)} FROM r",
     "srv_newest": f"WITH {EVENT_SQL}, {_LAST} SELECT symbol, {sq('CASE WHEN symbol = $$click$$ THEN close ELSE 0 END', 2, 'close')} FROM lt",
     "srv_track_record": f"""WITH {_PRED}, t AS (SELECT model_name, is_correct, actual_direction FROM pd LEFT JOIN ov USING (prediction_id)), g AS (SELECT model_name, count(is_correct) AS resolved, count(*) FILTER (actual_direction IS NULL) AS pending, count(*) FILTER (is_correct) AS hit, count(*) FILTER (is_correct IS NOT NULL AND actual_direction = 'up') AS up FROM t GROUP BY 1)
 SELECT model_name, resolved, pending, {sq('hit / nullif(resolved, 0)', 6, 'hit_rate')}, {sq('greatest(up, resolved - up) / nullif(resolved, 0)', 6, 'majority_rate')} FROM g""",

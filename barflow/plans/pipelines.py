@@ -61,7 +61,7 @@ def contract_events(spark, d):
 def dlq_records(spark, d):
     _, bad = C.split(C.decoded(log(spark, d)), ["key", "value", "topic", "partition", "offset"])
     df = C.dead_letters(bad, "enricher", _at())
-    return df.select("original_topic", "original_partition", "original_offset", "original_key", "reason", "routing_key", "attempts", F.length("original_value_b64").alias("b64_length"))
+    return df.select("original_topic", "original_partition", "original_offset", "original_key", "original_value_b64", "reason", "error_message", "consumer_group", "routing_key", "attempts")
 
 
 def contract_predictions(spark, d):
@@ -76,7 +76,7 @@ def contract_predictions(spark, d):
 
 
 def derived_ids(spark, d):
-    return C.derived_ids(numbered(spark, d)).select("event_id", "enriched_id", "anomaly_root")
+    return C.derived_ids(numbered(spark, d), "1", F.lit("volume"), F.lit("spike")).select("event_id", "enriched_id", "anomaly_event_id", "anomaly_id")
 
 
 def contract_enriched(spark, d):
@@ -87,8 +87,11 @@ def contract_enriched(spark, d):
 
 # -- sinks ---------------------------------------------------------------------------------------------------------------------
 def _batches(spark, d):
+    """A target of three fifths of each symbol's bars, and a batch of its later half."""
     df = numbered(spark, d).select("symbol", "ts", "event_id", rd("close", 2), "n")
-    return df.where("n <= 300"), df.where("n > 250 and n <= 600")
+    of = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    df = df.withColumn("m", of)
+    return df.where("5 * n <= 3 * m"), df.where("2 * n > m")
 
 
 def sink_append_absent(spark, d):
@@ -104,10 +107,10 @@ def sink_counts(spark, d):
 
 
 def sink_latest(spark, d):
-    """Latest state after a batch that is older for one symbol and ties for another."""
+    """Latest state after a batch that is older for one symbol and ends at the stored row for another."""
     target, batch = _batches(spark, d)
     stored = S.latest(target.limit(0), target)
-    batch = batch.where("symbol <> 'view' or n < 280").withColumn("close", F.col("close") + 1)
+    batch = batch.where("symbol not in ('view', 'click') or (symbol = 'view' and 20 * n < 11 * m) or (symbol = 'click' and 5 * n <= 3 * m)").withColumn("close", F.col("close") + 1)
     return S.latest(stored, batch).select("symbol", "event_id", "close")
 
 
@@ -182,13 +185,13 @@ def scan_replay_skipped(spark, d):
 
 
 def scan_csv(spark, d):
-    """Bars written as CSV and read back, as strings with their lines and typed."""
+    """Bars written as CSV, a file a symbol, and read back, as strings with their lines and typed."""
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    bars = event_bars(spark, d).where("symbol = 'view'").select("volume", F.unix_timestamp("ts").alias("timestamp"), "open", "high", "low", "close")
-    bars.coalesce(1).sortWithinPartitions("timestamp").write.option("header", True).csv(path)
-    raw = R.lenient_csv(spark, [path]).select("row", "raw_timestamp", F.col("raw_close").cast("double").alias("close"))
-    typed = R.typed_csv(spark, path).select(F.unix_timestamp("ts").cast("string").alias("raw_timestamp"), F.col("volume").cast("long").alias("volume"))
-    return raw.join(typed, "raw_timestamp").select("row", F.col("raw_timestamp").cast("long").alias("epoch"), rd("close", 2), "volume")
+    bars = event_bars(spark, d).select("symbol", "volume", F.unix_timestamp("ts").alias("timestamp"), "open", "high", "low", "close")
+    bars.repartition("symbol").sortWithinPartitions("symbol", "timestamp").write.option("header", True).partitionBy("symbol").csv(path)
+    raw = R.lenient_csv(spark, [path], r"symbol=([^/]+)/").select("symbol", "row", F.col("raw_timestamp").cast("long").alias("epoch"), F.col("raw_close").cast("double").alias("close"))
+    typed = R.typed_csv(spark, path, "symbol").select("symbol", F.unix_timestamp("ts").alias("epoch"), F.col("volume").cast("long").alias("volume"))
+    return raw.join(typed, ["symbol", "epoch"]).select("symbol", "row", "epoch", rd("close", 2), "volume")
 
 
 # -- operations ----------------------------------------------------------------------------------------------------------------
@@ -324,21 +327,28 @@ _NAMES = (
 )
 QUERIES = {q.__name__: q for q in _NAMES}
 _BROKEN = "array_to_string(list_filter([CASE WHEN n % 41 = 0 THEN 'interval' END, CASE WHEN n % 37 = 0 THEN 'time' END, CASE WHEN n % 43 = 0 OR NOT (open + 1 > 0 AND low + 1 > 0 AND close + 1 > 0) THEN 'prices' END, CASE WHEN low > least(CASE WHEN n % 43 = 0 THEN -2 ELSE open END, close) THEN 'low' END], lambda x: x IS NOT NULL), ',')"
-_B2 = "tg AS (SELECT * FROM nb WHERE n <= 300), bt AS (SELECT * FROM nb WHERE n > 250 AND n <= 600)"
+_B2 = "nm AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS m FROM nb), tg AS (SELECT * FROM nm WHERE 5 * n <= 3 * m), bt AS (SELECT * FROM nm WHERE 2 * n > m)"
 ORACLES = {
     "contract_reasons": f"WITH {_LOG} SELECT event_id, reason FROM cl",
     "contract_invariants": f"WITH {_LOG} SELECT event_id, 'broken: ' || {_BROKEN} AS error FROM cl WHERE reason = 'validation' AND n % 29 <> 0",
     "contract_events": f"WITH {_LOG} SELECT event_id, upper(symbol) AS symbol, {sql_stamp('ts', 'at')}, {sq('close + 1', 2, 'close')}, volume FROM cl WHERE reason IS NULL",
+    "dlq_records": f"""WITH {_LOG}, js AS (SELECT *, '{{"event_id":"' || event_id || '",' || CASE WHEN n % 29 = 0 THEN '' WHEN n % 31 = 0 THEN '"event_type":"trade",' ELSE '"event_type":"market.bar",' END || '"schema_version":1,"symbol":"' || upper(symbol)
+  || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN n % 37 = 0 THEN '' ELSE 'Z' END || '","interval":"' || CASE WHEN n % 41 = 0 THEN '7h' ELSE '1h' END || '","open":' || CASE WHEN n % 43 = 0 THEN -1.0::DOUBLE ELSE open + 1 END
+  || ',"high":' || (high + 1) || ',"low":' || (low + 1) || ',"close":' || (close + 1) || ',"volume":' || volume || ',"extra":1}}' AS j FROM cl WHERE reason IS NOT NULL),
+v AS (SELECT *, CASE WHEN n % 19 = 0 THEN '' WHEN n % 23 = 0 THEN j[1:40] WHEN n % 47 = 0 THEN '[' || j || ']' ELSE j END AS v FROM js)
+SELECT 'bars' AS original_topic, (n % 3)::INT AS original_partition, n::BIGINT AS original_offset, CASE WHEN n % 11 <> 0 THEN symbol END AS original_key, base64(encode(v)) AS original_value_b64, reason,
+CASE WHEN n % 19 = 0 THEN 'empty value' WHEN reason = 'deserialization' THEN 'not a JSON object' WHEN n % 29 = 0 THEN 'event_type or schema_version missing' WHEN n % 31 = 0 THEN 'unexpected event trade v1' ELSE 'broken: ' || {_BROKEN} END AS error_message,
+'enricher' AS consumer_group, CASE WHEN n % 11 <> 0 THEN symbol ELSE 'bars' END AS routing_key, 1 AS attempts FROM v""",
     "contract_predictions": f"""WITH {_NUMBERED} SELECT event_id, array_to_string(list_filter([CASE WHEN n % 13 = 0 THEN 'target' END, CASE WHEN n % 17 = 0 THEN 'task' END, CASE WHEN n % 7 = 0 THEN 'probabilities' END], lambda x: x IS NOT NULL), ',') AS broken,
 array_to_string(list_filter([CASE WHEN n % 5 = 0 THEN 'version' END, CASE WHEN n % 3 = 0 THEN 'missing' END, CASE WHEN n % 11 = 0 THEN 'finite' END], lambda x: x IS NOT NULL), ',') AS features_broken FROM nb""",
-    "derived_ids": f"WITH {_NUMBERED}, a AS (SELECT event_id, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode('enriched:' || event_id)) AS h FROM nb), b2 AS (SELECT event_id, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode('anomaly:' || event_id)) AS h FROM nb), c AS (SELECT event_id, {_UUID} AS enriched_id FROM a), e AS (SELECT event_id, {_UUID} AS anomaly_root FROM b2) SELECT * FROM c JOIN e USING (event_id)",
-    "contract_enriched": f"WITH {_NUMBERED}, a AS (SELECT event_id AS source_event_id, ts, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode('enriched:' || event_id)) AS h FROM nb) SELECT {_UUID} AS event_id, source_event_id, 'market.bar.enriched' AS event_type, {sq(chr(10) + "greatest(0, date_diff('millisecond', ts + INTERVAL 1 HOUR, TIMESTAMP '2024-01-15 00:30:00'))", 1, 'processing_latency_ms')} FROM a",
-    "sink_append_absent": f"WITH {_NUMBERED} SELECT event_id, {sql_stamp('ts', 'at')}, {sq('close', 2)} FROM nb WHERE n <= 600",
-    "sink_counts": f"WITH {_NUMBERED}, {_B2} SELECT 'market_bars' AS \"table\", count(*) FILTER (n > 300) AS written, count(*) FILTER (n <= 300) AS skipped FROM bt",
-    "sink_latest": f"WITH {_NUMBERED}, {_B2}, u AS (SELECT *, 1 AS s FROM tg UNION ALL SELECT * REPLACE (close + 1 AS close), 0 AS s FROM bt WHERE symbol <> 'view' OR n < 280) SELECT symbol, event_id, {sq('close', 2)} FROM u QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, s DESC) = 1",
+    "derived_ids": f"WITH {_NUMBERED}, k AS (SELECT event_id, unnest([':enriched:1', ':anomaly:volume:spike', ':volume:spike']) AS part FROM nb), a AS (SELECT event_id, part, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(event_id || part)) AS h FROM k), u AS (SELECT event_id, part, {_UUID} AS id FROM a) SELECT event_id, max(id) FILTER (part = ':enriched:1') AS enriched_id, max(id) FILTER (part = ':anomaly:volume:spike') AS anomaly_event_id, max(id) FILTER (part = ':volume:spike') AS anomaly_id FROM u GROUP BY 1",
+    "contract_enriched": f"WITH {_NUMBERED}, a AS (SELECT event_id AS source_event_id, ts, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(event_id || ':enriched:1')) AS h FROM nb) SELECT {_UUID} AS event_id, source_event_id, 'market.bar.enriched' AS event_type, {sq(chr(10) + "greatest(0, date_diff('millisecond', ts + INTERVAL 1 HOUR, TIMESTAMP '2024-01-15 00:30:00'))", 1, 'processing_latency_ms')} FROM a",
+    "sink_append_absent": f"WITH {_NUMBERED} SELECT event_id, {sql_stamp('ts', 'at')}, {sq('close', 2)} FROM nb",
+    "sink_counts": f"WITH {_NUMBERED}, {_B2} SELECT 'market_bars' AS \"table\", count(*) FILTER (5 * n > 3 * m) AS written, count(*) FILTER (5 * n <= 3 * m) AS skipped FROM bt",
+    "sink_latest": f"WITH {_NUMBERED}, {_B2}, u AS (SELECT *, 1 AS s FROM tg UNION ALL SELECT * REPLACE (close + 1 AS close), 0 AS s FROM bt WHERE symbol NOT IN ('view', 'click') OR (symbol = 'view' AND 20 * n < 11 * m) OR (symbol = 'click' AND 5 * n <= 3 * m)) SELECT symbol, event_id, {sq('close', 2)} FROM u QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, s DESC) = 1",
     "sink_latest_expiring": f"WITH {_NUMBERED}, {_B2} SELECT symbol, arg_max(event_id, ts) AS event_id, '2024-02-01 05:00:00' AS expires_at FROM bt GROUP BY 1",
-    "sink_recent_capped": f"WITH {_NUMBERED} SELECT symbol, event_id FROM nb WHERE n <= 600 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 20",
-    "sink_announced": f"WITH {_NUMBERED} SELECT event_id FROM nb WHERE n > 300 AND n <= 600",
+    "sink_recent_capped": f"WITH {_NUMBERED} SELECT symbol, event_id FROM nb QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 20",
+    "sink_announced": f"WITH {_NUMBERED}, {_B2} SELECT event_id FROM bt WHERE 5 * n > 3 * m",
     "sink_routed": "SELECT event_type || 's' AS \"table\", event_id FROM events WHERE event_type IN ('click', 'error')",
     "sink_constrained": f"WITH {_NUMBERED}, r AS (SELECT event_id, array_to_string(list_filter([CASE WHEN NOT (open > 0 AND CASE WHEN n % 15 = 0 THEN low - 1 ELSE high END > 0 AND low > 0 AND close > 0) THEN 'prices' END, CASE WHEN n % 10 = 0 THEN 'volume' END, CASE WHEN n % 15 = 0 THEN 'high' END], lambda x: x IS NOT NULL), ',') AS broken FROM nb) SELECT * FROM r WHERE broken <> ''",
     "sink_new_symbols": "SELECT DISTINCT event_type AS symbol FROM events WHERE event_type NOT IN ('click', 'view')",
@@ -346,7 +356,7 @@ array_to_string(list_filter([CASE WHEN n % 5 = 0 THEN 'version' END, CASE WHEN n
     "sink_manifest": f"WITH {EVENT_SQL} SELECT count(*) AS rows, true AS same FROM ev",
     "scan_replay": f"WITH {LINE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM li), v AS (SELECT *, dense_rank() OVER (ORDER BY ts) - 1 AS batch FROM r WHERE i % 50 <> 0) SELECT batch::INT AS batch, symbol, CAST(ts AS DATE) AS day, {sql_stamp('TIMESTAMP $$2024-01-01$$ + to_milliseconds(batch * 500)', 'due_at')} FROM v WHERE batch < 1000",
     "scan_replay_skipped": f"WITH {LINE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM li), t AS (SELECT symbol, i, CASE WHEN i % 70 = 0 THEN ts - INTERVAL 9 DAY ELSE ts END AS ts, i % 50 <> 0 AS v FROM r), m AS (SELECT *, max(CASE WHEN v THEN ts END) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM t) SELECT symbol, count(*) FILTER (NOT v) AS invalid, count(*) FILTER (v AND ts <= b) AS non_increasing FROM m GROUP BY 1",
-    "scan_csv": f"WITH {EVENT_SQL} SELECT (row_number() OVER (ORDER BY ts) + 1)::INT AS \"row\", epoch(ts)::BIGINT AS epoch, {sq('close', 2)}, volume FROM ev WHERE symbol = 'view'",
+    "scan_csv": f"WITH {EVENT_SQL} SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY ts) + 1)::INT AS \"row\", epoch(ts)::BIGINT AS epoch, {sq('close', 2)}, volume FROM ev",
     "ops_reconcile": f"WITH {_REC}, f AS (SELECT id, arg_min(symbol, arrival) AS symbol, arg_min(ts, arrival) AS ts, min(arrival) AS a, count(*) AS times FROM rc GROUP BY 1), w AS (SELECT *, ts < lag(ts) OVER (PARTITION BY symbol ORDER BY a) AS back FROM f) SELECT (SELECT count(DISTINCT event_id) FROM events) AS sent, (SELECT count(*) FROM events WHERE event_id % 37 = 0) AS missing, count(*) AS received, sum(times - 1)::BIGINT AS duplicates, count(*) FILTER (back) AS out_of_order FROM w",
     "ops_latency": f"SELECT event_type, count(value) AS n, {sq('avg(value)', 4, 'mean')}, {', '.join(sq(f'quantile_disc(value, {q})', 2, f'p{int(q * 100)}') for q in (0.5, 0.9, 0.95, 0.99))}, {sq('max(value)', 2, 'max')} FROM events GROUP BY 1",
     "ops_rounded_percentile": f"WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, {sq('value', 2)} FROM r WHERE i = round_even((n - 1) * 0.95::DOUBLE, 0)",

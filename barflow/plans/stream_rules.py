@@ -25,22 +25,26 @@ nb AS (SELECT *, symbol || '-' || n AS event_id, CASE WHEN symbol = 'click' AND
 
 
 def arrivals(spark, d):
-    """Every 17th bar comes seven late, every 50th twice, and every 100th a third time long after."""
+    """Every 17th bar comes seven late, every 50th twice, and every 100th a third time long after; every 60th bar's id comes again with a
+    time twenty minutes newer."""
     df = numbered(spark, d).select("symbol", "ts", "interval", "event_id", "n")
     first = df.withColumn("arrival", F.col("n") * 10 + F.when(F.col("n") % 17 == 0, 75).otherwise(0))
     twice = df.where("n % 50 = 0").withColumn("arrival", F.col("n") * 10 + 3)
     late = df.where("n % 100 = 0").withColumn("arrival", F.col("n") * 10 + 3007)
-    return first.unionByName(twice).unionByName(late)
+    newer = df.where("n % 60 = 0").withColumn("arrival", F.col("n") * 10 + 5).withColumn("ts", F.col("ts") + F.expr("interval 20 minutes"))
+    return first.unionByName(twice).unionByName(late).unionByName(newer)
 
 
 _ARRIVALS = f"""{_NUMBERED},
 ar AS (SELECT symbol, ts, interval, event_id, n, n * 10 + CASE WHEN n % 17 = 0 THEN 75 ELSE 0 END AS arrival FROM nb
        UNION ALL SELECT symbol, ts, interval, event_id, n, n * 10 + 3 FROM nb WHERE n % 50 = 0
-       UNION ALL SELECT symbol, ts, interval, event_id, n, n * 10 + 3007 FROM nb WHERE n % 100 = 0),
+       UNION ALL SELECT symbol, ts, interval, event_id, n, n * 10 + 3007 FROM nb WHERE n % 100 = 0
+       UNION ALL SELECT symbol, ts + INTERVAL 20 MINUTE, interval, event_id, n, n * 10 + 5 FROM nb WHERE n % 60 = 0),
 c AS (SELECT *, coalesce((interval <> lag(interval) OVER (PARTITION BY symbol ORDER BY arrival))::INT, 0) AS ch FROM ar),
 s AS (SELECT *, sum(ch) OVER (PARTITION BY symbol ORDER BY arrival) AS segment FROM c),
-m AS (SELECT *, max(ts) OVER (PARTITION BY symbol, segment ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM s),
-f AS (SELECT *, newest IS NULL OR ts > newest AS fresh FROM m),
+i AS (SELECT *, row_number() OVER (PARTITION BY symbol, segment, event_id ORDER BY arrival) = 1 AS first FROM s),
+m AS (SELECT *, max(ts) FILTER (first) OVER (PARTITION BY symbol, segment ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM i),
+f AS (SELECT *, first AND (newest IS NULL OR ts > newest) AS fresh FROM m),
 k AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY symbol, segment ORDER BY arrival) AS no FROM f),
 z AS (SELECT *, last_value(CASE WHEN fresh THEN no END IGNORE NULLS) OVER (PARTITION BY symbol, segment, event_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM k),
 o AS (SELECT *, CASE WHEN fresh THEN 'processed' WHEN coalesce(ts = newest OR no - seen < 256, false) THEN 'duplicate' ELSE 'late' END AS outcome,

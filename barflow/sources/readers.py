@@ -36,10 +36,10 @@ def lenient_csv(spark: SparkSession, paths: list[str], symbol_pattern: str = r"(
     return out
 
 
-def typed_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Bars by header name, epoch seconds as instants, in time order."""
+def typed_csv(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """Bars by header name, with columns of the folders' names in ``keys``, epoch seconds as instants, in time order."""
     df = spark.read.option("header", True).csv(path)
-    return df.select(F.timestamp_seconds(F.col("timestamp").cast("long")).alias("ts"), *[F.col(c).cast("double").alias(c) for c in REQUIRED[1:]]).orderBy("ts")
+    return df.select(*keys, F.timestamp_seconds(F.col("timestamp").cast("long")).alias("ts"), *[F.col(c).cast("double").alias(c) for c in REQUIRED[1:]]).orderBy("ts")
 
 
 def verified_files(spark: SparkSession, path: str, lock: DataFrame) -> DataFrame:

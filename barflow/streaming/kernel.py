@@ -31,9 +31,9 @@ class SymbolState:
         """The policy's judgement; an interval change forgets everything first."""
         if interval != self.interval:
             self.__init__(interval=interval)
-        if self.last_ts is None or ts > self.last_ts:
-            return "processed"
-        return "duplicate" if ts == self.last_ts or event_id in self.ids else "late"
+        if ts == self.last_ts or event_id in self.ids:
+            return "duplicate"
+        return "processed" if self.last_ts is None or ts > self.last_ts else "late"
 
     def push(self, ts: float, event_id: str, close: float, limits: Limits) -> dict[str, float | None]:
         """Indicators after one more bar."""

@@ -68,7 +68,7 @@ def test_pages_have_no_gap_and_no_overlap(spark):
 
 
 def test_champion(spark):
-    rows = [(1, "m", "v1", "production"), (2, "m", "v2", "production"), (3, "m", "v1", "archived"), (4, "n", "v1", "production"), (5, "n", "v1", "archived")]
+    rows = [(1, "m", "v1", "champion"), (2, "m", "v2", "champion"), (3, "m", "v1", "archived"), (4, "n", "v1", "champion"), (5, "n", "v1", "archived")]
     df = spark.createDataFrame(rows, "id long, model_name string, model_version string, to_stage string").withColumn("created_at", F.current_timestamp())
     assert [(r.model_name, r.model_version) for r in S.champion(df).collect()] == [("m", "v2")]
 
@@ -147,7 +147,22 @@ def test_nearest_rank_latency(spark):
 
 
 def test_gates(spark):
-    rows = [("1", "production", "fs", 0.01, 0.01, False), ("2", "production", "old", 0.01, 0.01, True), ("3", "production", "fs", None, None, True), ("4", "archived", "old", None, None, False)]
-    df = spark.createDataFrame(rows, "version string, to_stage string, feature_set_version string, folds_gain double, test_gain double, override boolean")
-    got = {(r.version, r.gate) for r in M.gates(df, "fs").where("blocking").collect()}
-    assert got == {("2", "feature_set")}
+    good, weak, none = (0.68, 0.69, 0.68, 0.69), (0.68, 0.69, 0.6899, 0.69), (0.68, 0.69, None, 0.69)
+    rows = [
+        ("1", "champion", "fs", False, *good), ("2", "champion", "old", True, *good), ("3", "champion", "fs", True, *none), ("4", "archived", "old", False, *none), ("5", "challenger", "fs", False, *weak),
+        ("6", "candidate", "fs", False, *none), ("7", "challenger", "fs", False, *none), ("8", "candidate", "old", True, *good),
+    ]
+    df = spark.createDataFrame(rows, "version string, to_stage string, feature_set_version string, override boolean, " + ", ".join(f"{c} double" for c in M.EVALUATION))
+    got = M.gates(df, "fs")
+    assert {(r.version, r.gate) for r in got.where("blocking").collect()} == {("2", "feature_set_compatible"), ("5", "beats_base_rate"), ("7", "has_evaluation"), ("8", "feature_set_compatible")}
+    assert {r.gate for r in got.where("version = '6'").collect()} == {"feature_set_compatible"} and got.where("version = '7' and gate = 'beats_base_rate'").isEmpty()
+
+
+def test_moves_and_displacement(spark):
+    moves = [(None, "candidate"), (None, "champion"), ("archived", "candidate"), ("candidate", "champion"), ("champion", "challenger"), ("challenger", "candidate")]
+    df = spark.createDataFrame(moves, "from_stage string, to_stage string")
+    assert {(r.from_stage, r.to_stage) for r in M.bad_transitions(df).collect()} == {(None, "champion"), ("archived", "candidate"), ("champion", "challenger"), ("challenger", "candidate")}
+    asked = spark.createDataFrame([("m", "v2", "candidate", "champion", "better", "ann"), ("n", "v5", None, "candidate", "new", "bob")], "model_name string, model_version string, from_stage string, to_stage string, reason string, actor string")
+    held = spark.createDataFrame([("m", "v1", "champion"), ("m", "v0", "challenger"), ("n", "v4", "champion")], "model_name string, model_version string, stage string")
+    got = {(r.model_version, r.from_stage, r.to_stage, r.reason) for r in M.promoted(asked, held, F.current_timestamp()).collect()}
+    assert got == {("v2", "candidate", "champion", "better"), ("v5", None, "candidate", "new"), ("v1", "champion", "archived", "replaced by version v2: better")}

@@ -31,6 +31,18 @@ def test_outcomes_match_the_row_by_row_state(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_that_come_again_with_newer_times(spark, seed):
+    """What is processed depends on what was: judgements differ by several rounds."""
+    rows, state, want = arrivals(seed), SymbolState(), []
+    rows["event_id"] = [f"e{x}" for x in np.random.default_rng(seed).integers(0, 50, len(rows))]
+    for r in rows.itertuples():
+        want.append(state.outcome(r.interval, r.ts.timestamp(), r.event_id))
+        if want[-1] == "processed":
+            state.push(r.ts.timestamp(), r.event_id, 1.0, D.Limits())
+    assert [r.outcome for r in P.outcomes(spark.createDataFrame(rows)).orderBy("arrival").collect()] == want
+
+
 def test_redelivery_changes_nothing(spark):
     rows = arrivals(1)
     again = rows.assign(arrival=rows.arrival + 1000)

@@ -127,6 +127,16 @@ def test_backtest_by_hand(spark):
     assert [[pytest.approx(x) for x in (r.gross, r.turnover, r.cost, r.net)] for r in got] == [[0.10, 1.0, 0.001, 0.099], [0.04, 2.0, 0.002, 0.038]]
 
 
+@pytest.mark.parametrize("net,growth,down", [((0.1, -1.0, 0.1), 0.0, -1.0), ((0.1, -1.5, 0.2), -0.66, -1.6), ((-2.0, -2.0), 1.0, -2.0), ((0.1, 0.2), 1.32, 0.0)])
+def test_losses_stay(spark, net, growth, down):
+    rows = [(0, dt.date(2024, 1, k + 1), x, 0.0, 0.0, 0.0, x) for k, x in enumerate(net)]
+    df = spark.createDataFrame(rows, "offset int, session_date date, net double, turnover double, exposure double, cost double, gross double")
+    s = B.summary(df, 5).first()
+    equity = np.cumprod(1 + np.array(net))
+    assert s.growth == pytest.approx(growth) and s.max_drawdown == pytest.approx(down) == pytest.approx((equity / np.maximum.accumulate(np.concatenate([[1.0], equity]))[1:] - 1).min())
+    assert s.annual_return == pytest.approx(growth ** (50.4 / len(net)) - 1 if growth > 0 else -1.0) and s.years == pytest.approx(len(net) / 50.4)
+
+
 def test_leavers_are_closed(spark):
     d = [dt.date(2024, 1, k) for k in (1, 2, 3)]
     rows = [("A", d[0], 2.0, 0.0), ("B", d[1], 1.0, 0.0), ("B", d[2], 1.0, 0.0)]

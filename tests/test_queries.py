@@ -10,7 +10,7 @@ from barflow import queries as own
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = [
-    "ind_snapshot", "ind_rsi", "feat_atr_rsi", "labels", "policy_outcomes", "det_anomalies", "q_issues", "q_report_symbol", "split_purge_embargo", "eval_classification", "bt_summary", "mon_drift", "mon_outcomes",
+    "ind_snapshot", "ind_rsi", "feat_atr_rsi", "labels", "policy_outcomes", "det_anomalies", "q_issues", "q_report_symbol", "split_purge_embargo", "eval_classification", "bt_losses", "mon_drift", "model_promotions", "dlq_records", "derived_ids", "mon_outcomes",
     "srv_champion", "contract_reasons", "sink_latest", "ops_reconcile", "ops_alert_hold", "stream_rollup",
 ]
 
