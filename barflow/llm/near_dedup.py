@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,16 +105,19 @@ def wildcards(radius: int) -> np.ndarray:
 
 def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """A spanning forest of the links among distinct fingerprints, breadth first: what is reached is looked at no more, so that a
-    dense group takes few rounds over few fingerprints."""
-    left, a, b = fps, [], []
+    dense group takes few rounds over few fingerprints. It begins at the middle, by majority of each bit, so that the many
+    signatures which a family shares give the same links."""
+    ones = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").mean(axis=0) > 0.5
+    middle = np.packbits(ones, bitorder="little").view(np.uint64)[0]
+    left, a, b = fps[np.argsort(np.bitwise_count(fps ^ middle), kind="stable")], [], []
     while len(left) > 1:
-        todo, left = [left[0]], left[1:]
+        todo, left = deque([left[0]]), left[1:]
         while todo and len(left):
-            x = todo.pop()
+            x = todo.popleft()
             near = np.bitwise_count(left ^ x) <= radius
             if near.any():
                 found, left = left[near], left[~near]
-                todo += list(found)
+                todo.extend(found)
                 a.append(np.full(len(found), x))
                 b.append(found)
     return a, b
@@ -236,14 +240,14 @@ def links(distinct: DataFrame, radius: int, mark: bool = False) -> DataFrame:
     return dealt.mapInArrow(meet, "print int, a long, b long, dense boolean").distinct()
 
 
-def _verified_forest(fps: np.ndarray, side: np.ndarray, sets: pa.Array, radius: int, similarity: float) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among the rows of different sides (or of one, if there is but one), as row numbers.
+def _verified_forest(fps: np.ndarray, side: np.ndarray, label: np.ndarray, sets: pa.Array, radius: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (row numbers) among the rows of different sides (or of one, if there is but one) that join all labels which links join.
 
-    A link is a pair at ``radius`` or fewer differing bits whose sets reach the Jaccard similarity. Pairs that links already
-    join aren't looked at.
+    A link is a pair at ``radius`` or fewer differing bits whose sets reach the Jaccard similarity. Pairs of one label, by
+    what is known before or by links found here, aren't looked at.
     """
     sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, label, two = np.cumsum(sizes), np.arange(len(fps)), side.min() != side.max()
+    ends, label, two = np.cumsum(sizes), np.unique(label, return_inverse=True)[1], side.min() != side.max()
     items = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
     held, a, b = np.zeros(int(items.max(initial=-1)) + 1, bool), [], []
     own = [items[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
@@ -266,21 +270,19 @@ def _verified_forest(fps: np.ndarray, side: np.ndarray, sets: pa.Array, radius:
     return a, b
 
 
-def verified(asked: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(a, b) of verified links, enough to join all that they join. ``asked`` has (print, root, i, j, side, node, fp, set): rows of
-    equal print, root, i and j are compared, those of side 0 with those of side 1, or all of them if they are of one side."""
+def compared(asked: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b) of verified links, enough to join all that they join. ``asked`` has (print, root, i, j, side, node, fp, label, set): rows of
+    equal print, root, i and j are compared, those of side 0 with those of side 1, or all of them if they are of one side, where
+    their labels differ."""
     names = ["print", "root", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-
-        def close(parts: list[pa.RecordBatch]) -> None:
+        def close(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             column = lambda name: pa.concat_arrays([p.column(name) for p in parts])
             node, fps = column("node").to_numpy(), column("fp").to_numpy().view(np.uint64)
-            a, b = _verified_forest(fps, column("side").to_numpy(), column("set"), radius, similarity) if len(node) > 1 else ([], [])
+            a, b = _verified_forest(fps, column("side").to_numpy(), column("label").to_numpy(), column("set"), radius, similarity) if len(node) > 1 else ([], [])
             if a:
-                out[0].append(node[a])
-                out[1].append(node[b])
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
         last = None
@@ -290,49 +292,70 @@ def verified(asked: DataFrame, radius: int, similarity: float) -> DataFrame:
             for start, end in zip(bounds, bounds[1:]):
                 key = keys[:, start].tolist()
                 if held and key != last:
-                    close(held)
+                    yield from close(held)
                     held = []
                 last = key
                 held.append(batch.slice(start, end - start))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b"])
-                out = ([], [])
         if held:
-            close(held)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b"])
+            yield from close(held)
 
-    return asked.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long").distinct()
+    return asked.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long")
 
 
-def comparisons(nodes: DataFrame, radius: int) -> DataFrame:
-    """(print, root, i, j, side, node, fp): which of the ``nodes`` (print, node, fp, n shingles) :func:`verified` must compare.
+def candidates(nodes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Of the ``nodes`` (print, node, fp, n shingles): pairs (a, b) of nodes that links join, and the groups (print, root, node, fp, n)
+    in which other pairs may be in reach.
 
-    A link of a sparse signature between fingerprints of one text each is a group of its own. What dense signatures join,
-    and fingerprints of several texts with what is linked to them, is cut into blocks of about 1,024 nodes or 2^20
-    shingles, and every two blocks are a group: all pairs in reach are there, whatever their number, and a task holds
-    two blocks.
+    A link of a sparse signature is a pair, if both fingerprints are of one text each. Dense signatures only give forests, and a
+    fingerprint of several texts a star from one of them: what these join is a group besides.
     """
     # components are sought among numbers of (print, fp): were two to share one, more would be compared and nothing missed
     number = lambda fp: F.xxhash64("print", fp)
-    fps = checkpointed(nodes.groupBy("print", "fp").agg(F.count(F.lit(1)).alias("texts")))
+    fps = checkpointed(nodes.groupBy("print", "fp").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("first")))
     edges = links(fps, radius, mark=True)
-    many = fps.where("texts > 1").select("print", "fp")
     for end in "ab":
-        edges = edges.join(many.select("print", F.col("fp").alias(end), F.lit(True).alias(f"many_{end}")), ["print", end], "left")
-    edges = checkpointed(edges.select("print", "a", "b", (F.col("dense") | F.col("many_a").isNotNull() | F.col("many_b").isNotNull()).alias("dense")))
+        edges = edges.join(fps.select("print", F.col("fp").alias(end), F.col("texts").alias(f"texts_{end}"), F.col("first").alias(f"first_{end}")), ["print", end])
+    edges = checkpointed(edges.select("print", "a", "b", "first_a", "first_b", (F.col("dense") | (F.col("texts_a") > 1) | (F.col("texts_b") > 1)).alias("dense")))
+    many = fps.where("texts > 1")
+    star = nodes.join(many.select("print", "fp", "first"), ["print", "fp"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = edges.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).unionByName(star)
     roots = connected_components(edges.where("dense").select(number("a").alias("a"), number("b").alias("b")))
     alone = many.select(number("fp").alias("node")).join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
     roots = roots.unionByName(alone).withColumnRenamed("node", "number")
-    dense = checkpointed(nodes.withColumn("number", number("fp")).join(roots, "number").select("print", "node", "fp", "n", "root"))
-    blocks = dense.groupBy("print", "root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / _BLOCK, F.sum("n") / _SHINGLES, F.lit(1))).cast("long").alias("k"))
-    own = F.pmod(F.xxhash64("node"), "k")
-    dealt = dense.join(blocks, ["print", "root"]).select("print", "root", "node", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
-    dealt = dealt.select("print", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "fp")
-    alone = edges.where("not dense")
-    ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(end).alias("fp")) for side, end in enumerate("ab")])).alias("e")
-    alone = alone.select("print", F.col("a").alias("root"), F.lit(-1).cast("long").alias("i"), F.col("b").alias("j"), ends).select("print", "root", "i", "j", "e.side", "e.fp")
-    return dealt.unionByName(alone.join(nodes.select("print", "node", "fp"), ["print", "fp"]), allowMissingColumns=False)
+    groups = nodes.withColumn("number", number("fp")).join(roots, "number").select("print", "root", "node", "fp", "n")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), groups
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``sets`` (node, set) reach the Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def blocks(groups: DataFrame) -> DataFrame:
+    """``groups`` (print, root, node, fp, n, label) dealt to comparisons: (print, root, i, j, side, node, fp, label).
+
+    Only groups of several labels are left. A label of half a block's size or more has blocks of its own, of about 1,024 nodes or
+    2^20 shingles; the others share some. Every two blocks are compared, but for those of one label: all pairs of different labels
+    meet, and a family that is joined already takes rows in proportion to its size.
+    """
+    key = ["print", "root"]
+    size = lambda: F.greatest(F.count(F.lit(1)) / _BLOCK, F.sum("n") / _SHINGLES)
+    open_groups = groups.groupBy(*key).agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select(*key)
+    groups = groups.join(open_groups, key)
+    labels = groups.groupBy(*key, "label").agg(size().alias("size")).withColumn("big", F.col("size") >= 0.5)
+    shared = labels.groupBy(*key, "big", F.when(F.col("big"), F.col("label")).alias("owner")).agg(F.greatest(F.ceil(F.sum("size")), F.lit(1)).cast("long").alias("k"))
+    # a block is (owner, number); those that labels share have the owner null
+    rows = groups.join(labels.select(*key, "label", "big"), [*key, "label"]).withColumn("owner", F.when(F.col("big"), F.col("label")))
+    every = shared.groupBy(*key).agg(F.collect_list(F.struct("owner", "k")).alias("all"))
+    rows = rows.join(every, key)
+    mine = F.element_at(F.filter("all", lambda x: x["owner"].eqNullSafe(F.col("owner"))), 1)["k"]
+    own = F.struct("owner", F.pmod(F.xxhash64("node"), mine).alias("no"))
+    others = F.flatten(F.transform(F.filter("all", lambda x: x["owner"].isNull() | ~x["owner"].eqNullSafe(F.col("owner"))), lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["k"] - 1), lambda no: F.struct(x["owner"].alias("owner"), no.alias("no")))))
+    rows = rows.select(*key, "node", "fp", "label", own.alias("own"), F.explode(others).alias("other"))
+    number = lambda x: F.xxhash64(x)
+    return rows.select(*key, number(F.least("own", "other")).alias("i"), number(F.greatest("own", "other")).alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "fp", "label")
 
 
 def shingle_sets(docs: DataFrame, chosen: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -361,9 +384,14 @@ def grouped(docs: DataFrame, radius: int, shingle: int, similarity: float | None
     else:
         nodes = checkpointed(rows.groupBy("node", "fps", "n").agg(least))
         rows = rows.select("doc_id", F.col("fps")[0].alias("fp"), "node")
-        asked = checkpointed(comparisons(nodes.select("node", "n", F.posexplode("fps").alias("print", "fp")), radius))
-        chosen = nodes.select("node", "least.exact").join(asked.select("node").distinct(), "node")
-        edges = verified(asked.join(shingle_sets(docs, chosen, shingle, id_col, text_col), "node"), radius, similarity)
+        pairs, groups = map(checkpointed, candidates(nodes.select("node", "n", F.posexplode("fps").alias("print", "fp")), radius))
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(groups.select("node")).distinct()
+        sets = checkpointed(shingle_sets(docs, nodes.select("node", "least.exact").join(asked, "node"), shingle, id_col, text_col))
+        # links of the signatures first; then only what they leave apart in a group
+        edges = checkpointed(similar(pairs, sets, similarity))
+        labels = connected_components(edges).withColumnRenamed("root", "label")
+        labelled = checkpointed(groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        edges = edges.unionByName(compared(blocks(labelled).join(sets, "node"), radius, similarity))
     return rows, nodes.join(connected_components(edges), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
 
 

@@ -90,6 +90,27 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
 
 
+def test_components_of_many_chunks(spark, monkeypatch):
+    from barflow.llm import components as K
+
+    monkeypatch.setattr(K, "CHUNK", 7)
+    rng = np.random.default_rng(9)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-60, 60, (55, 2))]
+    got = {r.node: r.root for r in K.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == components(nodes, [e for e in edges if e[0] != e[1]])
+    assert K.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_string_ids_and_rows_of_one_id(spark):
+    same, other = "the same words of a text " * 9, "wholly different words there are in this one " * 9
+    rows = [("b", same, 1), ("a", same.upper(), 2), ("a", other, 3), ("a", other, 3), (None, other + "x", 4), (None, "no id and alone", 5)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, exact int")
+    got = sorted((str(r.doc_id), r.text, r.exact) for r in N.representatives(df, 11, 5, 0.8).collect())
+    assert got == sorted([("a", same.upper(), 2), ("a", other, 3), ("None", "no id and alone", 5)]) and N.representatives(df, 11, 5, 0.8).columns == df.columns
+    assert {r.component_id for r in N.near_duplicates(df).where("doc_id = 'b'").collect()} == {"a"}
+
+
 def jaccard_components(texts, radius, n, similarity):
     fps = {d: fingerprint(t, n) for d, t in texts.items()}
     sets = {d: {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for d, t in texts.items() for w in [t.split()]}
