@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -12,7 +13,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barflow.functions import timegrid as G
-from barflow.operators import contract, dataset as D, evaluation as E
+from barflow.operators import backtest as B, contract, dataset as D, evaluation as E, features as X
 
 #: A model: fitted on training rows, it adds ``score`` to others.
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
@@ -43,6 +44,17 @@ def random_control(seed: int = 7) -> Fit:
     return lambda train: lambda df: df.withColumn("score", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "symbol", "session_date"), 11) / F.lit(float(1 << 53)))
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """A fitted pipeline that scores rows."""
+
+    model: PipelineModel
+    score: Callable[[PipelineModel, DataFrame], DataFrame]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.score(self.model, df)
+
+
 def _vectors(features: list[str]) -> list:
     return [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="error"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True)]
 
@@ -53,7 +65,7 @@ def logistic(features: list[str], c: float = 0.1) -> Fit:
     def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
         rows = train.where("y_up is not null")
         model = Pipeline(stages=[*_vectors(features), LogisticRegression(featuresCol="_x", labelCol="y_up", regParam=1 / (c * max(rows.count(), 1)), elasticNetParam=0.0, standardization=False, probabilityCol="_p", rawPredictionCol="_z", predictionCol="_y")]).fit(rows)
-        return lambda df: _score(model, df)
+        return Fitted(model, _score)
 
     return fit
 
@@ -62,7 +74,7 @@ def ridge(features: list[str], alpha: float = 10.0) -> Fit:
     def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
         rows = train.where("y_return is not null")
         model = Pipeline(stages=[*_vectors(features), LinearRegression(featuresCol="_x", labelCol="y_return", regParam=alpha / max(rows.count(), 1), elasticNetParam=0.0, standardization=False, solver="normal", predictionCol="score")]).fit(rows)
-        return lambda df: model.transform(df).drop("_raw", "_x")
+        return Fitted(model, lambda m, df: m.transform(df).drop("_raw", "_x"))
 
     return fit
 
@@ -75,7 +87,7 @@ def boosted(features: list[str], seed: int = 7, depth: int = 3, rounds: int = 20
         trees = GBTClassifier(featuresCol="_raw", labelCol="y_up", maxDepth=depth, maxIter=rounds, stepSize=step, minInstancesPerNode=least, subsamplingRate=0.8, seed=seed, validationIndicatorCol="is_validation", validationTol=1e-4)
         trees.setProbabilityCol("_p").setRawPredictionCol("_z").setPredictionCol("_y")
         model = Pipeline(stages=[_vectors(features)[0], trees]).fit(rows)
-        return lambda df: _score(model, df)
+        return Fitted(model, _score)
 
     return fit
 
@@ -84,9 +96,9 @@ def _score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("score", vector_to_array("_p")[1]).drop("_raw", "_x", "_p", "_z", "_y")
 
 
-def coefficients(model: PipelineModel, features: list[str], top: int = 10) -> list[tuple[str, float]]:
-    """The largest weights of a linear model or importances of a tree ensemble: one number a feature."""
-    last = model.stages[-1]
+def coefficients(fitted: Fitted, features: list[str], top: int = 10) -> list[tuple[str, float]]:
+    """The largest weights of a linear model, or shares of gain of a tree ensemble: one number a feature."""
+    last = fitted.model.stages[-1]
     values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
     return sorted(zip(features, map(float, values.toArray())), key=lambda x: (-abs(x[1]), x[0]))[:top]
 
@@ -96,30 +108,95 @@ def fit_and_score(fit: Fit, train: DataFrame, test: DataFrame) -> DataFrame:
     return fit(D.labelled(train))(D.labelled(test)).select("symbol", "session_date", "y_up", "y_return", "score")
 
 
-def evaluated(scored: DataFrame, name: str, probability: bool = True) -> DataFrame:
-    """(model, metric, value): classification metrics at 0.5 (0 for a score that is no probability), AUC and log loss."""
-    cut = 0.5 if probability else 0.0
-    df = scored.withColumn("_c", (F.col("score") >= cut).cast("int") if probability else (F.col("score") > cut).cast("int"))
-    one = E.classification(df, "y_up", "_c").crossJoin(F.broadcast(E.roc_auc(df, "y_up", "score")))
-    metrics = ["n", "accuracy", "balanced_accuracy", "precision_up", "recall_up", "f1_macro", "base_rate", "edge", "roc_auc"]
+METRICS = ["n", "accuracy", "balanced_accuracy", "precision_up", "recall_up", "f1_macro", "base_rate", "edge", "roc_auc"]
+
+
+def metrics(scored: DataFrame, keys: list[str], probability: bool = True) -> DataFrame:
+    """(keys, metric, value): classification metrics at 0.5 (0 for a score that is no probability), AUC and log loss, of all keys
+    in one aggregation each."""
+    cut = F.col("score") >= 0.5 if probability else F.col("score") > 0
+    df = scored.withColumn("_c", cut.cast("int"))
+    one, names = E.classification(df, "y_up", "_c", keys).join(E.roc_auc(df, "y_up", "score", keys), keys), list(METRICS)
     if probability:
-        one = one.crossJoin(F.broadcast(df.agg(E.log_loss(F.col("y_up"), F.col("score")).alias("log_loss"))))
-        metrics.append("log_loss")
-    return one.select(F.lit(name).alias("model"), F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "value"))
+        one = one.join(df.groupBy(*keys).agg(E.log_loss(F.col("y_up"), F.col("score")).alias("log_loss")), keys)
+        names.append("log_loss")
+    return one.select(*keys, F.explode(F.create_map(*[x for m in names for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "value"))
 
 
-def development(df: DataFrame, models: dict[str, Fit], years: list[int], embargo: int = D.HORIZON) -> DataFrame:
-    """(model, fold, metric, value) of every model on every walk-forward year: one job set a pair, results kept long."""
+def evaluated(scored: DataFrame, name: str, probability: bool = True) -> DataFrame:
+    """(model, metric, value) of one model's scores."""
+    return metrics(scored.withColumn("model", F.lit(name)), ["model"], probability)
+
+
+def predicted(sets: list[tuple[object, DataFrame, DataFrame]], models: dict[str, Fit]) -> DataFrame:
+    """(model, fold, symbol, session_date, y_up, y_return, score): every model fitted on every fold's training rows, and what it says
+    of the fold's test rows."""
     out = None
-    for year in years:
-        boundary, end = F.lit(f"{year - 1}-12-31").cast("date"), F.lit(f"{year}-12-31").cast("date")
-        train, test = D.purged(df, boundary, embargo, end)
+    for fold, train, test in sets:
         for name, fit in models.items():
-            part = evaluated(fit_and_score(fit, train, test), name).withColumn("fold", F.lit(year))
+            part = fit_and_score(fit, train, test).select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "*")
             out = part if out is None else out.unionByName(part)
     return out
 
 
+def fold_sets(df: DataFrame, years: list[int] | None = None, embargo: int = D.HORIZON) -> list[tuple[int, DataFrame, DataFrame]]:
+    """(year, train, test) of each walk-forward fold."""
+    day, label, out = F.col("session_date"), F.col("label_end"), []
+    for fold, boundary, end, after in D.fold_bounds(df, embargo, years):
+        boundary, end, after = (F.lit(x) for x in (boundary, end, after))
+        out.append((fold, df.where((day <= boundary) & (label <= boundary)), df.where((day > after) & (day <= end) & (label <= end))))
+    return out
+
+
+def development(df: DataFrame, models: dict[str, Fit], years: list[int], embargo: int = D.HORIZON) -> DataFrame:
+    """(model, fold, metric, value) of every model on every walk-forward year."""
+    return metrics(predicted(fold_sets(df, years, embargo), models), ["model", "fold"])
+
+
+def development_run(df: DataFrame, models: dict[str, Fit], train_end: Column, validation_end: Column, strategies: list[str], costs: list[float], horizon: int = D.HORIZON, years: list[int] | None = None, null_model: str = "majority") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(report, candidates, backtests) of the rows up to ``validation_end``.
+
+    report: (section, model, fold, metric, value) of a validation after ``train_end`` and of the walk-forward folds. candidates:
+    the models by mean log loss over the folds, with whether they beat the null model. backtests: of the out-of-sample
+    predictions of all folds on end, by model, strategy, cost and offset. Rows after ``validation_end`` are not looked at.
+    """
+    train, validation = D.purged(df, train_end, horizon, validation_end)
+    own, _ = D.purged(df, validation_end, horizon)
+    oos = predicted(fold_sets(own, years, horizon), models)
+    walk = metrics(oos, ["model", "fold"])
+    held = metrics(predicted([(0, train, validation)], models), ["model"]).withColumn("fold", F.lit(None).cast("int"))
+    report = walk.withColumn("section", F.lit("walk_forward")).unionByName(held.withColumn("section", F.lit("validation")))
+    return report.select("section", "model", "fold", "metric", "value"), ranked(walk, null_model), B.grid(oos, strategies, costs, horizon, keys=["model"])
+
+
+def held_out_test(df: DataFrame, models: dict[str, Fit], development_end: Column, strategies: list[str], costs: list[float], horizon: int = D.HORIZON) -> tuple[DataFrame, DataFrame]:
+    """(metrics, backtests) of models that are fitted once more on all development rows and judged once on what comes after."""
+    train, test = D.purged(df, development_end, horizon)
+    scored = predicted([(0, train, test)], models)
+    return metrics(scored, ["model"]), B.grid(scored, strategies, costs, horizon, keys=["model"])
+
+
+def recent_years(df: DataFrame, years: int) -> list[int]:
+    """The last ``years`` full years of the labels."""
+    last = df.agg(F.year(F.max("label_end"))).first()[0]
+    return [] if last is None else list(range(last - years, last))
+
+
+def recent_evaluation(df: DataFrame, fit: Fit, years: int = 3, embargo: int = D.HORIZON) -> DataFrame:
+    """(model, fold, role, metric, value): the model and the majority on the last full years; the last one's role is test, that of
+    those before it wf."""
+    found = recent_years(df, years)
+    rows = development(df, {"model": fit, "null": majority}, found, embargo)
+    return rows.withColumn("role", F.when(F.col("fold") == F.lit(found[-1] if found else None), "test").otherwise("wf"))
+
+
+def evaluation_tags(rows: DataFrame) -> DataFrame:
+    """One row: means over the wf folds and the test's numbers, as a version's tags hold them."""
+    of = lambda kind, role, metric: F.avg(F.when((F.col("model") == kind) & (F.col("role") == role) & (F.col("metric") == metric), F.col("value")))
+    losses = [of(kind, role, "log_loss").alias(f"{role}_{'null_' * (kind == 'null')}log_loss") for role in ("wf", "test") for kind in ("model", "null")]
+    return rows.agg(*losses, *[of("model", "test", m).alias(f"test_{m}") for m in ("roc_auc", "accuracy", "base_rate")])
+
+
 def ranked(results: DataFrame, null_model: str = "majority") -> DataFrame:
     """Models by mean log loss over the folds, with whether they beat the null model; the first is the candidate."""
     means = results.where("metric = 'log_loss'").groupBy("model").agg(F.avg("value").alias("log_loss"))
@@ -132,13 +209,6 @@ def tuned(df: DataFrame, grid: dict[str, Fit], years: list[int]) -> DataFrame:
     return development(df, grid, years).where("metric = 'log_loss'").groupBy("model").agg(F.avg("value").alias("log_loss")).orderBy("log_loss", "model")
 
 
-def summary_tags(results: DataFrame, test: DataFrame) -> DataFrame:
-    """One row: the means over the folds and the test's numbers, as columns."""
-    a = results.groupBy().pivot("metric", ["accuracy", "log_loss", "roc_auc"]).agg(F.avg("value"))
-    b = test.groupBy().pivot("metric", ["accuracy", "log_loss", "roc_auc"]).agg(F.first("value"))
-    return a.select(*[F.col(c).alias(f"folds_{c}") for c in a.columns]).crossJoin(F.broadcast(b.select(*[F.col(c).alias(f"test_{c}") for c in b.columns])))
-
-
 def target_time(ts: Column, interval: Column, horizon: int) -> Column:
     """The time a prediction is about: business days ahead for daily bars, else a number of bars."""
     ahead = G.plus_seconds(ts, G.duration(interval) * horizon)
@@ -146,14 +216,16 @@ def target_time(ts: Column, interval: Column, horizon: int) -> Column:
 
 
 def predictions(scored: DataFrame, name: str, version: str, feature_set: str, horizon: int = D.HORIZON) -> DataFrame:
-    """Rows with P(up) in ``score`` -> prediction rows, their ids from the bar's ``event_id``. Rows without one probability in
-    [0, 1] give none."""
+    """Rows with P(up) in ``score`` -> prediction rows, their ids from the bar's ``event_id``, with the features that they were made
+    from. Rows without one probability in [0, 1] give none."""
     p = F.col("score")
     df = scored.where(p.between(0, 1))
+    kept = not set(X.NAMES) - set(df.columns)  # the inputs, if they are there
+    df = X.feature_map(df, "features") if kept else df.withColumn("features", F.lit(None).cast("map<string,double>"))
     return df.select(
         contract.prediction_id(F.col("event_id"), F.lit(name), F.lit(version), F.lit(horizon)).alias("prediction_id"), "symbol", F.col("interval").alias("bar_interval"), "ts",
         target_time(F.col("ts"), F.col("interval"), horizon).alias("target_ts"), F.lit(horizon).alias("horizon_bars"), F.lit("direction").alias("task"), F.when(p >= 0.5, "up").otherwise("down").alias("predicted_direction"),
-        F.create_map(F.lit("up"), p, F.lit("down"), 1 - p).alias("class_probabilities"), F.greatest(p, 1 - p).alias("confidence"), F.lit(name).alias("model_name"), F.lit(version).alias("model_version"), F.lit(feature_set).alias("feature_set_version"),
+        F.create_map(F.lit("up"), p, F.lit("down"), 1 - p).alias("class_probabilities"), F.greatest(p, 1 - p).alias("confidence"), F.lit(name).alias("model_name"), F.lit(version).alias("model_version"), F.lit(feature_set).alias("feature_set_version"), "features",
     )
 
 

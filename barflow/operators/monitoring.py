@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barflow.functions import timegrid as G
+from barflow.sources.session import checkpointed
+
 #: Fixed limits: clip of a proportion, PSI bands, least samples, KS level, log-loss margin, share of drifted features.
 CLIP, WARNING, ALERT = 1e-4, 0.10, 0.25
 DRIFT_LEAST, KS_LEVEL, PERFORMANCE_LEAST, LOSS_MARGIN, RETRAIN_SHARE = 200, 0.001, 100, 0.01, 0.30
@@ -81,18 +84,26 @@ def drift(live: DataFrame, profiles: DataFrame, keys: list[str], report_type: st
     return df.join(tests, keys).select(F.lit(report_type).alias("report_type"), *keys, "n", "psi", "status", "ks", "p_value", (F.col("p_value") < KS_LEVEL).alias("ks_reject"), "live_median", "reference_median")
 
 
+#: Bars of a bucket of time in which predictions and bars meet.
+_SPAN = 8
+
+
 def resolved(predictions: DataFrame, bars: DataFrame, outcomes: DataFrame, since: Column, now: Column) -> DataFrame:
     """Outcomes of predictions whose target fell in (since, now] and that have none yet.
 
-    The price then is the first close in [target, target + (target - ts)], the price before that of the bar at ts. Both are
-    found by one equality join on symbol and interval and a bound on time, and the first one by ``min_by``; a prediction
-    without either stays open. Run again, it resolves nothing twice.
+    The price then is the first close in [target, target + (target - ts)], the price before that of the bar at ts. Bars and
+    predictions meet by symbol, interval and bucket of eight bars: a prediction asks the few buckets that its window touches, so
+    that it meets no other bars and a symbol of many bars is many keys. A prediction without either price stays open. Run
+    again, it resolves nothing twice.
     """
     due = predictions.where((F.col("target_ts") > since) & (F.col("target_ts") <= now)).join(outcomes.select("prediction_id"), "prediction_id", "left_anti")
-    b = bars.select("symbol", F.col("interval").alias("bar_interval"), F.col("ts").alias("bar_ts"), "close")
-    at = due.join(b.withColumnRenamed("bar_ts", "ts").withColumnRenamed("close", "close_then"), ["symbol", "bar_interval", "ts"])
-    limit = F.timestamp_micros(2 * F.unix_micros("target_ts") - F.unix_micros("ts"))
-    later = at.withColumn("_limit", limit).join(b, ["symbol", "bar_interval"]).where((F.col("bar_ts") >= F.col("target_ts")) & (F.col("bar_ts") <= F.col("_limit")))
+    bucket = lambda micros: F.floor(micros / (G.duration(F.col("bar_interval")) * (_SPAN * 1_000_000)))
+    b = bars.select("symbol", F.col("interval").alias("bar_interval"), F.col("ts").alias("bar_ts"), "close").withColumn("_bucket", bucket(F.unix_micros("bar_ts")))
+    at = due.join(b.select("symbol", "bar_interval", F.col("bar_ts").alias("ts"), F.col("close").alias("close_then")), ["symbol", "bar_interval", "ts"])
+    target = F.unix_micros("target_ts")
+    limit = 2 * target - F.unix_micros("ts")
+    asks = at.withColumn("_limit", F.timestamp_micros(limit)).withColumn("_bucket", F.explode(F.sequence(bucket(target), bucket(limit))))
+    later = asks.join(b, ["symbol", "bar_interval", "_bucket"]).where((F.col("bar_ts") >= F.col("target_ts")) & (F.col("bar_ts") <= F.col("_limit")))
     first = later.groupBy("prediction_id").agg(F.min_by("close", "bar_ts").alias("close_after"), F.any_value("close_then").alias("close_then"), F.any_value("predicted_direction").alias("d"), F.any_value("predicted_return").alias("r"))
     real = F.log(F.col("close_after") / F.col("close_then"))
     first = first.withColumn("actual_return", real).withColumn("actual_direction", F.when(real > 0, "up").when(real < 0, "down").otherwise("neutral"))
@@ -136,3 +147,51 @@ def as_reports(df: DataFrame, metrics: list[str], created_at: Column) -> DataFra
 def with_missing_profiles(models: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
     """A report row for every served model version that no profile describes."""
     return models.select(*keys).distinct().join(profiles.select(*keys), keys, "left_anti").withColumn("report_type", F.lit("missing_profile")).withColumn("base_rate", F.lit(0.5))
+
+
+P_UP = "p_up"
+
+
+def reference_profile(train: DataFrame, features: list[str], scored: DataFrame, keys: list[str]) -> DataFrame:
+    """``profile`` of a model's training features and, under the feature p_up, of its ``scored`` rows of their last year (session_date,
+    p_up); each row with the share of up labels (y_up) as base_rate."""
+    last = scored.groupBy(*keys).agg(F.add_months(F.max("session_date"), -12).alias("_cut"))
+    recent = scored.join(last, keys).where(F.col("session_date") > F.col("_cut"))
+    rows = unpivoted(train, features, keys).unionByName(unpivoted(recent, [P_UP], keys))
+    return profile(rows, [*keys, "feature"]).join(train.groupBy(*keys).agg(F.avg("y_up").alias("base_rate")), keys)
+
+
+def cycle(predictions: DataFrame, bars: DataFrame, outcomes: DataFrame, profiles: DataFrame, keys: list[str], now: Column, lookback: str = "240 hours", span: str = "24 hours", most: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, reports) of one run at ``now``: what newly came of predictions, and the checks of the window before ``now``.
+
+    Predictions carry their ``features``. Of each served model version without a profile (``reference_profile``) the reports say so and
+    nothing of drift; else those of its features and of P(up); performance against its base rate, 0.5 if that is not known; and
+    whether to retrain. Reports are (report_type, keys, metric_name, feature_name, value, status).
+    """
+    predictions, profiles = checkpointed(predictions), checkpointed(profiles)
+    new = checkpointed(resolved(predictions, bars, outcomes, now - F.expr(f"interval {lookback}"), now))
+    every = outcomes.select("prediction_id", "actual_direction", "is_correct").unionByName(new.select("prediction_id", "actual_direction", "is_correct"))
+    rows = checkpointed(window(predictions, every, now - F.expr(f"interval {span}"), now, most))
+    served = rows.select(*keys).distinct()
+    live = rows.select(*keys, F.explode("features").alias("feature", "value")).unionByName(rows.select(*keys, F.lit(P_UP).alias("feature"), F.col("p_up").alias("value")))
+    live = live.where("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    found = checkpointed(drift(live.join(profiles.select(*keys).distinct(), keys, "left_semi"), profiles, [*keys, "feature"]))
+    found = found.withColumn("report_type", F.when(F.col("feature") == P_UP, "prediction_drift").otherwise("data_drift"))
+    done = checkpointed(performance(rows, profiles.select(*keys, "base_rate").distinct(), keys))
+    again = retrain(found.where("report_type = 'data_drift'"), done, keys)
+    lost = with_missing_profiles(served, profiles, keys)
+
+    def reports(df: DataFrame, kind: Column, metrics: list[str], feature: Column, status: Column) -> DataFrame:
+        cells = F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric_name", "value")
+        return df.select(kind.alias("report_type"), *keys, feature.cast("string").alias("feature_name"), status.alias("status"), cells)
+
+    none = F.lit(None)
+    parts = [
+        reports(found, F.col("report_type"), ["psi", "ks"], F.when(F.col("feature") != P_UP, F.col("feature")), F.col("status")), reports(done, F.lit("performance"), ["log_loss", "null_log_loss", "accuracy"], none, F.col("status")),
+        reports(again.where("retrain").withColumn("retrain_recommended", F.lit(1.0)), F.lit("operational"), ["retrain_recommended"], none, F.lit("alert")),
+        reports(lost.withColumn("reference_profile_missing", F.lit(1.0)), F.lit("operational"), ["reference_profile_missing"], none, F.lit("warning")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return new, out.select("report_type", *keys, "metric_name", "feature_name", "value", "status").withColumn("created_at", now)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barflow.functions import timegrid as G
-from barflow.sources.session import shared_folder
+from barflow.sources.session import checkpointed
 
 #: Processed identifiers that a symbol remembers.
 MEMORY = 256
@@ -40,9 +40,8 @@ def outcomes(arrivals: DataFrame, order: str = "arrival", memory: int = MEMORY)
     df = arrivals.withColumn("segment", F.sum(F.coalesce(change, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     newest = F.max("ts").over(Window.partitionBy("symbol", "segment").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("_ok", newest.isNull() | (F.col("ts") > newest))
-    shared_folder(df.sparkSession)
     while True:
-        df = _judged(df, order, memory).checkpoint()
+        df = checkpointed(_judged(df, order, memory))
         stands = F.col("_ok") == (F.col("outcome") == "processed")
         if df.where(~stands).isEmpty():
             return df.drop("_ok")

@@ -110,6 +110,23 @@ def watchlist(items: DataFrame, quotes: DataFrame, user: str) -> DataFrame:
     return rows.join(quotes, "symbol", "left").orderBy("position", "added_at")
 
 
+def anomaly_feed(anomalies: DataFrame, limit: int, symbol: str | None = None, before: Column | None = None) -> DataFrame:
+    """The newest anomalies, of one symbol or of all, before a time; newest first."""
+    for test in ([F.col("symbol") == symbol] if symbol is not None else []) + ([F.col("ts") < before] if before is not None else []):
+        anomalies = anomalies.where(test)
+    return anomalies.orderBy(F.desc("ts"), "anomaly_id").limit(limit)
+
+
+def active_symbols(quotes: DataFrame) -> DataFrame:
+    """Symbols that have a latest row, by symbol."""
+    return quotes.select("symbol").distinct().orderBy("symbol")
+
+
+def known_symbols(symbols: DataFrame, active_only: bool = False) -> DataFrame:
+    """The registered symbols, by symbol; all, or those that are active."""
+    return (symbols.where("is_active") if active_only else symbols).orderBy("symbol")
+
+
 def chart(bars: DataFrame, indicators: DataFrame, live: DataFrame) -> DataFrame:
     """Bars with their indicators by time; a live bar takes the place of a stored one."""
     rows = bars.withColumn("_p", F.lit(0)).unionByName(live.withColumn("_p", F.lit(1)))

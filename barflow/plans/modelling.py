@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barflow.operators import backtest as B, dataset as D, evaluation as E, features as X, models as M
+from barflow.operators import backtest as B, contract as C, dataset as D, evaluation as E, features as X, models as M
 from barflow.plans.common import day, rd, sq, sqs
 from barflow.plans.indicators import LABELS_SQL, gapped
 from barflow.sources.bars import ORDER_SQL, order_bars
@@ -186,6 +186,64 @@ def ml_gbt(spark, d):
     return M.evaluated(M.fit_and_score(M.boosted(X.NAMES), train.drop("score"), test.drop("score")), "boosted")
 
 
+#: Two models that SQL can follow: the share of up labels, and a probability from the last five bars' return.
+_PLAIN = {"majority": M.majority, "momentum": lambda train: lambda df: df.withColumn("score", F.col("p"))}
+_SHOWN = ["n", "accuracy", "log_loss", "roc_auc"]
+
+
+def ml_held_out(spark, d):
+    """Models fitted on all rows up to a date and judged once on those after it."""
+    found, _ = M.held_out_test(_dataset(spark, d).drop("score"), _PLAIN, F.lit(_VALID).cast("date"), ["top_k"], [10.0])
+    return found.where(F.col("metric").isin(_SHOWN)).select("model", "metric", rd("value", 6))
+
+
+def ml_recent_evaluation(spark, d):
+    """The tags of a model retrained on its last three full years."""
+    return M.evaluation_tags(M.recent_evaluation(_dataset(spark, d).drop("score"), _PLAIN["momentum"])).select(*[rd(c, 6) for c in _TAGS])
+
+
+_TAGS = ["wf_log_loss", "wf_null_log_loss", "test_log_loss", "test_null_log_loss", "test_accuracy", "test_base_rate"]
+
+
+def ml_development_run(spark, d):
+    """Validation and walk-forward folds of all rows up to a date."""
+    report, _, _ = M.development_run(_dataset(spark, d).drop("score"), _PLAIN, F.lit(_TRAIN).cast("date"), F.lit(_VALID).cast("date"), ["top_k"], [10.0])
+    return report.where(F.col("metric").isin(_SHOWN)).select("section", "model", "fold", "metric", rd("value", 6))
+
+
+def ml_candidates(spark, d):
+    """Models by mean log loss over the folds of a development run, against the share of up labels."""
+    _, found, _ = M.development_run(_dataset(spark, d).drop("score"), _PLAIN, F.lit(_TRAIN).cast("date"), F.lit(_VALID).cast("date"), ["top_k"], [10.0])
+    return found.select("model", rd("log_loss", 6), rd("null_log_loss", 6), "beats_null")
+
+
+def bt_models(spark, d):
+    """Backtests of what two models say of a held-out time, by strategy and at four costs."""
+    _, tests = M.held_out_test(_dataset(spark, d).drop("score"), _PLAIN, F.lit(_VALID).cast("date"), ["buy_hold", "top_k", "long_short"], [0.0, 5.0, 10.0, 20.0])
+    return tests.select("model", "strategy", rd("cost_bps", 1), "offset", "periods", rd("growth", 5), rd("max_drawdown", 5))
+
+
+def model_skipped(spark, d):
+    """Ready rows that get no prediction, by the reason: no model, or an input that breaks a rule."""
+    df = X.features(gapped(spark, d)).withColumn("has_model", F.col("symbol") != "N").withColumn("close_pos", F.when(F.dayofmonth("ts") == 7, float("nan")).otherwise(F.col("close_pos")))
+    df = X.feature_map(df).withColumn("feature_set_version", F.lit(X.VERSION))
+    return M.skipped(df, C.feature_violations(X.NAMES, X.VERSION))
+
+
+def model_snapshots(spark, d):
+    """The inputs that predictions keep."""
+    df = labelled(spark, d).where("ready and p is not null").withColumn("score", F.col("p")).withColumn("event_id", F.concat_ws("-", "symbol", F.unix_micros("ts").cast("string")))
+    out = M.predictions(df, "momentum", "1", X.VERSION)
+    return out.select("symbol", F.to_date("ts").alias("day"), F.size("features").alias("n"), rd(F.col("features")["ret_5"], 6, "ret_5"), rd(F.col("features")["close_pos"], 6, "close_pos"))
+
+
+def ml_coefficients(spark, d):
+    """The ten largest weights of the logistic model."""
+    train, _ = _sets(spark, d)
+    found = M.coefficients(M.logistic(X.NAMES)(D.labelled(train).drop("score")), X.NAMES)
+    return spark.createDataFrame(found, "feature string, weight double")
+
+
 def ml_development(spark, d):
     """Baselines on a fold a year, ranked by log loss against the majority."""
     df = _dataset(spark, d).drop("score")
@@ -247,7 +305,7 @@ g AS (SELECT id, ov, 'feature_set_compatible' AS gate, true AS hard, fs AS passe
   UNION ALL SELECT id, ov, 'beats_base_rate', false, least(0.69::DOUBLE - wl, 0.68::DOUBLE - tl) >= 0.001 FROM q WHERE held AND known)"""
 _B = "FROM b WHERE y_up IS NOT NULL AND score IS NOT NULL"
 _CM = """count(*) FILTER (y_up = 1 AND score > 0) AS tp, count(*) FILTER (y_up = 0 AND score > 0) AS fp, count(*) FILTER (y_up = 1 AND score <= 0) AS fn, count(*) FILTER (y_up = 0 AND score <= 0) AS tn, count(*)::DOUBLE AS n"""
-QUERIES = {q.__name__: q for q in (split_purge_embargo, split_walk_forward, split_early_stopping, eval_classification, eval_auc, eval_logloss, eval_regression, eval_folds, bt_weights, bt_periods, bt_summary, bt_losses, bt_offsets, bt_costs, model_baselines, model_predictions, model_bad_transitions, model_gates, model_promotions, model_version_status, ml_logistic, ml_ridge, ml_gbt, ml_development)}
+QUERIES = {q.__name__: q for q in (split_purge_embargo, split_walk_forward, split_early_stopping, eval_classification, eval_auc, eval_logloss, eval_regression, eval_folds, bt_weights, bt_periods, bt_summary, bt_losses, bt_offsets, bt_costs, model_baselines, model_predictions, model_bad_transitions, model_gates, model_promotions, model_version_status, model_skipped, model_snapshots, ml_held_out, ml_recent_evaluation, ml_development_run, ml_candidates, bt_models, ml_coefficients, ml_logistic, ml_ridge, ml_gbt, ml_development)}
 
 
 def _after(boundary: str) -> str:
@@ -270,6 +328,17 @@ fd AS (SELECT fold, 'train' AS role, b.* FROM b JOIN fo ON session_date <= bd AN
 _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in X.NAMES)
 _SETS = f"""{LABELS_SQL.rstrip()}, b AS (SELECT symbol, day AS session_date, ret_5, y_return, y_up, label_end FROM y WHERE y_return IS NOT NULL AND {_COMPLETE}),
 tr AS (SELECT * FROM b WHERE y_up IS NOT NULL AND {_train(_VALID)}), te AS (SELECT * FROM b WHERE y_up IS NOT NULL AND {_test(_VALID)})"""
+_ALL = f"""{LABELS_SQL.rstrip()}, al AS (SELECT symbol, day AS session_date, ret_5, 1 / (1 + exp(-ret_5)) AS p, y_return, y_up, label_end FROM y WHERE y_return IS NOT NULL AND {_COMPLETE})"""
+_JUDGED = """mj AS (SELECT section, fold, avg(y_up) AS q FROM st WHERE role = 'train' AND y_up IS NOT NULL GROUP BY 1, 2),
+jd AS (SELECT st.section, st.fold, y_up, 'majority' AS model, q FROM st JOIN mj ON st.section = mj.section AND st.fold IS NOT DISTINCT FROM mj.fold WHERE role = 'test' AND y_up IS NOT NULL UNION ALL SELECT section, fold, y_up, 'momentum', p FROM st WHERE role = 'test' AND y_up IS NOT NULL),
+rk AS (SELECT *, rank() OVER (PARTITION BY section, model, fold ORDER BY q) + (count(*) OVER (PARTITION BY section, model, fold, q) - 1) / 2.0::DOUBLE AS r, least(greatest(q, 1e-6), 1 - 1e-6) AS c FROM jd),
+mt AS (SELECT section, model, fold, count(*)::DOUBLE AS n, avg(((q >= 0.5) = (y_up = 1))::INT) AS accuracy, avg(-(y_up * ln(c) + (1 - y_up) * ln(1 - c))) AS log_loss, greatest(avg(y_up), 1 - avg(y_up)) AS base_rate,
+  (sum(r) FILTER (y_up = 1) - count(*) FILTER (y_up = 1) * (count(*) FILTER (y_up = 1) + 1) / 2) / (count(*) FILTER (y_up = 1) * count(*) FILTER (y_up = 0)) AS roc_auc FROM rk GROUP BY 1, 2, 3),
+ml AS (SELECT section, model, fold, v.metric, CASE v.metric WHEN 'n' THEN n WHEN 'accuracy' THEN accuracy WHEN 'log_loss' THEN log_loss ELSE roc_auc END AS value FROM mt, (VALUES ('n'), ('accuracy'), ('log_loss'), ('roc_auc')) AS v(metric))"""
+_RUN = f"""{_ALL}, b AS (SELECT * FROM al WHERE {_train(_VALID)}), {_FOLDS},
+st AS (SELECT 'walk_forward' AS section, fold, role, y_up, p FROM fd UNION ALL SELECT 'validation', NULL, 'train', y_up, p FROM al WHERE {_train(_TRAIN)} UNION ALL SELECT 'validation', NULL, 'test', y_up, p FROM al WHERE {_test(_TRAIN, _VALID)}), {_JUDGED}"""
+_HELD = f"""{_ALL}, b AS (SELECT * FROM al), st AS (SELECT 'test' AS section, 0 AS fold, 'train' AS role, y_up, p FROM b WHERE {_train(_VALID)} UNION ALL SELECT 'test', 0, 'test', y_up, p FROM b WHERE {_test(_VALID)}), {_JUDGED}"""
+_RECENT = f"""{_ALL}, b AS (SELECT * FROM al), {_FOLDS}, ly AS (SELECT year(max(label_end)) - 1 AS ly FROM b), st AS (SELECT CASE WHEN fold = ly THEN 'test' ELSE 'wf' END AS section, fold, role, y_up, p FROM fd, ly WHERE fold BETWEEN ly - 2 AND ly), {_JUDGED}"""
 _PID = "sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(symbol || '-' || epoch_us(ts) || ':momentum:1:5'))"
 _UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
 ORACLES = {
@@ -299,6 +368,11 @@ lg AS (SELECT "offset", product(1 + net) AS growth, count(*) AS n, min(down) AS
 SELECT "offset", {sqs({"growth": 5, "annual_return": 5, "max_drawdown": 5})} FROM la""",
     "bt_offsets": f"WITH {_PANEL} SELECT {sq('min(sharpe)', 5, 'sharpe_min')}, {sq('median(sharpe)', 5, 'sharpe_median')}, {sq('max(sharpe)', 5, 'sharpe_max')}, {sq('median(annual_return)', 5, 'annual_return_median')} FROM sv WHERE strategy = 'long_short' AND bps = 10",
     "bt_costs": f'WITH {_PANEL} SELECT strategy, {sq("bps", 1, "cost_bps")}, "offset", periods, {sqs({"growth": 5, "sharpe": 5})} FROM sv',
+    "ml_held_out": f"{_HELD} SELECT model, metric, {sq('value', 6)} FROM ml",
+    "ml_development_run": f"{_RUN} SELECT section, model, fold::INT AS fold, metric, {sq('value', 6)} FROM ml",
+    "ml_candidates": f"{_RUN}, ca AS (SELECT model, avg(value) AS log_loss FROM ml WHERE section = 'walk_forward' AND metric = 'log_loss' GROUP BY 1), cn AS (SELECT log_loss AS null_log_loss FROM ca WHERE model = 'majority') SELECT model, {sq('log_loss', 6)}, {sq('null_log_loss', 6)}, log_loss < null_log_loss AS beats_null FROM ca, cn",
+    "ml_recent_evaluation": f"""{_RECENT}, tg AS (SELECT avg(log_loss) FILTER (section = 'wf' AND model = 'momentum') AS wf_log_loss, avg(log_loss) FILTER (section = 'wf' AND model = 'majority') AS wf_null_log_loss, avg(log_loss) FILTER (section = 'test' AND model = 'momentum') AS test_log_loss,
+  avg(log_loss) FILTER (section = 'test' AND model = 'majority') AS test_null_log_loss, avg(accuracy) FILTER (section = 'test' AND model = 'momentum') AS test_accuracy, avg(base_rate) FILTER (section = 'test' AND model = 'momentum') AS test_base_rate FROM mt) SELECT {sqs(dict.fromkeys(_TAGS, 6))} FROM tg""",
     "model_baselines": f"{_SETS} SELECT 'majority' AS model, count(*) AS n, {sq('(SELECT avg(y_up) FROM tr)', 6, 'mean_score')} FROM te UNION ALL SELECT 'momentum', count(*), {sq('avg(ret_5)', 6, 'mean_score')} FROM te UNION ALL SELECT 'zero', count(*), 0.0 FROM te UNION ALL SELECT 'train_mean', count(*), {sq('(SELECT avg(y_return) FROM tr)', 6, 'mean_score')} FROM te",
     "model_predictions": f"""{_LAB}, h AS (SELECT *, {_PID} AS h FROM b WHERE p IS NOT NULL)
 SELECT {_UUID} AS prediction_id, symbol, session_date AS day, CAST(session_date + (CASE WHEN isodow(ts) > 5 THEN 8 - isodow(ts) ELSE 0 END + 5 + 2 * ((CASE WHEN isodow(ts) > 5 THEN 0 ELSE isodow(ts) - 1 END + 5) // 5))::INT AS DATE) AS target_day,

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from barflow.functions import timegrid as G
-from barflow.operators import indicators as I, monitoring as M, serving as S
+from barflow.operators import detectors as D, indicators as I, monitoring as M, serving as S
 from barflow.plans.common import rd, sql_stamp, sq, sqs, stamp, table
-from barflow.plans.modelling import _DEPLOY, deployments
+from barflow.plans.modelling import _DEPLOY, _UUID, deployments
+from barflow.plans.stream_rules import _NUMBERED, numbered
 from barflow.sources.bars import EVENT_SQL, event_bars
 
 _SQL_NOW = "TIMESTAMP '2024-01-25'"
@@ -149,6 +150,51 @@ def srv_page(spark, d):
     return df.select(stamp("ts", "at"), rd("close", 2), stamp("next_before", "next_before"))
 
 
+def srv_indicators_latest(spark, d):
+    """Each symbol's newest indicators."""
+    return S.latest_per(I.indicators(event_bars(spark, d)), ["symbol"]).select("symbol", stamp("ts", "at"), rd("return_1", 6), rd("sma_20", 4))
+
+
+def srv_indicators_page(spark, d):
+    """The page of 40 indicator rows of a symbol before a key."""
+    df = I.bollinger(I.returns(event_bars(spark, d))).select("symbol", "ts", "return_1", "sma_20")
+    df = S.page(df, 40, before=F.lit("2024-01-18 00:00:00").cast("timestamp"), symbol="view")
+    return df.select(stamp("ts", "at"), rd("return_1", 6), rd("sma_20", 4), stamp("next_before", "next_before"))
+
+
+def srv_anomalies(spark, d):
+    """The 60 newest jumps before a time, of all symbols and of one."""
+    found = D.anomalies(D.return_threshold(numbered(spark, d), D.Limits(return_limit=0.5)), ["det_return"])
+    before, out = F.lit("2024-01-20 00:00:00").cast("timestamp"), None
+    for symbol in (None, "click"):
+        part = S.anomaly_feed(found, 60, symbol, before).select(F.lit(symbol or "all").alias("feed"), "anomaly_id", "symbol", stamp("ts", "at"), "anomaly_type", rd("score", 5))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def srv_symbols(spark, d):
+    """Symbols with a latest row, registered ones, and those of them that are active."""
+    known = table(spark, d, "events").select(F.col("event_type").alias("symbol")).distinct().withColumn("is_active", F.col("symbol") != "view")
+    quotes = S.latest_per(event_bars(spark, d).where("symbol <> 'click'"), ["symbol"])
+    parts = {"quoted": S.active_symbols(quotes), "known": S.known_symbols(known).select("symbol"), "active": S.known_symbols(known, True).select("symbol")}
+    out = None
+    for name, df in parts.items():
+        part = df.select(F.lit(name).alias("list"), "symbol")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def mon_cycle(spark, d):
+    """The reports of a cycle over predictions with two inputs: one model has a profile of the first half of the time, one has none."""
+    df = I.volatility(I.returns(event_bars(spark, d))).select("symbol", "ts", "return_1", "volatility_20")
+    made = predictions(spark, d).join(df, ["symbol", "ts"]).withColumn("features", F.create_map(F.lit("return_1"), "return_1", F.lit("volatility_20"), "volatility_20"))
+    half = made.where(f"ts < timestamp'{_MID}'").withColumn("session_date", F.to_date("ts")).withColumn("p_up", F.col("class_probabilities")["up"]).withColumn("y_up", (F.col("return_1") > 0).cast("double"))
+    own = half.where("model_name = 'm0'")
+    profiles = M.reference_profile(own, ["return_1", "volatility_20"], own, ["model_name"])
+    _, reports = M.cycle(made, event_bars(spark, d), made.select("prediction_id").limit(0).selectExpr("prediction_id", "string(null) actual_direction", "boolean(null) is_correct"), profiles, ["model_name"], _now(), span="240 hours")
+    return reports.select("report_type", "model_name", "metric_name", "feature_name", rd("value", 6), "status")
+
+
 def srv_session(spark, d):
     df = S.session_stats(event_bars(spark, d), S.session_start(F.lit("2024-01-20 15:00:00").cast("timestamp"), "1h"))
     return df.select("symbol", "bars", "volume", *[rd(c, 4) for c in ("open", "high", "low", "close", "change", "change_pct")])
@@ -230,10 +276,17 @@ def srv_track_record(spark, d):
     return S.track_record(rows, ["model_name"]).select("model_name", "resolved", "pending", rd("hit_rate", 6), rd("majority_rate", 6))
 
 
-QUERIES = {q.__name__: q for q in (mon_profile, mon_psi, mon_ks, mon_drift, mon_outcomes, mon_window, mon_performance, mon_retrain, mon_reports, srv_latest, srv_page, srv_session, srv_predictions, srv_open_prediction, srv_champion, srv_monitoring, srv_drifted, srv_summary, srv_detail, srv_status, srv_watchlist, srv_chart, srv_newest, srv_track_record)}
+QUERIES = {q.__name__: q for q in (srv_indicators_latest, srv_indicators_page, srv_anomalies, srv_symbols, mon_cycle, mon_profile, mon_psi, mon_ks, mon_drift, mon_outcomes, mon_window, mon_performance, mon_retrain, mon_reports, srv_latest, srv_page, srv_session, srv_predictions, srv_open_prediction, srv_champion, srv_monitoring, srv_drifted, srv_summary, srv_detail, srv_status, srv_watchlist, srv_chart, srv_newest, srv_track_record)}
 _LAST = "lt AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)"
 _W = "(PARTITION BY symbol ORDER BY ts)"
+_IND = f"{EVENT_SQL}, ir AS (SELECT symbol, ts, (close - lag(close) OVER w) / lag(close) OVER w AS return_1, CASE WHEN count(*) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) = 20 THEN avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) END AS sma_20 FROM ev WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
 ORACLES = {
+    "srv_indicators_latest": f"WITH {_IND} SELECT symbol, {sql_stamp('ts', 'at')}, {sq('return_1', 6)}, {sq('sma_20', 4)} FROM ir QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1",
+    "srv_indicators_page": f"WITH {_IND}, t AS (SELECT * FROM ir WHERE symbol = 'view' AND ts < TIMESTAMP '2024-01-18' ORDER BY ts DESC LIMIT 40) SELECT {sql_stamp('ts', 'at')}, {sq('return_1', 6)}, {sq('sma_20', 4)}, CASE WHEN (SELECT count(*) FROM t) = 40 THEN strftime((SELECT min(ts) FROM t), '%Y-%m-%d %H:%M:%S') END AS next_before FROM t",
+    "srv_anomalies": f"""WITH {_NUMBERED}, r AS (SELECT symbol, ts, event_id, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM nb), k AS (SELECT *, CASE WHEN r > 0 THEN 'price_spike' ELSE 'price_drop' END AS anomaly_type FROM r WHERE abs(r) > 0.5 AND ts < TIMESTAMP '2024-01-20'),
+h AS (SELECT *, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(event_id || ':return_threshold:' || anomaly_type)) AS h FROM k), a AS (SELECT *, {_UUID} AS anomaly_id FROM h), f AS (SELECT 'all' AS feed, * FROM a UNION ALL SELECT 'click', * FROM a WHERE symbol = 'click')
+SELECT feed, anomaly_id, symbol, {sql_stamp('ts', 'at')}, anomaly_type, {sq('abs(r)', 5, 'score')} FROM f QUALIFY row_number() OVER (PARTITION BY feed ORDER BY ts DESC, anomaly_id) <= 60""",
+    "srv_symbols": "SELECT DISTINCT l.list, event_type AS symbol FROM events, (VALUES ('quoted', 'click'), ('known', ''), ('active', 'view')) AS l(list, without) WHERE event_type <> without",
     "mon_profile": f"WITH {_VALUES}, f AS (SELECT model, feature, max(r) FILTER (b = 0) AS fb, arg_max(r, b) AS lb FROM pt GROUP BY 1, 2) SELECT rf.model, rf.feature, n, len(edges) AS n_edges, {', '.join(sq(f'quantiles[{k}]', 4, f'q{k - 1}') for k in (1, 26, 51, 76, 101))}, {sq('fb', 6, 'first_bin')}, {sq('lb', 6, 'last_bin')} FROM rf JOIN f USING (model, feature)",
     "mon_psi": f"WITH {_VALUES} SELECT model, feature, {sq('psi', 6)} FROM ps",
     "mon_ks": f"WITH {_VALUES} SELECT model, feature, n::BIGINT AS n, {sq('ks', 6)}, {sq('p_value', 6)} FROM kp",

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import Window, functions as F
 
 from barflow.functions import ids
-from barflow.operators import contract as C, features as X, ops as O
+from barflow.operators import contract as C, detectors as D, features as X, ops as O
 from barflow.plans.common import rd, sql_stamp, sq, sqs, stamp, table
 from barflow.plans.stream_rules import _NUMBERED, numbered
-from barflow.sources import readers as R, sinks as S
+from barflow.sources import readers as R, sinks as S, stages as G
 from barflow.sources.bars import EVENT_SQL, LINE_SQL, event_bars, line_bars
 from barflow.sources.session import shared_folder
 from barflow.streaming import enrich, sinks as T
@@ -310,20 +310,94 @@ def stream_append(spark, d):
     return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_enrich(spark, d):
-    """Bars as a stream through the keyed state: outcome and indicators of each."""
+def _streamed(spark, bars, through):
+    """The rows of ``bars`` as a stream of files, through an operator into files."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    bars = numbered(spark, d).withColumn("interval", F.lit("1h")).select("symbol", "ts", "interval", "event_id", F.col("n").cast("long").alias("arrival"), "close")
     bars.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(bars.schema).parquet(f"{folder}/in")
-    enrich.enriched(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("event_id", "outcome", rd("return_1", 6), rd("sma_20", 4), rd("ema_12", 4), rd("ema_26", 4), rd("rsi_14", 4))
+    through(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def _enriched(spark, d, warm=0):
+    bars = numbered(spark, d).withColumn("interval", F.lit("1h")).select("symbol", "ts", "interval", "event_id", F.col("n").cast("long").alias("arrival"), "close", F.col("volume").cast("double").alias("volume"), (F.col("n") <= warm).alias("warming"))
+    return _streamed(spark, bars, lambda x: enrich.enriched(x, D.Limits(return_limit=0.5, z_limit=2.0, volume_ratio=1.5)))
+
+
+def stream_indicators(spark, d):
+    """All indicators of bars as a stream, begun from the first hundred bars of each symbol that only fill the state."""
+    return _enriched(spark, d, 100).select("event_id", *[rd(c, 4) for c in _STREAMED])
+
+
+_STREAMED = ["price_change", "log_return_1", "volume_change_pct", "volatility_20", "volume_sma_20", "volume_ratio", "bb_upper", "bb_lower", "bb_width"]
+
+
+def stream_anomalies(spark, d):
+    """What the detectors of returns and volumes find in the stream."""
+    found = enrich.anomalies(_enriched(spark, d)).where("detector <> 'return_zscore'")
+    return found.select("source_event_id", "detector", "anomaly_type", "severity", rd("score", 5))
+
+
+def stream_features(spark, d):
+    """Live features of daily bars: those of batch, for every third bar of a symbol once they are ready."""
+    bars = X.with_gaps(line_bars(spark, d), daily=True).select("symbol", "ts", "interval", F.concat_ws("-", "symbol", F.to_date("ts").cast("string")).alias("event_id"), F.unix_timestamp("ts").alias("arrival"), F.col("gap_before").cast("int").alias("gap_before"), "open", "high", "low", "close", "volume")
+    out = _streamed(spark, bars, lambda x: enrich.featured(x, 3))
+    return out.where("status = 'ready'").select("event_id", *[rd(c, 5) for c in ("ret_5", "close_sma20", "vol_10", "vol_ratio_10_60", "bb_pos_20", "volume_change", "day_of_week")])
+
+
+def stream_scored(spark, d):
+    """Predictions of live features, each once though the stream is read twice."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    bars = X.with_gaps(line_bars(spark, d), daily=True).select("symbol", "ts", "interval", F.concat_ws("-", "symbol", F.to_date("ts").cast("string")).alias("event_id"), F.unix_timestamp("ts").alias("arrival"), F.col("gap_before").cast("int").alias("gap_before"), "open", "high", "low", "close", "volume")
+    bars.write.parquet(f"{folder}/in")
+    predict = lambda df: df.withColumn("score", 1 / (1 + F.exp(-F.col("ret_5"))))
+    for turn in (1, 2):
+        stream = enrich.featured(spark.readStream.schema(bars.schema).parquet(f"{folder}/in"))
+        T.scored(stream, f"{folder}/out", f"{folder}/check{turn}", predict, "momentum", "1").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("symbol", "predicted_direction").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("features")).alias("inputs"))
+
+
+def stream_dead_letters(spark, d):
+    """A log as a stream: sound events into one table, poison messages into another."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = log(spark, d).select("key", "value", "topic", F.col("partition").cast("int").alias("partition"), "offset", F.col("ts").alias("timestamp"), F.lit(None).cast("array<struct<key:string,value:binary>>").alias("headers"), "event_id")
+    rows.withColumn("offset", F.xxhash64("event_id")).drop("event_id").write.parquet(f"{folder}/log")
+    T.routed(R.event_log(spark, f"{folder}/log"), f"{folder}/events", f"{folder}/dead", f"{folder}/check", "enricher").awaitTermination()
+    good = spark.read.parquet(f"{folder}/events").select(F.lit("event").alias("kind"))
+    bad = spark.read.parquet(f"{folder}/dead").select(F.col("reason").alias("kind"))
+    return good.unionByName(bad).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_fan_out(spark, d):
+    """What a screen gets of a batch of events: the newest of each type and symbol, the 100 newest anomalies, and how many more there were."""
+    e = table(spark, d, "events").select(F.when(F.col("value") > 95, "anomaly").otherwise("bar").alias("event_type"), F.col("event_type").alias("symbol"), F.struct("ts", "event_id").alias("ts"))
+    latest, found, dropped = T.coalesced(e, 100)
+    rows = latest.unionByName(found).select("event_type", "symbol", F.col("ts.event_id").alias("event_id"))
+    return rows.unionByName(dropped.select(F.lit("dropped").alias("event_type"), F.lit("").alias("symbol"), F.col("dropped").alias("event_id")))
+
+
+def scan_grid(spark, d):
+    """The opening times of the last 500 whole half-hour bars before a time between two."""
+    return R.simulated_grid(spark, F.lit("2024-01-20 10:17:30").cast("timestamp"), "30m", 500).select(stamp("ts", "at"))
+
+
+def stage_files(spark, d):
+    """Bars through the files of a stage and back, a folder a symbol."""
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    G.write_stage(event_bars(spark, d), path, "validated")
+    return G.read_stage(spark, path, "validated").groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.sum("volume").alias("volume"), F.max("ts").cast("date").alias("last"))
+
+
+def stream_enrich(spark, d):
+    """Bars as a stream through the keyed state: outcome and indicators of each."""
+    return _enriched(spark, d).select("event_id", "outcome", rd("return_1", 6), rd("sma_20", 4), rd("ema_12", 4), rd("ema_26", 4), rd("rsi_14", 4))
 
 
 _NAMES = (
     contract_reasons, contract_invariants, contract_events, dlq_records, contract_predictions, derived_ids, contract_enriched, sink_append_absent, sink_counts, sink_latest, sink_latest_expiring, sink_recent_capped, sink_announced,
     sink_routed, sink_constrained, sink_new_symbols, sink_log_records, sink_manifest, scan_replay, scan_replay_skipped, scan_csv, ops_reconcile, ops_latency, ops_rounded_percentile, ops_gaps, ops_arrivals, ops_first_after, ops_lag,
-    ops_counter_increase, ops_hist_quantile, ops_alert_hold, ops_ratio_alert, ops_count_alert, ops_calibration, stream_rollup, stream_latest, stream_append, stream_enrich,
+    ops_counter_increase, ops_hist_quantile, ops_alert_hold, ops_ratio_alert, ops_count_alert, ops_calibration, stream_rollup, stream_latest, stream_append, stream_enrich, stream_indicators,
+    stream_anomalies, stream_features, stream_scored, stream_dead_letters, stream_fan_out, scan_grid, stage_files,
 )
 QUERIES = {q.__name__: q for q in _NAMES}
 _BROKEN = "array_to_string(list_filter([CASE WHEN n % 41 = 0 THEN 'interval' END, CASE WHEN n % 37 = 0 THEN 'time' END, CASE WHEN n % 43 = 0 OR NOT (open + 1 > 0 AND low + 1 > 0 AND close + 1 > 0) THEN 'prices' END, CASE WHEN low > least(CASE WHEN n % 43 = 0 THEN -2 ELSE open END, close) THEN 'low' END], lambda x: x IS NOT NULL), ',')"
@@ -373,6 +447,18 @@ SELECT grp AS "group", b.topic, b.partition, greatest(0, e - coalesce(o, low)) A
     "ops_ratio_alert": f"WITH g AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS part, count(*) AS total FROM events GROUP BY 1) SELECT user_id, part, total, {sq('part / total', 6, 'ratio')}, part / total > 0.18 AS alert FROM g",
     "ops_count_alert": "SELECT event_type, count(*) FILTER (value > 50) AS n, count(*) FILTER (value > 50) >= 10 AS alert FROM events GROUP BY 1",
     "ops_calibration": f"WITH {LINE_SQL}, u AS (SELECT * FROM li WHERE close > 0 AND volume > 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 757), r AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS r FROM u) SELECT symbol, {sq('avg(r) * 252', 4, 'annual_drift')}, {sq('stddev_samp(r) * sqrt(252)', 4, 'annual_volatility')}, floor(median(volume))::BIGINT AS median_volume, {sq('stddev_samp(ln(volume))', 4, 'log_volume_sd')}, {sq('arg_max(close, ts)', 2, 'last_close')}, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day, count(*) AS n FROM r GROUP BY 1 HAVING count(*) >= 60",
+    "stream_indicators": f"""WITH {EVENT_SQL}, k AS (SELECT symbol, ts, close, volume, row_number() OVER w AS n, lag(close) OVER w AS pc, lag(volume) OVER w AS pv FROM ev WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+f AS (SELECT *, stddev_pop(close) OVER w AS dev, avg(close) OVER w AS m, avg(volume) OVER w AS vm, stddev_samp(ln(close / pc)) OVER w AS vol FROM k WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING))
+SELECT symbol || '-' || n AS event_id, {sq('close - pc', 4, 'price_change')}, {sq('ln(close / pc)', 4, 'log_return_1')}, {sq('(volume - pv) / pv', 4, 'volume_change_pct')}, {sq('vol', 4, 'volatility_20')}, {sq('vm', 4, 'volume_sma_20')}, {sq('volume / vm', 4, 'volume_ratio')},
+{sq('m + 2 * dev', 4, 'bb_upper')}, {sq('m - 2 * dev', 4, 'bb_lower')}, {sq('4 * dev / m', 4, 'bb_width')} FROM f WHERE n > 100""",
+    "stream_anomalies": f"""WITH {_NUMBERED}, k AS (SELECT event_id, close / lag(close) OVER w - 1 AS r, volume / nullif(median(volume) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), 0) AS v, count(*) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS c FROM nb WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+a AS (SELECT event_id AS source_event_id, 'return_threshold' AS detector, CASE WHEN r > 0 THEN 'price_spike' ELSE 'price_drop' END AS anomaly_type, abs(r) AS score, 0.5::DOUBLE AS t FROM k WHERE abs(r) > 0.5 UNION ALL SELECT event_id, 'volume_median', 'volume_spike', v, 1.5 FROM k WHERE c >= 20 AND v > 1.5)
+SELECT source_event_id, detector, anomaly_type, CASE WHEN score / t < 1.5 THEN 'low' WHEN score / t < 2.5 THEN 'medium' WHEN score / t < 4 THEN 'high' ELSE 'critical' END AS severity, {sq('score', 5)} FROM a""",
+    "stream_dead_letters": f"WITH {_LOG} SELECT coalesce(reason, 'event') AS kind, count(*) AS n FROM cl GROUP BY 1",
+    "stream_fan_out": """WITH e AS (SELECT CASE WHEN value > 95 THEN 'anomaly' ELSE 'bar' END AS kind, event_type AS symbol, ts, event_id FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY kind, symbol ORDER BY ts DESC, event_id DESC) AS i, row_number() OVER (PARTITION BY kind ORDER BY ts DESC, event_id DESC) AS j FROM e)
+SELECT kind AS event_type, symbol, event_id FROM r WHERE CASE WHEN kind = 'bar' THEN i = 1 ELSE j <= 100 END UNION ALL SELECT 'dropped', '', greatest(count(*) - 100, 0) FROM e WHERE kind = 'anomaly'""",
+    "scan_grid": f"WITH g AS (SELECT unnest(range(TIMESTAMP '2024-01-20 10:00:00' - INTERVAL 15000 MINUTE, TIMESTAMP '2024-01-20 10:00:00', INTERVAL 30 MINUTE)) AS ts) SELECT {sql_stamp('ts', 'at')} FROM g",
+    "stage_files": f'WITH {EVENT_SQL} SELECT symbol, count(*) AS bars, CAST(sum(volume) AS BIGINT) AS volume, CAST(max(ts) AS DATE) AS "last" FROM ev GROUP BY 1',
     "stream_rollup": f"WITH {EVENT_SQL} SELECT symbol AS event_type, {sql_stamp('ts', 'at')}, {sqs({c: 2 for c in ('open', 'high', 'low', 'close')})}, volume FROM ev",
     "stream_latest": f"SELECT event_type AS symbol, arg_max(event_id, ts) AS event_id, {sq('arg_max(value, ts)', 2, 'value')} FROM events GROUP BY 1",
     "stream_append": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",

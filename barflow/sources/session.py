@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,3 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
         context.setCheckpointDir(folder)
         found = context._jsc.sc().getCheckpointDir()
     return found.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to that folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -10,13 +10,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 RECENT, RECENT_BY_SYMBOL = 500, 100
 
 
-def absent(batch: DataFrame, target: DataFrame, keys: list[list[str]]) -> DataFrame:
-    """Rows of the batch that none of the unique ``keys`` finds in the target or earlier in the batch.
+def first_of(batch: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key, the least of its rows by their values; rows with a null in the key are never equal and all stay."""
+    whole = F.lit(True)
+    for c in key:
+        whole = whole & F.col(c).isNotNull()
+    order = F.struct(*[c for c, kind in batch.dtypes if "map<" not in kind and kind != "variant"])
+    one = batch.where(whole).groupBy(*key).agg(F.min_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
+    return one.unionByName(batch.where(~whole))
+
 
-    For one key, duplicates within the batch keep an arbitrary row; give an order by sorting values into the key.
-    """
+def absent(batch: DataFrame, target: DataFrame, keys: list[list[str]]) -> DataFrame:
+    """Rows of the batch that none of the unique ``keys`` finds in the target or earlier in the batch, by the order of values."""
     for key in keys:
-        batch = batch.dropDuplicates(key).join(target.select(*key), key, "left_anti")
+        batch = first_of(batch, key).join(target.select(*key), key, "left_anti")
     return batch
 
 
@@ -30,7 +37,7 @@ def append_absent(batch: DataFrame, path: str, keys: list[list[str]]) -> None:
     """Append to a Parquet table what it lacks; the same batch again adds nothing."""
     spark = batch.sparkSession
     target = spark.read.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(path) if _exists(spark, path) else None
-    new = absent(batch, target, keys) if target is not None else reduce(lambda d, k: d.dropDuplicates(k), keys, batch)
+    new = absent(batch, target, keys) if target is not None else reduce(first_of, keys, batch)
     new.write.mode("append").parquet(path)
 
 
@@ -51,14 +58,20 @@ def constrained(rows: DataFrame, constraints: dict[str, Column]) -> tuple[DataFr
     return df.where(F.size("broken") == 0).drop("broken"), df.where(F.size("broken") > 0)
 
 
+#: The unique keys of the tables, the primary one first.
+KEYS = {
+    "symbols": [["symbol"]], "market_bars": [["symbol", "bar_interval", "ts"], ["event_id"]], "bar_indicators": [["symbol", "bar_interval", "ts"]], "anomalies": [["anomaly_id"], ["source_event_id", "detector", "anomaly_type"]],
+    "predictions": [["prediction_id"]], "prediction_outcomes": [["prediction_id"]], "model_deployments": [["id"]], "monitoring_reports": [["id"]], "watchlist_items": [["user_id", "symbol"]],
+}
 #: The checks of the tables, by name.
 CHECKS = {
+    "symbols": {}, "bar_indicators": {}, "watchlist_items": {},
     "market_bars": {"prices": "open > 0 and high > 0 and low > 0 and close > 0", "volume": "volume >= 0", "high": "high >= greatest(open, close, low)", "low": "low <= least(open, close)"},
-    "anomalies": {"severity": "severity in ('low', 'medium', 'high', 'critical')", "threshold": "threshold > 0"},
-    "predictions": {"target": "target_ts > ts", "horizon": "horizon_bars > 0", "confidence": "confidence between 0 and 1", "task": "task in ('direction', 'return')"},
-    "prediction_outcomes": {"error": "abs_error >= 0"},
-    "model_deployments": {"stages": "from_stage is distinct from to_stage"},
-    "monitoring_reports": {"window": "window_end >= window_start", "status": "status in ('ok', 'warning', 'alert')"},
+    "anomalies": {"anomaly_type": "anomaly_type in ('price_spike', 'price_drop', 'volume_spike')", "severity": "severity in ('low', 'medium', 'high', 'critical')"},
+    "predictions": {"target": "target_ts > ts", "horizon": "horizon_bars >= 1", "task": "task in ('direction', 'return')", "direction": "predicted_direction in ('up', 'down', 'neutral')", "confidence": "confidence between 0 and 1"},
+    "prediction_outcomes": {"direction": "actual_direction in ('up', 'down', 'neutral')"},
+    "model_deployments": {"to_stage": "to_stage in ('candidate', 'challenger', 'champion', 'archived')", "from_stage": "from_stage in ('candidate', 'challenger', 'champion', 'archived')"},
+    "monitoring_reports": {"window": "window_end > window_start", "report_type": "report_type in ('data_drift', 'prediction_drift', 'performance', 'operational')", "status": "status in ('ok', 'warning', 'alert')"},
 }
 
 

@@ -1,42 +1,89 @@
-"""Keyed stateful enrichment of a stream of bars."""
+"""Keyed stateful processing of streams of bars: enrichment with anomalies, and features for scoring."""
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barflow.operators.detectors import Limits
-from barflow.streaming.kernel import SymbolState
+from barflow.operators import contract
+from barflow.operators.detectors import VERSION, Limits, severity
+from barflow.operators.features import NAMES
+from barflow.operators.indicators import FIELDS
+from barflow.streaming.kernel import FeatureState, SymbolState
 
-OUTPUT = "symbol string, ts timestamp, event_id string, outcome string, close double, return_1 double, sma_20 double, ema_12 double, ema_26 double, macd_signal double, rsi_14 double, zscore double"
-_NAMES = ["return_1", "sma_20", "ema_12", "ema_26", "macd_signal", "rsi_14", "zscore"]
+_VALUES = [*FIELDS, "zscore"]
+_FOUND = "array<struct<detector:string,anomaly_type:string,observed_value:double,expected_value:double,score:double,threshold:double>>"
+OUTPUT = f"symbol string, interval string, ts timestamp, event_id string, outcome string, missing_bars int, close double, {', '.join(f'{n} double' for n in _VALUES)}, found {_FOUND}"
+FEATURES = f"symbol string, interval string, ts timestamp, event_id string, status string, {', '.join(f'{n} double' for n in NAMES)}"
 
 
-def enriched(bars: DataFrame, limits: Limits = Limits(), idle_ms: int | None = None) -> DataFrame:
-    """``bars(symbol, ts, interval, event_id, arrival, close)`` with outcome and indicators, in order of arrival within a batch.
-
-    State is one bounded record a symbol in the state store. With ``idle_ms``, symbols without a row for so long are forgotten;
-    such a stream never ends by itself, so leave it out with ``availableNow``.
-    """
+def _keyed(bars: DataFrame, new: Callable, row: Callable, schema: str, columns: list[str], idle_ms: int | None) -> DataFrame:
+    """One state a symbol, pushed row by row in order of arrival within a batch; rows marked ``warming`` change it and give none."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        own = pickle.loads(state.get[0]) if state.exists else SymbolState()
-        rows = pd.concat(list(frames)).sort_values("arrival")
+        own = pickle.loads(state.get[0]) if state.exists else new()
         out = []
-        for r in rows.itertuples():
-            outcome = own.outcome(r.interval, r.ts.timestamp(), r.event_id)
-            values = own.push(r.ts.timestamp(), r.event_id, r.close, limits) if outcome == "processed" else dict.fromkeys(_NAMES)
-            out.append((key[0], r.ts, r.event_id, outcome, r.close, *values.values()))
+        for r in pd.concat(list(frames)).sort_values("arrival").itertuples():
+            found = row(own, key[0], r)
+            if not r.warming:
+                out.append(found)
         state.update((pickle.dumps(own),))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["symbol", "ts", "event_id", "outcome", "close", *_NAMES]).astype({n: "float64" for n in _NAMES})
+        if out:
+            yield pd.DataFrame(out, columns=columns).astype({c: "float64" for c in columns if c in _VALUES or c in NAMES})
+
+    if "warming" not in bars.columns:
+        bars = bars.withColumn("warming", F.lit(False))
+    return bars.groupBy("symbol").applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def enriched(bars: DataFrame, limits: Limits = Limits(), idle_ms: int | None = None) -> DataFrame:
+    """``bars(symbol, ts, interval, event_id, arrival, close, volume)`` with outcome, skipped bars, all indicators and what the
+    detectors find, in order of arrival within a batch.
+
+    State is one bounded record a symbol in the state store. Rows with ``warming`` true, a log's rows before the offset at which
+    work goes on, only fill the state: read some of them again to begin without a gap. With ``idle_ms``, symbols without
+    a row for so long are forgotten; such a stream never ends by itself, so leave it out with ``availableNow``.
+    """
+
+    def row(own: SymbolState, symbol: str, r) -> tuple:
+        ts = r.ts.timestamp()
+        outcome = own.outcome(r.interval, ts, r.event_id)
+        missing, values, found = 0, dict.fromkeys(_VALUES), []
+        if outcome == "processed":
+            missing = own.missing(ts)
+            values, found = own.push(ts, r.event_id, r.close, limits, r.volume)
+        return (symbol, r.interval, r.ts, r.event_id, outcome, missing, r.close, *(values[n] for n in _VALUES), [dict(zip(("detector", "anomaly_type", "observed_value", "expected_value", "score", "threshold"), x)) for x in found])
+
+    columns = ["symbol", "interval", "ts", "event_id", "outcome", "missing_bars", "close", *_VALUES, "found"]
+    if "volume" not in bars.columns:
+        bars = bars.withColumn("volume", F.lit(0.0))
+    return _keyed(bars, SymbolState, row, OUTPUT, columns, idle_ms)
+
+
+def anomalies(rows: DataFrame) -> DataFrame:
+    """The anomalies of enriched rows, one row each, with the id that follows from its bar."""
+    df = rows.select("symbol", "ts", "interval", F.col("event_id").alias("source_event_id"), F.explode("found").alias("d")).select("symbol", "ts", "interval", "source_event_id", "d.*", F.lit(VERSION).alias("detector_version"))
+    return df.withColumn("severity", severity(F.col("score"), F.col("threshold"))).withColumn("anomaly_id", contract.derived_id(F.col("source_event_id"), F.col("detector"), F.col("anomaly_type")))
+
+
+def featured(bars: DataFrame, every: int = 1, idle_ms: int | None = None) -> DataFrame:
+    """``bars(symbol, ts, interval, event_id, arrival, gap_before, open, high, low, close, volume)`` with the 28 features and status: stale,
+    not_ready, sampled_out (but for each ``every``-th bar) or ready. A gap begins again; rows with ``warming`` only fill the state."""
+
+    def row(own: FeatureState, symbol: str, r) -> tuple:
+        stale = own.last_ts is not None and r.ts.timestamp() <= own.last_ts
+        found = own.push(r.ts.timestamp(), r.gap_before, (r.open, r.high, r.low, r.close, float(r.volume)), r.ts.weekday(), r.ts.month)
+        status = "stale" if stale else "not_ready" if found is None else "sampled_out" if own.seen % every else "ready"
+        values = found if status == "ready" else dict.fromkeys(NAMES)
+        return (symbol, r.interval, r.ts, r.event_id, status, *(values[n] for n in NAMES))
 
-    return bars.groupBy("symbol").applyInPandasWithState(step, OUTPUT, "state binary", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return _keyed(bars, FeatureState, row, FEATURES, ["symbol", "interval", "ts", "event_id", "status", *NAMES], idle_ms)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barflow.operators import contract as C, features as X, models as M
 from barflow.sources import sinks as S
 
 
@@ -31,10 +32,34 @@ def latest_state(spark, path: str) -> DataFrame:
     return df.join(F.broadcast(last), "batch").drop("batch")
 
 
-def coalesced(batch: DataFrame, most: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(the newest row of each type and symbol, the ``most`` newest anomalies): what a screen gets of a batch."""
+def coalesced(batch: DataFrame, most: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the newest row of each type and symbol, the ``most`` newest anomalies, one row with the number of older ones dropped): what a
+    screen gets of a batch."""
     latest = batch.where("event_type <> 'anomaly'").groupBy("event_type", "symbol").agg(F.max_by(F.struct(*batch.columns), "ts").alias("_r")).select("_r.*")
-    return latest, batch.where("event_type = 'anomaly'").orderBy(F.desc("ts")).limit(most)
+    found = batch.where("event_type = 'anomaly'")
+    return latest, found.orderBy(F.desc("ts"), "symbol").limit(most), found.agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("dropped"))
+
+
+def routed(stream: DataFrame, events: str, dead: str, checkpoint: str, group: str):
+    """A log's sound events appended to ``events`` and its poison messages, as dead letters, to ``dead``: none holds up the stream. A
+    repeated batch finds its rows there."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        good, bad = C.split(C.decoded(batch), ["key", "value", "topic", "partition", "offset"])
+        S.append_absent(good, events, [["event_id"]])
+        S.append_absent(C.dead_letters(bad, group, F.current_timestamp()), dead, [["original_topic", "original_partition", "original_offset"]])
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def scored(stream: DataFrame, path: str, checkpoint: str, predict, name: str, version: str):
+    """Predictions of a stream of ready feature rows (``enrich.featured``), appended once. ``predict`` adds ``score``; rows it gives none are
+    left out and hold up nothing."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        S.append_absent(M.predictions(predict(batch.where("status = 'ready'")), name, version, X.VERSION), path, [["prediction_id"]])
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def rolled_up(stream: DataFrame, ts: str, every: str, late: str, keys: list[str], price: str) -> DataFrame:

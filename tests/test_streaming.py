@@ -1,10 +1,12 @@
 import pandas as pd
 import pytest
-from bars import series
+from bars import frame, series
 from pyspark.sql import functions as F
 
 from barflow.operators import indicators as I
+from barflow.operators import detectors as D, features as X, indicators as I
 from barflow.streaming import enrich, sinks as T
+from barflow.streaming.kernel import FeatureState, SymbolState
 
 
 @pytest.fixture
@@ -41,3 +43,31 @@ def test_sinks_run_twice_without_change(spark, arrivals):
     assert spark.read.parquet(f"{folder}/table").count() == 150
     T.keep_latest(read(), f"{folder}/latest", f"{folder}/cl").awaitTermination()
     assert {r.symbol: r.event_id for r in T.latest_state(spark, f"{folder}/latest").collect()} == {"A": "A89", "B": "B59"}
+
+
+def test_live_features_are_those_of_batch(spark):
+    bars = X.with_gaps(frame(spark, series("AAA", 150, 3).drop(index=[70]))).orderBy("ts")
+    want = {r.ts: r for r in X.features(bars).where("ready").collect()}
+    state, got = FeatureState(), {}
+    for r in bars.collect():
+        found = state.push(r.ts.timestamp(), r.gap_before, (r.open, r.high, r.low, r.close, float(r.volume)), r.ts.weekday(), r.ts.month)
+        if found:
+            got[r.ts] = found
+    assert 5 < len(got) and got.keys() == want.keys()
+    for ts, found in got.items():
+        assert found == {n: pytest.approx(want[ts][n], abs=1e-9) for n in X.NAMES}
+    assert state.push(0.0, 0, (1.0, 1.0, 1.0, 1.0, 1.0), 0, 1) is None
+
+
+def test_all_indicators_are_those_of_batch(spark):
+    bars = frame(spark, series("AAA", 120, 4)).orderBy("ts")
+    want, state = I.indicators(bars).orderBy("ts").collect(), SymbolState(interval="1d")
+    for r in want:
+        found, _ = state.push(r.ts.timestamp(), str(r.ts), r.close, D.Limits(), r.volume)
+        assert {n: found[n] for n in I.FIELDS} == {n: r[n] if r[n] is None else pytest.approx(r[n], abs=1e-9) for n in I.FIELDS}
+
+
+def test_fan_out_counts_what_it_drops(spark):
+    rows = [("anomaly", "A", i) for i in range(7)] + [("bar", "A", 1), ("bar", "A", 3), ("bar", "B", 2)]
+    latest, found, dropped = T.coalesced(spark.createDataFrame(rows, "event_type string, symbol string, ts int"), 4)
+    assert {(r.symbol, r.ts) for r in latest.collect()} == {("A", 3), ("B", 2)} and [r.ts for r in found.collect()] == [6, 5, 4, 3] and dropped.first().dropped == 3
