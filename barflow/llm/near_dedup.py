@@ -131,7 +131,7 @@ def _pairs(fps: np.ndarray, radius: int, bit: int) -> tuple[list[np.ndarray], li
         ok = (np.bitwise_count(x) <= radius) & (np.arange(len(fps)) > (at + np.arange(len(x)))[:, None])
         total += int(ok.sum())
         if total > _DENSE * len(fps):
-            return *_forest(fps, radius), True
+            return *_crossing(fps, radius, bit), True
         if bit >= 0:
             ok &= ((x >> np.uint64(bit)) & np.uint64(1)).astype(bool)
         i, j = np.nonzero(ok)
@@ -140,6 +140,21 @@ def _pairs(fps: np.ndarray, radius: int, bit: int) -> tuple[list[np.ndarray], li
     return a, b, False
 
 
+def _crossing(fps: np.ndarray, radius: int, bit: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The forest of a dense group. Of a wildcard's, without links whose ends agree in the bit, where the group of the whole segment
+    that both are in is dense too: its own forest joins them."""
+    a, b = _forest(fps, radius)
+    if bit < 0 or not a:
+        return a, b
+    a, b, mask = np.concatenate(a), np.concatenate(b), np.uint64(1) << np.uint64(bit)
+    keep = ((a ^ b) & mask) != 0
+    for value in (np.uint64(0), mask):
+        side = fps[(fps & mask) == value]
+        if len(side) <= _RUN or not _pairs(side, radius, -1)[2]:
+            keep |= ((a & mask) == value) & ((b & mask) == value)
+    return [a[keep]], [b[keep]]
+
+
 def _divided(fps: np.ndarray, radius: int, variant: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links that join all that links join among many fingerprints of one signature: the bits outside its segment are cut into
     radius + 1 blocks, of which two fingerprints in reach share one at least."""
