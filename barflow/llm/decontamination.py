@@ -18,6 +18,8 @@ RADIUS, BITS = 17, 64
 BLOCKS = RADIUS // 2 + 1
 #: Words of items that one pass over the documents carries; more items take more passes.
 PASS_WORDS = 2_000_000
+#: Words of a text that are searched at a time.
+PIECE = 200_000
 _CUTS = [BITS * k // BLOCKS for k in range(BLOCKS + 1)]
 _SEPARATES = np.array([not (chr(c).isalnum() or c >= 128) for c in range(256)])
 
@@ -57,18 +59,18 @@ def _blocks(fps: np.ndarray, k: int) -> np.ndarray:
 class Items:
     """The benchmark items of one pass: their shingles, and a multi-index of their fingerprints by length."""
 
-    ids: list
+    ids: pa.Array
     lengths: np.ndarray
     shingles: list[Counter]
     fps: np.ndarray
 
     @classmethod
-    def of(cls, ids: list, texts: pa.Array) -> Items:
+    def of(cls, ids: pa.Array, texts: pa.Array) -> Items:
         words, first = word_hashes(texts)
         keep = np.flatnonzero(np.diff(first))
         lists = [shingled(words[first[i] : first[i + 1]], min(SHINGLE, first[i + 1] - first[i])) for i in keep]
         fps = np.array([int(np.packbits(2 * _bits(x).sum(axis=0) > len(x), bitorder="little").view(np.uint64)[0]) for x in lists], np.uint64)
-        return cls([ids[i] for i in keep], np.diff(first)[keep], [Counter(x.tolist()) for x in lists], fps)
+        return cls(ids.take(pa.array(keep)), np.diff(first)[keep], [Counter(x.tolist()) for x in lists], fps)
 
     def __post_init__(self) -> None:
         keys = [self._key(self.lengths, k, _blocks(self.fps, k)) for k in range(BLOCKS)]
@@ -120,10 +122,34 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
 def matches(column: pa.Array, items: Items) -> list[tuple[int, int, float, int, int]]:
     """(text, item, similarity, first word, words) of each text's best window for each item, at ``SIMILARITY`` or more.
 
+    Texts of more than ``PIECE`` words are searched in pieces that overlap by the longest item, so that what is held has a bound.
+    """
+    words, first = word_hashes(column)
+    counts = np.diff(first)
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+
+    def add(text: int, offset: int, found: dict[tuple[int, int], tuple[float, int, int]]) -> None:
+        for (t, item), (similarity, start, n) in found.items():
+            best[text + t, item] = max(best.get((text + t, item), (0.0, 0, 0)), (similarity, start - offset, n))
+
+    overlap, begin = int(items.lengths.max(initial=0)), 0
+    for t in [*np.flatnonzero(counts > PIECE).tolist(), len(counts)]:
+        if t > begin:
+            add(begin, 0, _search(words[first[begin] : first[t]], first[begin : t + 1] - first[begin], items))
+        if t < len(counts):
+            for at in range(0, int(counts[t]), PIECE):
+                part = words[first[t] + at : min(first[t] + at + PIECE + overlap, first[t + 1])]
+                add(t, at, _search(part, np.array([0, len(part)]), items))
+        begin = t + 1
+    return [(t, item, s, -start, n) for (t, item), (s, start, n) in sorted(best.items())]
+
+
+def _search(words: np.ndarray, first: np.ndarray, items: Items) -> dict[tuple[int, int], tuple[float, int, int]]:
+    """(text, item): (similarity, minus the first word, words) of the best windows of texts that ``first`` bounds among ``words``.
+
     A window takes as many words as the item, or the whole of a shorter text. Windows are cut at every word from which
     one holds a shingle of an item of its length: any other window has no shingle in common with such an item.
     """
-    words, first = word_hashes(column)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     counts = np.diff(first)
     for width, (every, table) in items.words.items():
@@ -169,7 +195,7 @@ def matches(column: pa.Array, items: Items) -> list[tuple[int, int, float, int,
                 found = (similarity, -int(at[b] - first[t]), e - b + width - 1)
                 if similarity >= SIMILARITY and found > best.get((t, item), (0.0, 0, 0)):
                     best[t, item] = found
-    return [(t, item, s, -start, n) for (t, item), (s, start, n) in sorted(best.items())]
+    return best
 
 
 def passes(benchmark: DataFrame) -> list[Items]:
@@ -181,8 +207,9 @@ def passes(benchmark: DataFrame) -> list[Items]:
     out = []
     for k in range(n):
         found = rows.where(block == k).orderBy("item_id", "text").toArrow()
-        out.append(Items.of(found.column("item_id").to_pylist(), found.column("text").combine_chunks()))
-    return [x for x in out if x.ids]
+        one = lambda name: pa.concat_arrays(found.column(name).chunks) if found.num_rows else pa.array([], found.schema.field(name).type)
+        out.append(Items.of(one("item_id"), one("text")))
+    return [x for x in out if len(x.ids)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -202,12 +229,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for part in T.slices(batch, "text", T.SLICE // 2):
                     if found := matches(part.column("text"), items):
                         text, item, similarity, start, n = zip(*found)
-                        ids = pa.array([items.ids[i] for i in item], item_type)
+                        ids = items.ids.take(pa.array(item))
                         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), ids, pa.array(similarity), pa.array(start), pa.array(n)], ["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
         return run
 
-    item_type = pa.string() if kinds[1] == "string" else pa.int32() if kinds[1] == "int" else pa.int64()
     for items in passes(benchmark):
         found = rows.mapInArrow(search(items), schema)
         out = found if out is None else out.unionByName(found)

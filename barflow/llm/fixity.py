@@ -45,10 +45,13 @@ def audit(primary: DataFrame, replica: DataFrame, fields: list[str], archive: st
     kind is missing, extra or changed. Roots are compared first; below a node only the children of differing nodes are
     read, so sound archives cost one comparison each. Offsets are whole numbers from 0 that order an archive's records.
 
-    Nulls in the fields are values of their own; records with a null archive or offset can't be placed and are left out;
-    repeated records count; empty tables are compared like any other; other columns are not read.
+    Nulls in the fields are values of their own. Records with a null archive or offset can't be placed in a tree: if there are any,
+    one row of kind unplaced with neither tells their numbers. Repeated records count; empty tables are compared like any other;
+    other columns are not read.
     """
     levels = []
+    lost = [side.where(F.col(archive).isNull() | F.col(offset).isNull()).agg(F.count(F.lit(1)).alias(n)) for side, n in ((primary, "n_expected"), (replica, "n_found"))]
+    unplaced = lost[0].crossJoin(F.broadcast(lost[1])).where("n_expected + n_found > 0")  # one row each
     for side in (primary, replica):
         placed = side.where(F.col(archive).isNotNull() & F.col(offset).isNotNull())
         levels.append([checkpointed(leaves(placed, fields, archive, offset))])
@@ -64,7 +67,9 @@ def audit(primary: DataFrame, replica: DataFrame, fields: list[str], archive: st
         below = [x.withColumn("up", F.floor(F.col("node") / fanout)).join(open_nodes, ["archive", "up"], "left_semi").drop("up") for x in (a, b)]
         wrong = differing(*below)
     kind = F.when(F.col("n_found") == 0, "missing").when(F.col("n_expected") == 0, "extra").otherwise("changed")
-    return wrong.select("archive", F.col("node").alias("offset"), kind.alias("kind"), "n_expected", "n_found")
+    found = wrong.select("archive", F.col("node").alias("offset"), kind.alias("kind"), "n_expected", "n_found")
+    null = F.lit(None)
+    return found.unionByName(unplaced.select(null.cast(dict(found.dtypes)["archive"]).alias("archive"), null.cast("long").alias("offset"), F.lit("unplaced").alias("kind"), "n_expected", "n_found"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -85,7 +90,7 @@ def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_merkle_fixity": op1_merkle_fixity}
 ORACLES = {
     "op1_merkle_fixity": """
-WITH a AS (SELECT page_id, count(*) AS n, list(concat(coalesce(url, '-'), chr(1), coalesce(html, '-')) ORDER BY url, html) AS c FROM pages GROUP BY page_id),
+WITH a AS (SELECT page_id, count(*) AS n, list(concat(coalesce(url, '-'), chr(1), coalesce(html, '-')) ORDER BY url, html) AS c FROM pages WHERE page_id IS NOT NULL GROUP BY page_id),
 d AS (
   SELECT page_id, CASE WHEN page_id % 1511 = 3 THEN url || '#' ELSE url END AS url,
          CASE WHEN page_id % 1009 = 5 THEN html[:length(html) - 1] ELSE html END AS html
@@ -95,5 +100,6 @@ b AS (SELECT page_id, count(*) AS n, list(concat(coalesce(url, '-'), chr(1), coa
 SELECT coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.page_id, b.page_id) // 4096 AS archive,
        CASE WHEN b.n IS NULL THEN 'missing' WHEN a.n IS NULL THEN 'extra' ELSE 'changed' END AS kind,
        coalesce(a.n, 0) AS n_expected, coalesce(b.n, 0) AS n_found
-FROM a FULL JOIN b ON a.page_id = b.page_id WHERE a.c IS DISTINCT FROM b.c"""
+FROM a FULL JOIN b ON a.page_id = b.page_id WHERE a.c IS DISTINCT FROM b.c
+UNION ALL SELECT NULL, NULL, 'unplaced', count(*), 0 FROM pages WHERE page_id IS NULL HAVING count(*) > 0"""
 }

@@ -16,8 +16,12 @@ from barflow.llm.session import bounded
 #: Hash buckets (a power of two), width of the embeddings, byte lengths of subwords, and the fit's parameters.
 BUCKET_BITS, WIDTH, LENGTHS = 15, 8, (2, 3, 4)
 PER_LANGUAGE, EPOCHS, BATCH, RATE = 500, 12, 32, 2.0
-#: Share of rightly named validation rows that rejection may cost, and the highest threshold.
+#: Share of rightly named validation rows that rejection by score may cost, and the highest threshold: above it the other languages
+#: together are less likely than the one named, and a text is only rejected as unfamiliar.
 COST, HIGHEST = 0.001, 0.5
+#: Subwords of usual frequency that a text is taken to have besides its own when its familiarity is judged: so short texts are not
+#: rejected by chance. Rows of which one in so many calibrates.
+PRIOR, HOLD = 12, 5
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
@@ -85,13 +89,20 @@ def has_letter(column: pa.Array) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """logits = mean over subwords of table[bucket], plus bias; score is the softmax at the fitted temperature."""
+    """logits = mean over subwords of table[bucket], plus bias; score is the softmax at the fitted temperature. The table's last column
+    holds the log frequency of a bucket in training: its mean is a text's familiarity."""
 
     languages: list[str] = field(default_factory=list)
     table: np.ndarray = field(default_factory=lambda: np.zeros((1 << BUCKET_BITS, 0), np.float32, order="F"))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
     temperature: float = 1.0
     threshold: float = 0.0
+    usual: float = 0.0
+    least: float = -np.inf
+
+    def familiarity(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Mean log frequency of the subwords, with ``PRIOR`` usual ones."""
+        return (sums + PRIOR * self.usual) / (counts + PRIOR)
 
     def named(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language (und: null or without a letter), score and rejection of each text."""
@@ -99,11 +110,12 @@ class LanguageModel:
         if not self.languages:
             return np.full(len(column), "und", object), np.zeros(len(column)), ~letters
         sums, counts = subword_sums(column, self.table)
-        logits = sums / np.maximum(counts, 1)[:, None] + self.bias
+        logits = sums[:, :-1] / np.maximum(counts, 1)[:, None] + self.bias
         p = _softmax(logits / self.temperature)
+        strange = self.familiarity(sums[:, -1], counts) < self.least
         score = np.where(letters, p.max(axis=1), 0.0)
         names = np.array([*self.languages, "und"], object)
-        return names[np.where(letters, p.argmax(axis=1), len(self.languages))], score, ~letters | (score < self.threshold)
+        return names[np.where(letters, p.argmax(axis=1), len(self.languages))], score, ~letters | (score < self.threshold) | strange
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -136,43 +148,70 @@ def train(ids: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_classe
     return np.asfortranarray(embed @ out, np.float32), bias
 
 
+def shuffled(column: pa.Array, seed: int = 0) -> pa.Array:
+    """The texts with the letters of each word in another order: text of no language, of the same letters, for calibration."""
+    rng = np.random.default_rng(seed)
+    return pa.array([" ".join("".join(rng.permutation(list(w))) for w in (t or "").split()) for t in column.to_pylist()], pa.string())
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, seed: int = 0) -> LanguageModel:
-    """Fit on about ``per_language`` labelled rows of each language of ``docs``; a fifth of them calibrates.
+    """Fit on ``per_language`` labelled rows of each language of ``docs``; a fifth of them calibrates.
 
     Temperature minimises the log loss of that fifth. The rejection threshold is the score below which only ``COST`` of
-    its rightly named rows lie, never over ``HIGHEST``. Rows without id, label or letter are not learned from. Without
-    usable rows the model knows no language.
+    its rightly named rows lie, never over ``HIGHEST``. Besides, a text is rejected whose subwords are stranger than those of
+    any language: halfway between the least familiar of that fifth and most of its texts with their letters shuffled, where
+    these lie apart, and else at the former. Rows without id, label or letter are not learned from. Without usable rows the
+    model knows no language.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("label")).where(F.col("text").rlike(r"\p{L}"))
     chosen = sampled_ids(rows.select("doc_id", "label"), per_language, seed)
 
+    def shares(column: pa.Array) -> list[pa.Array]:
+        split = [np.split(buckets.astype(np.int32), np.cumsum(counts)[:-1]) for buckets, counts in subwords(column)]
+        ids, times = zip(*(np.unique(np.concatenate(x), return_counts=True) for x in zip(*split)))
+        return [pa.array([x.astype(np.int16) for x in ids], pa.list_(pa.int16())), pa.array([x.astype(np.float32) / max(x.sum(), 1) for x in times], pa.list_(pa.float32())), pa.array([int(x.sum()) for x in times], pa.int64())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "label", "kind", "ids", "shares", "n"]
         for batch in batches:
             for part in T.slices(batch, "text"):
-                split = [np.split(buckets.astype(np.int32), np.cumsum(counts)[:-1]) for buckets, counts in subwords(part.column("text"))]
-                ids, times = zip(*(np.unique(np.concatenate(x), return_counts=True) for x in zip(*split)))
-                lists = [pa.array([x.astype(np.int16) for x in ids], pa.list_(pa.int16())), pa.array([x.astype(np.float32) / max(x.sum(), 1) for x in times], pa.list_(pa.float32()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *lists], ["doc_id", "label", "ids", "shares"])
-
-    sample = rows.drop("label").join(bounded(chosen), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"])
+                kind = np.where(part.column("hold").to_numpy(zero_copy_only=False).astype(bool), "hold", "learn")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(kind, pa.string()), *shares(part.column("text"))], names)
+                held = part.filter(part.column("hold"))
+                if len(held):
+                    yield pa.RecordBatch.from_arrays([held.column("doc_id"), held.column("label"), pa.array(["noise"] * len(held)), *shares(shuffled(held.column("text")))], names)
+
+    hold = (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(HOLD)) == 0).alias("hold")
+    sample = rows.drop("label").join(bounded(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", hold, "text")
     kind = dict(rows.dtypes)["doc_id"]
-    found = sample.mapInArrow(run, f"doc_id {kind}, label string, ids array<smallint>, shares array<float>").where("size(ids) > 0").toArrow().sort_by("doc_id")
+    found = sample.mapInArrow(run, f"doc_id {kind}, label string, kind string, ids array<smallint>, shares array<float>, n long").where("size(ids) > 0").toArrow().sort_by([("doc_id", "ascending"), ("kind", "ascending")])
     if not found.num_rows:
         return LanguageModel()
     languages = sorted(set(found.column("label").to_pylist()))
-    labels = np.searchsorted(languages, found.column("label").to_pylist())
+    labels, kinds = np.searchsorted(languages, found.column("label").to_pylist()), np.array(found.column("kind").to_pylist())
     ids = [(np.asarray(i.values), np.asarray(x.values)) for i, x in zip(found.column("ids"), found.column("shares"))]
-    order = np.random.default_rng(seed).permutation(len(ids))
-    hold = order[: len(ids) // 5] if len(ids) >= 10 else order
-    learn = order[len(ids) // 5 :] if len(ids) >= 10 else order
+    counts = found.column("n").to_numpy()
+    learn, hold, noise = (np.flatnonzero(kinds == k) for k in ("learn", "hold", "noise"))
+    if len(hold) < 2 or not len(learn):  # too few rows to keep some apart
+        learn = hold = np.flatnonzero(kinds != "noise")
     table, bias = train([ids[i] for i in learn], labels[learn], len(languages), seed)
-    logits = np.stack([ids[i][1] @ table[ids[i][0]] + bias for i in hold])
+    frequency = np.ones(len(table))
+    for i in learn:
+        frequency[ids[i][0]] += ids[i][1] * counts[i]
+    table = np.asfortranarray(np.column_stack([table, np.log(frequency / frequency.sum())]), np.float32)
+    means = np.stack([ids[i][1] @ table[ids[i][0]] for i in hold])
+    logits = means[:, :-1] + bias
     loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(hold)), labels[hold]] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
     p = _softmax(logits / temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == labels[hold]]
     threshold = min(HIGHEST, float(np.quantile(right, COST, method="lower"))) if len(right) else 0.0
-    return LanguageModel(languages, table, bias, temperature, threshold)
+    model = LanguageModel(languages, table, bias, temperature, threshold, float(np.median(means[:, -1])))
+    own = model.familiarity(means[:, -1] * counts[hold], counts[hold]).min()
+    strange = np.array([model.familiarity(ids[i][1] @ table[ids[i][0], -1] * counts[i], counts[i]) for i in noise])
+    high = float(np.quantile(strange, 0.9)) if len(strange) else np.inf
+    model.least = (own + high) / 2 if high < own else own - 0.1 * abs(own)
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

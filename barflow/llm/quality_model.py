@@ -92,9 +92,13 @@ class FactorisationMachine:
         n = (1 << WORD_BITS) + len(STATISTICS)
         return cls(0.0, np.zeros(n), np.random.default_rng(seed).normal(0, 0.05, (n, RANK)), np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)))
 
+    def standard(self, table: np.ndarray) -> np.ndarray:
+        """Statistics by the training rows' mean and deviation, cut at eight deviations."""
+        return np.clip((table - self.mean) / self.scale, -8, 8)
+
     def logits(self, buckets: np.ndarray, x: np.ndarray, counts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores in time linear in the features, and each text's sum of v x for the gradient."""
-        s, base = (table - self.mean) / self.scale, 1 << WORD_BITS
+        s, base = self.standard(table), 1 << WORD_BITS
         wx = x[:, None] * self.factors[buckets]
         total = T.segment_sums(wx, counts) + s @ self.factors[base:]
         squares = T.segment_sums(wx**2, counts) + s**2 @ self.factors[base:] ** 2
@@ -115,7 +119,7 @@ class FactorisationMachine:
                 flat, x = np.concatenate([texts[i][0] for i in rows]), np.concatenate([texts[i][1] for i in rows])
                 z, total = self.logits(flat, x, counts, table[rows])
                 g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]) * balance[rows] / len(rows)
-                s, owner = np.clip((table[rows] - self.mean) / self.scale, -8, 8), np.repeat(np.arange(len(rows)), counts)
+                s, owner = self.standard(table[rows]), np.repeat(np.arange(len(rows)), counts)
                 used, place = np.unique(flat, return_inverse=True)
                 grad_w = np.bincount(place, g[owner] * x, len(used))
                 grad_v = np.stack([np.bincount(place, g[owner] * (x * total[owner, f] - x**2 * self.factors[flat, f]), len(used)) for f in range(RANK)], axis=1)

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barflow.llm.session import checkpointed
 
-#: Rows, about, on which the rules' costs and selectivities are estimated.
-SAMPLE_ROWS = 2000
+#: Rows, about, on which the rules' costs and selectivities are estimated; jobs that are timed for each, and the least cost in seconds.
+SAMPLE_ROWS, REPEATS, LEAST_SECONDS = 2000, 3, 1e-3
 
 
 @dataclass(frozen=True)
@@ -65,21 +65,44 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def ordered(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) by rejection per cost, best first, as found on about ``sample_rows`` rows.
+def seconds(sample: DataFrame, test: Column, repeats: int) -> float:
+    """The median time of a job that counts the rows of ``sample`` for which ``test`` holds."""
+    took = []
+    for _ in range(repeats):
+        began = time.perf_counter()
+        sample.agg(F.count_if(test)).first()
+        took.append(time.perf_counter() - began)
+    return sorted(took)[repeats // 2]
+
 
-    The sample only decides the order; what a cascade returns doesn't depend on it. Ties keep the given order. Rows are
-    chosen by a hash of their id; a table without rows leaves the order as given.
+def ordered(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, repeats: int = REPEATS, among: Column | None = None) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds, share rejected) in the order in which they are to be tried, as found on those of about ``sample_rows`` of ``rows``
+    for which ``among`` holds.
+
+    A rule's cost is the median time of a few jobs above that of a job with no rule; the first job of each, in which Spark compiles
+    it, doesn't count. Rules are picked one by one: the one that rejects most per cost of what those before it let through, and
+    its share is of these. The sample only decides the order; what a cascade returns doesn't depend on it. Ties keep the given
+    order. Rows are chosen by a hash of their id; a table without rows leaves the order as given.
     """
     total = rows.select("doc_id").count()
     chance = F.shiftrightunsigned(F.xxhash64(F.lit("cascade"), "doc_id"), 11) / F.lit(float(1 << 53))
     sample = checkpointed(rows.where(chance < sample_rows / max(total, 1)).limit(2 * sample_rows))
-    found = []
-    for rule in rules:
-        began = time.perf_counter()
-        n, out = sample.agg(F.count(F.lit(1)), F.count_if(rule.rejects)).first()
-        found.append((rule, time.perf_counter() - began, out / n if n else 0.0))
-    return sorted(found, key=lambda x: -x[2] / max(x[1], 1e-6))
+    sample = sample if among is None else sample.where(among)  # over what is written: a filter before would repeat the measures
+    idle, costs = None, []
+    for test in (F.lit(False), *[rule.rejects for rule in rules]):
+        seconds(sample, test, 1)
+        took = seconds(sample, test, repeats)
+        idle = took if idle is None else idle
+        costs.append(max(took - idle, LEAST_SECONDS))
+    out = sample.select(*[F.coalesce(rule.rejects, F.lit(False)).alias(f"r{i}") for i, rule in enumerate(rules)]).collect()
+    found, open_rules, left = [], list(range(len(rules))), [tuple(r) for r in out]
+    while open_rules:
+        rejected = {i: sum(r[i] for r in left) for i in open_rules}
+        best = max(open_rules, key=lambda i: (rejected[i] / costs[i + 1], -i))
+        found.append((rules[best], costs[best + 1], rejected[best] / len(left) if left else 0.0))
+        left = [r for r in left if not r[best]]
+        open_rules.remove(best)
+    return found
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -97,8 +120,8 @@ def judged(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int =
     a rule. Null and empty texts have no words and fail; repeated rows are judged each; other columns are not read.
     """
     rows = measured(docs)
-    best = [rule for rule, _, _ in ordered(rows, rules or default_rules(), sample_rows)]
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    best = [rule for rule, _, _ in ordered(rows, rules or default_rules(), sample_rows, among=~base)]
     kept = F.when(base, F.lit(False)).otherwise(cascade(best))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), kept.alias("kept"))
 

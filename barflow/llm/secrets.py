@@ -20,8 +20,8 @@ _ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 #: Labelled values, at most, of each class from which automata are inferred, and their length; the confidence parameter of a merge.
 PER_CLASS, LONGEST_LEARNED, ALPHA = 2000, 256, 0.01
-#: Shortest candidate, and the log2 odds a character by which a credential format must beat ordinary text.
-SHORTEST, ODDS = 16, 1.0
+#: Shortest candidate; the log2 odds a character by which a credential format must beat ordinary text, and those of the whole run.
+SHORTEST, ODDS, EVIDENCE = 10, 1.0, 24.0
 #: Symbol classes: digits, a-f, g-z, A-F, G-Z, and each other character of a candidate by itself.
 _SYMBOLS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", "=", "-")
 _CLASS = np.full(256, 255, np.uint8)
@@ -67,8 +67,14 @@ def base_spans(data: np.ndarray) -> list[tuple[int, int, int, int]]:
 
 
 def candidates(data: np.ndarray, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of candidate characters, ``SHORTEST`` or longer, that touch no base span."""
+    """Maximal runs of candidate characters, ``SHORTEST`` or longer, that touch no base span. Runs of small letters alone, but for the
+    first, are words up to a length of 16 and no candidates."""
     starts, ends = runs(_CLASS[data] != 255, SHORTEST)
+    if len(starts):
+        kinds = _CLASS[data]
+        marked = np.concatenate([[0], np.cumsum((kinds != 1) & (kinds != 2))])
+        odd = marked[ends] - marked[starts + 1] > 0
+        starts, ends = starts[odd | (ends - starts >= 16)], ends[odd | (ends - starts >= 16)]
     if base and len(starts):
         a, b = np.array([x[0] for x in base]), np.maximum.accumulate([x[1] for x in base])
         at = np.searchsorted(a, ends)  # base spans that begin before the run's end
@@ -185,7 +191,8 @@ class Formats:
 
 
 def learned(docs: DataFrame, per_class: int = PER_CLASS) -> Formats:
-    """Automata from values that the patterns label, and from runs that they don't, as ordinary text.
+    """Automata from values that the patterns label, and, as ordinary text, from runs that they don't and that occur again elsewhere or
+    are words: a credential that stands alone is neither, and must not teach what ordinary text is like.
 
     Of each class's distinct values the ``per_class`` of least hash are taken: a bounded sample that doesn't depend on the
     number of documents or partitions.
@@ -203,7 +210,9 @@ def learned(docs: DataFrame, per_class: int = PER_CLASS) -> Formats:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (names, symbols, texts)], ["class", "symbols", "value"])
 
     found = docs.select("text").mapInArrow(run, "class string, symbols string, value string")
-    hashed = found.select("class", "symbols", F.xxhash64("value").alias("h"), "value").distinct()
+    hashed = found.groupBy("class", "symbols", F.xxhash64("value").alias("h"), "value").agg(F.count(F.lit(1)).alias("times"))
+    word = F.col("symbols").rlike("^(03|04)?((01|02)+(07|09)?)+$")  # small letters, the first one may be a capital, joined by _ or -
+    hashed = hashed.where((F.col("class") != "plain") | (F.col("times") > 1) | word)
     # a hash threshold keeps what reaches one task near the bound, however many values there are
     shares = hashed.groupBy("class").agg(F.least(F.lit(1.0), F.lit(2.0 * per_class) / F.count(F.lit(1))).alias("share"))
     chance = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
@@ -217,10 +226,11 @@ def learned(docs: DataFrame, per_class: int = PER_CLASS) -> Formats:
 
 
 def scanned(docs: DataFrame, formats: Formats, odds: float = ODDS) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format) of every row of ``docs(doc_id, text)``.
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format, n_likely) of every row of ``docs(doc_id, text)``.
 
     ``spans`` lists kind:start:end in code points, ends exclusive, by start and then kind; base spans always stay, and runs
-    that a format's automaton explains better than ordinary text by ``odds`` bits a character come as ``format``.
+    that a format's automaton explains better than ordinary text by ``odds`` bits a character, and ``EVIDENCE`` bits in all, come as
+    ``format``. n_likely counts the base spans whose value does so too.
     Null and empty texts have no spans, and the hash of the empty string; texts are scanned whole; repeated rows give
     repeated rows; an empty table gives none; other columns are not read.
     """
@@ -231,12 +241,18 @@ def scanned(docs: DataFrame, formats: Formats, odds: float = ODDS) -> DataFrame:
                 data, offsets = buffer(part.column("text"))
                 base = base_spans(data)
                 every = [(a, b, k) for a, b, k, _ in base]
+                likely = []
                 for a, b in candidates(data, base):
-                    if formats.judged(_CLASS[data[a:b]].tobytes())[1] >= odds:
+                    bits = formats.judged(_CLASS[data[a:b]].tobytes())[1]
+                    if bits >= odds and bits * (b - a) >= EVIDENCE:
                         every.append((a, b, 3))
+                for a, b, _, v in base:  # what the patterns find stays, and is judged alike
+                    if (_CLASS[data[v:b]] != 255).all() and formats.judged(_CLASS[data[v:b]].tobytes())[1] >= odds:
+                        likely.append(a)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 n = len(part)
                 counts, base_text, all_text = np.zeros((n, 4), np.int64), defaultdict(list), defaultdict(list)
+                judged = np.bincount(np.searchsorted(offsets, np.array(likely, np.int64), "right") - 1, minlength=n).astype(np.int64)
                 for a, b, k in sorted(every, key=lambda x: (x[0], x[2])):
                     i = int(np.searchsorted(offsets, a, "right")) - 1
                     start = points[offsets[i]]
@@ -248,12 +264,12 @@ def scanned(docs: DataFrame, formats: Formats, odds: float = ODDS) -> DataFrame:
                 digests = [hashlib.sha256(",".join(base_text.get(i, ())).encode()).hexdigest() for i in range(n)]
                 spans = [",".join(all_text.get(i, ())) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(counts[:, k]) for k in range(3)), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(counts[:, 3])],
-                    ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"],
+                    [part.column("doc_id"), *(pa.array(counts[:, k]) for k in range(3)), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(counts[:, 3]), pa.array(judged[:n])],
+                    ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format", "n_likely"],
                 )
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long, n_likely long")
 
 
 def op6_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:

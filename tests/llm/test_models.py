@@ -45,6 +45,11 @@ def test_languages_are_learned_and_noise_rejected(docs):
     for d in (400, 401, 402, 502):
         assert got[d].lang_pred == "und" and got[d].score == 0 and got[d].rejected
     assert all(0 <= r.score <= 1 for r in got.values())
+    assert not any(got[d].rejected for d in truth)
+    rng = np.random.default_rng(3)
+    letters = [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(30)) for _ in range(20)]
+    noise = docs.sparkSession.createDataFrame([(9000 + i, t) for i, t in enumerate(letters)], "doc_id long, text string")
+    assert all(r.rejected for r in L.predict(noise, model).collect())
     kept = {r.doc_id for r in L.accepted(docs, model).collect()}
     assert kept == {d for d, r in got.items() if not r.rejected}
     assert L.accepted(docs, model).columns == docs.columns
