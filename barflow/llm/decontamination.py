@@ -33,7 +33,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = T.utf8(column)
     data = np.where(_SEPARATES[data], np.uint8(32), T.lower(data))
     starts, ends, first = T.words(data, offsets)
-    return T.Hasher(data)(starts, ends), first
+    return T.word_hashes(data, starts, ends), first
 
 
 def shingled(words: np.ndarray, n: int) -> np.ndarray:

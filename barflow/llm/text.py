@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE = 2 << 20
 _SPACE = np.zeros(256, bool)
@@ -89,6 +90,17 @@ class Hasher:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 of every word. Equal words are found by their bytes first, so that each distinct one is hashed once."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    flat = data[~_SPACE[data]]
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
+    own = np.frombuffer(found.dictionary.buffers()[1], np.int64)[: len(found.dictionary) + 1].tolist()
+    buffer, digest = memoryview(found.dictionary.buffers()[2] or b""), xxhash.xxh64_intdigest
+    distinct = np.fromiter((digest(buffer[a:b]) for a, b in zip(own, own[1:])), np.uint64, len(found.dictionary))
+    return distinct[found.indices.to_numpy()] if len(starts) else np.zeros(0, np.uint64)
+
+
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's words with one space between them, as one buffer, and the words' bounds in it."""
     if not len(starts):

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from barflow.llm import langid as L, language_model as P, quality_model as Q, text as T
@@ -89,15 +90,82 @@ def test_quality_is_learned(spark, docs, empty):
 
 
 def test_tables_follow_the_exact_conditional():
-    rng, s = np.random.default_rng(0), P._stirling(0.5)
-    t = P.seat(np.full(20_000, 3), np.full(20_000, 0.7), 0.5, rng, s)
+    keys, s = T.mix(np.arange(20_000, dtype=np.uint64)), P._stirling(0.5)
+    t = P.seat(np.full(20_000, 3), np.full(20_000, 0.7), 0.5, keys, s)
     # seatings of three customers: one table, two tables in three ways, three tables
     weight = np.array([0.5 * 1.5 * 0.7, 1.5 * 0.7**2, 0.7**3])
     assert np.bincount(t, minlength=4)[1:] / 20_000 == pytest.approx(weight / weight.sum(), abs=0.02)
-    many = P.seat(np.array([0, 1, 2, 31, 40, 5000]), np.full(6, 0.3), 0.5, rng, s)
+    many = P.seat(np.array([0, 1, 2, 31, 40, 5000]), np.full(6, 0.3), 0.5, keys[:6], s)
     assert many[0] == 0 and many[1] == 1 and (many <= [0, 1, 2, 31, 40, 5000]).all()
 
 
+def test_poisson_numbers():
+    keys = T.mix(np.arange(40_000, dtype=np.uint64))
+    for mean in (0.3, 4.0, 80.0):
+        x = P.poisson(np.full(len(keys), mean), keys, 1)
+        assert x.mean() == pytest.approx(mean, rel=0.03) and x.var() == pytest.approx(mean, rel=0.06)
+
+
+def plain_model(texts, train, frequent):
+    """The two-level model over dictionaries, with the same draws: P(word | context), words and contexts."""
+    def split(t):
+        words = [w for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))]
+        return [(xxhash.xxh64_intdigest(w.encode()), w.encode()) for w in words] + [(int(P._END), None)]
+
+    counts = {}
+    for t, learned in zip(texts, train):
+        for h, w in split(t) if learned else ():
+            counts[h] = counts.get(h, 0) + 1
+    common = sorted(sorted((h for h in counts if h != int(P._END)), key=lambda h: (-counts[h], h - (h >> 63 << 64)))[:frequent])
+
+    def contexts(tokens):
+        place = {h: i for i, h in enumerate(common)}
+        byte = lambda w, i: w[-1 - i] if len(w) > i else 0
+        own = [P.FREQUENT + P.CLASSES if w is None else place.get(h, P.FREQUENT + (byte(w, 0) * 961 + byte(w, 1) * 31 + byte(w, 2)) % P.CLASSES) for h, w in tokens]
+        return [P.CONTEXTS - 1, *own[:-1]]
+
+    times = {}
+    for t, learned in zip(texts, train):
+        if learned:
+            tokens = split(t)
+            for (h, _), c in zip(tokens, contexts(tokens)):
+                times[h, c] = times.get((h, c), 0) + 1
+    words, pairs = sorted(counts), sorted(times)
+    place = {h: i for i, h in enumerate(words)}
+    ids, owner, context = np.array(words, np.uint64), np.array([place[h] for h, _ in pairs]), np.array([c for _, c in pairs])
+    n = np.array([times[x] for x in pairs])
+    customers, found = np.bincount(context, n, P.CONTEXTS), np.concatenate([np.bincount(context, n, P.CONTEXTS), [n.sum(), len(words)]])
+    for _ in range(P.SWEEPS + 1):
+        state = P.states(ids, context, owner, n, found if len(found) > P._FIRST else np.zeros(0))[-1]
+        found = np.concatenate([found, np.bincount(context, state[0], P.CONTEXTS), [state[1].sum(), state[2].sum()]])
+    samples = P.states(ids, context, owner, n, found[: -P._STATE])[-P.SAMPLES :]
+
+    def p(h, c):
+        out = 0.0
+        for tables, guests, parent in samples:
+            i, j = place.get(h), pairs.index((h, c)) if (h, c) in times else None
+            top = ((guests[i] - P.PARENT_DISCOUNT * parent[i] if i is not None else 0) + (P.PARENT_STRENGTH + P.PARENT_DISCOUNT * parent.sum()) / (len(words) + 1)) / (P.PARENT_STRENGTH + guests.sum())
+            here = tables[context == c].sum()
+            out += ((n[j] - P.DISCOUNT * tables[j] if j is not None else 0) + (P.STRENGTH + P.DISCOUNT * here) * top) / (P.STRENGTH + customers[c]) / P.SAMPLES
+        return out
+
+    return p, words, sorted(set(context.tolist())), lambda t: sum(np.log10(p(h, c)) for (h, _), c in zip(split(t), contexts(split(t))))
+
+
+@pytest.mark.parametrize("frequent", [3, 4095])
+def test_language_model_against_plain_python(spark, frequent):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"{'Wx'[k % 2]}{k}" for k in rng.zipf(1.6, 25) % 30) for _ in range(24)] + [None, "", "again and again and again"]
+    train = [i % 5 != 1 for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(range(len(texts)), texts, train)), "doc_id int, text string, train boolean")
+    p, words, contexts, score = plain_model(texts, train, frequent)
+    for c in contexts[:6]:
+        assert sum(p(h, c) for h in words) + p(0, c) == pytest.approx(1)
+    got = {r.doc_id: r.score for r in P.scored(df, block_tokens=100, common=frequent).collect()}
+    assert got == {i: pytest.approx(score(t), rel=1e-5) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.score for r in P.scored(df, common=frequent).collect()} == {i: pytest.approx(x, rel=1e-5) for i, x in got.items()}
+
+
 def test_language_model_contract(spark, docs, rows, empty):
     train = F.coalesce(remainder(F.col("doc_id"), 7) != 2, F.lit(True))
     got = P.scored(docs.withColumn("train", train), block_tokens=4000).collect()
