@@ -21,6 +21,13 @@ def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roll_up(df, F.col("l_returnflag"), F.col("l_shipdate"), F.col("l_extendedprice"), F.col("l_quantity"), order, "1d")
 
 
+def part_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of line items by part: a panel whose symbols grow in number with the data."""
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
+    return roll_up(df, F.col("l_partkey").cast("string"), F.col("l_shipdate"), F.col("l_extendedprice"), F.col("l_quantity"), order, "1d")
+
+
 def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of orders by priority."""
     df = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -38,5 +45,6 @@ _SQL = """{name} AS (
          min({price}) AS low, last({price} ORDER BY {order}) AS close, CAST(sum({volume}) AS BIGINT) AS volume
   FROM {table} GROUP BY 1, 2)"""
 LINE_SQL = _SQL.format(name="li", symbol="l_returnflag", ts="l_shipdate", price="l_extendedprice", volume="l_quantity", table="lineitem", order="l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice")
+PART_SQL = _SQL.format(name="pa", symbol="CAST(l_partkey AS VARCHAR)", ts="l_shipdate", price="l_extendedprice", volume="l_quantity", table="lineitem", order="l_orderkey, l_linenumber, l_suppkey, l_extendedprice")
 ORDER_SQL = _SQL.format(name="od", symbol="o_orderpriority", ts="o_orderdate", price="o_totalprice", volume="1", table="orders", order="o_orderkey, o_totalprice")
 EVENT_SQL = _SQL.format(name="ev", symbol="event_type", ts="date_trunc('hour', ts)", price="value", volume="1", table="events", order="ts, event_id")
