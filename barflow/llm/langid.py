@@ -216,7 +216,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row. A null text or one without a letter is ``und`` with score 0 and
-    rejected; very long texts are read whole; an empty table gives no rows; other columns are not read."""
+    rejected; of languages that are equally likely the first by code point is named; repeated rows give repeated rows; very long
+    texts are read whole; an empty table gives no rows; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -232,7 +232,7 @@ def scanned(docs: DataFrame, formats: Formats, odds: float = ODDS) -> DataFrame:
     that a format's automaton explains better than ordinary text by ``odds`` bits a character, and ``EVIDENCE`` bits in all, come as
     ``format``. n_likely counts the base spans whose value does so too.
     Null and empty texts have no spans, and the hash of the empty string; texts are scanned whole; repeated rows give
-    repeated rows; an empty table gives none; other columns are not read.
+    repeated rows; of formats that are equally likely the first by name counts; an empty table gives none; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
