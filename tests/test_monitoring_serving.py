@@ -166,3 +166,31 @@ def test_moves_and_displacement(spark):
     held = spark.createDataFrame([("m", "v1", "champion"), ("m", "v0", "challenger"), ("n", "v4", "champion")], "model_name string, model_version string, stage string")
     got = {(r.model_version, r.from_stage, r.to_stage, r.reason) for r in M.promoted(asked, held, F.current_timestamp()).collect()}
     assert got == {("v2", "candidate", "champion", "better"), ("v5", None, "candidate", "new"), ("v1", "champion", "archived", "replaced by version v2: better")}
+
+
+def test_absent_keeps_the_least_row_and_null_keys(spark):
+    from barflow.sources import sinks as K
+
+    batch = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 5, "z"), (None, 5, "z"), ("b", 3, "w")], "k string, v int, w string")
+    target = spark.createDataFrame([("b", 9, "q")], "k string, v int, w string")
+    assert {(r.k, r.v) for r in K.absent(batch, target, [["k"]]).collect()} == {("a", 1), (None, 5)} and K.absent(batch, target, [["k"]]).count() == 3
+    assert set(K.KEYS) == set(K.CHECKS)
+
+
+def test_a_cycle_says_what_it_lacks(spark):
+    from barflow.operators import monitoring as N
+
+    bars = spark.range(300).selectExpr("'A' symbol", "'1h' interval", "timestamp'2026-01-05 00:00:00' + make_interval(0, 0, 0, 0, int(id)) ts", "100 + pmod(id * 37, 11) close")
+    made = bars.selectExpr("concat('p', unix_seconds(ts)) prediction_id", "symbol", "interval bar_interval", "ts", "ts + interval 2 hours target_ts", "'up' predicted_direction", "0.1D predicted_return", "map('up', 0.6D, 'down', 0.4D) class_probabilities", "if(hour(ts) % 2 = 0, 'm0', 'm1') model_name", "map('x', close + 40) features")
+    old = bars.selectExpr("'m0' model_name", "double(close) x", "to_date(ts) session_date", "0.6D p_up", "double(close > 104) y_up")
+    profiles = N.reference_profile(old, ["x"], old, ["model_name"])
+    none = made.selectExpr("prediction_id", "string(null) actual_direction", "boolean(null) is_correct").limit(0)
+    N_least, N.DRIFT_LEAST, N.PERFORMANCE_LEAST = (N.DRIFT_LEAST, N.PERFORMANCE_LEAST), 50, 50
+    try:
+        new, reports = N.cycle(made, bars, none, profiles, ["model_name"], F.lit("2026-01-17 00:00:00").cast("timestamp"), lookback="400 hours", span="400 hours")
+        got = {(r.report_type, r.model_name, r.metric_name, r.feature_name): r.status for r in reports.collect()}
+    finally:
+        N.DRIFT_LEAST, N.PERFORMANCE_LEAST = N_least
+    assert new.count() == 287
+    assert got["data_drift", "m0", "psi", "x"] == "alert" and got["operational", "m0", "retrain_recommended", None] == "alert" and got["operational", "m1", "reference_profile_missing", None] == "warning"
+    assert ("prediction_drift", "m0", "psi", None) in got and ("performance", "m1", "log_loss", None) in got and not any(k[0] == "data_drift" and k[1] == "m1" for k in got)
