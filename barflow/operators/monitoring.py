@@ -18,11 +18,17 @@ def unpivoted(df: DataFrame, features: list[str], keys: list[str] = []) -> DataF
     return rows.where("value is not null and not isnan(value) and abs(value) < double('infinity')")
 
 
+def cells(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, c): each distinct value once, with its number. What else is asked of the values is asked of these."""
+    return rows if "c" in rows.columns else rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
+
+
 def profile(rows: DataFrame, keys: list[str]) -> DataFrame:
     """edges (distinct inner deciles), quantiles (101), proportions of the bins between the edges, and n, of each key's values."""
-    tenths, hundredths = [k / 10 for k in range(1, 10)], [k / 100 for k in range(101)]
-    stats = rows.groupBy(*keys).agg(F.percentile("value", F.array(*map(F.lit, tenths))).alias("_d"), F.percentile("value", F.array(*map(F.lit, hundredths))).alias("quantiles"), F.count(F.lit(1)).alias("n"))
-    stats = stats.withColumn("edges", F.array_distinct("_d")).drop("_d")
+    rows = checkpointed(cells(rows, keys))
+    hundredths = F.percentile("value", F.array(*[F.lit(k / 100) for k in range(101)]), F.col("c"))
+    stats = rows.groupBy(*keys).agg(hundredths.alias("quantiles"), F.sum("c").alias("n"))
+    stats = stats.withColumn("edges", F.array_distinct(F.array(*[F.element_at("quantiles", 10 * k + 1) for k in range(1, 10)])))
     return stats.join(binned(rows, stats, keys), keys)
 
 
@@ -33,8 +39,8 @@ def bin_of(value: Column, edges: Column) -> Column:
 
 def binned(rows: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, proportions): the share of the values in each bin of the profiles, empty bins included."""
-    df = rows.join(profiles.select(*keys, "edges"), keys).withColumn("bin", bin_of(F.col("value"), F.col("edges")))
-    counts = df.groupBy(*keys, "edges", "bin").agg(F.count(F.lit(1)).alias("c"))
+    df = cells(rows, keys).join(profiles.select(*keys, "edges"), keys).withColumn("bin", bin_of(F.col("value"), F.col("edges")))
+    counts = df.groupBy(*keys, "edges", "bin").agg(F.sum("c").alias("c"))
     maps = counts.groupBy(*keys, "edges").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"), F.sum("c").alias("t"))
     shares = F.transform(F.sequence(F.lit(0), F.size("edges")), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)) / F.col("t"))
     return maps.select(*keys, shares.alias("proportions"))
@@ -56,15 +62,16 @@ def ks(rows: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
     Equal values are one row with a running count, so the sort holds distinct values. The distribution rises linearly
     between the 101 quantiles; at tied quantiles the last one counts.
     """
-    cells = rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c")).join(profiles.select(*keys, "quantiles"), keys)
-    w = Window.partitionBy(*keys)
-    upto = F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    df = cells.withColumn("_hi", upto).withColumn("_n", F.sum("c").over(w))
+    df = cells(rows, keys).join(profiles.select(*keys, "quantiles"), keys)
     q, v = F.col("quantiles"), F.col("value")
     df = df.withColumn("_i", F.size(F.filter("quantiles", lambda x: x <= F.col("value"))))  # knots at or below
     low, high = F.get(q, F.col("_i") - 1), F.get(q, F.col("_i"))
     cdf = F.when(F.col("_i") == 0, 0.0).when(F.col("_i") == F.size(q), 1.0).otherwise((F.col("_i") - 1 + (v - low) / (high - low)) / (F.size(q) - 1))
-    df = df.withColumn("_f", cdf)
+    # the quantiles stay behind: what is sorted is a value, its number and the distribution there
+    df = df.select(*keys, "value", "c", cdf.alias("_f"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_hi", upto).withColumn("_n", F.sum("c").over(w))
     gap = F.greatest(F.col("_hi") / F.col("_n") - F.col("_f"), F.col("_f") - (F.col("_hi") - F.col("c")) / F.col("_n"))
     out = df.groupBy(*keys).agg(F.max(gap).alias("ks"), F.max("_n").alias("n"))
     lam = (F.sqrt("n") + 0.12 + 0.11 / F.sqrt("n")) * F.col("ks")
@@ -76,8 +83,9 @@ def ks(rows: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
 
 def drift(live: DataFrame, profiles: DataFrame, keys: list[str], report_type: str = "data_drift") -> DataFrame:
     """One report row per key with enough live values: PSI with its status, KS with rejection, and both medians."""
-    n = live.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("value", F.lit(0.5)).alias("live_median")).where(F.col("n") >= DRIFT_LEAST)
-    rows = live.join(F.broadcast(n.select(*keys)), keys, "left_semi")
+    live = checkpointed(cells(live, keys))
+    n = live.groupBy(*keys).agg(F.sum("c").alias("n"), F.percentile("value", F.lit(0.5), F.col("c")).alias("live_median")).where(F.col("n") >= DRIFT_LEAST)
+    rows, profiles = live.join(n.select(*keys), keys, "left_semi"), checkpointed(profiles)
     df = n.join(binned(rows, profiles, keys), keys).join(profiles.select(*keys, F.col("proportions").alias("_r"), F.element_at("quantiles", 51).alias("reference_median")), keys)
     df = df.withColumn("psi", psi(F.col("proportions"), F.col("_r"))).withColumn("status", psi_status(F.col("psi")))
     tests = ks(rows, profiles, keys).select(*keys, "ks", "p_value")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barflow.functions import rolling as R, timegrid as G
+from barflow.sources.session import checkpointed
 
 #: Fixed codes and names, errors first.
 RULES = {
@@ -118,7 +119,7 @@ def warnings(rows: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def validated(raw: DataFrame, now: Column) -> DataFrame:
     """Every raw row with ``issues``: its errors, or for a usable row its warnings, in the fixed order of the codes."""
-    df = errors(raw, now)
+    df = checkpointed(errors(raw, now))  # read by the calendar, the warnings and the bad rows
     usable = df.where(F.size("errors") == 0)
     found = warnings(usable, calendar(usable))
     extra = ["log_return", "z", "extreme", "volume_confirmed", "reverses", "stale", "missing_sessions_before", "market_wide", "extreme_class", "irregular"]
@@ -131,11 +132,19 @@ def rule_counts(rows: DataFrame) -> DataFrame:
 
 
 def gaps(rows: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(symbol, session_date): calendar sessions within a symbol's span on which it has no row."""
+    """(symbol, session_date): calendar sessions within a symbol's span on which it has no row.
+
+    The ends of spans are numbered along the calendar's running count, so that a span is a range of numbers: no range join.
+    """
     have = rows.select("symbol", "session_date").distinct()
     spans = have.groupBy("symbol").agg(F.min("session_date").alias("a"), F.max("session_date").alias("b"))
-    # one row a symbol and session of its span: the size of the answer's domain, with the calendar as the small side
-    due = spans.join(sessions.select("session_date"), F.col("session_date").between(F.col("a"), F.col("b"))).select("symbol", "session_date")
+    days = sessions.select("session_date", F.row_number().over(Window.orderBy("session_date")).alias("_no"))
+    ends = spans.select(F.col("a").alias("session_date")).unionByName(spans.select(F.col("b").alias("session_date"))).distinct()
+    upto = F.coalesce(F.max("_no").over(Window.orderBy("session_date").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    ends = ends.join(days, "session_date", "full").select("session_date", upto.alias("_upto"), F.col("_no").isNotNull().cast("int").alias("_is"))
+    first = ends.select(F.col("session_date").alias("a"), (F.col("_upto") - F.col("_is") + 1).alias("_low"))
+    spans = spans.join(first, "a").join(ends.select(F.col("session_date").alias("b"), F.col("_upto").alias("_high")), "b")
+    due = spans.where("_low <= _high").select("symbol", F.explode(F.sequence("_low", "_high")).alias("_no")).join(days, "_no").select("symbol", "session_date")
     return due.join(have, ["symbol", "session_date"], "left_anti")
 
 
