@@ -28,10 +28,19 @@ _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1]
 def subwords(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length, the buckets of all texts' subwords on end, and each text's number of them.
 
-    Subwords are byte n-grams of words that are lowered and edged with a space; none spans two words.
+    Subwords are byte n-grams of words that are lowered and edged with a space; none spans two words. Words with a digit, such as
+    numbers, keys and addresses, are of no language and have none.
     """
     data, offsets = T.utf8(column)
     starts, ends, first = T.words(data, offsets)
+    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+    odd = np.flatnonzero(digits[ends] > digits[starts])
+    if len(odd):
+        edge = np.zeros(len(data) + 1, np.int64)
+        np.add.at(edge, starts[odd], 1)
+        np.subtract.at(edge, ends[odd], 1)
+        data = np.where(np.cumsum(edge[:-1]) > 0, np.uint8(32), data)
+        starts, ends, first = T.words(data, offsets)
     data, starts, ends = T.joined(T.lower(data), starts, ends, first)
     counts = np.diff(first)
     full = np.flatnonzero(counts)
