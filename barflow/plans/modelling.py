@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barflow.operators import backtest as B, contract as C, dataset as D, evaluation as E, features as X, models as M
 from barflow.plans.common import day, rd, sq, sqs
-from barflow.plans.indicators import LABELS_SQL, gapped
+from barflow.plans.indicators import FEATURES_SQL, LABELS_SQL, _READY, gapped
 from barflow.sources.bars import ORDER_SQL, order_bars
 from barflow.sources.session import shared_folder
 
@@ -368,6 +368,8 @@ lg AS (SELECT "offset", product(1 + net) AS growth, count(*) AS n, min(down) AS
 SELECT "offset", {sqs({"growth": 5, "annual_return": 5, "max_drawdown": 5})} FROM la""",
     "bt_offsets": f"WITH {_PANEL} SELECT {sq('min(sharpe)', 5, 'sharpe_min')}, {sq('median(sharpe)', 5, 'sharpe_median')}, {sq('max(sharpe)', 5, 'sharpe_max')}, {sq('median(annual_return)', 5, 'annual_return_median')} FROM sv WHERE strategy = 'long_short' AND bps = 10",
     "bt_costs": f'WITH {_PANEL} SELECT strategy, {sq("bps", 1, "cost_bps")}, "offset", periods, {sqs({"growth": 5, "sharpe": 5})} FROM sv',
+    "model_snapshots": f"{FEATURES_SQL} SELECT symbol, day, {len(X.NAMES)} AS n, {sqs({'ret_5': 6, 'close_pos': 6})} FROM x WHERE {_READY}",
+    "model_skipped": f"{FEATURES_SQL} SELECT CASE WHEN symbol = 'N' THEN 'no_model' ELSE 'rejected_input' END AS reason, count(*) AS n FROM x WHERE {_READY} AND (symbol = 'N' OR day(day) = 7) GROUP BY 1",
     "ml_held_out": f"{_HELD} SELECT model, metric, {sq('value', 6)} FROM ml",
     "ml_development_run": f"{_RUN} SELECT section, model, fold::INT AS fold, metric, {sq('value', 6)} FROM ml",
     "ml_candidates": f"{_RUN}, ca AS (SELECT model, avg(value) AS log_loss FROM ml WHERE section = 'walk_forward' AND metric = 'log_loss' GROUP BY 1), cn AS (SELECT log_loss AS null_log_loss FROM ca WHERE model = 'majority') SELECT model, {sq('log_loss', 6)}, {sq('null_log_loss', 6)}, log_loss < null_log_loss AS beats_null FROM ca, cn",
