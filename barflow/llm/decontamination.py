@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barflow.llm import text as T
+from barflow.llm.session import checkpointed
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints up to this distance are found; the blocks number RADIUS // 2 + 1, so one of them differs by one bit at most.
@@ -137,7 +138,9 @@ def matches(column: pa.Array, items: Items) -> list[tuple[int, int, float, int,
         if t > begin:
             add(begin, 0, _search(words[first[begin] : first[t]], first[begin : t + 1] - first[begin], items))
         if t < len(counts):
-            for at in range(0, int(counts[t]), PIECE):
+            # pieces overlap by the longest item, so that every full window lies in one; what would only repeat the overlap is no piece,
+            # so that a piece is as long as any item or is the whole text
+            for at in range(0, max(int(counts[t]) - overlap, 1), PIECE):
                 part = words[first[t] + at : min(first[t] + at + PIECE + overlap, first[t + 1])]
                 add(t, at, _search(part, np.array([0, len(part)]), items))
         begin = t + 1
@@ -198,18 +201,23 @@ def _search(words: np.ndarray, first: np.ndarray, items: Items) -> dict[tuple[in
     return best
 
 
-def passes(benchmark: DataFrame) -> list[Items]:
-    """The items in blocks of about ``PASS_WORDS`` words, so that what a task carries has a bound."""
+def passes(benchmark: DataFrame) -> tuple[int, Iterator[Items]]:
+    """The items in blocks of about ``PASS_WORDS`` words, built one after the other, so that what the driver and a task carry has a bound;
+    and the number of blocks."""
     rows = benchmark.select("item_id", "text").where("text is not null")
     words = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = -(-words // PASS_WORDS)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))
-    out = []
-    for k in range(n):
-        found = rows.where(block == k).orderBy("item_id", "text").toArrow()
-        one = lambda name: pa.concat_arrays(found.column(name).chunks) if found.num_rows else pa.array([], found.schema.field(name).type)
-        out.append(Items.of(one("item_id"), one("text")))
-    return [x for x in out if len(x.ids)]
+
+    def built() -> Iterator[Items]:
+        for k in range(n):
+            found = rows.where(block == k).orderBy("item_id", "text").toArrow()
+            one = lambda name: pa.concat_arrays(found.column(name).chunks) if found.num_rows else pa.array([], found.schema.field(name).type)
+            items = Items.of(one("item_id"), one("text"))
+            if len(items.ids):
+                yield items
+
+    return n, built()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -234,14 +242,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    for items in passes(benchmark):
+    n, blocks = passes(benchmark)
+    for items in blocks:
         found = rows.mapInArrow(search(items), schema)
+        found = checkpointed(found) if n > 1 else found  # lets go of the block
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, as they are, that hold no benchmark item."""
+    """The rows of ``docs``, as they are, that hold no benchmark item. Null and empty texts hold none; repeated rows stay or go alike; very
+    long texts are searched whole; no other column is read or changed; without items or documents nothing goes."""
 
     def without(items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +264,10 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    for items in passes(benchmark):
+    n, blocks = passes(benchmark)
+    for items in blocks:
         docs = docs.mapInArrow(without(items), docs.schema)
+        docs = checkpointed(docs) if n > 1 else docs
     return docs
 
 

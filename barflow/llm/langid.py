@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,19 +29,12 @@ _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1]
 def subwords(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length, the buckets of all texts' subwords on end, and each text's number of them.
 
-    Subwords are byte n-grams of words that are lowered and edged with a space; none spans two words. Words with a digit, such as
-    numbers, keys and addresses, are of no language and have none.
+    Subwords are byte n-grams of words that are lowered and edged with a space; none spans two words. Digits are of no language and part
+    words like a space, so that every letter is in some subword.
     """
     data, offsets = T.utf8(column)
+    data = np.where((data >= 48) & (data <= 57), np.uint8(32), data)
     starts, ends, first = T.words(data, offsets)
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-    odd = np.flatnonzero(digits[ends] > digits[starts])
-    if len(odd):
-        edge = np.zeros(len(data) + 1, np.int64)
-        np.add.at(edge, starts[odd], 1)
-        np.subtract.at(edge, ends[odd], 1)
-        data = np.where(np.cumsum(edge[:-1]) > 0, np.uint8(32), data)
-        starts, ends, first = T.words(data, offsets)
     data, starts, ends = T.joined(T.lower(data), starts, ends, first)
     counts = np.diff(first)
     full = np.flatnonzero(counts)
@@ -124,7 +118,7 @@ class LanguageModel:
         strange = self.familiarity(sums[:, -1], counts) < self.least
         score = np.where(letters, p.max(axis=1), 0.0)
         names = np.array([*self.languages, "und"], object)
-        return names[np.where(letters, p.argmax(axis=1), len(self.languages))], score, ~letters | (score < self.threshold) | strange
+        return names[np.where(letters, p.argmax(axis=1), len(self.languages))], score, ~letters | (counts == 0) | (score < self.threshold) | strange
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -157,10 +151,14 @@ def train(ids: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_classe
     return np.asfortranarray(embed @ out, np.float32), bias
 
 
-def shuffled(column: pa.Array, seed: int = 0) -> pa.Array:
-    """The texts with the letters of each word in another order: text of no language, of the same letters, for calibration."""
-    rng = np.random.default_rng(seed)
-    return pa.array([" ".join("".join(rng.permutation(list(w))) for w in (t or "").split()) for t in column.to_pylist()], pa.string())
+def shuffled(column: pa.Array, ids: pa.Array, seed: int = 0) -> pa.Array:
+    """The texts with the letters of each word in another order: text of no language, of the same letters, for calibration. A text's order
+    follows from its id, not from the rows beside it."""
+    out = []
+    for text, key in zip(column.to_pylist(), ids.to_pylist()):
+        rng = np.random.default_rng([seed, zlib.crc32(str(key).encode())])
+        out.append(" ".join("".join(rng.permutation(list(w))) for w in (text or "").split()))
+    return pa.array(out, pa.string())
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, seed: int = 0) -> LanguageModel:
@@ -188,7 +186,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(kind, pa.string()), *shares(part.column("text"))], names)
                 held = part.filter(part.column("hold"))
                 if len(held):
-                    yield pa.RecordBatch.from_arrays([held.column("doc_id"), held.column("label"), pa.array(["noise"] * len(held)), *shares(shuffled(held.column("text")))], names)
+                    yield pa.RecordBatch.from_arrays([held.column("doc_id"), held.column("label"), pa.array(["noise"] * len(held)), *shares(shuffled(held.column("text"), held.column("doc_id")))], names)
 
     hold = (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(HOLD)) == 0).alias("hold")
     sample = rows.drop("label").join(bounded(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", hold, "text")
@@ -239,7 +237,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
 
 def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, as they are, that the model does not reject."""
+    """The rows of ``docs``, as they are, that the model does not reject. Null, empty and letterless texts go; repeated rows stay or go
+    alike; very long texts are read whole; no other column is read or changed, whatever its name; an empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -56,6 +56,45 @@ def test_languages_are_learned_and_noise_rejected(docs):
     assert L.accepted(docs, model).columns == docs.columns
 
 
+def test_digits_leave_letters_in_place(docs):
+    model = L.fit(docs)
+    cases = ["\u4eca\u65e5\u306f\u6771\u4eac\u3067\u65b0\u3057\u3044\u5e74\u306e\u4f1a\u8b70\u304c\u3042\u308a\u307e\u3057\u305f", "\u4eca\u65e5\u306f2024\u6771\u4eac\u3067\u65b0\u3057\u3044\u5e74\u306e\u4f1a\u8b70\u304c\u3042\u308a\u307e\u3057\u305f", "abc123 x9y8 k1", "sha256:deadbeef00 v1.2.3", "12 345"]
+    names, score, rejected = model.named(pa.array(cases))
+    assert rejected[0] and rejected[1] and rejected[4] and names[4] == "und"
+    counts = [sum(c[i] for _, c in L.subwords(pa.array(cases))) for i in range(5)]
+    assert min(counts[:4]) > 0 and counts[4] == 0
+    same = lambda a, b: [x.tolist() for x, _ in L.subwords(pa.array([a]))] == [x.tolist() for x, _ in L.subwords(pa.array([b]))]
+    assert same("the 2nd of7 May", "the nd of May")
+
+
+def test_scores_are_a_softmax_of_mean_embeddings(docs):
+    """Plain Python: every subword of every word, the mean of its rows, the bias, the temperature."""
+    model = L.fit(docs)
+    texts = ["The cat of 7 houses", "une maison", "x", "It is\nthat  la"]
+    factors, names = L._FACTORS.tolist(), model.named(pa.array(texts))[0]
+    for text, name, score in zip(texts, names, model.named(pa.array(texts))[1]):
+        rows = []
+        for word in re.sub("[0-9]", " ", text).lower().split():
+            edged = f" {word} ".encode()
+            for n in L.LENGTHS:
+                for i in range(len(edged) - n + 1):
+                    value = n * 0x2545F491
+                    for k in range(n):
+                        value += (edged[i + k] + 1) * factors[k]
+                    value = value * 0x9E3779B1 & 0xFFFFFFFF
+                    value = (value ^ value >> 15) * 0x85EBCA77 & 0xFFFFFFFF
+                    rows.append(model.table[value >> 32 - L.BUCKET_BITS, :-1].astype(float))
+        logits = (np.mean(rows, axis=0) + model.bias) / model.temperature
+        p = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert model.languages[p.argmax()] == name and abs(p.max() - score) < 1e-5
+
+
+def test_noise_follows_from_the_id():
+    texts, ids = pa.array(["the house of cards", "another text"]), pa.array([3, 9])
+    both = L.shuffled(texts, ids).to_pylist()
+    assert [L.shuffled(texts[i : i + 1], ids[i : i + 1])[0].as_py() for i in range(2)] == both
+
+
 def test_no_labels_and_empty_tables(docs, empty):
     model = L.fit(docs.withColumn("lang", F.lit(None).cast("string")))
     assert model.languages == [] and {r.lang_pred for r in L.predict(docs, model).collect()} == {"und"}

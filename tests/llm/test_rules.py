@@ -328,6 +328,35 @@ def test_long_texts_are_searched_in_pieces(monkeypatch):
     assert D.matches(column, items) == whole and {(t, i) for t, i, *_ in whole} >= {(1, k) for k in range(4)} | {(3, 0)}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_pieces_never_matter(monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    texts = [[f"i{k}w{rng.integers(0, 60)}" for _ in range(n)] for k, n in enumerate((150, 40, 12, 90))]
+    items = D.Items.of(pa.array(range(4)), pa.array([" ".join(x) for x in texts]))
+    words = [f"f{n}" for n in rng.integers(0, 10**6, int(rng.integers(400, 700)))]
+    cut = int(rng.integers(100, 300))
+    for _ in range(5):  # whole items, and parts of items that end or begin at a cut
+        item = texts[rng.integers(0, 4)]
+        part = item[: int(rng.integers(len(item) * 3 // 5, len(item) + 1))]
+        at = int(rng.choice([cut - len(part), cut, 2 * cut - len(part), 2 * cut, len(words) - len(part)]))
+        words[max(at, 0) : max(at, 0) + len(part)] = part
+    column = pa.array([" ".join(words), " ".join(texts[0][:130])])
+    whole = D.matches(column, items)
+    for piece in (cut, 37, 1, len(words) - 1):
+        monkeypatch.setattr(D, "PIECE", piece)
+        assert D.matches(column, items) == whole
+
+
+def test_passes_are_built_one_by_one(spark, monkeypatch):
+    items = {i: " ".join(f"w{i}x{n}" for n in range(30)) for i in range(12)}
+    docs = spark.createDataFrame([(i, f"some words before {t} and after") for i, t in items.items()] + [(99, "none of it")], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    monkeypatch.setattr(D, "PASS_WORDS", 100)
+    assert D.passes(bench)[0] == 4
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()} == {(i, i) for i in items}
+    assert [r.doc_id for r in D.clean(docs, bench).collect()] == [99]
+
+
 def test_multi_index_finds_all_in_radius():
     rng = np.random.default_rng(4)
     items = D.Items.of(pa.array(list(range(50))), pa.array([" ".join(f"a{rng.integers(0, 99)}" for _ in range(20)) for _ in range(50)]))
