@@ -284,16 +284,6 @@ def _stream(spark, d):
     return spark.readStream.schema(events.schema).parquet(folder)
 
 
-def stream_rollup(spark, d):
-    """Hourly bars of the event stream, kept up to date by an idempotent upsert of each batch."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    df = T.rolled_up(_stream(spark, d), "ts", "1 hour", "2 hours", ["event_type"], "value")
-    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-    df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
-    out = T.latest_state(spark, f"{folder}/out")
-    return out.select("event_type", stamp("ts", "at"), *[rd(c, 2) for c in ("open", "high", "low", "close")], "volume")
-
-
 def stream_latest(spark, d):
     """The newest event of each type."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -332,31 +322,6 @@ def stream_indicators(spark, d):
 _STREAMED = ["price_change", "log_return_1", "volume_change_pct", "volatility_20", "volume_sma_20", "volume_ratio", "bb_upper", "bb_lower", "bb_width"]
 
 
-def stream_anomalies(spark, d):
-    """What the detectors of returns and volumes find in the stream."""
-    found = enrich.anomalies(_enriched(spark, d)).where("detector <> 'return_zscore'")
-    return found.select("source_event_id", "detector", "anomaly_type", "severity", rd("score", 5))
-
-
-def stream_features(spark, d):
-    """Live features of daily bars: those of batch, for every third bar of a symbol once they are ready."""
-    bars = X.with_gaps(line_bars(spark, d), daily=True).select("symbol", "ts", "interval", F.concat_ws("-", "symbol", F.to_date("ts").cast("string")).alias("event_id"), F.unix_timestamp("ts").alias("arrival"), F.col("gap_before").cast("int").alias("gap_before"), "open", "high", "low", "close", "volume")
-    out = _streamed(spark, bars, lambda x: enrich.featured(x, 3))
-    return out.where("status = 'ready'").select("event_id", *[rd(c, 5) for c in ("ret_5", "close_sma20", "vol_10", "vol_ratio_10_60", "bb_pos_20", "volume_change", "day_of_week")])
-
-
-def stream_scored(spark, d):
-    """Predictions of live features, each once though the stream is read twice."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    bars = X.with_gaps(line_bars(spark, d), daily=True).select("symbol", "ts", "interval", F.concat_ws("-", "symbol", F.to_date("ts").cast("string")).alias("event_id"), F.unix_timestamp("ts").alias("arrival"), F.col("gap_before").cast("int").alias("gap_before"), "open", "high", "low", "close", "volume")
-    bars.write.parquet(f"{folder}/in")
-    predict = lambda df: df.withColumn("score", 1 / (1 + F.exp(-F.col("ret_5"))))
-    for turn in (1, 2):
-        stream = enrich.featured(spark.readStream.schema(bars.schema).parquet(f"{folder}/in"))
-        T.scored(stream, f"{folder}/out", f"{folder}/check{turn}", predict, "momentum", "1").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").groupBy("symbol", "predicted_direction").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("features")).alias("inputs"))
-
-
 def stream_dead_letters(spark, d):
     """A log as a stream: sound events into one table, poison messages into another."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -396,8 +361,8 @@ def stream_enrich(spark, d):
 _NAMES = (
     contract_reasons, contract_invariants, contract_events, dlq_records, contract_predictions, derived_ids, contract_enriched, sink_append_absent, sink_counts, sink_latest, sink_latest_expiring, sink_recent_capped, sink_announced,
     sink_routed, sink_constrained, sink_new_symbols, sink_log_records, sink_manifest, scan_replay, scan_replay_skipped, scan_csv, ops_reconcile, ops_latency, ops_rounded_percentile, ops_gaps, ops_arrivals, ops_first_after, ops_lag,
-    ops_counter_increase, ops_hist_quantile, ops_alert_hold, ops_ratio_alert, ops_count_alert, ops_calibration, stream_rollup, stream_latest, stream_append, stream_enrich, stream_indicators,
-    stream_anomalies, stream_features, stream_scored, stream_dead_letters, stream_fan_out, scan_grid, stage_files,
+    ops_counter_increase, ops_hist_quantile, ops_alert_hold, ops_ratio_alert, ops_count_alert, ops_calibration, stream_latest, stream_append, stream_enrich, stream_indicators,
+    stream_dead_letters, stream_fan_out, scan_grid, stage_files,
 )
 QUERIES = {q.__name__: q for q in _NAMES}
 _BROKEN = "array_to_string(list_filter([CASE WHEN n % 41 = 0 THEN 'interval' END, CASE WHEN n % 37 = 0 THEN 'time' END, CASE WHEN n % 43 = 0 OR NOT (open + 1 > 0 AND low + 1 > 0 AND close + 1 > 0) THEN 'prices' END, CASE WHEN low > least(CASE WHEN n % 43 = 0 THEN -2 ELSE open END, close) THEN 'low' END], lambda x: x IS NOT NULL), ',')"
@@ -451,15 +416,11 @@ SELECT grp AS "group", b.topic, b.partition, greatest(0, e - coalesce(o, low)) A
 f AS (SELECT *, stddev_pop(close) OVER w AS dev, avg(close) OVER w AS m, avg(volume) OVER w AS vm, stddev_samp(ln(close / pc)) OVER w AS vol FROM k WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING))
 SELECT symbol || '-' || n AS event_id, {sq('close - pc', 4, 'price_change')}, {sq('ln(close / pc)', 4, 'log_return_1')}, {sq('(volume - pv) / pv', 4, 'volume_change_pct')}, {sq('vol', 4, 'volatility_20')}, {sq('vm', 4, 'volume_sma_20')}, {sq('volume / vm', 4, 'volume_ratio')},
 {sq('m + 2 * dev', 4, 'bb_upper')}, {sq('m - 2 * dev', 4, 'bb_lower')}, {sq('4 * dev / m', 4, 'bb_width')} FROM f WHERE n > 100""",
-    "stream_anomalies": f"""WITH {_NUMBERED}, k AS (SELECT event_id, close / lag(close) OVER w - 1 AS r, volume / nullif(median(volume) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), 0) AS v, count(*) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS c FROM nb WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-a AS (SELECT event_id AS source_event_id, 'return_threshold' AS detector, CASE WHEN r > 0 THEN 'price_spike' ELSE 'price_drop' END AS anomaly_type, abs(r) AS score, 0.5::DOUBLE AS t FROM k WHERE abs(r) > 0.5 UNION ALL SELECT event_id, 'volume_median', 'volume_spike', v, 1.5 FROM k WHERE c >= 20 AND v > 1.5)
-SELECT source_event_id, detector, anomaly_type, CASE WHEN score / t < 1.5 THEN 'low' WHEN score / t < 2.5 THEN 'medium' WHEN score / t < 4 THEN 'high' ELSE 'critical' END AS severity, {sq('score', 5)} FROM a""",
     "stream_dead_letters": f"WITH {_LOG} SELECT coalesce(reason, 'event') AS kind, count(*) AS n FROM cl GROUP BY 1",
     "stream_fan_out": """WITH e AS (SELECT CASE WHEN value > 95 THEN 'anomaly' ELSE 'bar' END AS kind, event_type AS symbol, ts, event_id FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY kind, symbol ORDER BY ts DESC, event_id DESC) AS i, row_number() OVER (PARTITION BY kind ORDER BY ts DESC, event_id DESC) AS j FROM e)
 SELECT kind AS event_type, symbol, event_id FROM r WHERE CASE WHEN kind = 'bar' THEN i = 1 ELSE j <= 100 END UNION ALL SELECT 'dropped', '', greatest(count(*) - 100, 0) FROM e WHERE kind = 'anomaly'""",
     "scan_grid": f"WITH g AS (SELECT unnest(range(TIMESTAMP '2024-01-20 10:00:00' - INTERVAL 15000 MINUTE, TIMESTAMP '2024-01-20 10:00:00', INTERVAL 30 MINUTE)) AS ts) SELECT {sql_stamp('ts', 'at')} FROM g",
     "stage_files": f'WITH {EVENT_SQL} SELECT symbol, count(*) AS bars, CAST(sum(volume) AS BIGINT) AS volume, CAST(max(ts) AS DATE) AS "last" FROM ev GROUP BY 1',
-    "stream_rollup": f"WITH {EVENT_SQL} SELECT symbol AS event_type, {sql_stamp('ts', 'at')}, {sqs({c: 2 for c in ('open', 'high', 'low', 'close')})}, volume FROM ev",
     "stream_latest": f"SELECT event_type AS symbol, arg_max(event_id, ts) AS event_id, {sq('arg_max(value, ts)', 2, 'value')} FROM events GROUP BY 1",
     "stream_append": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "stream_enrich": f"""WITH RECURSIVE {EVENT_SQL}, k AS (SELECT symbol, ts, close, row_number() OVER w AS n, close - lag(close) OVER w AS ch FROM ev WINDOW w AS (PARTITION BY symbol ORDER BY ts)),

@@ -33,12 +33,19 @@ def append_counts(batch: DataFrame, target: DataFrame, keys: list[list[str]], ta
     return batch.agg(F.count(F.lit(1)).alias("_all")).crossJoin(F.broadcast(new)).select(F.lit(table).alias("table"), "written", (F.col("_all") - F.col("written")).alias("skipped"))
 
 
-def append_absent(batch: DataFrame, path: str, keys: list[list[str]]) -> None:
-    """Append to a Parquet table what it lacks; the same batch again adds nothing."""
+def append_absent(batch: DataFrame, path: str, keys: list[list[str]], within: str | None = None) -> None:
+    """Append to a Parquet table what it lacks; the same batch again adds nothing.
+
+    ``within`` names a column that equal rows share, such as their day: the table is kept in a folder for each of its values, and only the
+    folders of the batch's values are read. Without it every batch reads the keys of the whole table.
+    """
     spark = batch.sparkSession
     target = spark.read.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(path) if _exists(spark, path) else None
+    if target is not None and within is not None:  # prunes folders when it runs; a batch has no more values than rows
+        target = target.join(F.broadcast(batch.select(within).distinct()), within, "left_semi")
     new = absent(batch, target, keys) if target is not None else reduce(first_of, keys, batch)
-    new.write.mode("append").parquet(path)
+    writer = new.write.mode("append")
+    (writer.partitionBy(within) if within is not None else writer).parquet(path)
 
 
 def _exists(spark, path: str) -> bool:

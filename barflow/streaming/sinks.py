@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from barflow.operators import contract as C, features as X, models as M
 from barflow.sources import sinks as S
 
 
-def append_once(stream: DataFrame, path: str, keys: list[list[str]], checkpoint: str):
-    """Append what the table lacks. Offsets are committed after the batch is written, so a repeated batch finds its rows there."""
-    return stream.writeStream.foreachBatch(lambda batch, _: S.append_absent(batch, path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_once(stream: DataFrame, path: str, keys: list[list[str]], checkpoint: str, within: str | None = None):
+    """Append what the table lacks. Offsets are committed after the batch is written, so a repeated batch finds its rows there. With
+    ``within``, a batch reads only the table's folders of its own values (``sources.sinks.append_absent``)."""
+    return stream.writeStream.foreachBatch(lambda batch, _: S.append_absent(batch, path, keys, within)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def keep_latest(stream: DataFrame, path: str, checkpoint: str, key: str = "symbol", ts: str = "ts"):
-    """The newest row of each key, in one folder a batch; the highest number is the state, and a repeated batch rewrites its own."""
+    """The newest row of each key, in one folder a batch; the highest number is the state, and a repeated batch rewrites its own. Only the
+    last two folders stay, since a repeated batch begins from the one before it."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = f"{path}/batch={number - 1}"
         state = S.latest(spark.read.parquet(before), batch, key, ts) if S._exists(spark, before) else S.latest(batch.limit(0), batch, key, ts)
         state.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -79,7 +83,3 @@ def sessions(stream: DataFrame, ts: str, gap: str, late: str, keys: list[str]) -
 def deduplicated(stream: DataFrame, ts: str, late: str, key: str) -> DataFrame:
     """Each id once within the watermark: bounded state, where the batch policy remembers a number of ids instead."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
-
-
-def numbered(df: DataFrame, order: Column, *keys: str) -> DataFrame:
-    return df.withColumn("arrival", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
