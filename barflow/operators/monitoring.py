@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barflow.functions import timegrid as G
+from barflow.functions.ranks import quantiles, ranked
 from barflow.sources.session import checkpointed
 
 #: Fixed limits: clip of a proportion, PSI bands, least samples, KS level, log-loss margin, share of drifted features.
@@ -26,8 +27,7 @@ def cells(rows: DataFrame, keys: list[str]) -> DataFrame:
 def profile(rows: DataFrame, keys: list[str]) -> DataFrame:
     """edges (distinct inner deciles), quantiles (101), proportions of the bins between the edges, and n, of each key's values."""
     rows = checkpointed(cells(rows, keys))
-    hundredths = F.percentile("value", F.array(*[F.lit(k / 100) for k in range(101)]), F.col("c"))
-    stats = rows.groupBy(*keys).agg(hundredths.alias("quantiles"), F.sum("c").alias("n"))
+    stats = checkpointed(quantiles(ranked(rows, keys), keys))
     stats = stats.withColumn("edges", F.array_distinct(F.array(*[F.element_at("quantiles", 10 * k + 1) for k in range(1, 10)])))
     return stats.join(binned(rows, stats, keys), keys)
 
@@ -56,24 +56,18 @@ def psi_status(x: Column) -> Column:
     return F.when(F.isnan(x) | (x < WARNING), "ok").when(x < ALERT, "warning").otherwise("alert")
 
 
-def ks(rows: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ks, p_value): Kolmogorov's distance of the values from the profile's interpolated distribution.
+def ks(ranks: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, ks, p_value): Kolmogorov's distance of ``ranked`` values from the profile's interpolated distribution.
 
-    Equal values are one row with a running count, so the sort holds distinct values. The distribution rises linearly
-    between the 101 quantiles; at tied quantiles the last one counts.
+    The distribution rises linearly between the 101 quantiles; at tied quantiles the last one counts.
     """
-    df = cells(rows, keys).join(profiles.select(*keys, "quantiles"), keys)
+    df = ranks.join(profiles.select(*keys, "quantiles"), keys)
     q, v = F.col("quantiles"), F.col("value")
     df = df.withColumn("_i", F.size(F.filter("quantiles", lambda x: x <= F.col("value"))))  # knots at or below
     low, high = F.get(q, F.col("_i") - 1), F.get(q, F.col("_i"))
-    cdf = F.when(F.col("_i") == 0, 0.0).when(F.col("_i") == F.size(q), 1.0).otherwise((F.col("_i") - 1 + (v - low) / (high - low)) / (F.size(q) - 1))
-    # the quantiles stay behind: what is sorted is a value, its number and the distribution there
-    df = df.select(*keys, "value", "c", cdf.alias("_f"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("_hi", upto).withColumn("_n", F.sum("c").over(w))
-    gap = F.greatest(F.col("_hi") / F.col("_n") - F.col("_f"), F.col("_f") - (F.col("_hi") - F.col("c")) / F.col("_n"))
-    out = df.groupBy(*keys).agg(F.max(gap).alias("ks"), F.max("_n").alias("n"))
+    cdf = F.when(F.col("_i") == 0, 0.0).when(F.col("_i") == F.size(q), 1.0).otherwise((F.col("_i") - 1 + F.try_divide(v - low, high - low)) / (F.size(q) - 1))
+    gap = F.greatest(F.col("upto") / F.col("n") - cdf, cdf - (F.col("upto") - F.col("c")) / F.col("n"))
+    out = df.groupBy(*keys).agg(F.max(gap).alias("ks"), F.max("n").alias("n"))
     lam = (F.sqrt("n") + 0.12 + 0.11 / F.sqrt("n")) * F.col("ks")
     out = out.withColumn("_l", lam)
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, j: s + F.when(j % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * j * j * F.col("_l") * F.col("_l")))
@@ -81,15 +75,17 @@ def ks(rows: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "n", "ks", p.alias("p_value"))
 
 
-def drift(live: DataFrame, profiles: DataFrame, keys: list[str], report_type: str = "data_drift") -> DataFrame:
-    """One report row per key with enough live values: PSI with its status, KS with rejection, and both medians."""
+def drift(live: DataFrame, profiles: DataFrame, keys: list[str], report_type: str = "data_drift", least: int = DRIFT_LEAST) -> DataFrame:
+    """One report row per key with enough live values: PSI with its status, KS with rejection, both medians and the live mean."""
     live = checkpointed(cells(live, keys))
-    n = live.groupBy(*keys).agg(F.sum("c").alias("n"), F.percentile("value", F.lit(0.5), F.col("c")).alias("live_median")).where(F.col("n") >= DRIFT_LEAST)
-    rows, profiles = live.join(n.select(*keys), keys, "left_semi"), checkpointed(profiles)
-    df = n.join(binned(rows, profiles, keys), keys).join(profiles.select(*keys, F.col("proportions").alias("_r"), F.element_at("quantiles", 51).alias("reference_median")), keys)
+    n = live.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("live_mean")).where(F.col("n") >= least)
+    rows, profiles = checkpointed(live.join(n.select(*keys), keys, "left_semi")), checkpointed(profiles)
+    ranks = checkpointed(ranked(rows, keys))
+    medians = quantiles(ranks, keys, 2).select(*keys, F.element_at("quantiles", 2).alias("live_median"))
+    df = n.join(medians, keys).join(binned(rows, profiles, keys), keys).join(profiles.select(*keys, F.col("proportions").alias("_r"), F.element_at("quantiles", 51).alias("reference_median")), keys)
     df = df.withColumn("psi", psi(F.col("proportions"), F.col("_r"))).withColumn("status", psi_status(F.col("psi")))
-    tests = ks(rows, profiles, keys).select(*keys, "ks", "p_value")
-    return df.join(tests, keys).select(F.lit(report_type).alias("report_type"), *keys, "n", "psi", "status", "ks", "p_value", (F.col("p_value") < KS_LEVEL).alias("ks_reject"), "live_median", "reference_median")
+    tests = ks(ranks, profiles, keys).select(*keys, "ks", "p_value")
+    return df.join(tests, keys).select(F.lit(report_type).alias("report_type"), *keys, "n", "psi", "status", "ks", "p_value", (F.col("p_value") < KS_LEVEL).alias("ks_reject"), "live_median", "reference_median", "live_mean")
 
 
 #: Bars of a bucket of time in which predictions and bars meet.
@@ -120,19 +116,20 @@ def resolved(predictions: DataFrame, bars: DataFrame, outcomes: DataFrame, since
 
 
 def window(predictions: DataFrame, outcomes: DataFrame, start: Column, end: Column, limit: int) -> DataFrame:
-    """The newest ``limit`` predictions with ts in (start, end], with P(up) and what came of them."""
+    """The newest ``limit`` predictions of a direction with ts in (start, end], with P(up) and what came of them."""
+    predictions = predictions.where("task = 'direction'") if "task" in predictions.columns else predictions
     rows = predictions.where((F.col("ts") > start) & (F.col("ts") <= end)).orderBy(F.desc("ts"), "prediction_id").limit(limit)
     return rows.withColumn("p_up", F.col("class_probabilities")["up"]).join(outcomes.select("prediction_id", "actual_direction", "is_correct"), "prediction_id", "left")
 
 
-def performance(rows: DataFrame, base_rates: DataFrame, keys: list[str]) -> DataFrame:
+def performance(rows: DataFrame, base_rates: DataFrame, keys: list[str], least: int = PERFORMANCE_LEAST) -> DataFrame:
     """Log loss against that of the training base rate (0.5 if unknown), and accuracy against the majority, with the status."""
-    df = rows.where("actual_direction in ('up', 'down')").join(F.broadcast(base_rates), keys, "left").withColumn("_y", (F.col("actual_direction") == "up").cast("double"))
+    df = rows.where("actual_direction in ('up', 'down') and p_up is not null").join(base_rates, keys, "left").withColumn("_y", (F.col("actual_direction") == "up").cast("double"))
     loss = lambda p: F.avg(-(F.col("_y") * F.log(F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))) + (1 - F.col("_y")) * F.log(1 - F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)))))
     out = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), loss(F.col("p_up")).alias("log_loss"), loss(F.coalesce("base_rate", F.lit(0.5))).alias("null_log_loss"),
-        F.avg(((F.col("p_up") >= 0.5) == (F.col("_y") == 1)).cast("double")).alias("accuracy"), F.greatest(F.avg("_y"), 1 - F.avg("_y")).alias("majority"),
-    ).where(F.col("n") >= PERFORMANCE_LEAST)
+        F.any_value(F.coalesce("base_rate", F.lit(0.5))).alias("base_rate"), F.avg(((F.col("p_up") >= 0.5) == (F.col("_y") == 1)).cast("double")).alias("accuracy"), F.greatest(F.avg("_y"), 1 - F.avg("_y")).alias("majority"),
+    ).where(F.col("n") >= least)
     excess = F.col("log_loss") - F.col("null_log_loss")
     return out.withColumn("excess", excess).withColumn("edge", F.col("accuracy") - F.col("majority")).withColumn("status", F.when(excess > LOSS_MARGIN, "alert").otherwise("ok"))
 
@@ -152,11 +149,6 @@ def as_reports(df: DataFrame, metrics: list[str], created_at: Column) -> DataFra
     return df.select(*[c for c in df.columns if c not in metrics], cells, created_at.alias("created_at"))
 
 
-def with_missing_profiles(models: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
-    """A report row for every served model version that no profile describes."""
-    return models.select(*keys).distinct().join(profiles.select(*keys), keys, "left_anti").withColumn("report_type", F.lit("missing_profile")).withColumn("base_rate", F.lit(0.5))
-
-
 P_UP = "p_up"
 
 
@@ -169,37 +161,58 @@ def reference_profile(train: DataFrame, features: list[str], scored: DataFrame,
     return profile(rows, [*keys, "feature"]).join(train.groupBy(*keys).agg(F.avg("y_up").alias("base_rate")), keys)
 
 
-def cycle(predictions: DataFrame, bars: DataFrame, outcomes: DataFrame, profiles: DataFrame, keys: list[str], now: Column, lookback: str = "240 hours", span: str = "24 hours", most: int = 20_000) -> tuple[DataFrame, DataFrame]:
+#: Hours in which outcomes are sought and of which predictions are judged, and the newest predictions that are.
+LOOKBACK, SPAN, ROWS = "336 hours", "24 hours", 200_000
+
+
+def reports(df: DataFrame, keys: list[str], kind: str | Column, metric: str, value: Column, status: Column | str, threshold: float | None = None, feature: Column | None = None, details: list[Column] = []) -> DataFrame:
+    """Rows of the report table: one metric of ``df``, with its threshold and what else there is to say as JSON."""
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    return df.select(
+        lit(kind).alias("report_type"), *keys, F.lit(metric).alias("metric_name"), (F.lit(None) if feature is None else feature).cast("string").alias("feature_name"), value.cast("double").alias("value"),
+        F.lit(threshold).cast("double").alias("threshold"), lit(status).alias("status"), F.to_json(F.struct(*details)).alias("details"),
+    )
+
+
+def missing_reports(models: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
+    """A report row for every served model version that no profile describes: nothing is said of its drift, and its base rate counts as 0.5."""
+    lost = models.select(*keys).distinct().join(profiles.select(*keys), keys, "left_anti")
+    return reports(lost, keys, "operational", "reference_profile_missing", F.lit(1.0), "warning", details=[F.lit("no drift is judged for this version").alias("effect")])
+
+
+def cycle(
+    predictions: DataFrame, bars: DataFrame, outcomes: DataFrame, profiles: DataFrame, keys: list[str], now: Column, lookback: str = LOOKBACK, span: str = SPAN, most: int = ROWS, samples: int = DRIFT_LEAST, resolved_least: int = PERFORMANCE_LEAST
+) -> tuple[DataFrame, DataFrame]:
     """(outcomes, reports) of one run at ``now``: what newly came of predictions, and the checks of the window before ``now``.
 
-    Predictions carry their ``features``. Of each served model version without a profile (``reference_profile``) the reports say so and
-    nothing of drift; else those of its features and of P(up); performance against its base rate, 0.5 if that is not known; and
-    whether to retrain. Reports are (report_type, keys, metric_name, feature_name, value, status).
+    Predictions carry their ``features``. Of a served model version without a profile (``reference_profile``) the reports say so and
+    nothing of drift. Others get a PSI of each feature and of P(up), with its KS test in the details, where there are ``samples``
+    values. Each with ``resolved_least`` outcomes gets its log loss less that of its base rate, 0.5 if that is not known, and its accuracy less the
+    majority's share. It is asked to retrain where enough features or its loss are in alert. Reports are rows of the report table:
+    (report_type, keys, metric_name, feature_name, value, threshold, status, details, window_start, window_end, created_at).
     """
     predictions, profiles = checkpointed(predictions), checkpointed(profiles)
     new = checkpointed(resolved(predictions, bars, outcomes, now - F.expr(f"interval {lookback}"), now))
     every = outcomes.select("prediction_id", "actual_direction", "is_correct").unionByName(new.select("prediction_id", "actual_direction", "is_correct"))
-    rows = checkpointed(window(predictions, every, now - F.expr(f"interval {span}"), now, most))
+    start = now - F.expr(f"interval {span}")
+    rows = checkpointed(window(predictions, every, start, now, most))
     served = rows.select(*keys).distinct()
     live = rows.select(*keys, F.explode("features").alias("feature", "value")).unionByName(rows.select(*keys, F.lit(P_UP).alias("feature"), F.col("p_up").alias("value")))
     live = live.where("value is not null and not isnan(value) and abs(value) < double('infinity')")
-    found = checkpointed(drift(live.join(profiles.select(*keys).distinct(), keys, "left_semi"), profiles, [*keys, "feature"]))
-    found = found.withColumn("report_type", F.when(F.col("feature") == P_UP, "prediction_drift").otherwise("data_drift"))
-    done = checkpointed(performance(rows, profiles.select(*keys, "base_rate").distinct(), keys))
-    again = retrain(found.where("report_type = 'data_drift'"), done, keys)
-    lost = with_missing_profiles(served, profiles, keys)
-
-    def reports(df: DataFrame, kind: Column, metrics: list[str], feature: Column, status: Column) -> DataFrame:
-        cells = F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric_name", "value")
-        return df.select(kind.alias("report_type"), *keys, feature.cast("string").alias("feature_name"), status.alias("status"), cells)
-
-    none = F.lit(None)
+    found = checkpointed(drift(live.join(profiles.select(*keys).distinct(), keys, "left_semi"), profiles, [*keys, "feature"], least=samples))
+    inputs, output = found.where(F.col("feature") != P_UP), found.where(F.col("feature") == P_UP)
+    done = checkpointed(performance(rows, profiles.select(*keys, "base_rate").distinct(), keys, resolved_least))
+    again = retrain(inputs, done, keys).where("retrain")
+    as_ = lambda c, name: F.col(c).alias(name)
+    why = F.filter(F.array(F.when(F.col("share") >= RETRAIN_SHARE, F.concat_ws("", F.col("drifted"), F.lit("/"), F.col("features"), F.lit(" features in alert"))), F.when(F.col("performance_alert"), F.lit("log loss in alert"))), lambda x: x.isNotNull())
     parts = [
-        reports(found, F.col("report_type"), ["psi", "ks"], F.when(F.col("feature") != P_UP, F.col("feature")), F.col("status")), reports(done, F.lit("performance"), ["log_loss", "null_log_loss", "accuracy"], none, F.col("status")),
-        reports(again.where("retrain").withColumn("retrain_recommended", F.lit(1.0)), F.lit("operational"), ["retrain_recommended"], none, F.lit("alert")),
-        reports(lost.withColumn("reference_profile_missing", F.lit(1.0)), F.lit("operational"), ["reference_profile_missing"], none, F.lit("warning")),
+        reports(inputs, keys, "data_drift", "psi", F.col("psi"), F.col("status"), ALERT, F.col("feature"), [F.col("n"), as_("ks", "ks_statistic"), as_("p_value", "ks_p_value"), F.col("ks_reject"), F.col("live_median"), F.col("reference_median")]),
+        reports(output, keys, "prediction_drift", "psi", F.col("psi"), F.col("status"), ALERT, None, [F.col("n"), as_("live_mean", "live_mean_p_up"), as_("reference_median", "reference_median_p_up")]),
+        reports(done, keys, "performance", "log_loss_minus_null", F.col("excess"), F.col("status"), LOSS_MARGIN, None, [F.col("n"), F.col("null_log_loss"), as_("base_rate", "training_base_rate"), F.col("accuracy"), as_("majority", "live_majority_rate")]),
+        reports(done, keys, "performance", "accuracy_minus_majority", F.col("edge"), "ok", None, None, [F.col("n"), F.col("accuracy"), as_("majority", "live_majority_rate")]),
+        reports(again, keys, "operational", "retrain_recommended", F.lit(1.0), "warning", RETRAIN_SHARE, None, [why.alias("reasons"), F.filter(F.split(F.coalesce("drifted_features", F.lit("")), ","), lambda x: x != "").alias("drifted_features")]),
     ]
-    out = parts[0]
-    for part in parts[1:]:
+    out = missing_reports(served, profiles, keys)
+    for part in parts:
         out = out.unionByName(part)
-    return new, out.select("report_type", *keys, "metric_name", "feature_name", "value", "status").withColumn("created_at", now)
+    return new, out.withColumns({"window_start": start, "window_end": now, "created_at": now})

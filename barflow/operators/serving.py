@@ -64,9 +64,10 @@ def monitoring_cycle(reports: DataFrame) -> DataFrame:
 
 
 def monitoring_summary(reports: DataFrame) -> DataFrame:
-    """Number of rows by status in the last cycle, and whether any asks to retrain."""
+    """Number of rows by status in the last cycle, its window, and whether any row asks to retrain."""
     df = monitoring_cycle(reports)
-    return df.groupBy("created_at").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "warning", "alert")], F.coalesce(F.bool_or((F.col("report_type") == "retrain") & (F.col("value") > 0)), F.lit(False)).alias("retrain"))
+    span = [F.min(c).alias(c) for c in ("window_start", "window_end") if c in df.columns]
+    return df.groupBy("created_at").agg(*span, *[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "warning", "alert")], F.coalesce(F.bool_or(F.col("metric_name") == "retrain_recommended"), F.lit(False)).alias("retrain"))
 
 
 def drifted(reports: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from barflow.functions import timegrid as G
+from barflow.functions.ranks import ranked
 from barflow.operators import detectors as D, indicators as I, monitoring as M, serving as S
 from barflow.plans.common import rd, sql_stamp, sq, sqs, stamp, table
 from barflow.plans.modelling import _DEPLOY, _UUID, deployments
 from barflow.plans.stream_rules import _NUMBERED, numbered
+from barflow.sources import sinks as K
 from barflow.sources.bars import EVENT_SQL, event_bars
+from barflow.sources.session import checkpointed
 
 _SQL_NOW = "TIMESTAMP '2024-01-25'"
 
@@ -68,7 +71,7 @@ def mon_psi(spark, d):
 
 def mon_ks(spark, d):
     live, p = _split(spark, d)
-    return M.ks(live, p, ["model", "feature"]).select("model", "feature", "n", rd("ks", 6), rd("p_value", 6))
+    return M.ks(ranked(M.cells(live, ["model", "feature"]), ["model", "feature"]), p, ["model", "feature"]).select("model", "feature", "n", rd("ks", 6), rd("p_value", 6))
 
 
 def mon_drift(spark, d):
@@ -131,12 +134,14 @@ def mon_retrain(spark, d):
 
 
 def mon_reports(spark, d):
-    """A cycle's drift results as long report rows, with the versions that lack a profile."""
+    """A cycle's drift results as rows of the report table, with the versions that lack a profile; none breaks the table's checks."""
     live, p = _split(spark, d)
-    df = M.as_reports(M.drift(live, p, ["model", "feature"]).select("report_type", "model", F.col("feature").alias("feature_name"), "status", "psi", "ks"), ["psi", "ks"], _now())
-    rows = df.select("report_type", "model", "feature_name", "metric_name", "status", rd("value", 6))
-    lost = M.with_missing_profiles(live, p.where("model <> 'N'"), ["model"]).select("report_type", "model", F.lit(None).cast("string").alias("feature_name"), F.lit("base_rate").alias("metric_name"), F.lit("ok").alias("status"), rd("base_rate", 6, "value"))
-    return rows.unionByName(lost)
+    found = M.drift(live, p, ["model", "feature"])
+    df = M.reports(found, ["model"], "data_drift", "psi", F.col("psi"), F.col("status"), M.ALERT, F.col("feature"), [F.col("n"), F.col("ks_reject")])
+    df = df.unionByName(M.missing_reports(live, p.where("model <> 'N'"), ["model"])).withColumns({"window_start": _now() - F.expr("interval 24 hours"), "window_end": _now(), "created_at": _now()})
+    kept, broken = K.constrained(df, K.checks("monitoring_reports"))
+    rows = kept.withColumn("kept", F.lit(True)).unionByName(broken.drop("broken").withColumn("kept", F.lit(False)))
+    return rows.select("report_type", "model", "feature_name", "metric_name", "status", rd("value", 6), "threshold", F.get_json_object("details", "$.ks_reject").alias("ks_reject"), "kept")
 
 
 # -- serving ---------------------------------------------------------------------------------------------------------------------
@@ -184,15 +189,24 @@ def srv_symbols(spark, d):
     return out
 
 
-def mon_cycle(spark, d):
+def _cycle(spark, d):
     """The reports of a cycle over predictions with two inputs: one model has a profile of the first half of the time, one has none."""
     df = I.volatility(I.returns(event_bars(spark, d))).select("symbol", "ts", "return_1", "volatility_20")
     made = predictions(spark, d).join(df, ["symbol", "ts"]).withColumn("features", F.create_map(F.lit("return_1"), "return_1", F.lit("volatility_20"), "volatility_20"))
     half = made.where(f"ts < timestamp'{_MID}'").withColumn("session_date", F.to_date("ts")).withColumn("p_up", F.col("class_probabilities")["up"]).withColumn("y_up", (F.col("return_1") > 0).cast("double"))
     own = half.where("model_name = 'm0'")
     profiles = M.reference_profile(own, ["return_1", "volatility_20"], own, ["model_name"])
-    _, reports = M.cycle(made, event_bars(spark, d), made.select("prediction_id").limit(0).selectExpr("prediction_id", "string(null) actual_direction", "boolean(null) is_correct"), profiles, ["model_name"], _now(), span="240 hours")
-    return reports.select("report_type", "model_name", "metric_name", "feature_name", rd("value", 6), "status")
+    _, found = M.cycle(made, event_bars(spark, d), made.select("prediction_id").limit(0).selectExpr("prediction_id", "string(null) actual_direction", "boolean(null) is_correct"), profiles, ["model_name"], _now(), span="240 hours")
+    return checkpointed(found)
+
+
+def mon_cycle(spark, d):
+    """All report rows of a cycle, with what their details say."""
+    json = lambda path: F.get_json_object("details", f"$.{path}")
+    return _cycle(spark, d).select(
+        "report_type", "model_name", "metric_name", "feature_name", rd("value", 6), "threshold", "status", stamp("window_start", "window_start"), stamp("window_end", "window_end"), json("n").cast("long").alias("n"),
+        rd(json("ks_statistic"), 6, "ks"), rd(json("live_median"), 5, "live_median"), rd(json("live_mean_p_up"), 6, "mean_p_up"), rd(json("null_log_loss"), 6, "null_log_loss"), rd(json("accuracy"), 6, "accuracy"), json("drifted_features").alias("drifted"),
+    )
 
 
 def srv_session(spark, d):
@@ -214,19 +228,21 @@ def srv_champion(spark, d):
 
 
 def _reports(spark, d):
-    e = table(spark, d, "events")
-    return e.select(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("created_at"), F.when(F.col("event_id") % 50 == 0, "retrain").otherwise("data_drift").alias("report_type"), F.element_at(F.array(*map(F.lit, ("ok", "warning", "alert"))), (F.col("event_id") % 3 + 1).cast("int")).alias("status"), F.col("event_type").alias("feature_name"), "value", "event_id")
-
-
-_REP = "rp AS (SELECT date_trunc('day', ts) AS created_at, CASE WHEN event_id % 50 = 0 THEN 'retrain' ELSE 'data_drift' END AS report_type, ['ok', 'warning', 'alert'][event_id % 3 + 1] AS status, event_type AS feature_name, value, event_id FROM events)"
+    """The reports of that cycle and of one an hour before, which had all its rows in alert."""
+    found = _cycle(spark, d)
+    return found.unionByName(found.withColumns({"created_at": F.col("created_at") - F.expr("interval 1 hour"), "status": F.lit("alert")}))
 
 
 def srv_monitoring(spark, d):
-    return S.monitoring_summary(_reports(spark, d)).select(F.to_date("created_at").alias("day"), "ok", "warning", "alert", "retrain")
+    return S.monitoring_summary(_reports(spark, d)).select(stamp("created_at", "at"), stamp("window_start", "window_start"), "ok", "warning", "alert", "retrain")
 
 
 def srv_drifted(spark, d):
-    return S.drifted(S.monitoring_cycle(_reports(spark, d))).select("event_id", "feature_name", rd("value", 2))
+    """Inputs in alert in the last of two cycles."""
+    live, p = _split(spark, d)
+    found = M.reports(M.drift(live, p, ["model", "feature"]), ["model"], "data_drift", "psi", F.col("psi"), F.col("status"), M.ALERT, F.col("feature"), [F.col("n")]).withColumn("created_at", _now())
+    before = found.withColumns({"created_at": _now() - F.expr("interval 1 hour"), "status": F.lit("alert")})
+    return S.drifted(S.monitoring_cycle(found.unionByName(before))).select("model", "feature_name", rd("value", 6))
 
 
 def srv_summary(spark, d):
@@ -280,6 +296,27 @@ QUERIES = {q.__name__: q for q in (srv_indicators_latest, srv_indicators_page, s
 _LAST = "lt AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)"
 _W = "(PARTITION BY symbol ORDER BY ts)"
 _IND = f"{EVENT_SQL}, ir AS (SELECT symbol, ts, (close - lag(close) OVER w) / lag(close) OVER w AS return_1, CASE WHEN count(*) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) = 20 THEN avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) END AS sma_20 FROM ev WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
+_CYCLE = f"""{_PRED.replace("target_ts > TIMESTAMP '2024-01-02'", f"target_ts > {_SQL_NOW} - INTERVAL 336 HOUR").replace(" AND pd.n % 10 <> 0", "")},
+ix AS (SELECT symbol, ts, close / lag(close) OVER w - 1 AS return_1, ln(close / lag(close) OVER w) AS lr FROM ev WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+iy AS (SELECT symbol, ts, return_1, CASE WHEN count(lr) OVER w = 20 THEN stddev_samp(lr) OVER w END AS volatility_20 FROM ix WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)),
+mk AS (SELECT pd.*, return_1, volatility_20, pd.ts > {_SQL_NOW} - INTERVAL 240 HOUR AND pd.ts <= {_SQL_NOW} AS live, pd.ts < DATE '{_MID}' AS half FROM pd JOIN iy USING (symbol, ts)),
+u AS (SELECT model_name AS model, live, f.feature, CASE f.feature WHEN 'return_1' THEN return_1 WHEN 'volatility_20' THEN volatility_20 ELSE p END AS value
+      FROM mk, (VALUES ('return_1'), ('volatility_20'), ('p_up')) AS f(feature) WHERE model_name = 'm0' AND (live OR half) AND CASE f.feature WHEN 'return_1' THEN return_1 WHEN 'volatility_20' THEN volatility_20 ELSE p END IS NOT NULL),
+{_VALUES[_VALUES.index("rf AS (") :]},
+br AS (SELECT avg(CASE WHEN return_1 IS NOT NULL THEN (return_1 > 0)::INT END) AS b FROM mk WHERE half AND model_name = 'm0'),
+pf AS (SELECT model_name, mk.p, CASE WHEN model_name = 'm0' THEN (SELECT b FROM br) ELSE 0.5::DOUBLE END AS b, (actual_direction = 'up')::INT AS y FROM mk JOIN ou USING (prediction_id) WHERE live AND actual_direction IN ('up', 'down')),
+pg AS (SELECT model_name, count(*) AS n, avg(-(y * ln(greatest(p, 1e-6)) + (1 - y) * ln(1 - greatest(p, 1e-6)))) - avg(-(y * ln(b) + (1 - y) * ln(1 - b))) AS excess, avg(-(y * ln(b) + (1 - y) * ln(1 - b))) AS null_log_loss,
+              avg(((p >= 0.5) = (y = 1))::INT) AS accuracy, greatest(avg(y), 1 - avg(y)) AS majority FROM pf GROUP BY 1 HAVING count(*) >= 100),
+rp AS (
+  SELECT CASE WHEN feature = 'p_up' THEN 'prediction_drift' ELSE 'data_drift' END AS report_type, model AS model_name, 'psi' AS metric_name, CASE WHEN feature <> 'p_up' THEN feature END AS feature_name, psi AS value, 0.25::DOUBLE AS threshold, status, n,
+         CASE WHEN feature <> 'p_up' THEN ks END AS ks, CASE WHEN feature <> 'p_up' THEN live_median END AS live_median, CASE WHEN feature = 'p_up' THEN (SELECT avg(p) FROM mk WHERE live AND model_name = 'm0') END AS mean_p_up, NULL::DOUBLE AS null_log_loss, NULL::DOUBLE AS accuracy, NULL AS drifted FROM dr
+  UNION ALL SELECT 'performance', model_name, 'log_loss_minus_null', NULL, excess, 0.01, CASE WHEN excess > 0.01 THEN 'alert' ELSE 'ok' END, n, NULL, NULL, NULL, null_log_loss, accuracy, NULL FROM pg
+  UNION ALL SELECT 'performance', model_name, 'accuracy_minus_majority', NULL, accuracy - majority, NULL, 'ok', n, NULL, NULL, NULL, NULL, accuracy, NULL FROM pg
+  UNION ALL SELECT 'operational', 'm1', 'reference_profile_missing', NULL, 1, NULL, 'warning', NULL, NULL, NULL, NULL, NULL, NULL, NULL WHERE EXISTS (SELECT 1 FROM mk WHERE live AND model_name = 'm1')
+  UNION ALL SELECT 'operational', m.model_name, 'retrain_recommended', NULL, 1, 0.3, 'warning', NULL, NULL, NULL, NULL, NULL, NULL, concat('[', coalesce(d.which, ''), ']')
+  FROM (VALUES ('m0'), ('m1')) AS m(model_name)
+  LEFT JOIN (SELECT model AS model_name, count(*) FILTER (status = 'alert') / count(*) AS share, string_agg(concat('"', feature, '"'), ',' ORDER BY feature) FILTER (status = 'alert') AS which FROM dr WHERE feature <> 'p_up' GROUP BY 1) AS d USING (model_name)
+  LEFT JOIN pg USING (model_name) WHERE coalesce(d.share, 0) >= 0.3 OR coalesce(pg.excess, 0) > 0.01)"""
 ORACLES = {
     "srv_indicators_latest": f"WITH {_IND} SELECT symbol, {sql_stamp('ts', 'at')}, {sq('return_1', 6)}, {sq('sma_20', 4)} FROM ir QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1",
     "srv_indicators_page": f"WITH {_IND}, t AS (SELECT * FROM ir WHERE symbol = 'view' AND ts < TIMESTAMP '2024-01-18' ORDER BY ts DESC LIMIT 40) SELECT {sql_stamp('ts', 'at')}, {sq('return_1', 6)}, {sq('sma_20', 4)}, CASE WHEN (SELECT count(*) FROM t) = 40 THEN strftime((SELECT min(ts) FROM t), '%Y-%m-%d %H:%M:%S') END AS next_before FROM t",
@@ -298,7 +335,9 @@ g AS (SELECT model_name, count(*) AS n, avg(-(y * ln(greatest(p, 1e-6)) + (1 - y
 h AS (SELECT *, log_loss - null_log_loss AS excess, accuracy - majority AS edge FROM g) SELECT model_name, n, {sqs({c: 6 for c in ("log_loss", "null_log_loss", "accuracy", "majority", "excess", "edge")})}, CASE WHEN excess > 0.01 THEN 'alert' ELSE 'ok' END AS status FROM h""",
     "mon_retrain": f"""WITH {_VALUES}, g AS (SELECT model, count(*) FILTER (status = 'alert') AS drifted, count(*) AS features, coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (status = 'alert'), '') AS drifted_features FROM dr GROUP BY 1)
 SELECT model, drifted, features, {sq('drifted / features', 6, 'share')}, drifted_features, model = 'A' AS performance_alert, drifted / features >= 0.3 OR model = 'A' AS retrain FROM g""",
-    "mon_reports": f"WITH {_VALUES} SELECT 'data_drift' AS report_type, model, feature AS feature_name, m AS metric_name, status, {sq('CASE m WHEN $$psi$$ THEN psi ELSE ks END', 6, 'value')} FROM dr, (VALUES ('psi'), ('ks')) AS k(m) UNION ALL SELECT 'missing_profile', model, NULL, 'base_rate', 'ok', 0.5 FROM u WHERE live AND model = 'N' GROUP BY model",
+    "mon_cycle": f"""WITH {_CYCLE} SELECT report_type, model_name, metric_name, feature_name, {sq('value', 6)}, threshold, status, '2024-01-15 00:00:00' AS window_start, '2024-01-25 00:00:00' AS window_end, n::BIGINT AS n,
+{sq('ks', 6)}, {sq('live_median', 5)}, {sq('mean_p_up', 6)}, {sq('null_log_loss', 6)}, {sq('accuracy', 6)}, drifted FROM rp""",
+    "mon_reports": f"WITH {_VALUES} SELECT 'data_drift' AS report_type, model, feature AS feature_name, 'psi' AS metric_name, status, {sq('psi', 6, 'value')}, 0.25::DOUBLE AS threshold, ks_reject::VARCHAR AS ks_reject, true AS kept FROM dr UNION ALL SELECT 'operational', model, NULL, 'reference_profile_missing', 'warning', 1.0, NULL, NULL, true FROM u WHERE live AND model = 'N' GROUP BY model",
     "srv_latest": f"WITH {EVENT_SQL}, {_LAST} SELECT symbol, {sql_stamp('ts', 'at')}, {sq('close', 2)}, volume FROM lt",
     "srv_page": f"WITH {EVENT_SQL}, t AS (SELECT * FROM ev WHERE symbol = 'click' AND ts < TIMESTAMP '2024-01-20' AND ts >= TIMESTAMP '2024-01-02' ORDER BY ts DESC LIMIT 50) SELECT {sql_stamp('ts', 'at')}, {sq('close', 2)}, CASE WHEN count(*) OVER () = 50 THEN strftime(min(ts) OVER (), '%Y-%m-%d %H:%M:%S') END AS next_before FROM t",
     "srv_session": f"WITH {EVENT_SQL}, g AS (SELECT symbol, count(*) AS bars, sum(volume)::BIGINT AS volume, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close FROM ev WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1), h AS (SELECT *, close - open AS change, CASE WHEN open <> 0 THEN 100 * (close - open) / open END AS change_pct FROM g) SELECT symbol, bars, volume, {sqs({c: 4 for c in ('open', 'high', 'low', 'close', 'change', 'change_pct')})} FROM h",
@@ -306,8 +345,8 @@ SELECT model, drifted, features, {sq('drifted / features', 6, 'share')}, drifted
     "srv_open_prediction": f"WITH {_PRED} SELECT symbol, arg_max(prediction_id, ts) AS prediction_id, {sql_stamp('max(target_ts)', 'target')} FROM pd WHERE target_ts > {_SQL_NOW} GROUP BY symbol",
     "srv_champion": f"""WITH {_DEPLOY}, p AS (SELECT * FROM dp WHERE to_stage = 'champion' QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY id DESC) = 1)
 SELECT model_name, model_version, CAST(created_at AS DATE) AS promoted FROM p WHERE NOT EXISTS (SELECT 1 FROM dp WHERE dp.model_name = p.model_name AND dp.model_version = p.model_version AND dp.to_stage = 'archived' AND dp.id > p.id)""",
-    "srv_monitoring": f"WITH {_REP} SELECT CAST(created_at AS DATE) AS day, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'warning') AS warning, count(*) FILTER (status = 'alert') AS alert, coalesce(bool_or(report_type = 'retrain' AND value > 0), false) AS retrain FROM rp WHERE created_at = (SELECT max(created_at) FROM rp) GROUP BY 1",
-    "srv_drifted": f"WITH {_REP} SELECT event_id, feature_name, {sq('value', 2)} FROM rp WHERE created_at = (SELECT max(created_at) FROM rp) AND report_type = 'data_drift' AND status = 'alert'",
+    "srv_monitoring": f"WITH {_CYCLE} SELECT '2024-01-25 00:00:00' AS at, '2024-01-15 00:00:00' AS window_start, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'warning') AS warning, count(*) FILTER (status = 'alert') AS alert, coalesce(bool_or(metric_name = 'retrain_recommended'), false) AS retrain FROM rp",
+    "srv_drifted": f"WITH {_VALUES} SELECT model, feature AS feature_name, {sq('psi', 6, 'value')} FROM dr WHERE status = 'alert'",
     "srv_summary": f"WITH {EVENT_SQL}, r AS (SELECT symbol, ts, close, 100 * (close - lag(close) OVER {_W}) / lag(close) OVER {_W} AS c FROM ev), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1), s AS (SELECT n_name AS symbol FROM nation UNION SELECT symbol FROM ev) SELECT s.symbol, {sql_stamp('ts', 'at')}, {sq('close', 2)}, {sq('c', 4, 'change_pct')} FROM s LEFT JOIN l USING (symbol)",
     "srv_detail": f"""WITH {_PRED}, {_LAST},
 i AS (SELECT symbol, ts, CASE WHEN count(*) OVER x = 20 THEN avg(close) OVER x END AS sma_20 FROM ev WINDOW x AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)),

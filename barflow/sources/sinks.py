@@ -41,13 +41,26 @@ def append_absent(batch: DataFrame, path: str, keys: list[list[str]], within: st
     """
     spark = batch.sparkSession
     target = spark.read.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(path) if _exists(spark, path) else None
-    if target is not None and within is not None:  # prunes folders when it runs; a batch has no more values than rows
-        target = target.join(F.broadcast(batch.select(within).distinct()), within, "left_semi")
+    if target is not None and within is not None:
+        target = within_folders(target, batch, within)
     new = absent(batch, target, keys) if target is not None else reduce(first_of, keys, batch)
     writer = new.write.mode("append")
     (writer.partitionBy(within) if within is not None else writer).parquet(path)
 
 
+#: Folders that a filter names one by one; of a batch of more the whole table is read.
+FOLDERS = 1000
+
+
+def within_folders(target: DataFrame, batch: DataFrame, within: str) -> DataFrame:
+    """The rows of ``target`` in folders of the batch's values of ``within``: a filter of partitions, known before the scan."""
+    values = [r[0] for r in batch.select(within).distinct().limit(FOLDERS + 1).collect()]
+    if len(values) > FOLDERS:
+        return target
+    known = F.col(within).isin([v for v in values if v is not None])
+    return target.where(known | F.col(within).isNull() if None in values else known)
+
+
 def _exists(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

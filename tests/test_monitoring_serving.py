@@ -178,19 +178,24 @@ def test_absent_keeps_the_least_row_and_null_keys(spark):
 
 
 def test_a_cycle_says_what_it_lacks(spark):
-    from barflow.operators import monitoring as N
+    from barflow.operators import monitoring as N, serving as S
+    from barflow.sources import sinks as K
 
     bars = spark.range(300).selectExpr("'A' symbol", "'1h' interval", "timestamp'2026-01-05 00:00:00' + make_interval(0, 0, 0, 0, int(id)) ts", "100 + pmod(id * 37, 11) close")
     made = bars.selectExpr("concat('p', unix_seconds(ts)) prediction_id", "symbol", "interval bar_interval", "ts", "ts + interval 2 hours target_ts", "'up' predicted_direction", "0.1D predicted_return", "map('up', 0.6D, 'down', 0.4D) class_probabilities", "if(hour(ts) % 2 = 0, 'm0', 'm1') model_name", "map('x', close + 40) features")
     old = bars.selectExpr("'m0' model_name", "double(close) x", "to_date(ts) session_date", "0.6D p_up", "double(close > 104) y_up")
     profiles = N.reference_profile(old, ["x"], old, ["model_name"])
     none = made.selectExpr("prediction_id", "string(null) actual_direction", "boolean(null) is_correct").limit(0)
-    N_least, N.DRIFT_LEAST, N.PERFORMANCE_LEAST = (N.DRIFT_LEAST, N.PERFORMANCE_LEAST), 50, 50
-    try:
-        new, reports = N.cycle(made, bars, none, profiles, ["model_name"], F.lit("2026-01-17 00:00:00").cast("timestamp"), lookback="400 hours", span="400 hours")
-        got = {(r.report_type, r.model_name, r.metric_name, r.feature_name): r.status for r in reports.collect()}
-    finally:
-        N.DRIFT_LEAST, N.PERFORMANCE_LEAST = N_least
+    new, found = N.cycle(made, bars, none, profiles, ["model_name"], F.lit("2026-01-17 00:00:00").cast("timestamp"), lookback="400 hours", span="400 hours", samples=50, resolved_least=50)
+    got = {(r.report_type, r.model_name, r.metric_name, r.feature_name): r for r in found.collect()}
     assert new.count() == 287
-    assert got["data_drift", "m0", "psi", "x"] == "alert" and got["operational", "m0", "retrain_recommended", None] == "alert" and got["operational", "m1", "reference_profile_missing", None] == "warning"
-    assert ("prediction_drift", "m0", "psi", None) in got and ("performance", "m1", "log_loss", None) in got and not any(k[0] == "data_drift" and k[1] == "m1" for k in got)
+    assert got["data_drift", "m0", "psi", "x"].status == "alert" and got["data_drift", "m0", "psi", "x"].threshold == 0.25
+    again = got["operational", "m0", "retrain_recommended", None]
+    assert again.status == "warning" and '"drifted_features":["x"]' in again.details and "1/1 features in alert" in again.details
+    assert got["operational", "m1", "reference_profile_missing", None].status == "warning"
+    assert ("prediction_drift", "m0", "psi", None) in got and not any(k[0] == "data_drift" and k[1] == "m1" for k in got)
+    assert got["performance", "m1", "accuracy_minus_majority", None].status == "ok" and got["performance", "m1", "log_loss_minus_null", None].threshold == 0.01
+    assert K.constrained(found, K.checks("monitoring_reports"))[1].isEmpty()
+    summary = S.monitoring_summary(found.unionByName(found.withColumn("created_at", F.col("created_at") - F.expr("interval 1 day")))).first()
+    assert summary.retrain and summary.ok + summary.warning + summary.alert == len(got) and (summary.window_end - summary.window_start).total_seconds() == 400 * 3600
+    assert not S.monitoring_summary(found.where("metric_name <> 'retrain_recommended'")).first().retrain
