@@ -12,12 +12,13 @@ from barflow.sources.session import checkpointed
 
 
 def ranked(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """``cells(keys, value, c)``, each value of a key once, with ``upto``, the number of the key's values up to it, and ``n``, of all.
+    """``cells(keys, value, c)``, each value of a key once, with ``upto``, the number of the key's values up to it, and ``n``, of all. Other
+    columns stay. Of equal values each counts those before it.
 
     Values are dealt out in ranges and sorted there. A task counts within its range; what the ranges before it hold of a key is added
     from a table of one row a key and range. So a key of any size is as many tasks as it has ranges.
     """
-    rows = cells.select(*keys, "value", "c", F.xxhash64(*keys).alias("_key"))
+    rows = cells.withColumn("_key", F.xxhash64(*keys))
     rows = checkpointed(rows.repartitionByRange(*keys, "value").sortWithinPartitions(*keys, "value").withColumn("_part", F.spark_partition_id()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +42,7 @@ def ranked(cells: DataFrame, keys: list[str]) -> DataFrame:
     ahead = F.sum("_here").over(by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     totals = checkpointed(totals.select("_key", "_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"), F.sum("_here").over(by_key).alias("n")))
     # a row for each key of a range: as many as ranges and keys
-    return rows.join(totals, ["_key", "_part"]).select(*keys, "value", "c", (F.col("upto") + F.col("_ahead")).alias("upto"), "n")
+    return rows.join(totals, ["_key", "_part"]).select(*cells.columns, (F.col("upto") + F.col("_ahead")).alias("upto"), "n")
 
 
 def quantiles(ranks: DataFrame, keys: list[str], parts: int = 100) -> DataFrame:

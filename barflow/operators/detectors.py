@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from barflow.functions import ids, rolling as R
+from barflow.sources.session import checkpointed
 
 VERSION = "1.0.0"
 
@@ -83,20 +89,114 @@ class ZScore:
         return out
 
 
-def return_zscore(bars: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """``det_zscore``: log returns of more than z_limit deviations from the kept ones.
+def zscores(kept: list[float], returns: np.ndarray, limits: Limits, block: int = 64) -> tuple[np.ndarray, list[float]]:
+    """(z, mean, deviation) of each return that is an outlier against those kept before it, else NaN; and what is then kept.
 
-    A kept return depends on the flags before it, so a symbol is walked in time order: one group per symbol, with a
-    buffer of z_window numbers. A symbol's bars must fit a task; the streaming processor has bounded state instead.
+    All returns of a block are judged as if none before them in it were an outlier; the first that is one is cut to the limit and the
+    rest of its block judged again, until nothing changes: each judgement up to there was right.
     """
+    out, size, least = np.full((len(returns), 3), np.nan), limits.z_window, limits.z_least
+    series = np.concatenate([np.asarray(kept, float), returns])
+    m, at = len(kept), 0
+    while at < len(returns):
+        stop = min(len(returns), at + block)
+        first = m + at  # of the series
+        if first < size:  # the kept ones are still growing
+            stop = at + 1
+            views = series[:first][None, :]
+        else:
+            views = sliding_window_view(series[first - size : m + stop - 1], size)
+        if views.shape[1] >= max(least, 2):
+            mean, dev = views.mean(axis=1), views.std(axis=1, ddof=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                z = (returns[at:stop] - mean) / dev
+            hits = np.flatnonzero((dev > 0) & (np.abs(z) > limits.z_limit))
+            if len(hits):
+                i = hits[0]
+                out[at + i] = z[i], mean[i], dev[i]
+                series[m + at + i] = mean[i] + np.copysign(limits.z_limit * dev[i], z[i])
+                stop = at + i + 1
+        at = stop
+    return out, series[-size:].tolist() if len(series) else []
+
+
+class _Walk:
+    """Rows of a sorted range, symbol by symbol: what the range's first symbol enters with, and what its last one leaves with."""
+
+    def __init__(self, limits: Limits, entry: tuple[float | None, list[float]] = (None, [])):
+        self.limits, (self.close, self.kept) = limits, entry
+        self.first = self.symbol = None
+        self.any, self.single = False, True
+
+    def push(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, returns, (z, mean, deviation)) of the outliers of each of the batch's symbols."""
+        names, close = batch.column("symbol").to_pylist(), batch.column("close").to_numpy(zero_copy_only=False)
+        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        for a, b in zip(cuts, cuts[1:]):
+            if not self.any:
+                self.any, self.first, self.symbol = True, names[a], names[a]
+            elif names[a] != self.symbol:
+                self.symbol, self.close, self.kept, self.single = names[a], None, [], False
+            x = close[a:b]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r = np.log(x / np.concatenate([[np.nan if self.close is None else self.close], x[:-1]]))
+            known = np.flatnonzero(~np.isnan(r))
+            z, self.kept = zscores(self.kept, r[known], self.limits)
+            self.close = float(x[-1])
+            hits = np.flatnonzero(~np.isnan(z[:, 0]))
+            yield a + known[hits], r[known[hits]], z[hits]
+
+
+def return_zscore(bars: DataFrame, limits: Limits = Limits(), partitions: int | None = None) -> DataFrame:
+    """``det_zscore``: log returns of more than z_limit deviations from the kept ones.
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        state, r = ZScore(limits), np.log(pdf["close"] / pdf["close"].shift(1)).to_numpy()
-        found = [None if np.isnan(x) else state.push(float(x)) for x in r]
-        return pd.DataFrame({"symbol": pdf["symbol"], "ts": pdf["ts"], "_r": r, "_z": [f and f[0] for f in found], "_mean": [f and f[1] for f in found], "_dev": [f and f[2] for f in found]}).dropna(subset=["_z"])
-
-    flags = bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(walk, "symbol string, ts timestamp, _r double, _z double, _mean double, _dev double")
+    A kept return depends on the flags before it. Bars are sorted into ranges, and a symbol's ranges are walked at once, each as if nothing
+    were kept before it: once a window's length passes without an outlier, what is kept is the same whatever it began with. Ranges
+    whose beginning was wrong are walked again from what the one before left, until all stand: a round for each range at worst, one as a
+    rule. What passes between ranges is one window a range of a symbol that has several.
+    """
+    rows = bars.select("symbol", "ts", "close")
+    order = ("symbol", "ts")
+    rows = checkpointed((rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)).sortWithinPartitions(*order))
+    edge = "part int, first string, last string, single boolean, close double, kept array<double>"
+    kinds = to_arrow_schema(StructType.fromDDL(edge))
+
+    def left(entries: dict, only: set | None) -> list:
+        """What each range, or those in ``only``, leaves with."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId()
+            if only is not None and part not in only:
+                return
+            walk = _Walk(limits, entries.get(part, (None, [])))
+            for batch in batches:
+                for _ in walk.push(batch):
+                    pass
+            if walk.any:
+                yield pa.RecordBatch.from_pylist([{"part": part, "first": walk.first, "last": walk.symbol, "single": walk.single, "close": walk.close, "kept": walk.kept}], kinds)
+
+        return rows.mapInArrow(run, edge).collect()
+
+    exits = {r.part: r for r in left({}, None)}
+    entries: dict[int, tuple] = {}
+    while True:
+        parts = sorted(exits)
+        now = {p: (exits[q].close, list(exits[q].kept)) for q, p in zip(parts, parts[1:]) if exits[q].last == exits[p].first}
+        wrong = {p for p in now if now[p] != entries.get(p)}
+        entries = now
+        again = {p for p in wrong if exits[p].single}  # others leave with another symbol
+        if not again:
+            break
+        exits |= {r.part: r for r in left(entries, again)}
+
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = _Walk(limits, entries.get(TaskContext.get().partitionId(), (None, [])))
+        for batch in batches:
+            for places, r, z in walk.push(batch):
+                hit = batch.take(pa.array(places))
+                yield pa.RecordBatch.from_arrays([hit.column("symbol"), hit.column("ts"), *map(pa.array, (r, z[:, 0].copy(), z[:, 1].copy(), z[:, 2].copy()))], ["symbol", "ts", "_r", "_z", "_mean", "_dev"])
+
+    flags = rows.mapInArrow(flagged, "symbol string, ts timestamp, _r double, _z double, _mean double, _dev double")
     df = bars.join(flags, ["symbol", "ts"], "left")
     kind = F.when(F.col("_z") > 0, "price_spike").otherwise("price_drop")
     found = _found("return_zscore", kind, F.col("_r"), F.col("_mean"), F.abs("_z"), limits.z_limit, mean=F.col("_mean"), std=F.col("_dev"))

@@ -6,9 +6,15 @@ reach the rules. Errors drop a row; warnings flag it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import log
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barflow.functions import rolling as R, timegrid as G
+from barflow.functions.sliding import Sorted
 from barflow.sources.session import checkpointed
 
 #: Fixed codes and names, errors first.
@@ -78,13 +84,34 @@ def calendar(rows: DataFrame) -> DataFrame:
 
 
 def robust_z(rows: DataFrame, window: int = Z_WINDOW, least: int = Z_LEAST) -> DataFrame:
-    """log_return, and z against the median and the deviation from it of the returns before; null without spread."""
-    w = Window.partitionBy("symbol").orderBy("ts", "row")
-    df = rows.withColumn("log_return", F.log(F.col("close") / F.lag("close").over(w)))
-    df = df.withColumn("_r", F.collect_list("log_return").over(w.rowsBetween(-window, -1))).withColumn("_m", R.array_median(F.col("_r")))
-    df = df.withColumn("_d", R.array_median(F.transform("_r", lambda x: F.abs(x - F.col("_m")))))
-    z = F.when((F.size("_r") >= least) & (F.col("_d") > 0), (F.col("log_return") - F.col("_m")) / (1.4826 * F.col("_d")))
-    return df.withColumn("z", z).drop("_r", "_m", "_d")
+    """log_return, and z against the median and the deviation from it of the returns before; null without spread.
+
+    A task walks its symbols in order with one sorted window, so it holds ``window`` numbers whatever a symbol's length. Of a symbol that one
+    task should not walk alone, ``functions.blocks.in_blocks`` makes many, with ``window`` + 1 rows before each block.
+    """
+    ordered = rows.repartition("symbol").sortWithinPartitions("symbol", "ts", "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, prev, past = object(), None, Sorted(window)
+        for batch in batches:
+            logs, zs = [], []
+            for symbol, close in zip(batch.column("symbol").to_pylist(), batch.column("close").to_pylist()):
+                if symbol != now:
+                    now, prev, past = symbol, None, Sorted(window)
+                r = log(close / prev) if close and prev and close / prev > 0 else None
+                z = None
+                if r is not None and len(past.values) >= least:
+                    m = past.median()
+                    spread = past.deviation(m)
+                    z = (r - m) / (1.4826 * spread) if spread > 0 else None
+                past.push(r)
+                prev = close
+                logs.append(r)
+                zs.append(z)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64()), pa.array(zs, pa.float64())], [*batch.schema.names, "log_return", "z"])
+
+    schema = StructType([*rows.schema.fields, StructField("log_return", DoubleType()), StructField("z", DoubleType())])
+    return ordered.mapInArrow(run, schema)
 
 
 def warnings(rows: DataFrame, sessions: DataFrame) -> DataFrame:

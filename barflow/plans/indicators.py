@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barflow.functions.blocks import in_blocks
 from barflow.operators import dataset as D, features as X, indicators as I
 from barflow.plans.common import day, rd, sq, sqs
 from barflow.sources.bars import LINE_SQL, line_bars
@@ -130,6 +131,18 @@ def feat_all_ready(spark, d):
     return df.select("symbol", day(), "bar_no", *[rd(c, 6) for c in X.NAMES])
 
 
+def ind_blocks(spark, d):
+    """All indicators of series that are cut into blocks of 700 bars, as one task's share of a long series is."""
+    df = in_blocks(line_bars(spark, d), I.snapshot, size=700)
+    return df.select("symbol", day(), *[rd(F.col(f"indicators.{c}"), _DIGITS[c], c) for c in I.FIELDS])
+
+
+def feat_blocks(spark, d):
+    """All features of series in such blocks; a segment that began before a block is ready in it."""
+    df = in_blocks(line_bars(spark, d), lambda x: X.features(X.with_gaps(x)), size=700).where("ready")
+    return df.select("symbol", day(), *[rd(c, 6) for c in X.NAMES])
+
+
 LABELS_SQL = f"""{FEATURES_SQL.rstrip()},
 l AS (
   SELECT x.*, CASE WHEN max(CASE WHEN gap_before > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) = 0
@@ -152,13 +165,15 @@ def dataset(spark, d):
 
 QUERIES = {
     "ind_snapshot": ind_snapshot, **{name: _query(f, c) for name, (f, c) in _GROUPS.items()},
-    **{name: _feature_query(c) for name, c in _FEATURE_GROUPS.items()}, "feat_all_ready": feat_all_ready, "labels": labels, "dataset": dataset,
+    **{name: _feature_query(c) for name, c in _FEATURE_GROUPS.items()}, "feat_all_ready": feat_all_ready, "ind_blocks": ind_blocks, "feat_blocks": feat_blocks, "labels": labels, "dataset": dataset,
 }
 ORACLES = {
     "ind_snapshot": f"{_IND} SELECT symbol, day, indicator_version, {sqs({c: _DIGITS[c] for c in I.FIELDS})} FROM i",
     **{name: f"{_IND} SELECT symbol, day, {sqs({c: _DIGITS[c] for c in cols})} FROM i" for name, (_, cols) in _GROUPS.items()},
     **{name: f"{FEATURES_SQL} SELECT symbol, day, segment::BIGINT AS segment, {sqs({c: 6 for c in cols})} FROM x" for name, cols in _FEATURE_GROUPS.items()},
     "feat_all_ready": f"{FEATURES_SQL} SELECT symbol, day, k::INT AS bar_no, {sqs({c: 6 for c in X.NAMES})} FROM x WHERE {_READY}",
+    "ind_blocks": f"{_IND} SELECT symbol, day, {sqs({c: _DIGITS[c] for c in I.FIELDS})} FROM i",
+    "feat_blocks": f"{FEATURES_SQL} SELECT symbol, day, {sqs({c: 6 for c in X.NAMES})} FROM x WHERE {_READY}",
     "labels": f"{LABELS_SQL} SELECT symbol, day, {sqs({'y_return': 6, 'y_class': 1, 'y_up': 1})}, label_end FROM y",
     "dataset": f"{LABELS_SQL} SELECT symbol, day, {sqs({'ret_5': 6, 'rsi_14': 6, 'vol_20': 6, 'y_return': 6})}, label_end FROM y WHERE y_return IS NOT NULL AND {_READY.replace('k >= 61 AND ', '')}",
 }

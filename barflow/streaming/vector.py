@@ -13,7 +13,7 @@ import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 
 from barflow.functions.timegrid import SECONDS
-from barflow.operators.detectors import Limits
+from barflow.operators.detectors import Limits, zscores
 from barflow.operators.features import NAMES, WARM
 from barflow.operators.indicators import FIELDS
 
@@ -61,37 +61,6 @@ def windows(values: np.ndarray, size: int, last: int) -> np.ndarray:
     return sliding_window_view(values[len(values) - size + 1 - last :], size)
 
 
-def zscores(kept: list[float], returns: np.ndarray, limits: Limits, block: int = 64) -> tuple[np.ndarray, list[float]]:
-    """(z, mean, deviation) of each return that is an outlier against those kept before it, else NaN; and what is then kept.
-
-    All returns of a block are judged as if none before them in it were an outlier; the first that is one is cut to the limit and the
-    rest of its block judged again, until nothing changes: each judgement up to there was right.
-    """
-    out, size, least = np.full((len(returns), 3), np.nan), limits.z_window, limits.z_least
-    series = np.concatenate([np.asarray(kept, float), returns])
-    m, at = len(kept), 0
-    while at < len(returns):
-        stop = min(len(returns), at + block)
-        first = m + at  # of the series
-        if first < size:  # the kept ones are still growing
-            stop = at + 1
-            views = series[:first][None, :]
-        else:
-            views = sliding_window_view(series[first - size : m + stop - 1], size)
-        if views.shape[1] >= max(least, 2):
-            mean, dev = views.mean(axis=1), views.std(axis=1, ddof=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                z = (returns[at:stop] - mean) / dev
-            hits = np.flatnonzero((dev > 0) & (np.abs(z) > limits.z_limit))
-            if len(hits):
-                i = hits[0]
-                out[at + i] = z[i], mean[i], dev[i]
-                series[m + at + i] = mean[i] + np.copysign(limits.z_limit * dev[i], z[i])
-                stop = at + i + 1
-        at = stop
-    return out, series[-size:].tolist() if len(series) else []
-
-
 def new_symbol(interval: str = "") -> dict:
     return {"interval": interval, "last_ts": None, "n": 0, "ema_12": 0.0, "ema_26": 0.0, "signal": 0.0, "up": 0.0, "down": 0.0, "ids": [], "closes": [], "volumes": [], "kept": []}
 
