@@ -97,33 +97,39 @@ def pivotal(rows: DataFrame, total: int, seed: int = 0, fanout: int = FANOUT) ->
 
 
 def by_size(rows: DataFrame, total: int, seed: int = 0, classes: tuple[int, ...] = CLASSES) -> DataFrame:
-    """``pivotal`` by size, large documents first: what the last open row of a class is off by is made up for in the next.
+    """``rows(stratum, k, size, want, most)`` as (stratum, k, copies): ``want`` rounded up or down, large documents first.
 
-    Each class starts from its own p, shifted alike for the whole stratum by the words that are owed. So a stratum's
-    words differ from the expected ones by less than the largest document of its smallest class, as long as the smaller
-    classes have words enough.
+    What the last open row of a class is off by is made up for in the next: its wants are shifted alike for the whole stratum by the words
+    that are owed, over whole copies too but never below 0 or above ``most``, and then their fractions are rounded by ``pivotal``. So a stratum's
+    words differ from the expected ones by less than the largest document of its smallest class, as long as the smaller classes have words
+    enough.
     """
-    owed, out, most = None, None, None
+    owed, out, above = None, None, None
     for least in (*classes, 0):
-        part = rows.where(F.col("size") >= least) if most is None else rows.where((F.col("size") >= least) & (F.col("size") < most))
-        most = least
-        sums = part.groupBy("stratum").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("p")).alias("wanted"))
+        part = rows.where(F.col("size") >= least) if above is None else rows.where((F.col("size") >= least) & (F.col("size") < above))
+        above = least
+        sums = part.groupBy("stratum").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("want")).alias("wanted"))
         sums = sums.withColumn("error", F.lit(0.0)) if owed is None else sums.join(owed, "stratum", "full").na.fill(0.0)
         sums = checkpointed(sums)
-        shifted = part.join(F.broadcast(sums) if sums.count() <= 10_000 else sums, "stratum").withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") - F.col("error") / F.col("words"))))
-        up = checkpointed(pivotal(shifted.select("stratum", "k", "size", "p"), total, seed + least))
-        got = up.groupBy("stratum").agg(F.sum(F.col("size") * F.col("up")).alias("got"))
+        shifted = part.join(F.broadcast(sums) if sums.count() <= 10_000 else sums, "stratum").withColumn("want", F.greatest(F.lit(0.0), F.least("most", F.col("want") - F.col("error") / F.col("words"))))
+        shifted = shifted.withColumn("base", F.floor(F.col("want") + _EPS)).withColumn("p", F.greatest(F.col("want") - F.col("base"), F.lit(0.0)))
+        shifted = checkpointed(shifted.select("stratum", "k", "size", "base", "p"))
+        up = pivotal(shifted.where(F.col("p") > _EPS).select("stratum", "k", "size", "p"), total, seed + least)
+        copies = F.col("base") + F.coalesce("up", F.lit(0).cast("long"))
+        found = checkpointed(shifted.join(up.select("stratum", "k", "up"), ["stratum", "k"], "left").select("stratum", "k", "size", copies.alias("copies")))
+        got = found.groupBy("stratum").agg(F.sum(F.col("size") * F.col("copies")).alias("got"))
         owed = sums.join(got, "stratum", "left").select("stratum", (F.coalesce("got", F.lit(0.0)) - F.col("wanted") + F.col("error")).alias("error"))
-        out = up if out is None else out.unionByName(up)
-    return out.select("stratum", "k", "up")
+        out = found if out is None else out.unionByName(found)
+    return out.select("stratum", "k", "copies")
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 0) -> DataFrame:
     """(doc_id, source, size, rows, source_size, target, copies): how often each document goes into the mix.
 
-    A document of a source with target / source_size = r is taken floor(r) or floor(r) + 1 times, r times on
-    average, so never more than ``most`` times. Which ones get the extra copy is found by ``pivotal`` with the
-    sizes in words as weights, so that a source's words differ from its target by less than one small document.
+    A document of a source with target / source_size = r is taken floor(r) or floor(r) + 1 times; small ones a copy more or less where
+    that makes up for what large ones are off by, never more than ``most`` times. Which ones get the extra copy is found by ``pivotal`` with
+    the sizes in words as weights (``by_size``), so that the words of a source with small documents enough differ from its target by less
+    than one of them; of one without, by less than its largest document.
 
     Rows with the same doc_id, source and size count as ``rows`` rows of one entry and share its copies; this also
     holds a null doc_id. Null and empty texts have size 0: they move no words and are rounded on their own.
@@ -137,13 +143,11 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: f
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     named = rows.join(goal, rows["source"].eqNullSafe(goal["source"])).drop(goal["source"]).withColumn("want", rate * F.col("rows"))
     named = named.withColumn("stratum", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("k", F.coalesce(F.concat_ws(":", F.col("doc_id").cast("string"), "size"), F.lit("")))
-    named = named.withColumn("base", F.floor(F.col("want") + _EPS)).withColumn("p", F.greatest(F.col("want") - F.col("base"), F.lit(0.0)))
     # a document's own weight is its size; that of an entry of m rows is still the words of one more copy
-    open_rows = named.where((F.col("size") > 0) & (F.col("p") > _EPS)).select("stratum", "k", F.col("size").cast("double").alias("size"), "p")
-    up = by_size(open_rows, total, seed)
-    named = named.join(up, ["stratum", "k"], "left")
-    extra = F.coalesce("up", (uniform(F.lit(seed), F.lit(-2), "k") < F.when(F.col("size") == 0, F.col("p")).otherwise(0.0)).cast("long"))
-    return named.select("doc_id", "source", "size", "rows", "source_size", "target", (F.col("base") + extra).alias("copies"))
+    sized = named.where("size > 0").select("stratum", "k", F.col("size").cast("double").alias("size"), "want", (F.lit(float(most)) * F.col("rows")).alias("most"))
+    named = named.join(by_size(sized, total, seed), ["stratum", "k"], "left")
+    chance = F.floor(F.col("want") + _EPS) + (uniform(F.lit(seed), F.lit(-2), "k") < F.col("want") - F.floor(F.col("want") + _EPS)).cast("long")
+    return named.select("doc_id", "source", "size", "rows", "source_size", "target", F.coalesce("copies", chance).alias("copies"))
 
 
 def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,27 @@ def test_words_come_near_their_targets(docs, rows):
         assert abs(taken - target) <= max(largest, 1)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_small_sources_meet_their_targets_too(spark, seed):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by = {}
+    for r in M.mixed(docs, seed=seed).collect():
+        t = by.setdefault(r.source, [r.target, 0])
+        t[1] += r.copies * r.size
+        assert 0 <= r.copies <= 3 * r.rows
+    for source, (target, taken) in by.items():
+        assert abs(taken - target) <= max(0.01 * target, 128), source
+
+
+def test_small_documents_make_up_for_large_ones_by_whole_copies(spark):
+    sizes = [1000, 900] + [20] * 110
+    rows = spark.createDataFrame([("s", str(i), float(n), 0.97, 3.0) for i, n in enumerate(sizes)], "stratum string, k string, size double, want double, most double")
+    for seed in range(4):
+        got = {r.k: r.copies for r in M.by_size(rows, len(sizes), seed).collect()}
+        assert len(got) == len(sizes) and set(got.values()) <= {0, 1, 2, 3}
+        assert abs(sum(n * got[str(i)] for i, n in enumerate(sizes)) - 0.97 * sum(sizes)) <= 20
+
+
 def test_reruns_agree_whatever_the_partitions(docs):
     a = {(r.doc_id, r.source, r.size): r.copies for r in M.mixed(docs).collect()}
     assert a == {(r.doc_id, r.source, r.size): r.copies for r in M.mixed(docs.repartition(3, "text")).collect()}
