@@ -9,8 +9,11 @@ last, unfilled one is cut into powers of two. So no sequence has any padding, an
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +25,21 @@ from pyspark.sql.types import StructField, StructType
 from barflow.llm import text as T
 
 #: Ids of a sequence, the id that ends a document, waiting ids of a task, about, and words whose ids a worker remembers.
-WINDOW, END, POOL, REMEMBERED = 4096, 2, 1 << 21, 400_000
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+WINDOW, END, POOL, REMEMBERED = 4096, 2, 1 << 21, 1_000_000
+#: Words of a-z and U+00DF to U+00FF but U+00F7, in UTF-8: of its lead bytes these hold only C3.
+_PLAIN = re.compile(rb"[a-z\xC3\x9F-\xB6\xB8-\xBF]+")
+#: ASCII signs that end a word as one piece; an apostrophe may begin another.
+_SIGN = np.array([c < 128 and chr(c).isprintable() and not chr(c).isalnum() and chr(c) not in " '" for c in range(256)])
 
 
-def filled(lengths: dict[int, int], window: int) -> dict[int, int] | None:
-    """How many of each length, the longest among them, fill the window exactly; None if none do. ``lengths`` holds the number of each."""
-    longest = max(lengths)
+def filled(lengths: dict[int, int], order: list[int], window: int) -> dict[int, int] | None:
+    """How many of each length, the longest among them, fill the window exactly; None if none do. ``lengths`` holds the number of each, and
+    ``order`` the lengths from the longest on."""
+    longest = order[0]
     sums, steps, goal = 1 << longest, [], 1 << window
-    for length in sorted(lengths, reverse=True):
+    for length in order:
         left, copies = min(lengths[length] - (length == longest), (window - longest) // length), 1
-        while left and not sums & goal:  # a bounded number of copies, as powers of two
+        while left > 0 and not sums & goal:  # a bounded number of copies, as powers of two
             steps.append((sums, length, min(copies, left)))
             sums |= sums << length * min(copies, left) & (goal << 1) - 1
             left, copies = left - min(copies, left), 2 * copies
@@ -58,8 +65,8 @@ class Encoder:
     """Ids of whole texts, word by word: words are what white space separates, and each distinct one is encoded once.
 
     A word of small Latin letters is one piece of the vocabulary's own pattern and goes to its merges directly; the tokenizer encodes any
-    other as it is. ASCII letters are made small first unless the word may hold a special token. A comma or full stop behind a letter is a
-    word of its own. ``by_word`` states that all this holds for a tokenizer: white space is dropped, letters are made small, and white space
+    other as it is. Latin letters are made small first and signs behind a letter are a word of their own, unless the word may hold a
+    special token. ``by_word`` states that all this holds for a tokenizer: white space is dropped, letters are made small, and white space
     changes nothing on either side of it. Otherwise whole texts are encoded.
     """
 
@@ -67,22 +74,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
-        self.known: dict[bytes, bytes] = {}
-        self.letters = bytes_as_letters()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, bytes_as_letters()
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: bytes) -> list[int]:
         if _PLAIN.fullmatch(word):
-            return [t.id for t in self.tokenizer.model.tokenize("".join(self.letters[b] for b in word.encode()))]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+            return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
+        return self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
 
     def remembered(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word as little-endian bytes. All are forgotten when they would become too many."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, words
-        for w in new:
-            self.known[w] = np.array(self.word(w.decode("utf-8", "surrogatepass")), "<u4").tobytes()
-        return [self.known[w] for w in words]
+        """The ids of each word as bytes of unsigned 32-bit numbers. Half of the words that a worker remembers are those asked for last; the
+        other half is forgotten whenever these fill their half."""
+        out, young, old = [], self.young, self.old
+        for w in words:
+            ids = young.get(w)
+            if ids is None:
+                ids = young[w] = old.get(w) or array("I", self.word(w)).tobytes()
+            out.append(ids)
+        if len(young) > REMEMBERED // 2:
+            self.young, self.old = {}, young
+        return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and the n + 1 offsets into them."""
@@ -95,30 +107,31 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         small = T.lower(data)
+        capital = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+        small[capital] += 32
         special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # "<|"
-        for i in np.unique(np.searchsorted(starts, special, "right") - 1):
+        special = np.unique(np.searchsorted(starts, special, "right") - 1)
+        for i in special.tolist():
             small[starts[i] : ends[i]] = data[starts[i] : ends[i]]
-        last, before = small[ends - 1], small[np.maximum(ends - 2, starts)]
-        split = ((last == 44) | (last == 46)) & (before >= 97) & (before <= 122)
-        cut = np.repeat(ends, 1 + split)
-        which = np.flatnonzero(split) + np.arange(split.sum())
-        cut[which] -= 1
-        begin = np.repeat(starts, 1 + split)
-        begin[which + 1] = cut[which]
-        sizes = cut - begin
-        flat = small[~T._SPACE[data]]
-        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(flat)]).dictionary_encode()
+        last = np.maximum.accumulate(np.where(_SIGN[small], 0, np.arange(1, len(small) + 1, dtype=np.int32)))[ends - 1]  # behind the last that is no sign
+        before = small[np.maximum(last, 1) - 1]
+        split = (last > starts) & (last < ends) & (before >= 97) & (before <= 122)
+        split[special] = False
+        which = np.flatnonzero(split)
+        place = which + np.arange(len(which))
+        bounds = np.append(np.repeat(starts, 1 + split), 0)
+        bounds[place + 1] = last[which]
+        keep = ~T.blank(data)
+        flat = small[keep]
+        bounds = np.searchsorted(np.flatnonzero(keep), bounds)
+        bounds[-1] = len(flat)
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(flat)]).dictionary_encode()
         own = self.remembered(found.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in own], np.int64) // 4
-        begins = np.cumsum(lengths) - lengths
-        which = found.indices.to_numpy()
-        n = lengths[which]
-        ends_of = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(begins[which] - ends_of[:-1], n) + np.arange(ends_of[-1])
-        ids = np.frombuffer(b"".join(own), "<u4")[at]
+        lengths = np.concatenate([[0], np.cumsum([len(x) for x in own])]) // 4
+        lists = pa.LargeListArray.from_arrays(pa.array(lengths, pa.int64()), pa.array(np.frombuffer(b"".join(own), np.uint32))).take(found.indices)
         words_before = np.concatenate([[0], np.cumsum(1 + split)])[first]
-        return ids, ends_of[words_before]
+        ids, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        return ids, at[words_before]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -157,17 +170,18 @@ class Pool:
     def pack(self) -> None:
         """Fills windows while that leaves no slack; lengths that no window takes are laid end to end."""
         lengths = {n: len(x) for n, x in self.waiting.items()}
-        rest: list[int] = []
-        while lengths:
-            counts = filled(lengths, self.window)
+        order, rest = sorted(lengths, reverse=True), []
+        while order:
+            counts = filled(lengths, order, self.window)
             if counts is None:
-                rest.append(longest := max(lengths))
-                lengths.pop(longest)
+                rest.append(order.pop(0))
                 continue
             for _ in range(min(lengths[n] // c for n, c in counts.items())):
                 self.sequence([self.waiting[n].popleft() for n, c in counts.items() for _ in range(c)])
-                lengths = {n: m - counts.get(n, 0) for n, m in lengths.items()}
-            lengths = {n: m for n, m in lengths.items() if m}
+            for n in counts:
+                lengths[n] = len(self.waiting[n])
+                if not lengths[n]:
+                    del order[bisect_left(order, -n, key=neg)]
         self.lay([x for n in rest for x in self.waiting[n]])
 
     def lay(self, pieces: list[tuple]) -> None:

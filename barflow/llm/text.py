@@ -49,6 +49,11 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def blank(data: np.ndarray) -> np.ndarray:
+    """Which bytes are white space."""
+    return _SPACE[data]
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and for each text the index of its first word (n + 1 values)."""
     if not len(data):
