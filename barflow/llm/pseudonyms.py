@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,13 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from barflow.llm.session import fresh
 
 ROUNDS = 10
-#: The setting that holds the secret key of the registered queries, and the key that they take where it is not set: for tests.
-KEY_SETTING, EXAMPLE_KEY = "spark.barflow.pseudonyms.key", "an example, not a secret"
+#: The setting that holds the secret key of the registered queries; by its name Spark leaves its value out of logs and pages.
+KEY_SETTING = "spark.barflow.pseudonyms.secret"
+#: Country codes of one and of two digits; all others have three.
+COUNTRY_1 = ["1", "7"]
+COUNTRY_2 = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: Kinds in the order in which they are tried at a position. Lookarounds keep a match from starting or ending inside a longer number.
 #: Local parts have at most 64 characters and domains 126 labels of 63, as in mail and DNS: so the matcher's stack has a bound.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
-    "phone": r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}|\+1[2-9][0-9]{2}[2-9][0-9]{6})(?![0-9])",
+    "foreign_phone": r"(?<![0-9+])\+[2-9](?:[ .-]?[0-9]){7,14}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iso_date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "slash_date": r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])",
@@ -36,7 +42,7 @@ def _prf(key: str, kind: str | Column, turn: Column, half: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, a: int, b: int | Column, key: str, kind: str | Column) -> Column:
+def feistel(left: Column, right: Column, a: int | Column, b: int | Column, key: str, kind: str | Column) -> Column:
     """Struct(l, r): a keyed permutation of the pairs with 0 <= left < a and 0 <= right < b.
 
     Halves of unequal size take turns: each is shifted modulo its own size by a function of the other, so every
@@ -107,6 +113,23 @@ def _phone(x: Column, key: str) -> Column:
     return _refill(x, F.concat(F.when(F.length(_digits(x)) == 11, F.lit("1")).otherwise(F.lit("")), new))
 
 
+def _foreign_phone(x: Column, key: str) -> Column:
+    """A plus sign and 8 to 15 digits: the country code stays, and the digits behind it are permuted among those of their number."""
+    d = _digits(x)
+    code = F.when(F.substr(d, F.lit(1), F.lit(1)).isin(COUNTRY_1), 1).when(F.substr(d, F.lit(1), F.lit(2)).isin(COUNTRY_2), 2).otherwise(3)
+
+    def number(s: Column) -> Column:
+        left = F.floor(s["n"] / 2).cast("int")
+        right = s["n"] - left
+        size = lambda n: F.pow(F.lit(10), n).cast("long")
+        part = lambda at, n: F.substr(s["d"], at, n).cast("long")
+        new = feistel(part(F.lit(1), left), part(left + 1, right), size(left), size(right), key, F.concat(F.lit("foreign_phone"), s["n"].cast("string")))
+        return _with(new, lambda h: F.concat(F.lpad(h["l"].cast("string"), left, F.lit("0")), F.lpad(h["r"].cast("string"), right, F.lit("0"))))
+
+    whole = F.struct(F.substr(d, code + 1, F.length(d)).alias("d"), (F.length(d) - code).alias("n"))
+    return _refill(x, F.concat(F.substr(d, F.lit(1), code), _with(whole, number)))
+
+
 def _ssn(x: Column, key: str) -> Column:
     """Areas 001-899 without 666, groups 01-99, serials 0001-9999; others are not valid and stay."""
     area, group, serial = (F.element_at(F.split(x, "-"), i).cast("int") for i in (1, 2, 3))
@@ -239,11 +262,11 @@ def _cards(x: Column, key: str) -> Column:
     return _with(F.regexp_extract_all(x, F.lit("[0-9]+[ -]?"), F.lit(0)), run)
 
 
-_PSEUDONYM = {"email": _email, "phone": _phone, "ssn": _ssn, "iso_date": _iso_date, "slash_date": _slash_date, "dot_date": _dot_date, "ip": _ip}
+_PSEUDONYM = {"email": _email, "phone": _phone, "foreign_phone": _foreign_phone, "ssn": _ssn, "iso_date": _iso_date, "slash_date": _slash_date, "dot_date": _dot_date, "ip": _ip}
 
 
 def pseudonym(x: Column, key: str) -> Column:
-    """Struct(kind, value, n) of a match of ``PATTERN``: its pseudonym and the number of values in it (a run of digit groups may
+    """Struct(kind, value, n) of a match of ``PATTERN`` under a ``round_key``: its pseudonym and the number of values in it (a run of digit groups may
     hold several cards), or null if there is no valid value of its kind."""
     out = F.lit(None).cast("struct<kind:string,value:string,n:int>")
     for kind, pattern in reversed(KINDS.items()):
@@ -254,26 +277,38 @@ def pseudonym(x: Column, key: str) -> Column:
     return out
 
 
+def round_key(key: str) -> str:
+    """What stands in plans instead of the key: a digest of it."""
+    return hashlib.sha256(f"rounds of {key}".encode()).hexdigest()
+
+
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str = "_kinds") -> DataFrame:
     """``docs`` with each valid number, date and e-mail address in ``text_col`` replaced, and the kinds in ``kinds_col``.
 
     The pseudonym is a keyed permutation within the value's format, so it depends on key, kind and value alone: equal
     values stay equal across documents and different ones stay different. Keep ``key`` secret: who has it can turn
-    pseudonyms back. Whole texts are searched; a null text stays null with no kinds; texts without a digit or @ are passed
+    pseudonyms back; plans hold a digest of it only. A phone number is one of ten digits as written in North America, with separators or
+    a leading +1, or one with a plus sign and a country code; bare digits are none, since they may be anything. Whole texts are searched; a null text stays null with no kinds; texts without a digit or @ are passed
     by; repeated rows stay. All other columns stay as they are, but for one that is named ``kinds_col``, which is replaced.
     """
     text, (hits_col, new_col) = F.col(text_col), fresh([*docs.columns, kinds_col], "hits", "new")
     hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    rows = docs.drop(kinds_col).withColumn(hits_col, hits).withColumn(new_col, F.transform(hits_col, lambda h: pseudonym(h, key)))
+    rows = docs.drop(kinds_col).withColumn(hits_col, hits).withColumn(new_col, F.transform(hits_col, lambda h: pseudonym(h, round_key(key))))
     pieces = F.transform(F.split(text, PATTERN, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(new_col, i)["value"], F.get(hits_col, i), F.lit(""))))
     kinds = F.coalesce(F.flatten(F.transform(F.filter(new_col, lambda p: p.isNotNull()), lambda p: F.array_repeat(p["kind"], p["n"]))), F.array().cast("array<string>"))
     # a text without a valid value stays as it is, byte for byte
     return rows.withColumn(kinds_col, kinds).withColumn(text_col, F.when(F.size(kinds_col) > 0, F.array_join(pieces, "")).otherwise(text)).drop(hits_col, new_col)
 
 
+_DRAWN: list[str] = []
+
+
 def key_of(spark: SparkSession) -> str:
-    """The key that the session sets."""
-    return spark.conf.get(KEY_SETTING, EXAMPLE_KEY)
+    """The key that the session sets; where it sets none, one that is drawn for this driver and known to nobody, so that pseudonyms link the
+    documents of its jobs and no others."""
+    if not _DRAWN:
+        _DRAWN.append(secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING, _DRAWN[0])
 
 
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

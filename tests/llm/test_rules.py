@@ -16,11 +16,11 @@ def luhn(digits):
 
 
 VALUES = {
-    "email": ["ann.lee.42@mail.example.com", "Bob_7@x.org", "a@b.de"], "phone": ["+1 (988) 555-2485", "212-555-0199", "(456) 555-2186"], "ssn": ["123-45-6789", "667-01-0001", "899-99-9999"],
+    "email": ["ann.lee.42@mail.example.com", "Bob_7@x.org", "a@b.de"], "phone": ["+1 (988) 555-2485", "212-555-0199", "(456) 555-2186", "+12125550199"], "foreign_phone": ["+44 20 7946 0958", "+4930123456", "+353 1 496 0000", "+7-495-123-45-67", "+81 3.1234.5678"], "ssn": ["123-45-6789", "667-01-0001", "899-99-9999"],
     "iso_date": ["2001-02-28", "2099-12-31", "1900-01-01", "2004-02-29", "2001-11-12"], "slash_date": ["12/25/1999", "25/12/1999", "2/29/2000", "31/01/2001", "1/12/2001", "12/5/2003", "01/2/2001", "2/28/2001"],
     "dot_date": ["01.02.2003", "9.9.1999", "29.2.2096", "12.10.1950"], "ip": ["10.0.0.1", "255.254.1.0"], "card": ["4111 1111 1111 1111", "4337166598464399", "378282246310005", "3782-822463-10005"],
 }
-INVALID = ["000-12-3456", "666-12-3456", "2001-02-30", "13/32/2001", "256.1.1.1", "01.2.3.4", "4111111111111112", "1850-01-01"]
+INVALID = ["000-12-3456", "666-12-3456", "2001-02-30", "13/32/2001", "256.1.1.1", "01.2.3.4", "4111111111111112", "1850-01-01", "+1 23", "+44 12 34", "4155552671", "+0123456789", "+1234567890123456"]
 
 
 def prf(key, kind, turn, half):
@@ -55,6 +55,11 @@ def plain(kind, v, key):
         n = d[-10:]
         a, b = shift((int(n[:3]) - 200) * 800 + int(n[3:6]) - 200, int(n[6:]), 640_000, 10_000, key, kind)
         return fill(f"{d[:-10]}{a // 800 + 200:03}{a % 800 + 200:03}{b:04}")
+    if kind == "foreign_phone":
+        code = next(n for n, known in ((1, P.COUNTRY_1), (2, P.COUNTRY_2), (3, [d[:3]])) if d[:n] in known)
+        n = len(d) - code
+        a, b = shift(int(d[code : code + n // 2]), int(d[code + n // 2 :]), 10 ** (n // 2), 10 ** (n - n // 2), key, f"foreign_phone{n}")
+        return fill(f"{d[:code]}{a:0{n // 2}}{b:0{n - n // 2}}")
     if kind == "ssn":
         areas = [x for x in range(1, 900) if x != 666]
         a, b = shift(areas.index(int(d[:3])) * 99 + int(d[3:5]) - 1, int(d[5:]) - 1, 898 * 99, 9999, key, kind)
@@ -384,3 +389,13 @@ def test_damage_is_located(spark):
     clashing = lambda x: x.where("archive is not null and offset is not null").withColumns({c: F.lit(7) for c in ("node", "n", "digest", "d", "up")})
     assert X.audit(clashing(good), clashing(good).repartition(3), ["url", "html"]).count() == 0
     assert X.audit(good.limit(0), good.limit(0), ["url", "html"]).count() == 0
+
+
+def test_the_key_is_in_no_plan_and_is_never_a_known_one(spark):
+    df = P.pseudonymised(spark.createDataFrame([("212-555-0199",)], "text string"), "a key of our own")
+    assert "a key of our own" not in df._jdf.queryExecution().toString() and df.first().text == plain("phone", "212-555-0199", P.round_key("a key of our own"))
+    drawn = P.key_of(spark)
+    assert drawn == P.key_of(spark) and len(drawn) == 64
+    spark.conf.set(P.KEY_SETTING, "set")
+    assert P.key_of(spark) == "set"
+    spark.conf.unset(P.KEY_SETTING)
