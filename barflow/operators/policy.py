@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barflow.functions import timegrid as G
@@ -31,21 +35,54 @@ def outcomes(arrivals: DataFrame, order: str = "arrival", memory: int = MEMORY)
     one or an id among the last ``memory`` processed ones, however new it is; else late if it is older than the newest; else
     processed. missing_bars counts the bars that a processed row skips.
 
-    What is processed depends on what was: rows are judged in windows as if every row newer than all before it had been
-    processed, and again by that judgement until it stands. A round sets one more row of a segment right at least, and a second
-    one is only needed where an id came again with a newer time.
+    What is processed depends on what was. Rows are judged in windows as if every row newer than all before it had been processed, which
+    stands unless an id came again with a newer time. Segments in which it doesn't are walked once in order, each with the last
+    ``memory`` ids: two passes, whatever the data.
     """
     w = Window.partitionBy("symbol").orderBy(order)
     change = (F.col("interval") != F.lag("interval").over(w)).cast("int")
     df = arrivals.withColumn("segment", F.sum(F.coalesce(change, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     newest = F.max("ts").over(Window.partitionBy("symbol", "segment").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("_ok", newest.isNull() | (F.col("ts") > newest))
-    while True:
-        df = checkpointed(_judged(df, order, memory))
-        stands = F.col("_ok") == (F.col("outcome") == "processed")
-        if df.where(~stands).isEmpty():
-            return df.drop("_ok")
-        df = df.withColumn("_ok", F.col("outcome") == "processed").drop("outcome", "missing_bars")
+    df = checkpointed(_judged(df, order, memory))
+    wrong = df.where(F.col("_ok") != (F.col("outcome") == "processed")).select("symbol", "segment").distinct()
+    wrong, df = checkpointed(wrong), df.drop("_ok")
+    if wrong.isEmpty():
+        return df
+    again = df.join(wrong, ["symbol", "segment"], "left_semi").select(df.columns)
+    return df.join(wrong, ["symbol", "segment"], "left_anti").select(df.columns).unionByName(_walked(again, order, memory))
+
+
+def _walked(df: DataFrame, order: str, memory: int) -> DataFrame:
+    """The policy row by row, over sorted segments: a task holds the newest time and the last ids of one."""
+    rows = df.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_bar", G.duration(F.col("interval")))
+    rows, columns = rows.repartition("symbol", "segment").sortWithinPartitions("symbol", "segment", order), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, newest, ids, held = None, None, deque(), set()
+        for batch in batches:
+            out, skipped = [], []
+            for symbol, segment, key, at, bar in zip(*(batch.column(c).to_pylist() for c in ("symbol", "segment", "event_id", "_at", "_bar"))):
+                if now != (symbol, segment):
+                    now, newest, ids, held = (symbol, segment), None, deque(), set()
+                missing, outcome = 0, "processed"
+                if at == newest or key in held:
+                    outcome = "duplicate"
+                elif newest is not None and at < newest:
+                    outcome = "late"
+                else:
+                    missing = 0 if newest is None else max(0, round((at - newest) / (bar * 1_000_000)) - 1)
+                    newest = at
+                    ids.append(key)
+                    held.add(key)
+                    if len(ids) > memory:
+                        held.discard(ids.popleft())
+                out.append(outcome)
+                skipped.append(missing)
+            found = {"outcome": pa.array(out), "missing_bars": pa.array(skipped, batch.schema.field("missing_bars").type)}
+            yield pa.RecordBatch.from_arrays([found[c] if c in found else batch.column(c) for c in columns], columns)
+
+    return rows.mapInArrow(run, df.schema)
 
 
 def outcome_counts(df: DataFrame, *keys: str) -> DataFrame:
