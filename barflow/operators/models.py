@@ -60,20 +60,30 @@ def _vectors(features: list[str]) -> list:
 
 
 def logistic(features: list[str], c: float = 0.1) -> Fit:
-    """Standardised logistic regression with an L2 penalty of 1 / (c * n)."""
+    """Logistic regression on features scaled by their population deviation, with an L2 penalty of 1 / (c * n)."""
 
     def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
         rows = train.where("y_up is not null")
-        model = Pipeline(stages=[*_vectors(features), LogisticRegression(featuresCol="_x", labelCol="y_up", regParam=1 / (c * max(rows.count(), 1)), elasticNetParam=0.0, standardization=False, probabilityCol="_p", rawPredictionCol="_z", predictionCol="_y")]).fit(rows)
+        n = max(rows.count(), 1)
+        model = Pipeline(stages=[*_vectors(features), LogisticRegression(featuresCol="_x", labelCol="y_up", regParam=_population(n) / (c * n), elasticNetParam=0.0, standardization=False, probabilityCol="_p", rawPredictionCol="_z", predictionCol="_y")]).fit(rows)
         return Fitted(model, _score)
 
     return fit
 
 
+def _population(n: int) -> float:
+    """The share of a penalty on weights of features scaled by the sample's deviation, as the scaler does, that equals one by the population's."""
+    return (n - 1) / n if n > 1 else 1.0
+
+
 def ridge(features: list[str], alpha: float = 10.0) -> Fit:
+    """Least squares on features scaled by their population deviation, with a penalty of alpha. The solver scales the labels by their deviation
+    and divides the penalty by it, so it is given the penalty times that."""
+
     def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
         rows = train.where("y_return is not null")
-        model = Pipeline(stages=[*_vectors(features), LinearRegression(featuresCol="_x", labelCol="y_return", regParam=alpha / max(rows.count(), 1), elasticNetParam=0.0, standardization=False, solver="normal", predictionCol="score")]).fit(rows)
+        n, spread = rows.agg(F.count(F.lit(1)), F.coalesce(F.stddev_pop("y_return"), F.lit(0.0))).first()
+        model = Pipeline(stages=[*_vectors(features), LinearRegression(featuresCol="_x", labelCol="y_return", regParam=alpha * _population(max(n, 1)) * spread / max(n, 1), elasticNetParam=0.0, standardization=False, solver="normal", predictionCol="score")]).fit(rows)
         return Fitted(model, lambda m, df: m.transform(df).drop("_raw", "_x"))
 
     return fit
@@ -98,6 +108,8 @@ def _score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def coefficients(fitted: Fitted, features: list[str], top: int = 10) -> list[tuple[str, float]]:
     """The largest weights of a linear model, or shares of gain of a tree ensemble: one number a feature."""
+    if hasattr(fitted, "gain"):
+        return sorted(((c, fitted.gain[c]) for c in features), key=lambda x: (-x[1], x[0]))[:top]
     last = fitted.model.stages[-1]
     values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
     return sorted(zip(features, map(float, values.toArray())), key=lambda x: (-abs(x[1]), x[0]))[:top]

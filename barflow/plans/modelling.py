@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barflow.operators import backtest as B, contract as C, dataset as D, evaluation as E, features as X, models as M
+from barflow.operators import boosting as B2, backtest as B, contract as C, dataset as D, evaluation as E, features as X, models as M
 from barflow.plans.common import day, rd, sq, sqs
 from barflow.plans.indicators import FEATURES_SQL, LABELS_SQL, _READY, gapped
 from barflow.sources.bars import ORDER_SQL, order_bars
@@ -186,6 +186,13 @@ def ml_gbt(spark, d):
     return M.evaluated(M.fit_and_score(M.boosted(X.NAMES), train.drop("score"), test.drop("score")), "boosted")
 
 
+def ml_boosted_leaves(spark, d):
+    """Metrics of leaf-wise boosted trees on a held-out time."""
+    train, test = _sets(spark, d)
+    fit = B2.boosted_leaves(X.NAMES, leaves=6, rounds=6, step=0.2)
+    return M.evaluated(M.fit_and_score(fit, train.drop("score"), test.drop("score")), "boosted_leaves")
+
+
 #: Two models that SQL can follow: the share of up labels, and a probability from the last five bars' return.
 _PLAIN = {"majority": M.majority, "momentum": lambda train: lambda df: df.withColumn("score", F.col("p"))}
 _SHOWN = ["n", "accuracy", "log_loss", "roc_auc"]
@@ -305,7 +312,7 @@ g AS (SELECT id, ov, 'feature_set_compatible' AS gate, true AS hard, fs AS passe
   UNION ALL SELECT id, ov, 'beats_base_rate', false, least(0.69::DOUBLE - wl, 0.68::DOUBLE - tl) >= 0.001 FROM q WHERE held AND known)"""
 _B = "FROM b WHERE y_up IS NOT NULL AND score IS NOT NULL"
 _CM = """count(*) FILTER (y_up = 1 AND score > 0) AS tp, count(*) FILTER (y_up = 0 AND score > 0) AS fp, count(*) FILTER (y_up = 1 AND score <= 0) AS fn, count(*) FILTER (y_up = 0 AND score <= 0) AS tn, count(*)::DOUBLE AS n"""
-QUERIES = {q.__name__: q for q in (split_purge_embargo, split_walk_forward, split_early_stopping, eval_classification, eval_auc, eval_logloss, eval_regression, eval_folds, bt_weights, bt_periods, bt_summary, bt_losses, bt_offsets, bt_costs, model_baselines, model_predictions, model_bad_transitions, model_gates, model_promotions, model_version_status, model_skipped, model_snapshots, ml_held_out, ml_recent_evaluation, ml_development_run, ml_candidates, bt_models, ml_coefficients, ml_logistic, ml_ridge, ml_gbt, ml_development)}
+QUERIES = {q.__name__: q for q in (split_purge_embargo, split_walk_forward, split_early_stopping, eval_classification, eval_auc, eval_logloss, eval_regression, eval_folds, bt_weights, bt_periods, bt_summary, bt_losses, bt_offsets, bt_costs, model_baselines, model_predictions, model_bad_transitions, model_gates, model_promotions, model_version_status, model_skipped, model_snapshots, ml_held_out, ml_recent_evaluation, ml_development_run, ml_candidates, bt_models, ml_coefficients, ml_logistic, ml_ridge, ml_gbt, ml_boosted_leaves, ml_development)}
 
 
 def _after(boundary: str) -> str:
