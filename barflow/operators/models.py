@@ -294,6 +294,8 @@ def holders(status: DataFrame) -> DataFrame:
     return status.where(F.col("stage").isin(*HELD)).groupBy("model_name", "stage").agg(F.max_by("model_version", "since").alias("model_version"))
 
 
-def version_status(deployments: DataFrame) -> DataFrame:
-    """Each version's stage after its last move."""
-    return deployments.groupBy("model_name", "model_version").agg(F.max_by("to_stage", "id").alias("stage"), F.max("created_at").alias("since"))
+def version_status(deployments: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """Each version's stage after its last move, with its ``tags(model_name, model_version, ...)``: those of its evaluation, and others. A version
+    that was registered but never moved has no stage."""
+    last = deployments.groupBy("model_name", "model_version").agg(F.max_by("to_stage", "id").alias("stage"), F.max("created_at").alias("since"))
+    return last if tags is None else last.join(tags, ["model_name", "model_version"], "full")

@@ -87,3 +87,11 @@ def _walked(df: DataFrame, order: str, memory: int) -> DataFrame:
 
 def outcome_counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys, "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def message_outcomes(messages: DataFrame, judged: DataFrame, key: list[str]) -> DataFrame:
+    """``messages`` with outcome: invalid (``reason`` says why it can't be read), warmup (``warming``: it only fills states), what ``judged(key, outcome)``
+    says of it, or error where that has no row: its processing failed."""
+    df = messages.join(judged.select(*key, F.col("outcome").alias("_judged")), key, "left")
+    outcome = F.when(F.col("reason").isNotNull(), "invalid").when(F.col("_judged").isNull(), "error").when(F.col("warming"), "warmup").otherwise(F.col("_judged"))
+    return df.withColumn("outcome", outcome).drop("_judged")
