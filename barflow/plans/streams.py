@@ -120,7 +120,40 @@ def stream_recovered(spark, d):
     return spark.read.parquet(f"{folder}/out").groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
-QUERIES = {q.__name__: q for q in (stream_rollup, stream_anomalies, stream_features, stream_scored, stream_resumed, stream_bounded, stream_recovered)}
+def _arriving(spark, d, twice=False):
+    """Events as a stream of six files of five days. Of the first fifteen days every 50th comes fifteen days late, long behind any watermark;
+    of the last six hours of a file some come with the next, in time. ``twice``: every tenth comes again with the next file."""
+    folder = _folder(spark)
+    e = table(spark, d, "events").select("event_id", "event_type", (F.col("user_id") % 20).alias("user"), F.col("ts").cast("timestamp").alias("ts"))
+    hour = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 3600)
+    own = F.least(F.floor(hour / 120), F.lit(5))
+    file = F.when((F.col("event_id") % 50 == 7) & (own <= 2), own + 3).when((F.col("event_id") % 50 == 8) & (hour % 120 >= 114) & (own < 5), own + 1).otherwise(own)
+    rows = e.withColumn("file", file)
+    rows = rows.unionByName(rows.where("event_id % 10 = 0 and file < 5").withColumn("file", F.col("file") + 1)) if twice else rows
+    for k in range(6):
+        rows.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _appended(spark, stream):
+    folder = _folder(spark)
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def stream_sessions(spark, d):
+    """Sessions of users that the watermark has closed, each written once and then forgotten; events long behind it are left out."""
+    out = _appended(spark, T.sessions(_arriving(spark, d), "ts", "30 minutes", "1 day", ["event_type", "user"]))
+    return out.select("event_type", "user", stamp("start", "start"), stamp("end", "end"), "n")
+
+
+def stream_deduplicated(spark, d):
+    """Events that come again a file later, each once within the watermark, and those long behind it left out."""
+    out = _appended(spark, T.deduplicated(_arriving(spark, d, twice=True), "ts", "1 day", "event_id"))
+    return out.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+QUERIES = {q.__name__: q for q in (stream_rollup, stream_anomalies, stream_features, stream_scored, stream_resumed, stream_bounded, stream_recovered, stream_sessions, stream_deduplicated)}
 _WEEKDAYS = "coalesce(greatest(0, len(list_filter(range(lag(ts) OVER w, ts, INTERVAL 1 DAY), lambda x: isodow(x) < 6)) - 1), 0)::INT AS gap_before"
 _DAILY_SQL = FEATURES_SQL.replace(FEATURES_SQL[FEATURES_SQL.index("greatest(0, coalesce(round_even") : FEATURES_SQL.index(" FROM li WINDOW w")], _WEEKDAYS)
 _AHEAD = "ts + to_days((CASE WHEN isodow(ts) > 5 THEN 8 - isodow(ts) ELSE 0 END + 5 + 2 * ((CASE WHEN isodow(ts) > 5 THEN 0 ELSE isodow(ts) - 1 END + 5) // 5))::INT)"
@@ -138,5 +171,10 @@ c AS (SELECT p.symbol, p.i, count(q.i) AS others FROM p LEFT JOIN p AS q ON q.i
 g AS (SELECT p.*, sum(CASE WHEN others >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY i) AS part FROM p JOIN c USING (symbol, i)),
 f AS (SELECT *, lag(close) OVER v AS pc, lag(volume) OVER v AS pv, lag(ts) OVER v AS pt, row_number() OVER v AS k, avg(close) OVER (PARTITION BY symbol, part ORDER BY i ROWS 19 PRECEDING) AS m FROM g WINDOW v AS (PARTITION BY symbol, part ORDER BY i))
 SELECT symbol || '@' || strftime(ts, '%Y-%m-%d %H') AS event_id, 'processed' AS outcome, coalesce(greatest(0, date_diff('hour', pt, ts) - 1), 0)::INT AS missing_bars, {sq('(close - pc) / pc', 6, 'return_1')}, {sq('(volume - pv) / pv', 4, 'volume_change_pct')}, {sq('CASE WHEN k >= 20 THEN m END', 4, 'sma_20')} FROM f""",
+    "stream_sessions": f"""WITH k AS (SELECT event_type, user_id % 20 AS user, ts FROM events WHERE NOT (event_id % 50 = 7 AND ts < TIMESTAMP '2024-01-16')),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM k WINDOW w AS (PARTITION BY event_type, user ORDER BY ts)),
+h AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type, user ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
+SELECT event_type, user, {sql_stamp('min(ts)', 'start')}, {sql_stamp('max(ts) + INTERVAL 30 MINUTE', '"end"')}, count(*) AS n FROM h GROUP BY event_type, user, no HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+    "stream_deduplicated": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, count(*) AS ids FROM events WHERE NOT (event_id % 50 = 7 AND ts < TIMESTAMP '2024-01-16') GROUP BY 1, 2",
     "stream_recovered": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, count(*) AS ids FROM events GROUP BY 1, 2",
 }
