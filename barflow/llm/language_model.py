@@ -107,30 +107,38 @@ def poisson(mean: np.ndarray, keys: np.ndarray, nth: int) -> np.ndarray:
     return out
 
 
-def seat(customers: np.ndarray, new: np.ndarray, discount: float, keys: np.ndarray, stirling: np.ndarray) -> np.ndarray:
-    """Tables of each dish, drawn given its customers and the weight ``new`` of a new table, all else held: a blocked Gibbs step.
+def seat(customers: np.ndarray, strength: np.ndarray, mass: np.ndarray, total: np.ndarray | None, discount: float, keys: np.ndarray, stirling: np.ndarray) -> np.ndarray:
+    """Tables of each dish, drawn given its customers and all else, its own tables taken away: a blocked Gibbs step.
 
-    Up to 31 customers the number of tables is drawn from its exact conditional; further customers come in runs that double,
-    whose new tables are Poisson with the sum of the customers' odds. Draws depend on the 64-bit ``keys`` of the dishes alone.
+    The i-th table that a dish opens, from 0, weighs (strength + discount * i) * (mass + i) / (total + i): the restaurant has so many more
+    tables by then, and its parent so many more customers of the dish. Without ``total`` the parent's share stays at ``mass``. Up to 31 customers
+    the number of tables is drawn from its exact conditional; further customers come in runs that double, whose new tables are
+    Poisson with the sum of the customers' odds. Draws depend on the 64-bit ``keys`` of the dishes alone.
     """
     out = np.minimum(customers, 1).astype(np.int64)
     many = np.flatnonzero(customers > 1)
     if len(many) < len(customers):
-        out[many] = seat(customers[many], new[many], discount, keys[many], stirling) if len(many) else 1
+        out[many] = seat(customers[many], strength[many], mass[many], None if total is None else total[many], discount, keys[many], stirling) if len(many) else 1
         return out
+
+    def weight(at: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Of the i-th new table of the dishes at ``at``."""
+        column = (slice(None), None) if i.ndim == 2 else slice(None)
+        share = mass[at][column] if total is None else (mass[at][column] + i) / (total[at][column] + i)
+        return np.maximum((strength[at][column] + discount * i) * share, 1e-300)
+
     u = uniform(keys, 0)
     for c in range(2, _EXACT):
         at = np.flatnonzero(customers == c if c < _EXACT - 1 else customers >= c)
         if len(at):
-            t = np.arange(1, c + 1)
-            weight = stirling[c, 1 : c + 1] + np.log(np.maximum(new[at], 1e-300))[:, None] * t
-            weight = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
-            out[at] = 1 + (u[at][:, None] * weight[:, -1:] > weight).sum(axis=1)
+            chance = stirling[c, 1 : c + 1] + np.log(weight(at, np.arange(c)[None, :])).cumsum(axis=1)
+            chance = np.exp(chance - chance.max(axis=1, keepdims=True)).cumsum(axis=1)
+            out[at] = 1 + (u[at][:, None] * chance[:, -1:] > chance).sum(axis=1)
     k, nth = _EXACT - 1, 1
     while len(at := np.flatnonzero(customers > k)):
-        until = np.minimum(customers[at], 2 * k)
-        low = np.maximum(k - discount * out[at], 0.1) + new[at]
-        out[at] += poisson(np.minimum(new[at] * np.log1p((until - k) / low), (until - k).astype(float)), keys[at], nth)
+        until, new = np.minimum(customers[at], 2 * k), weight(at, out[at])
+        low = np.maximum(k - discount * out[at], 0.1) + new
+        out[at] += poisson(np.minimum(new * np.log1p((until - k) / low), (until - k).astype(float)), keys[at], nth)
         k, nth = 2 * k, nth + 2
     return np.minimum(out, customers)
 
@@ -157,10 +165,12 @@ def states(words: np.ndarray, context: np.ndarray, owner: np.ndarray, times: np.
     for sweep in range((len(totals) - _FIRST) // _STATE if len(totals) else 0):
         held = totals[_FIRST + sweep * _STATE :][:_STATE]
         back = (PARENT_STRENGTH + PARENT_DISCOUNT * held[-1]) / (known + 1)
-        p = (guests - PARENT_DISCOUNT * parent + back) / (PARENT_STRENGTH + held[-2])
-        tables = seat(times, (STRENGTH + DISCOUNT * held[:CONTEXTS][context]) * p[owner], DISCOUNT, T.mix(keys + np.uint64(sweep)), low)
+        # what a pair's or a word's own tables hold of the totals is taken away before they are drawn anew
+        others = guests[owner] - tables
+        mass = others - PARENT_DISCOUNT * np.minimum(parent[owner], others) + back
+        tables = seat(times, STRENGTH + DISCOUNT * (held[:CONTEXTS][context] - tables), mass, PARENT_STRENGTH + held[-2] - tables, DISCOUNT, T.mix(keys + np.uint64(sweep)), low)
         guests = np.bincount(owner, tables, len(words)).astype(np.int64)
-        parent = seat(guests, np.full(len(words), back), PARENT_DISCOUNT, T.mix(words + np.uint64(sweep)), high)
+        parent = seat(guests, PARENT_STRENGTH + PARENT_DISCOUNT * (held[-1] - parent), np.full(len(words), 1 / (known + 1)), None, PARENT_DISCOUNT, T.mix(words + np.uint64(sweep)), high)
         out.append((tables, guests, parent))
     return out
 

@@ -128,13 +128,41 @@ def test_quality_is_learned(spark, docs, empty):
     assert {r.score for r in Q.predict(docs, Q.fit(empty, labels.limit(0))).collect()} == {0.5}
 
 
-def test_tables_follow_the_exact_conditional():
-    keys, s = T.mix(np.arange(20_000, dtype=np.uint64)), P._stirling(0.5)
-    t = P.seat(np.full(20_000, 3), np.full(20_000, 0.7), 0.5, keys, s)
-    # seatings of three customers: one table, two tables in three ways, three tables
-    weight = np.array([0.5 * 1.5 * 0.7, 1.5 * 0.7**2, 0.7**3])
-    assert np.bincount(t, minlength=4)[1:] / 20_000 == pytest.approx(weight / weight.sum(), abs=0.02)
-    many = P.seat(np.array([0, 1, 2, 31, 40, 5000]), np.full(6, 0.3), 0.5, keys[:6], s)
+def seatings(customers, discount):
+    """Weight of each number of tables over all seatings of so many customers, by adding one customer at a time."""
+    weight = {(): 1.0}
+    for _ in range(customers):
+        more = {}
+        for sizes, w in weight.items():
+            for i, n in enumerate(sizes):
+                key = tuple(sorted((*sizes[:i], n + 1, *sizes[i + 1 :])))
+                more[key] = more.get(key, 0.0) + w * (n - discount)
+            key = tuple(sorted((*sizes, 1)))
+            more[key] = more.get(key, 0.0) + w
+        weight = more
+    out = np.zeros(customers + 1)
+    for sizes, w in weight.items():
+        out[len(sizes)] += w
+    return out
+
+
+@pytest.mark.parametrize("customers,strength,mass,total", [(2, 3.0, 0.8, 20.0), (3, 0.7, 5.0, 9.0), (10, 4.0, 2.0, 50.0), (20, 9.0, 6.0, 60.0), (20, 5.0, 0.3, None)])
+def test_tables_follow_the_exact_conditional(customers, strength, mass, total):
+    """All seatings are enumerated; each table pays the restaurant's strength and the parent's share as they are when it is opened."""
+    n, discount = 40_000, 0.5
+    keys = T.mix(np.arange(n, dtype=np.uint64))
+    full = lambda x: None if x is None else np.full(n, x)
+    t = P.seat(np.full(n, customers), full(strength), full(mass), full(total), discount, keys, P._stirling(discount))
+    weight = seatings(customers, discount)
+    for tables in range(1, customers + 1):
+        for i in range(tables):
+            weight[tables] *= (strength + discount * i) * (mass if total is None else (mass + i) / (total + i))
+    assert np.bincount(t, minlength=customers + 1) / n == pytest.approx(weight / weight.sum(), abs=0.01)
+
+
+def test_many_customers_sit_at_fewer_tables():
+    keys = T.mix(np.arange(6, dtype=np.uint64))
+    many = P.seat(np.array([0, 1, 2, 31, 40, 5000]), np.full(6, 1.0), np.full(6, 0.3), np.full(6, 2.0), 0.5, keys, P._stirling(0.5))
     assert many[0] == 0 and many[1] == 1 and (many <= [0, 1, 2, 31, 40, 5000]).all()
 
 
