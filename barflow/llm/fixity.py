@@ -82,7 +82,7 @@ def damaged(pages: DataFrame) -> DataFrame:
 def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` in archives of 4,096 records by page_id, against a damaged replica of it."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    placed = lambda x: x.withColumn("archive", F.floor(F.col("page_id") / ARCHIVE)).withColumn("offset", F.col("page_id") % ARCHIVE)
+    placed = lambda x: x.withColumn("archive", F.floor(F.col("page_id") / ARCHIVE)).withColumn("offset", F.pmod("page_id", F.lit(ARCHIVE)))
     found = audit(placed(pages), placed(damaged(pages)), ["page_id", "url", "html"])
     return found.select((F.col("archive") * ARCHIVE + F.col("offset")).alias("page_id"), "archive", "kind", "n_expected", "n_found")
 
