@@ -19,6 +19,8 @@ from barflow.llm.sql import crc32_of
 LEAST_LENGTH, LEAST_COUNT, RATIO, DAMAGED = 6, 5, 5, 199
 #: Characters of a gram, least and most, and how many places a gram may have before it is extended.
 SHORTEST, LONGEST, FREQUENT = 2, 6, 200
+#: Characters of words whose distance the built-in function takes.
+SHORT = 64
 _LETTERS = "a-zÀ-ÿ"
 
 
@@ -81,7 +83,12 @@ def near_pairs(words: DataFrame, frequent: int = FREQUENT, longest: int = LONGES
     left = lists.select(F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("letters").alias("a_letters"), "gram", F.explode(keys).alias("k")).select("a", "a_size", "a_letters", "gram", "k.p", "k.size")
     met = left.join(lists, ["gram", "p", "size"]).where("(a_size < size or a < id) and bit_count(a_letters ^ letters) <= 2").select("a", F.col("id").alias("b")).distinct()
     of = lambda name: words.select(F.col("id").alias(name), F.col("word").alias(f"{name}_word"))
-    return met.join(of("a"), "a").join(of("b"), "b").where(F.levenshtein("a_word", "b_word", 1) == 1).select("a", "b")
+    # the built-in distance takes time by the product of the lengths: long words are compared from their first difference on
+    at = F.expr("array_position(zip_with(split(a_word, ''), split(b_word, ''), (x, y) -> NOT x <=> y), true)").cast("int")
+    rest = lambda c, i: F.substring(F.col(c), i, F.char_length(c))
+    linear = F.when(F.char_length("a_word") == F.char_length("b_word"), rest("a_word", at + 1) == rest("b_word", at + 1)).otherwise(rest("a_word", at) == rest("b_word", at + 1))
+    near = F.when(F.char_length("b_word") <= SHORT, F.levenshtein("a_word", "b_word", 1) == 1).otherwise(linear)
+    return met.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
 
 
 def grouped(words: DataFrame, ratio: int = RATIO, frequent: int = FREQUENT, longest: int = LONGEST) -> DataFrame:

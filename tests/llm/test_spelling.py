@@ -53,6 +53,13 @@ def test_groups_equal_brute_force(spark, frequent):
     assert {tuple(r) for r in S.grouped(words, frequent=frequent).collect()} == brute(counts)
 
 
+def test_long_words_are_compared_from_their_first_difference(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHORT", 0)
+    counts = family(5)
+    words = spark.createDataFrame(list(counts.items()), "word string, n long").repartition(3)
+    assert {tuple(r) for r in S.grouped(words, frequent=8).collect()} == brute(counts)
+
+
 def test_lists_are_short_and_cover_any_edit(spark):
     words = spark.createDataFrame([(i, w) for i, w in enumerate(family(3))], "id long, word string")
     cells = S.grams(words, frequent=4).collect()
