@@ -290,12 +290,13 @@ def promoted(requests: DataFrame, holders: DataFrame, now: Column) -> DataFrame:
 
 
 def holders(status: DataFrame) -> DataFrame:
-    """Of ``version_status``, the versions that hold a stage which one version holds at a time."""
-    return status.where(F.col("stage").isin(*HELD)).groupBy("model_name", "stage").agg(F.max_by("model_version", "since").alias("model_version"))
+    """Of ``version_status``, the versions that hold a stage which one version holds at a time: of several the newest, of equally new ones
+    that of the latest move."""
+    return status.where(F.col("stage").isin(*HELD)).groupBy("model_name", "stage").agg(F.max_by("model_version", F.struct("since", "moved")).alias("model_version"))
 
 
 def version_status(deployments: DataFrame, tags: DataFrame | None = None) -> DataFrame:
-    """Each version's stage after its last move, with its ``tags(model_name, model_version, ...)``: those of its evaluation, and others. A version
+    """Each version's stage after its last move, that move's id as ``moved``, with its ``tags(model_name, model_version, ...)``: those of its evaluation, and others. A version
     that was registered but never moved has no stage."""
-    last = deployments.groupBy("model_name", "model_version").agg(F.max_by("to_stage", "id").alias("stage"), F.max("created_at").alias("since"))
+    last = deployments.groupBy("model_name", "model_version").agg(F.max_by("to_stage", "id").alias("stage"), F.max("created_at").alias("since"), F.max("id").alias("moved"))
     return last if tags is None else last.join(tags, ["model_name", "model_version"], "full")

@@ -390,8 +390,8 @@ CASE WHEN p >= 0.5 THEN 'up' ELSE 'down' END AS predicted_direction, {sq('greate
     "model_gates": f"WITH {_DEPLOY}, {_GATES} SELECT gate, hard, count(*) AS n, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed AND (hard OR NOT ov)) AS blocking FROM g GROUP BY 1, 2",
     "model_promotions": f"""WITH {_DEPLOY}, {_GATES},
 ok AS (SELECT * FROM c WHERE NOT ({_BAD}) AND id NOT IN (SELECT id FROM g WHERE NOT passed AND (hard OR NOT ov))),
-vs AS (SELECT model_name, model_version, arg_max(to_stage, id) AS stage, max(created_at) AS since FROM dp GROUP BY 1, 2),
-hd AS (SELECT model_name, stage, arg_max(model_version, since) AS model_version FROM vs WHERE stage IN ('challenger', 'champion') GROUP BY 1, 2),
+vs AS (SELECT model_name, model_version, arg_max(to_stage, id) AS stage, max(created_at) AS since, max(id) AS moved FROM dp GROUP BY 1, 2),
+hd AS (SELECT model_name, stage, arg_max(model_version, (since, moved)) AS model_version FROM vs WHERE stage IN ('challenger', 'champion') GROUP BY 1, 2),
 au AS (SELECT model_name, model_version, from_stage, to_stage, 'better' AS reason FROM ok
   UNION ALL SELECT hd.model_name, hd.model_version, hd.stage, 'archived', 'replaced by version ' || ok.model_version || ': better' FROM hd JOIN ok ON hd.model_name = ok.model_name AND hd.stage = ok.to_stage AND hd.model_version <> ok.model_version)
 SELECT model_name, model_version, from_stage, to_stage, reason, 'op' AS actor, count(*) AS n FROM au GROUP BY 1, 2, 3, 4, 5""",

@@ -168,6 +168,15 @@ def test_moves_and_displacement(spark):
     assert got == {("v2", "candidate", "champion", "better"), ("v5", None, "candidate", "new"), ("v1", "champion", "archived", "replaced by version v2: better")}
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_of_equally_new_holders_the_last_moved_counts(spark, order):
+    from barflow.operators import models as M
+
+    rows = [(1, "m", "v3", "champion", at(9)), (7, "m", "v1", "champion", at(10)), (5, "m", "v2", "champion", at(10)), (9, "m", "v4", "archived", at(11)), (8, "m", "v0", "champion", at(8))]
+    df = spark.createDataFrame(rows[::order], "id long, model_name string, model_version string, to_stage string, created_at timestamp").coalesce(1)
+    assert [(r.stage, r.model_version) for r in M.holders(M.version_status(df)).collect()] == [("champion", "v1")]
+
+
 def test_absent_keeps_the_least_row_and_null_keys(spark):
     from barflow.sources import sinks as K
 
