@@ -22,11 +22,11 @@ def _folder(spark):
 
 
 def stream_rollup(spark, d):
-    """Hourly bars of the event stream, each written once, when the watermark has passed it."""
+    """Hourly bars of the event stream, kept up to date by what each batch changes; the last ones, which the watermark has not passed, too."""
     folder = _folder(spark)
-    df = T.rolled_up(_stream(spark, d), "ts", "1 hour", "2 hours", ["event_type"], "value")
-    df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("event_type", stamp("ts", "at"), *[rd(c, 2) for c in ("open", "high", "low", "close")], "volume")
+    df = T.rolled_up(_stream(spark, d), "ts", "1 hour", "2 hours", ["event_type"], "value", ["event_id"])
+    T.keep_updated(df, f"{folder}/out", f"{folder}/check").awaitTermination()
+    return T.updated(spark, f"{folder}/out", ["event_type", "ts"]).select("event_type", stamp("ts", "at"), *[rd(c, 2) for c in ("open", "high", "low", "close")], "volume")
 
 
 def stream_anomalies(spark, d):
@@ -158,7 +158,7 @@ _WEEKDAYS = "coalesce(greatest(0, len(list_filter(range(lag(ts) OVER w, ts, INTE
 _DAILY_SQL = FEATURES_SQL.replace(FEATURES_SQL[FEATURES_SQL.index("greatest(0, coalesce(round_even") : FEATURES_SQL.index(" FROM li WINDOW w")], _WEEKDAYS)
 _AHEAD = "ts + to_days((CASE WHEN isodow(ts) > 5 THEN 8 - isodow(ts) ELSE 0 END + 5 + 2 * ((CASE WHEN isodow(ts) > 5 THEN 0 ELSE isodow(ts) - 1 END + 5) // 5))::INT)"
 ORACLES = {
-    "stream_rollup": f"WITH {EVENT_SQL} SELECT symbol AS event_type, {sql_stamp('ts', 'at')}, {sqs({c: 2 for c in ('open', 'high', 'low', 'close')})}, volume FROM ev WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)",
+    "stream_rollup": f"WITH {EVENT_SQL} SELECT symbol AS event_type, {sql_stamp('ts', 'at')}, {sqs({c: 2 for c in ('open', 'high', 'low', 'close')})}, volume FROM ev",
     "stream_anomalies": f"{_DETECTED} SELECT event_id AS source_event_id, detector, anomaly_type, severity, {sq('score', 5)} FROM a",
     "stream_features": f"{_DAILY_SQL}, e AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS seen FROM x) SELECT symbol || '-' || day AS event_id, {sqs({c: 5 for c in X.NAMES})} FROM e WHERE seen % 3 = 0 AND {_READY}",
     "stream_scored": f"{_DAILY_SQL}, e AS (SELECT *, 1 / (1 + exp(-ret_5)) AS p FROM x WHERE {_READY}) SELECT symbol, {sql_stamp('ts', 'at')}, {sql_stamp(_AHEAD, 'target')}, CASE WHEN p >= 0.5 THEN 'up' ELSE 'down' END AS predicted_direction, {sq('greatest(p, 1 - p)', 5, 'confidence')}, 28::INT AS inputs FROM e",

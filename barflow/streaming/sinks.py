@@ -36,6 +36,20 @@ def latest_state(spark, path: str) -> DataFrame:
     return df.join(F.broadcast(last), "batch").drop("batch")
 
 
+def keep_updated(stream: DataFrame, path: str, checkpoint: str):
+    """The rows of an aggregation that each batch changes, in one folder a batch; a repeated batch rewrites its own. Rows that the watermark has
+    not passed are there too, and their state goes when it has."""
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def updated(spark, path: str, keys: list[str]) -> DataFrame:
+    """What ``keep_updated`` holds: the last row of each key."""
+    df = spark.read.parquet(path)
+    rest = [c for c in df.columns if c not in (*keys, "batch")]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+
+
 def coalesced(batch: DataFrame, most: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(the newest row of each type and symbol, the ``most`` newest anomalies, one row with the number of older ones dropped): what a
     screen gets of a batch."""
@@ -66,11 +80,12 @@ def scored(stream: DataFrame, path: str, checkpoint: str, predict, name: str, ve
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rolled_up(stream: DataFrame, ts: str, every: str, late: str, keys: list[str], price: str) -> DataFrame:
-    """Bars of a watermarked stream by tumbling windows."""
+def rolled_up(stream: DataFrame, ts: str, every: str, late: str, keys: list[str], price: str, order: list[str] = []) -> DataFrame:
+    """Bars of a watermarked stream by tumbling windows; rows of one time count in ``order``."""
     # a watermark needs an instant, not a local time
     df = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
-    out = df.groupBy(F.window("_ts", every).alias("_w"), *keys).agg(F.min_by(price, "_ts").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, "_ts").alias("close"), F.count(F.lit(1)).alias("volume"))
+    at = F.struct("_ts", *order)
+    out = df.groupBy(F.window("_ts", every).alias("_w"), *keys).agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.count(F.lit(1)).alias("volume"))
     return out.select(*keys, F.col("_w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 

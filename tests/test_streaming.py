@@ -182,3 +182,20 @@ def test_appends_read_only_the_folders_of_a_batch(spark, tmp_path):
     assert pruned.count() == 10 and len(pruned.select("_metadata.file_path").distinct().collect()) < len(table.select("_metadata.file_path").distinct().collect())
     assert "PartitionFilters: [isnotnull(day" in pruned._jdf.queryExecution().executedPlan().toString() or "PartitionFilters: [(day" in pruned._jdf.queryExecution().executedPlan().toString()
     assert S.within_folders(table, rows.withColumn("day", F.lit(None).cast("date")), "day").count() == 0
+
+
+def test_roll_ups_hold_the_last_bars_and_bars_that_change(spark, tmp_path):
+    rows = [(1, "a", "2026-01-05 09:10:00", 5.0), (2, "a", "2026-01-05 09:50:00", 7.0), (4, "a", "2026-01-05 09:55:00", 6.0), (3, "a", "2026-01-05 09:55:00", 9.0), (5, "b", "2026-01-05 09:59:00", 1.0), (6, "a", "2026-01-05 14:00:00", 8.0)]
+    df = spark.createDataFrame(rows, "event_id long, event_type string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    for part in (df.where("event_id < 3"), df.where("event_id >= 3")):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    T.keep_updated(T.rolled_up(stream, "ts", "1 hour", "2 hours", ["event_type"], "value", ["event_id"]), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = {(r.event_type, r.ts.hour): (r.open, r.high, r.low, r.close, r.volume) for r in T.updated(spark, f"{tmp_path}/out", ["event_type", "ts"]).collect()}
+    assert got == {("a", 9): (5.0, 9.0, 5.0, 6.0, 4), ("b", 9): (1.0, 1.0, 1.0, 1.0, 1), ("a", 14): (8.0, 8.0, 8.0, 8.0, 1)}
+
+
+def test_roll_up_of_the_events_holds_every_one(spark, sf_dir):
+    from barflow.plans.streams import stream_rollup
+
+    assert stream_rollup(spark, sf_dir).agg(F.sum("volume")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
