@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barflow.functions import timegrid as G
-from barflow.functions.ranks import quantiles, ranked
-from barflow.sources.session import checkpointed
+from barflow.functions.ranks import bisected, quantiles, ranked
+from barflow.sources.session import checkpointed, few
 
 #: Fixed limits: clip of a proportion, PSI bands, least samples, KS level, log-loss margin, share of drifted features.
 CLIP, WARNING, ALERT = 1e-4, 0.10, 0.25
@@ -25,21 +25,19 @@ def cells(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def profile(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """edges (distinct inner deciles), quantiles (101), proportions of the bins between the edges, and n, of each key's values."""
-    rows = checkpointed(cells(rows, keys))
-    stats = checkpointed(quantiles(ranked(rows, keys), keys))
+    """edges (distinct inner deciles), quantiles (101), proportions of the bins between the edges, and n, of each key's values; checkpointed, a
+    row a key."""
+    rows = checkpointed(ranked(cells(rows, keys), keys))
+    stats = checkpointed(quantiles(rows, keys))
     stats = stats.withColumn("edges", F.array_distinct(F.array(*[F.element_at("quantiles", 10 * k + 1) for k in range(1, 10)])))
-    return stats.join(binned(rows, stats, keys), keys)
-
-
-def bin_of(value: Column, edges: Column) -> Column:
-    """The number of edges below a value."""
-    return F.size(F.filter(edges, lambda e: e < value))
+    return checkpointed(stats.join(binned(rows, stats, keys), keys))
 
 
 def binned(rows: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, proportions): the share of the values in each bin of the profiles, empty bins included."""
-    df = cells(rows, keys).join(profiles.select(*keys, "edges"), keys).withColumn("bin", bin_of(F.col("value"), F.col("edges")))
+    """(keys, proportions): the share of the values in each bin of the checkpointed profiles, empty bins included. Values are counted where
+    they are; only the counts of bins move."""
+    rows = rows if "c" in rows.columns else rows.withColumn("c", F.lit(1).cast("long"))
+    df = bisected(rows.join(few(profiles.select(*keys, "edges")), keys), "bin", "edges", "value")
     counts = df.groupBy(*keys, "edges", "bin").agg(F.sum("c").alias("c"))
     maps = counts.groupBy(*keys, "edges").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"), F.sum("c").alias("t"))
     shares = F.transform(F.sequence(F.lit(0), F.size("edges")), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)) / F.col("t"))
@@ -57,13 +55,13 @@ def psi_status(x: Column) -> Column:
 
 
 def ks(ranks: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, ks, p_value): Kolmogorov's distance of ``ranked`` values from the profile's interpolated distribution.
+    """(keys, n, ks, p_value): Kolmogorov's distance of ``ranked`` values from the checkpointed profiles' interpolated distribution.
 
     The distribution rises linearly between the 101 quantiles; at tied quantiles the last one counts.
     """
-    df = ranks.join(profiles.select(*keys, "quantiles"), keys)
+    df = ranks.join(few(profiles.select(*keys, "quantiles")), keys)
     q, v = F.col("quantiles"), F.col("value")
-    df = df.withColumn("_i", F.size(F.filter("quantiles", lambda x: x <= F.col("value"))))  # knots at or below
+    df = bisected(df, "_i", "quantiles", "value", equal=True)  # knots at or below
     low, high = F.get(q, F.col("_i") - 1), F.get(q, F.col("_i"))
     cdf = F.when(F.col("_i") == 0, 0.0).when(F.col("_i") == F.size(q), 1.0).otherwise((F.col("_i") - 1 + F.try_divide(v - low, high - low)) / (F.size(q) - 1))
     gap = F.greatest(F.col("upto") / F.col("n") - cdf, cdf - (F.col("upto") - F.col("c")) / F.col("n"))
@@ -76,16 +74,15 @@ def ks(ranks: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drift(live: DataFrame, profiles: DataFrame, keys: list[str], report_type: str = "data_drift", least: int = DRIFT_LEAST) -> DataFrame:
-    """One report row per key with enough live values: PSI with its status, KS with rejection, both medians and the live mean."""
-    live = checkpointed(cells(live, keys))
-    n = live.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("live_mean")).where(F.col("n") >= least)
-    rows, profiles = checkpointed(live.join(n.select(*keys), keys, "left_semi")), checkpointed(profiles)
-    ranks = checkpointed(ranked(rows, keys))
+    """One report row per key with enough live values: PSI with its status, KS with rejection, both medians and the live mean; checkpointed."""
+    ranks, profiles = checkpointed(ranked(cells(live, keys), keys).where(F.col("n") >= least)), checkpointed(profiles)
+    n = ranks.groupBy(*keys).agg(F.max("n").alias("n"), (F.sum(F.col("value") * F.col("c")) / F.max("n")).alias("live_mean"))
     medians = quantiles(ranks, keys, 2).select(*keys, F.element_at("quantiles", 2).alias("live_median"))
-    df = n.join(medians, keys).join(binned(rows, profiles, keys), keys).join(profiles.select(*keys, F.col("proportions").alias("_r"), F.element_at("quantiles", 51).alias("reference_median")), keys)
+    df = n.join(medians, keys).join(binned(ranks, profiles, keys), keys).join(profiles.select(*keys, F.col("proportions").alias("_r"), F.element_at("quantiles", 51).alias("reference_median")), keys)
     df = df.withColumn("psi", psi(F.col("proportions"), F.col("_r"))).withColumn("status", psi_status(F.col("psi")))
     tests = ks(ranks, profiles, keys).select(*keys, "ks", "p_value")
-    return df.join(tests, keys).select(F.lit(report_type).alias("report_type"), *keys, "n", "psi", "status", "ks", "p_value", (F.col("p_value") < KS_LEVEL).alias("ks_reject"), "live_median", "reference_median", "live_mean")
+    found = df.join(tests, keys).select(F.lit(report_type).alias("report_type"), *keys, "n", "psi", "status", "ks", "p_value", (F.col("p_value") < KS_LEVEL).alias("ks_reject"), "live_median", "reference_median", "live_mean")
+    return checkpointed(found)
 
 
 #: Bars of a bucket of time in which predictions and bars meet.
@@ -199,7 +196,7 @@ def cycle(
     served = rows.select(*keys).distinct()
     live = rows.select(*keys, F.explode("features").alias("feature", "value")).unionByName(rows.select(*keys, F.lit(P_UP).alias("feature"), F.col("p_up").alias("value")))
     live = live.where("value is not null and not isnan(value) and abs(value) < double('infinity')")
-    found = checkpointed(drift(live.join(profiles.select(*keys).distinct(), keys, "left_semi"), profiles, [*keys, "feature"], least=samples))
+    found = drift(live.join(profiles.select(*keys).distinct(), keys, "left_semi"), profiles, [*keys, "feature"], least=samples)
     inputs, output = found.where(F.col("feature") != P_UP), found.where(F.col("feature") == P_UP)
     done = checkpointed(performance(rows, profiles.select(*keys, "base_rate").distinct(), keys, resolved_least))
     again = retrain(inputs, done, keys).where("retrain")

@@ -45,3 +45,27 @@ def test_quantiles_equal_numpy(values, cells, parts):
 
 def test_no_values(cells):
     assert R.quantiles(R.ranked(cells.limit(0), ["model", "feature"]), ["model", "feature"]).count() == 0
+
+
+@pytest.mark.parametrize("equal", [False, True])
+@pytest.mark.parametrize("knots", [[], [1.0], [0.0, 0.0, 2.0, 5.0, 5.0, 5.0, 9.0], [x / 4 for x in range(101)]])
+def test_bisection_counts_as_numpy(spark, knots, equal):
+    x = [-1.0, 0.0, 0.1, 1.0, 2.0, 5.0, 9.0, 24.75, 25.0, 26.0]
+    df = spark.createDataFrame([(knots, v) for v in x], "q array<double>, v double")
+    got = {r.v: r.i for r in R.bisected(df, "i", "q", "v", equal=equal).collect()}
+    assert list(map(got.get, x)) == np.searchsorted(knots, x, "right" if equal else "left").tolist()
+
+
+def test_values_of_a_key_stay_where_they_are(spark, cells):
+    """No join with a row a key brings all values of a key into one task."""
+    from barflow.operators import monitoring as M
+
+    keys = ["model", "feature"]
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        p = M.profile(cells, keys)
+        for df in (R.ranked(cells, keys), M.binned(cells, p, keys), M.ks(R.ranked(cells, keys), p, keys)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
